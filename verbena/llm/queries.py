@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, decontam, packing, secrets, simhash, toxicity, warc
+from . import attention_lm, compression, decontam, licenses, packing, quotation, secrets, simhash, toxicity, warc
 from .common import table
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.link_quotes(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -23,10 +27,18 @@ def op4_toxicity_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.verdicts(compression.compression_bands(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op7_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -40,8 +52,14 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+QUERIES = (
+    op1_quotation_linking, op2_length_buckets, op3_secret_scan, op4_toxicity_viterbi, op5_attention_scores,
+    op6_compression_bands, op7_license_alignment, op8_simhash_pivots, op9_containment_search, op10_warc_revisits,
+)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_length_buckets, op3_secret_scan, op4_toxicity_viterbi, op6_compression_bands, op8_simhash_pivots, op9_containment_search, op10_warc_revisits)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def llm_oracle_sql() -> dict[str, str]:
