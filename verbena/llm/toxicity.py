@@ -187,7 +187,7 @@ class Restorer(dict):
 
     def __missing__(self, token: str) -> str:
         plain = token.isalpha() and not _RUN.search(token)  # a lattice without choices
-        core = token if plain else _MARKS.sub("", token).strip("'’-!?(<|*+")
+        core = token if plain else _MARKS.sub("", token).lstrip("'’-?(<*+").rstrip("'’-!?(<|*+")
         best = core
         if not plain and any(map(str.isalpha, core)) and (steps := lattice(core)) and len(steps) <= self.p.max_word:
             best = viterbi(steps, self.m, self.p.change_cost)[0]
