@@ -4,7 +4,7 @@
 ``deduplicate`` shuffles only headers by payload digest, joins each repeat to the first capture of its
 payload and writes new archives in which repeats are revisit records with fresh headers.
 
-Archives are plain WARC/1.1 files.  Spark's text writer makes them: a record is one line and the line
+Archives are WARC/1.1 files, one gzip member each.  Spark's text writer makes them: a record is one line and the line
 separator is the ``CRLF CRLF`` that ends a record, so any file system that Spark writes to will do and a
 lost executor's tasks are written again under Spark's commit protocol.  Reading takes ``Content-Length``
 as the only guide, so payloads may hold anything, blank lines and record headers included.  Files are
@@ -18,6 +18,7 @@ payloads of fewer than ``min_bytes`` bytes are always responses; an empty table
 from __future__ import annotations
 
 import base64
+import gzip
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,7 +67,7 @@ def record(kind: Column, headers: list[tuple[str, Column]], payload: Column) ->
 
 
 def _write(records: DataFrame, path: str, p: Params) -> None:
-    records.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", p.records_per_file).text(path)
+    records.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", p.records_per_file).option("compression", "gzip").text(path)
 
 
 def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", p: Params = Params()) -> None:
@@ -118,7 +119,8 @@ def read_records(spark: SparkSession, path: str, payload: bool = True, batch_byt
             for data in batch.column(0):
                 out: list[tuple] = []
                 size = 0
-                for h, block in parse(data.as_buffer().to_pybytes()):
+                content = data.as_buffer().to_pybytes()
+                for h, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     actual = base64.b32encode(hashlib.sha1(block).digest()).decode()
                     out.append((*(h.get(k) for k in HEADERS.values()), len(block), actual, *([block.decode("utf-8", "surrogatepass")] if payload else [])))
                     size += len(block) if payload else 200
