@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import pickle
 import zlib
 from collections import Counter
 
@@ -187,6 +188,26 @@ def test_base_score_against_brute_force(spark):
     assert attention_lm.score(docs(spark, (1, "a")).limit(0), p=p).count() == 0
 
 
+def test_mix_is_learned_and_parameters_are_averaged(spark):
+    import pandas as pd
+
+    one, two = ({"b": np.full(2, x, np.float32)} for x in (1, 5))
+    both = attention_lm.average(pd.Series([3, 1]), pd.Series([pickle.dumps(one), pickle.dumps(two)]))
+    assert both["n"][0] == 4 and np.allclose(pickle.loads(both["w"][0])["b"], 2)
+
+    p = attention_lm.Params(head=30, dim=8, rounds=1, frequent=50, averages=2, windows_per_trainer=8)
+    rows = docs(spark, *((i, prose(i, 40)) for i in range(60)))
+    model, _ = attention_lm.fit(rows, p=p)
+    texts = [attention_lm.words_lower(prose(i, 40)) for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 1]
+    ids = attention_lm.word_ids(p.vocabulary)
+    spelled = attention_lm.spell_words(texts, model, ids)
+    known = [attention_lm.shares(t, model, left_out=True) for t in texts]
+    likely = {m: sum(attention_lm.mixed(s, k, m) for s, k in zip(spelled, known, strict=True)) for m in p.mixes}
+    assert len(texts) > 0 and model.mix == max(likely, key=likely.get)
+    whole = attention_lm.score_words([texts[0]], model, ids)[0]
+    assert whole == pytest.approx(attention_lm.mixed(spelled[0], attention_lm.shares(texts[0], model), model.mix), rel=1e-4)
+
+
 # --- quality
 
 

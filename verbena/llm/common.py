@@ -60,9 +60,14 @@ def q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def fold(doc_id, folds: int):
+    """The fold of an id; a null id counts as the text ''."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
+
+
 def held_out(doc_id, folds: int):
-    """True for ids in the fold that training must not see; a null id counts as the text ''."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == 0
+    """True for ids in the fold that training must not see."""
+    return fold(doc_id, folds) == 0
 
 
 def words_lower(text: str | None) -> list[bytes]:
