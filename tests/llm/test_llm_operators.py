@@ -198,14 +198,34 @@ def test_mix_is_learned_and_parameters_are_averaged(spark):
     p = attention_lm.Params(head=30, dim=8, rounds=1, frequent=50, averages=2, windows_per_trainer=8)
     rows = docs(spark, *((i, prose(i, 40)) for i in range(60)))
     model, _ = attention_lm.fit(rows, p=p)
-    texts = [attention_lm.words_lower(prose(i, 40)) for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 1]
-    ids = attention_lm.word_ids(p.vocabulary)
-    spelled = attention_lm.spell_words(texts, model, ids)
-    known = [attention_lm.shares(t, model, left_out=True) for t in texts]
-    likely = {m: sum(attention_lm.mixed(s, k, m) for s, k in zip(spelled, known, strict=True)) for m in p.mixes}
-    assert len(texts) > 0 and model.mix == max(likely, key=likely.get)
-    whole = attention_lm.score_words([texts[0]], model, ids)[0]
-    assert whole == pytest.approx(attention_lm.mixed(spelled[0], attention_lm.shares(texts[0], model), model.mix), rel=1e-4)
+    texts = [prose(i, 40) for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 1]
+    texts += [" ".join([texts[0]] * 9)]
+    coded = attention_lm.Coded.of(texts)
+    spelling = attention_lm.spelled(coded, model, attention_lm.word_ids(p.vocabulary))
+
+    def plain(text, mix, left_out):
+        """One id after the other, each in the window that has it beyond the overlap."""
+        ids = [(i, k) for k, w in enumerate(text.lower().split()) for i in attention_lm.word_ids(p.vocabulary)[w.encode()]]
+        y = [*(int(model.classes[i]) for i, _ in ids), 31]
+        x, step, words = [31, *y[:-1]], p.width - p.overlap, text.lower().split()
+        spelt = [0.0] * (len(words) + 1)
+        for at in range(len(y)):
+            w = max(0, (at - p.overlap) // step) if at >= p.width else 0
+            h = model.net.hidden(np.array([x[w * step : at + 1]]))[-1][:, -1]
+            spelt[ids[at][1] if at < len(ids) else -1] += model.net.log_probs(h, np.array(y[at : at + 1]))[0] + (model.tail[ids[at][0]] if at < len(ids) else 0)
+        own = Counter(w for w in words if w.encode() in model.frequent) if left_out else Counter()
+        total = model.n_frequent - sum(own.values()) - left_out
+        c = [*(model.frequent.get(w.encode(), 0) - own[w] for w in words), model.docs - left_out]
+        return sum(np.log10((1 - mix) * np.exp(s) + mix * n / total) for s, n in zip(spelt, c, strict=True))
+
+    got = attention_lm.mixed(spelling, attention_lm.shares(coded, model), 0.2, coded)
+    assert got == pytest.approx([plain(t, 0.2, False) for t in texts], rel=1e-4)
+    trained = attention_lm.Coded.of(texts[:-1])
+    spelling, known = attention_lm.spelled(trained, model, attention_lm.word_ids(p.vocabulary)), attention_lm.shares(trained, model, left_out=True)
+    assert attention_lm.mixed(spelling, known, 0.2, trained) == pytest.approx([plain(t, 0.2, True) for t in texts[:-1]], rel=1e-4)
+    likely = {m: attention_lm.mixed(spelling, known, m, trained).sum() for m in p.mixes}
+    assert len(texts) > 1 and model.mix == max(likely, key=likely.get)
+    assert attention_lm.score_coded(coded, model, attention_lm.word_ids(p.vocabulary)) == pytest.approx([plain(t, model.mix, False) for t in texts], rel=1e-4)
 
 
 # --- quality
