@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from verbena import contracts as C
 from verbena.functions import text as X
 from verbena.functions import vectors as V
-from verbena.operators import graph, observations, retrieval
+from verbena.operators import graph, judgments, observations, retrieval
 from verbena.sources import obo, receipts
 
 
@@ -90,3 +90,20 @@ def test_obo_and_receipts(spark, tmp_path):
     with pytest.raises(C.ContractError):
         receipts.admit(spark, str(f), "0" * 64)
     assert receipts.flatten({"a/b": [1, True, None, {}], "c~": 1.5}) == [("/a~1b/0", "integer", "1"), ("/a~1b/1", "logical", "TRUE"), ("/a~1b/2", "null", None), ("/c~0", "double", "1.5")]
+
+
+def test_judgments_are_accepted_by_call(spark):
+    ask = [("a", 0, "m1", "n1"), ("a", 1, "m2", "n2")]
+    ok = '[{"mention_id":"m1","decision":"keep","confidence":"x"},{"mention_id":"m2","decision":"replace","replacement_node_id":"c"}]'
+    cases = [
+        (ok, None), ("Here: " + ok, None), ('{"results":' + ok + "}", None), (None, 0), ("none", 0), ("[1]", 0), (ok + " done", 0), ('[{"mention_id":"m1","decision":""},' + ok[1:], 1), ("[]", 2), (ok.replace("m1", "m9"), 2),
+        (ok.replace("keep", "maybe"), 3), (ok.replace('"x"', "1.5"), 4), (ok.replace(',"replacement_node_id":"c"', ""), 5), (ok.replace('"c"', '"z"'), 6),
+    ]
+    r = spark.createDataFrame([(f"{n}", t) for n, (t, _) in enumerate(cases)] + [("none", "{}")], "call_id string, response string")
+    c = spark.createDataFrame([(f"{n}", *a[1:]) for n in range(len(cases)) for a in ask], "call_id string, position int, mention_id string, node_id string")
+    x = spark.createDataFrame([(f"{n}", "c") for n in range(len(cases))], "call_id string, node_id string")
+    got = {v["call_id"]: v["reason"] for v in judgments.violations(r, c, x).collect()}
+    assert got == {f"{n}": None if rule is None else judgments.RULES[rule] for n, (_, rule) in enumerate(cases)} | {"none": None}
+    rows = judgments.judgments(r.where("call_id = '0'"), c, "m", x).orderBy("subject_id").collect()
+    assert [(v["judgment_id"], v["object_id"], v["decision"], v["confidence"]) for v in rows] == [("judgment:m1", "n1", "keep", None), ("judgment:m2", "c", "replace", None)]
+    assert judgments.judgments(r.limit(0), c.limit(0), "m").count() == 0

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbena.functions import text as X
 from verbena.functions import vectors as V
-from verbena.operators import graph, literature, observations, releases, retrieval
+from verbena.operators import graph, judgments, literature, observations, releases, retrieval
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,9 +149,21 @@ def pack_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("o_orderkey"), n.alias("negation_status"), releases.role_status(F.col("s"), F.col("t"), F.col("p"), n, F.col("sc"), F.col("oc"), "biolink:Gene", "biolink:Disease").alias("role_status"))
 
 
+def model_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call per order, one candidate per line; every seventh order's confidences are out of range."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    x = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", (F.row_number().over(w) - 1).alias("position"))
+    x = x.withColumns({"call_id": F.col("l_orderkey"), "mention_id": F.concat_ws("/", "l_orderkey", "position"), "node_id": F.concat(F.lit("part:"), "l_partkey"), "supplier": F.concat(F.lit("supplier:"), "l_suppkey")})
+    decision = F.when(F.col("l_returnflag") == "R", "replace").when(F.col("l_returnflag") == "A", "keep").otherwise("drop")
+    item = F.struct("position", "mention_id", decision.alias("decision"), F.when(F.col("l_orderkey") % 7 == 0, 2.0).otherwise(0.5).alias("confidence"), F.when(F.col("l_returnflag") == "R", F.col("supplier")).alias("replacement_node_id"))
+    responses = x.groupBy("call_id").agg(F.array_sort(F.collect_list(item)).alias("i")).select("call_id", F.concat(F.lit("Results: "), F.to_json(F.struct(F.col("i").alias("judgments")))).alias("response"))
+    found = judgments.judgments(responses, x, "m", x.select("call_id", F.col("supplier").alias("node_id")))
+    return found.select("judgment_id", "subject_id", "object_id", "decision", "confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"search_{m}": _search(m) for m in V.METRICS}
-    named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles)
+    named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments)
     return out | {f.__name__: f for f in named}
 
 
@@ -226,4 +238,8 @@ SELECT CASE WHEN length(text) = 0 AND doc_id % 3 <> 2 THEN 'source_text must be
 SELECT o_orderkey, n AS negation_status, CASE WHEN o_orderkey % 11 = 0 THEN 'missing_endpoint' WHEN n = 'negated' THEN 'negated' WHEN n = 'malformed' THEN 'malformed_negation'
   WHEN o_custkey % 2 = 0 AND o_custkey % 3 <> 0 THEN 'supported_subject_to_object' WHEN o_custkey % 2 <> 0 AND o_custkey % 3 = 0 THEN 'supported_object_to_subject' ELSE 'unsupported_orientation' END AS role_status
 FROM (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'negated' WHEN 'P' THEN 'malformed' ELSE 'not_provided' END AS n FROM orders)""",
+        "model_judgments": """
+WITH x AS (SELECT *, l_orderkey || '/' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1) AS subject_id FROM lineitem WHERE l_orderkey % 7 <> 0)
+SELECT 'judgment:' || subject_id AS judgment_id, subject_id, CASE l_returnflag WHEN 'R' THEN 'supplier:' || l_suppkey WHEN 'A' THEN 'part:' || l_partkey END AS object_id,
+  CASE l_returnflag WHEN 'R' THEN 'replace' WHEN 'A' THEN 'keep' ELSE 'drop' END AS decision, 0.5::DOUBLE AS confidence FROM x""",
     }
