@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions import text as X
 from verbena.functions import vectors as V
-from verbena.operators import graph, judgments, literature, observations, releases, retrieval
+from verbena.operators import graph, hypotheses, judgments, literature, observations, releases, retrieval
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,9 +161,24 @@ def model_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("judgment_id", "subject_id", "object_id", "decision", "confidence")
 
 
+def hypothesis_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as hypotheses that their lines support, contradict or surround; the first broken rule of each."""
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey")
+    fixed = {n: F.lit("x") for n in hypotheses.COLUMNS} | {n: F.lit(None).cast("string") for n in hypotheses.OPTIONAL} | {"proposal_type": F.lit("candidate"), "proposer_type": F.lit("model"), "reviewed_at": F.lit(None).cast("timestamp"), "recorded_at": F.col("o_orderdate").cast("timestamp")}
+    made = fixed | {
+        "hypothesis_id": F.col("o_orderkey").cast("string"), "judgment": F.when(k == 0, "abstain").when(k.isin(1, 4), "supports").when(k == 2, "contradicts").when(k == 3, "insufficient_evidence").otherwise("maybe"),
+        "review_status": F.when(k == 0, "abstained").otherwise("proposed"), "confidence": F.when(k != 0, F.col("o_totalprice") / 400000.0), "inheritance_id": F.when(c % 10 != 0, "i"),
+        "contradiction": F.when(c % 2 == 0, "c"), "missing_evidence": F.when(c % 3 == 0, "m"),
+    }
+    role = F.when(F.col("l_returnflag") == "R", "contradiction").when(F.col("l_returnflag") == "A", "support").otherwise("context")
+    cited = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("hypothesis_id"), role.alias("evidence_role"))
+    rows = _t(spark, sf_dir, "orders").select(*(made[n].alias(n) for n in hypotheses.COLUMNS))
+    return hypotheses.violations(rows, cited).select("hypothesis_id", "reason")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"search_{m}": _search(m) for m in V.METRICS}
-    named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments)
+    named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations)
     return out | {f.__name__: f for f in named}
 
 
@@ -242,4 +257,13 @@ FROM (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'negated' W
 WITH x AS (SELECT *, l_orderkey || '/' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1) AS subject_id FROM lineitem WHERE l_orderkey % 7 <> 0)
 SELECT 'judgment:' || subject_id AS judgment_id, subject_id, CASE l_returnflag WHEN 'R' THEN 'supplier:' || l_suppkey WHEN 'A' THEN 'part:' || l_partkey END AS object_id,
   CASE l_returnflag WHEN 'R' THEN 'replace' WHEN 'A' THEN 'keep' ELSE 'drop' END AS decision, 0.5::DOUBLE AS confidence FROM x""",
+        "hypothesis_violations": """
+WITH h AS (SELECT o_orderkey % 6 AS k, o_custkey AS c, o_totalprice / 400000.0 AS p, o_orderkey FROM orders),
+s AS (SELECT l_orderkey, bool_or(l_returnflag = 'A') AS support, bool_or(l_returnflag = 'R') AS contradiction, bool_or(l_returnflag = 'N') AS context FROM lineitem GROUP BY 1)
+SELECT o_orderkey::VARCHAR AS hypothesis_id, CASE WHEN k = 5 THEN 'unsupported judgment' WHEN k <> 0 AND NOT p BETWEEN 0 AND 1 THEN 'non-abstaining confidence must be finite and between zero and one'
+  WHEN k <> 0 AND c % 10 = 0 THEN 'non-abstaining hypotheses require inheritance_id or mechanism_text' WHEN k = 3 AND c % 3 <> 0 THEN 'insufficient-evidence hypotheses require missing_evidence'
+  WHEN k = 2 AND c % 2 <> 0 THEN 'contradicting hypotheses require contradiction' WHEN k = 0 AND l_orderkey IS NOT NULL THEN 'abstaining hypotheses cannot cite source spans'
+  WHEN k <> 0 AND l_orderkey IS NULL THEN 'each non-abstaining hypothesis must cite a source span'
+  WHEN k IN (1, 4) AND NOT support OR k = 2 AND NOT contradiction OR k = 3 AND NOT context THEN 'hypothesis evidence roles do not match their judgments' END AS reason
+FROM h LEFT JOIN s ON l_orderkey = o_orderkey""",
     }
