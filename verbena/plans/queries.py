@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions import text as X
 from verbena.functions import vectors as V
-from verbena.operators import graph, hypotheses, judgments, literature, observations, releases, retrieval
+from verbena.operators import graph, hypotheses, judgments, literature, observations, prompts, releases, retrieval
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,9 +176,16 @@ def hypothesis_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hypotheses.violations(rows, cited).select("hypothesis_id", "reason")
 
 
+def judgment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prompt an order, with its lines as mentions."""
+    documents = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
+    m = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("mention_id"), F.concat(F.lit("P:"), "l_partkey").alias("node_id"), F.col("l_linenumber").cast("int").alias("start_offset"))
+    return prompts.judgment_prompts(documents, m).select("document_id", F.sha2("prompt", 256).alias("digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"search_{m}": _search(m) for m in V.METRICS}
-    named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations)
+    named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
     return out | {f.__name__: f for f in named}
 
 
@@ -266,4 +273,9 @@ SELECT o_orderkey::VARCHAR AS hypothesis_id, CASE WHEN k = 5 THEN 'unsupported j
   WHEN k <> 0 AND l_orderkey IS NULL THEN 'each non-abstaining hypothesis must cite a source span'
   WHEN k IN (1, 4) AND NOT support OR k = 2 AND NOT contradiction OR k = 3 AND NOT context THEN 'hypothesis evidence roles do not match their judgments' END AS reason
 FROM h LEFT JOIN s ON l_orderkey = o_orderkey""",
+        "judgment_prompts": f"""
+WITH m AS (SELECT l_orderkey, l_linenumber AS n, concat_ws('/', l_linenumber, l_partkey, l_suppkey) AS i, l_partkey AS p FROM lineitem),
+j AS (SELECT l_orderkey, string_agg('{{"mention_id":"' || i || '","node_id":"P:' || p || '","start_offset":' || n || '}}', ',' ORDER BY n, i) AS c FROM m GROUP BY 1)
+SELECT o_orderkey::VARCHAR AS document_id, sha256('{prompts.INSTRUCTIONS}' || chr(10) || chr(10) || 'TEXT:' || chr(10) || 'order ' || o_orderkey || chr(10) || chr(10) || 'CANDIDATES_JSON:' || chr(10) || '[' || coalesce(c, '') || ']'
+  || chr(10) || chr(10) || 'GRAPH_CONTEXT_JSON:' || chr(10) || '[]') AS digest FROM orders LEFT JOIN j ON l_orderkey = o_orderkey""",
     }
