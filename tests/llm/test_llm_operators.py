@@ -265,6 +265,31 @@ def test_licences_are_found_with_spans(spark):
         assert name in {h[0] for h in s.scan(f"x y z {t} z y x")}
 
 
+@pytest.mark.parametrize("name, other", [("MIT-reference", "Released under the MIT licence"), ("All-rights-reserved", None), ("CC-BY-4.0-reference", "Licensed under CC BY four 0")])
+def test_every_line_of_a_run_is_found(name, other):
+    from verbena.llm.license_texts import TEMPLATES
+
+    p, t = licenses.Params(), TEMPLATES[name]
+    s = licenses.Scanner({name: t}, p)
+    for n in (1, 2, 3, 7, 40):
+        for lines in ([t] * n, [other if other and i % 2 else t for i in range(n)], [t if i % 3 else f"{t} of a b c d e f" for i in range(n)]):
+            text = "\n".join(lines)
+            got = [text[h[1] : h[2]] for h in s.scan(text)]
+            assert got == [x.removesuffix(" of a b c d e f").removesuffix(" licence") for x in lines]
+            # alignment at every place of the text, the fullest and tightest first, again and again in what is left
+            words, want, band = [s.words[0], [s.ids.get(w, 0) for w in re.findall(r"[^\W_]+", text.lower())]], [], p.min_band
+            free = [(0, len(words[1]))]
+            while free:
+                lo, hi = free.pop()
+                found = [x for d in range(lo - band, hi + band) if (x := licenses.align(words[0], words[1][lo:hi], d - lo, band)) and len(x) >= p.min_coverage * len(words[0])]
+                if found:
+                    x = min(found, key=lambda x: (-len(x), x[-1][1] - x[0][1], x[0][1]))
+                    want.append((lo + x[0][1], lo + x[-1][1], len(x)))
+                    free += [(lo, lo + x[0][1]), (lo + x[-1][1] + 1, hi)]
+            at = [m.start() for m in re.finditer(r"[^\W_]+", text)]
+            assert [(h[1], h[3]) for h in s.scan(text)] == [(at[a], k) for a, _, k in sorted(want)]
+
+
 # --- SimHash
 
 

@@ -2,9 +2,9 @@
 
 Templates are cut into words; the hashes of their word k-grams are winnowed (the smallest of each
 window of neighbours is kept) and go to an inverted index from gram to (template, place).  A text is
-probed with all of its grams, so every stretch that holds a kept gram is a candidate; candidates of one
-template on neighbouring diagonals become one region, and a banded alignment of the region with the
-whole template reports how many template words are matched in order and which span they cover.
+probed with all of its grams, so every stretch that holds a kept gram is a candidate; around the diagonal
+of each, a banded alignment with the whole template reports how many template words are matched in order
+and which span they cover.  What accepted stretches leave free is aligned again.
 
 Templates are few and given as a parameter, so the index travels with the task; texts are never
 shuffled.  Grams of templates shorter than k words are the whole template.
@@ -15,6 +15,8 @@ half-open, in code points; texts of any length are scanned whole.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -111,6 +113,44 @@ class Scanner:
             out = out * self.base + g
         return out
 
+    def stretches(self, t: list[int], ids: np.ndarray, diagonals: set[int], band: int) -> list[tuple[int, int, int]]:
+        """(matched, first word, last word) of stretches that share no word, the fullest first.
+
+        The words around every diagonal are aligned, then again what an accepted stretch leaves of them,
+        until nothing left reaches the coverage.
+        """
+        need, most = self.p.min_coverage * len(t), np.bincount(t, minlength=self.base)
+        best: list[tuple[int, int, int, int, int, int]] = []
+        taken: list[tuple[int, int]] = []
+
+        def tried(d: int, lo: int, hi: int) -> None:
+            part = ids[lo:hi]
+            if np.minimum(np.bincount(part, minlength=self.base), most)[1:].sum() < need:  # no order of these words has enough
+                return
+            pairs = align(t, part.tolist(), d - lo, band)
+            if pairs and len(pairs) >= need:
+                x, y = lo + pairs[0][1], lo + pairs[-1][1]
+                heapq.heappush(best, (-len(pairs), y - x, x, d, lo, hi))
+
+        for d in diagonals:
+            tried(d, max(0, d - band), min(len(ids), d + len(t) + band))
+        out = []
+        while best:
+            matched, size, x, d, lo, hi = heapq.heappop(best)
+            at = bisect.bisect_left(taken, (x, x))
+            if (at == 0 or taken[at - 1][1] < x) and (at == len(taken) or taken[at][0] > x + size):
+                taken.insert(at, (x, x + size))
+                out.append((-matched, x, x + size))
+            at = max(0, bisect.bisect_left(taken, (lo, lo)) - 1)
+            while lo < hi:  # the free words of lo:hi
+                while at < len(taken) and taken[at][1] < lo:
+                    at += 1
+                stop = min(hi, taken[at][0]) if at < len(taken) else hi
+                if stop > lo:
+                    tried(d, lo, stop)
+                lo = max(stop, taken[at][1] + 1) if at < len(taken) else hi
+        return out
+
     def scan(self, text: str | None) -> list[tuple]:
         """(template, start, end, matched, words, coverage) of each confirmed stretch, by start."""
         if not text:
@@ -141,24 +181,8 @@ class Scanner:
         for n, diagonals in hits.items():
             t = self.words[n]
             band = max(self.p.min_band, int(self.p.band * len(t)))
-            groups: list[list[int]] = []
-            for d in sorted(diagonals):
-                if groups and d - groups[-1][-1] <= band:
-                    groups[-1].append(d)
-                else:
-                    groups.append([d])
-            found = []
-            for g in groups:
-                for d in dict.fromkeys(g[:: max(1, band)] + g[-1:]):  # a group wider than the band is aligned along all of it
-                    lo = max(0, d - band)
-                    pairs = align(t, ids[lo : d + len(t) + band].tolist(), d - lo, band)
-                    if len(pairs) >= self.p.min_coverage * len(t):
-                        found.append((-len(pairs), lo + pairs[0][1], lo + pairs[-1][1]))
-            taken: list[tuple[int, int]] = []
-            for matched, a, z in sorted(found):
-                if all(z < b or a > y for b, y in taken):
-                    taken.append((a, z))
-                    out.append((self.names[n], spans[a][0], spans[z][1], -matched, len(t), -matched / len(t)))
+            for matched, x, y in self.stretches(t, ids, diagonals, band):
+                out.append((self.names[n], spans[x][0], spans[y][1], matched, len(t), matched / len(t)))
         return sorted(out, key=lambda r: (r[1], r[2], r[0]))
 
 
