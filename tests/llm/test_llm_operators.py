@@ -228,6 +228,24 @@ def test_mix_is_learned_and_parameters_are_averaged(spark):
     assert attention_lm.score_coded(coded, model, attention_lm.word_ids(p.vocabulary)) == pytest.approx([plain(t, model.mix, False) for t in texts], rel=1e-4)
 
 
+def test_training_windows_cover_texts():
+    width, texts = 6, [[7], list(range(1, 6)) + [7], list(range(1, 7)) + [7], [1, 2, 3] * 50 + [7]]
+    rows = attention_lm.covering(np.array([7, *sum(texts, [])]), np.array(list(map(len, texts))), width)
+    assert rows.shape == (1 + 1 + 2 + 26, width + 1)
+    assert [x for r in rows for x in r[1:] if x >= 0] == sum(texts, [])  # each id is a target once
+    for before, r in zip(rows, rows[1:], strict=False):
+        assert r[0] == before[-1] if before[-1] >= 0 else r[0] == 7
+
+
+def test_training_sees_all_of_a_text(spark):
+    """Embeddings of classes that no window has stay as they begin."""
+    rows = docs(spark, *((i, " ".join(f"{a} {b}" for a in "stone river light green tree house walk song".split() for b in "the of in to was under and bright".split())) for i in range(6)), (9, "night day " * 100 + "water"))
+    start, trained = (attention_lm.fit(rows, p=attention_lm.Params(head=60, dim=8, rounds=k))[0] for k in (0, 1))
+    seen = {int(trained.classes[i]) for w in trained.frequent for i in attention_lm.word_ids(trained.params.vocabulary)[w]}
+    moved = np.abs(trained.net.w["E"] - start.net.w["E"]).max(axis=1) > 1e-4
+    assert len(seen) == 19 and moved[sorted(seen)].all()
+
+
 # --- quality
 
 

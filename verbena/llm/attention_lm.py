@@ -7,8 +7,8 @@ counts, so probabilities sum to one over the whole vocabulary.
 
 The model: embeddings of class and position, one causal attention head, a residual sum, a softmax in
 two steps (first a group of about the square root of all classes, then a class inside it).
-Training gathers from every training document: word counts, class bigrams, and one window per
-document at a place given by the document's digest.  Embeddings start from the singular vectors of
+Training gathers from every training document: word counts, class bigrams, and windows side by side
+that cover all of its text, so each id is a target once a round.  Embeddings start from the singular vectors of
 the bigram table; then ``rounds`` of local Adam passes over the windows follow, each on
 ``trainers`` partitions whose parameters are averaged.  The number of trainers follows the number of
 windows up to ``max_trainers``; their parameters are averaged in ``averages`` groups on executors first,
@@ -36,7 +36,6 @@ are zero and the model is uniform; repeated rows score alike; null ids are in no
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -59,8 +58,8 @@ class Params:
     folds: int = 10
     head: int = 1022
     dim: int = 32
-    width: int = 32
-    overlap: int = 8
+    width: int = 48
+    overlap: int = 16
     rounds: int = 4
     batch: int = 48
     rate: float = 6e-3
@@ -262,6 +261,17 @@ def train_pass(net: Network, windows: Iterator[np.ndarray], p: Params) -> int:
     return seen
 
 
+def covering(y: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """Windows of inputs and targets (start token first, -1 after the end) that hold each id of texts once as a target.
+
+    ``y``: the end, then all texts, each closed by the end; ``length``: of each text.
+    """
+    begin, windows = np.cumsum(length) - length, -(-length // width)
+    k = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = (np.repeat(begin, windows) + k * width)[:, None] + np.arange(width + 1)
+    return np.where(at <= np.repeat(begin + length, windows)[:, None], y[np.minimum(at, len(y) - 1)], -1)
+
+
 def average(n: pd.Series, w: pd.Series) -> pd.DataFrame:
     """The mean of pickled parameters, weighted by n, as one row."""
     total, mean = int(n.sum()), {}
@@ -444,10 +454,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
     rest = classes == p.head
     tail[rest] = np.log((n[rest] + p.alpha) / (n[rest].sum() + p.alpha * rest.sum()))
     n_classes, end = p.head + 2, p.head + 1
+    held = np.int16 if n_classes < 1 << 15 else np.int32
 
     def gather(batches):
-        """One window per text (k = -1) and, at the end, the partition's class bigrams (k >= 0)."""
-        ids, table, along = word_ids(p.vocabulary), np.zeros(n_classes * n_classes, np.int64), np.arange(p.width + 1)
+        """The windows of all texts (k = -1) and, at the end, the partition's class bigrams (k >= 0)."""
+        ids, table = word_ids(p.vocabulary), np.zeros(n_classes * n_classes, np.int64)
         for batch in batches:
             for part in slices(list(batch["text"])):
                 coded = Coded.of(part)
@@ -456,30 +467,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
                 follows = y[:-1] * n_classes + y[1:]
                 for i in range(0, len(follows), 1 << 20):
                     table += np.bincount(follows[i : i + (1 << 20)], minlength=len(table))
-                length = np.add.reduceat(n, coded.begin)
-                digest = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) if t else 0 for t in part])
-                begin = np.cumsum(length) - length
-                at = (begin + digest % np.maximum(1, length + 1 - p.width))[:, None] + along
-                rows = np.where(at <= (begin + length)[:, None], y[np.minimum(at, len(y) - 1)], -1)
-                yield pd.DataFrame({"k": np.full(len(rows), -1), "n": np.zeros(len(rows), np.int64), "w": rows.tolist()})
+                rows = covering(y, np.add.reduceat(n, coded.begin), p.width).astype(held)
+                for i in range(0, len(rows), 10_000):
+                    w = [r.tobytes() for r in rows[i : i + 10_000]]
+                    yield pd.DataFrame({"k": np.full(len(w), -1), "n": np.zeros(len(w), np.int64), "w": w})
         k = np.flatnonzero(table)
         yield pd.DataFrame({"k": k, "n": table[k], "w": pd.Series([None] * len(k), dtype=object)})
 
-    gathered = materialize(train.mapInPandas(gather, "k long, n long, w array<int>"), "gathered")
+    gathered = materialize(train.mapInPandas(gather, "k long, n long, w binary"), "gathered")
     pairs = gathered.where("k >= 0").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most classes ** 2 rows
     table = np.zeros(n_classes * n_classes)
     table[pairs["k"].to_numpy(np.int64)] = pairs["n"].to_numpy(float)
     net = Network.start(table.reshape(n_classes, n_classes), p)
 
     windows = gathered.where("k < 0").select("w", F.monotonically_increasing_id().alias("row"))
-    trainers = min(p.max_trainers, max(1, -(-n_docs // p.windows_per_trainer)))
+    trainers = min(p.max_trainers, max(1, -(-windows.count() // p.windows_per_trainer)))
     dealt = windows.repartition(trainers, F.xxhash64("row"))  # copies of a window go to different trainers
     for _ in range(p.rounds if n_docs else 0):
         shared = spark.sparkContext.broadcast(net)
 
         def local(batches, shared=shared):
             own = Network({k: v.copy() for k, v in shared.value.w.items()}, shared.value.group)
-            blocks = (np.array(batch["w"].tolist(), np.int64).reshape(-1, p.width + 1) for batch in batches)
+            blocks = (np.frombuffer(b"".join(batch["w"]), held).astype(np.int64).reshape(-1, p.width + 1) for batch in batches)
             seen = train_pass(own, blocks, p)
             yield pd.DataFrame({"n": [seen], "w": [pickle.dumps(own.w)]})
 
