@@ -246,6 +246,19 @@ def test_training_sees_all_of_a_text(spark):
     assert len(seen) == 19 and moved[sorted(seen)].all()
 
 
+def test_scores_do_not_depend_on_the_frequent_words(spark):
+    """Words beyond the frequent ones have their share, too, in scores and in the choice of the mix."""
+    texts = {i: prose(i, 40) + (" quartz" * (i % 3)) for i in range(40)} | {50: None, 51: "never-seen " * 3}
+    rows = docs(spark, *texts.items())
+    by = {}
+    for frequent in (0, 3, 50_000):
+        p = attention_lm.Params(head=30, dim=8, rounds=1, frequent=frequent)
+        by[frequent] = {r["doc_id"]: r["score"] for r in attention_lm.score(rows, p=p).collect()}
+    assert by[3] == pytest.approx(by[50_000], rel=1e-6) and by[0] == pytest.approx(by[50_000], rel=1e-6)
+    mixes = {attention_lm.fit(rows, p=attention_lm.Params(head=30, dim=8, rounds=1, frequent=f))[0].mix for f in (3, 50_000)}
+    assert len(mixes) == 1
+
+
 # --- quality
 
 

@@ -18,15 +18,16 @@ Scoring: a text is cut into windows of ``width`` ids that overlap by ``overlap``
 once, in the first window that has it beyond the overlap, and windows of many texts go through the
 masked attention as one batch.  Words are coded by their place in the list of distinct words of about a
 million characters of text, so all but the lookup of a word runs on arrays.  The probability of a word is a mixture: ``1 - mix`` times the attention
-model's for its ids, plus ``mix`` times its share among the training tokens of the ``frequent`` most
-frequent words and the end, so words seen often need not be spelled out.  Both parts sum to one at
-most, so the score is the log10 probability of the text under one model.  ``mix`` is learned: of
+model's for its ids, plus ``mix`` times its share among all training tokens, so words seen often
+need not be spelled out.  Both parts sum to one at
+most, so the score is the log10 probability of the text under one model.  Counts of the ``frequent`` most
+frequent words are looked up where the text is; each other word leaves its log-probabilities by
+spelling there, which meet its count in a join.  ``mix`` is learned: of
 ``mixes``, that one under which the training texts of fold 1 are likeliest when the shares leave out
 the text that is scored.  The held-out fold has no part in it.
 
-Beside the model's score stands a unigram base.  Counts of the ``frequent`` most frequent words are
-looked up where the text is; all other words meet their counts in a join on the word's XXH64, which
-many texts with one hot word cannot skew, since hot words are frequent ones.
+Beside the model's score stands a unigram base with the same lookup and the same join, on the word's
+XXH64, which many texts with one hot word cannot skew, since hot words are frequent ones.
 
 Defined results: a null text counts as empty (its one token is the end); without training texts counts
 are zero and the model is uniform; repeated rows score alike; null ids are in no training fold's way
@@ -297,6 +298,11 @@ class Model:
     def n_frequent(self) -> int:
         return sum(self.frequent.values()) + self.docs
 
+    @property
+    def weight(self) -> float:
+        """Of the shares; nothing without training texts."""
+        return self.mix if self.n_train else 0.0
+
     @property
     def denominator(self) -> float:
         return self.n_train + self.params.alpha * (self.v_train + 1)
@@ -375,36 +381,67 @@ def spelled(coded: Coded, model: Model, ids: WordIds, windows_at_once: int = 768
 
 
 def shares(coded: Coded, model: Model, left_out: bool = False) -> np.ndarray:
-    """Natural log of each word's and end's share among frequent training tokens, without its own text's if ``left_out``."""
-    c = coded.values(model.frequent, model.docs, 0.0)[coded.code]
-    total = np.full(len(coded.begin), float(model.n_frequent))
+    """Natural log of each word's and end's share among training tokens, without its own text's if ``left_out``.
+
+    Words beyond the frequent ones have NaN; their counts are in a table.
+    """
+    c = coded.values(model.frequent, model.docs, np.nan)[coded.code]
+    total = np.full(len(coded.begin), float(model.n_train))
     if left_out:
         text = np.repeat(np.arange(len(coded.begin)), coded.length)
         _, back, own = np.unique(text * len(coded.words) + coded.code, return_inverse=True, return_counts=True)
-        c, total = np.where(c > 0, c - own[back], 0), total - np.add.reduceat(c > 0, coded.begin, dtype=np.int64)
+        c, total = np.maximum(0, c - own[back]), total - coded.length
     with np.errstate(divide="ignore"):
         return np.log(c / np.repeat(np.maximum(1, total), coded.length))
 
 
 def mixed(spelling: np.ndarray, known: np.ndarray, mix: float, coded: Coded) -> np.ndarray:
-    """log10 probability of each text whose words have these log-probabilities by spelling and by share."""
-    return np.add.reduceat(np.logaddexp(spelling + np.log1p(-mix), known + np.log(mix)), coded.begin) / np.log(10)
+    """log10 probability of each text, without its words of unknown share, by spelling and by share."""
+    with np.errstate(divide="ignore"):
+        each = np.logaddexp(spelling + np.log1p(-mix), known + np.log(mix))
+    return np.add.reduceat(np.where(np.isnan(known), 0, each), coded.begin) / np.log(10)
+
 
+def score_coded(coded: Coded, model: Model, ids: WordIds, spelling: np.ndarray | None = None) -> np.ndarray:
+    """log10 probability of each text, without its words beyond the frequent ones."""
+    spelling = spelled(coded, model, ids) if spelling is None else spelling
+    return mixed(spelling, shares(coded, model), model.weight, coded)
 
-def score_coded(coded: Coded, model: Model, ids: WordIds) -> np.ndarray:
-    """log10 probability of each text."""
-    spelling = spelled(coded, model, ids)
-    if not model.n_frequent:
-        return np.add.reduceat(spelling, coded.begin) / np.log(10)
-    return mixed(spelling, shares(coded, model), model.mix, coded)
 
+def rare_words(coded: Coded, rare: np.ndarray, spelling: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
+    """Of each text: hashes of its distinct words at the places ``rare``, how often each is there, its log-probabilities by spelling."""
+    n = len(coded.begin)
+    key = np.repeat(np.arange(n), coded.length)[rare] * len(coded.words) + coded.code[rare]
+    order = np.argsort(key, kind="stable")
+    pair, first, k = np.unique(key[order], return_index=True, return_counts=True)
+    text, code = np.divmod(pair, len(coded.words))
+    hashes = {c: word_hash(coded.words[c]) for c in np.unique(code).tolist()}
+    h = np.fromiter(map(hashes.__getitem__, code.tolist()), np.int64, len(code))
+    each = np.split(spelling[rare][order], first[1:]) if len(pair) else []
+    ends = np.searchsorted(text, np.arange(1, n)).tolist()
+    return np.split(h, ends), np.split(k, ends), [each[a:b] for a, b in zip([0, *ends], [*ends, len(pair)], strict=True)]
 
-def learn_mix(train: DataFrame, model: Model) -> float:
+
+def log_mixed(s, share, mix: float):
+    """Column: log of ``1 - mix`` times exp(``s``) plus ``mix`` times ``share``."""
+    if not mix:
+        return s
+    a, b = s + float(np.log1p(-mix)), F.log(share) + float(np.log(mix))
+    return F.when(share > 0, F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))).otherwise(a)
+
+
+def rare_sum(spelling, share, mix: float):
+    """Column: log10 probability of the places of a word that has these log-probabilities by spelling."""
+    return F.aggregate(spelling, F.lit(0.0), lambda t, s: t + log_mixed(s, share, mix)) / float(np.log(10))
+
+
+def learn_mix(train: DataFrame, model: Model, counts: DataFrame) -> float:
     """The mix that suits texts (column ``text``) of the training set best; ``len(mixes)`` sums a task reach the driver."""
     p = model.params
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def sums(batches):
+        """Sums over frequent words by mix (k >= 0), and the rare words of each text (k = -1)."""
         m, ids, total = shared.value, word_ids(p.vocabulary), np.zeros(len(p.mixes))
         for batch in batches:
             copies = Counter(t or "" for t in batch["text"])
@@ -412,10 +449,19 @@ def learn_mix(train: DataFrame, model: Model) -> float:
                 coded, times = Coded.of(part), [copies[t] for t in part]
                 spelling, known = spelled(coded, m, ids), shares(coded, m, left_out=True)
                 total += [mixed(spelling, known, mix, coded) @ times for mix in p.mixes]
-        yield pd.DataFrame({"k": range(len(total)), "s": total})
+                h, n, each = rare_words(coded, np.isnan(known), spelling)
+                yield pd.DataFrame({"k": -1, "s": 0.0, "times": times, "left": m.n_train - coded.length, "h": h, "n": n, "each": each})
+        yield pd.DataFrame({"k": range(len(total)), "s": total, "times": 0, "left": 0, "h": None, "n": None, "each": None})
 
-    found = train.mapInPandas(sums, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
-    return p.mixes[int(found.sort_values(["s", "k"])["k"].iloc[-1])] if len(found) else model.mix
+    rows = materialize(train.mapInPandas(sums, "k int, s double, times long, left long, h array<long>, n array<long>, each array<array<double>>"), "mixes")
+    met = rows.where("k < 0").select("times", "left", F.explode(F.arrays_zip("h", "n", "each")).alias("x")).select("times", "left", F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("x.each").alias("each")).join(counts, "h", "left")
+    share = F.greatest(F.lit(0), F.coalesce("c", F.lit(0)) - F.col("n")) / F.greatest(F.lit(1), F.col("left"))
+    rare = met.select("times", "each", share.alias("share")).agg(*(F.sum(F.col("times") * rare_sum(F.col("each"), F.col("share"), mix)).alias(f"m{k}") for k, mix in enumerate(p.mixes))).first()
+    found = rows.where("k >= 0").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
+    if not len(found):
+        return model.mix
+    found["s"] += [rare[k] or 0.0 for k in found["k"]]
+    return p.mixes[int(found.sort_values(["s", "k"])["k"].iloc[-1])]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> tuple[Model, DataFrame]:
@@ -497,7 +543,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
         net = Network(pickle.loads(average(groups["n"], groups["w"])["w"][0]), net.group)
     n_train = int(total["n"]) + n_docs
     model = Model(net, classes, tail, frequent, n_train, int(total["v"]) + (n_docs > 0), n_docs, p)
-    return replace(model, mix=learn_mix(tuning, model)), words.select("h", "c")
+    counts = words.select("h", "c")
+    return replace(model, mix=learn_mix(tuning, model, counts)), counts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
@@ -516,27 +563,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pa
                 rare = np.isnan(base)
                 known = np.add.reduceat(~rare & ((coded.code > 0) | (m.docs > 0)), coded.begin, dtype=np.int64)
                 sums = np.add.reduceat(np.where(rare, 0, base), coded.begin)
-                text = np.repeat(np.arange(len(part)), coded.length)[rare]
-                pair, k = np.unique(text * len(coded.words) + coded.code[rare], return_counts=True)
-                text, code = np.divmod(pair, len(coded.words))
-                hashes = {c: word_hash(coded.words[c]) for c in np.unique(code).tolist()}
-                h = np.fromiter(map(hashes.__getitem__, code.tolist()), np.int64, len(code))
-                ends = np.searchsorted(text, np.arange(1, len(part)))
-                each = zip(part, coded.length.tolist(), known.tolist(), sums.tolist(), score_coded(coded, m, ids).tolist(), np.split(h, ends), np.split(k, ends), strict=True)
+                spelling = spelled(coded, m, ids)
+                found = rare_words(coded, rare, spelling)
+                each = zip(part, coded.length.tolist(), known.tolist(), sums.tolist(), score_coded(coded, m, ids, spelling).tolist(), *found, strict=True)
                 rows |= {t: tuple(values) for t, *values in each}
-            out = pd.DataFrame([rows[t or ""] for t in batch["text"]], columns=["n_tokens", "known", "sum", "score", "h", "k"])
+            out = pd.DataFrame([rows[t or ""] for t in batch["text"]], columns=["n_tokens", "known", "sum", "score", "h", "k", "each"])
             out.insert(0, "id", batch["id"].array)
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    mapped = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")).mapInPandas(scored, f"id {kind}, n_tokens long, known long, sum double, score double, h array<long>, k array<long>")
+    mapped = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")).mapInPandas(scored, f"id {kind}, n_tokens long, known long, sum double, score double, h array<long>, k array<long>, each array<array<double>>")
     rows = materialize(mapped.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("h", "k")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.k").alias("k"))
+    rare = rows.select("row", F.explode(F.arrays_zip("h", "k", "each")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.k").alias("k"), F.col("x.each").alias("each"))
     c = F.coalesce("c", F.lit(0))
-    met = rare.join(counts, "h", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(c + p.alpha)).alias("s"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("kn"))
-    out = rows.drop("h", "k").join(met, "row", "left")
+    share = c / F.lit(max(1, model.n_train))
+    met = rare.join(counts, "h", "left").groupBy("row").agg(
+        F.sum(F.col("k") * F.log10(c + p.alpha)).alias("s"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("kn"), F.sum(rare_sum(F.col("each"), share, model.weight)).alias("rare"),
+    )
+    out = rows.drop("h", "k", "each").join(met, "row", "left")
     base = F.col("sum") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.denominator))
     return out.select(
         F.col("id").alias("doc_id"), held_out(F.col("id"), p.folds).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("kn", F.lit(0))).alias("n_known"),
-        F.lit(model.n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(model.n_train).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
     )
