@@ -99,6 +99,37 @@ def test_structures_are_confirmed():
     assert not secrets.scan("M" + "z" * 60)
 
 
+def openssh(n):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"public" * n) + field(b"private" * n)
+
+
+def test_every_key_is_decoded():
+    def keys(text):
+        return [(k, text[a:z]) for k, a, z in secrets.scan(text) if k in ("der", "openssh")]
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    plain, other, box = b64(KEY), b64(der(0x30, der(2, b"\0") + der(4, bytes(range(90))))), b64(openssh(9))
+    for key, kind in ((plain, "der"), (other, "der"), (box, "openssh")):
+        for name in ("PRIVATE_KEY=", "key=", "key==", "key: ", ""):
+            assert keys(name + key) == [(kind, key)]
+    bare = [plain.rstrip("="), other.rstrip("="), box.rstrip("=")]
+    kinds = ["der", "der", "openssh"]
+    for end in ("\n", "\r\n"):
+        assert keys(end.join(bare)) == list(zip(kinds, bare, strict=True))
+        assert keys(end.join(["Mlongwordthatisnokeyatallbutlikeone", *bare, "Mlongwordthatisnokeyatallbutlikeone"])) == list(zip(kinds, bare, strict=True))
+        wrapped = end.join(plain[i : i + 64] for i in range(0, len(plain), 64))
+        assert keys(f"MIIBcertificatethatbreaksoffhereandnow{end}{wrapped}") == [("der", wrapped)]
+        assert keys(plain[:40] + end + other) == [("der", other)]
+        tiny = bare[1][:30] + end + end.join(bare[1][30:])
+        assert keys(tiny) == [("der", tiny)]
+    for b, kind in ((KEY, "der"), (openssh(9), "openssh")):
+        for text in (b.hex(), b.hex().upper()):
+            assert keys(f"k={text} z") == [(kind, text)]
+    assert keys(KEY.hex() + openssh(3).hex()) == [("der", KEY.hex()), ("openssh", openssh(3).hex())]
+    assert secrets.redact(f"PRIVATE_KEY={plain} z") == "PRIVATE_KEY=<SECRET> z"
+
+
 def test_base_patterns(spark):
     text = "Token = abc token: \"abcdef\" AKIA" + "B" * 16 + " " + "0f" * 12 + " api_key=xyzxyz"
     rows = docs(spark, (1, text), (1, text), (2, None), (3, ""), (None, LONG))

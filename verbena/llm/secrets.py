@@ -6,7 +6,7 @@ byte is reported:
 
 * ``pem``      a ``PRIVATE KEY`` block whose body is a well-formed key (or a declared encrypted one)
 * ``der``      bare base64 or hex that is an ASN.1 private key, nested lengths checked
-* ``openssh``  bare base64 that is an ``openssh-key-v1`` container, length-prefixed fields checked
+* ``openssh``  bare base64 or hex that is an ``openssh-key-v1`` container, length-prefixed fields checked
 * ``jwt``      a signed token: JSON header with ``alg``, JSON payload, signature length as ``alg`` asks
 
 Defined results: a null text counts as empty (no spans); repeated rows are scanned alike; spans are
@@ -39,8 +39,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
 # First characters that a DER sequence (0x30), an OpenSSH container or a JSON object can have in base64.
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M[A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{22,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
-_HEXRUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}")
+_START = r"(?:M[A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{22,}"
+_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])" + _START)
+_B64_NEXT = re.compile(_START)  # right after a key
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_HEXSTART = r"(?:30|(?i:6f70656e7373682d6b65792d763100))[0-9A-Fa-f]{30,}"
+_HEXRUN = re.compile(r"(?<![0-9A-Fa-f])" + _HEXSTART)
+_HEX_NEXT = re.compile(_HEXSTART)
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(e[w-z][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)")
 
 # Signature bytes that the registered algorithms give (fixed values of RFC 7518 and RFC 8037).
@@ -160,6 +165,54 @@ def _cut(run: str, need: int) -> int:
     return at
 
 
+def _key(b: bytes | None) -> tuple[int, int]:
+    """Kind and bytes of the key that ``b`` begins with; no bytes if there is none."""
+    if not b:
+        return 4, 0
+    if (n := der_key_length(b)) >= 24:
+        return 4, n
+    return 5, openssh_key_length(b)
+
+
+def _b64_key(text: str, at: int) -> tuple[int, int]:
+    """Kind and end of the key that is base64 from ``at`` on; the end is ``at`` if there is none."""
+    stop = len(text)
+    if text[at] == "M":  # read no further than the length that the first bytes declare
+        top = _header(_b64(text[at : at + 8]) or b"", 0)
+        if top is None or top[0] != 0x30 or top[2] > stop - at:
+            return 4, at
+        stop = min(stop, at + 4 * top[2] + 8)  # a line may hold a single character, its end two
+    run = _RUN.match(text, at, stop)[0]
+    bare = re.sub(r"[\r\n=]", "", run)
+    kind, n = _key(_b64(bare[: len(bare) - (len(bare) % 4 == 1)]))
+    return kind, at + _cut(run, -(-n * 8 // 6)) if n else at
+
+
+def _b64_keys(text: str) -> list[tuple[int, int, int]]:
+    """Start, kind and end of keys in base64; after a key the scan goes on at its end, else after the first line."""
+    out, m = [], _B64.search(text)
+    while m:
+        kind, end = _b64_key(text, m.start())
+        if end > m.start():
+            out.append((m.start(), kind, end))
+            m = _B64_NEXT.match(text, end) or _B64.search(text, end)
+        else:
+            m = _B64.search(text, m.end())
+    return out
+
+
+def _hex_keys(text: str) -> list[tuple[int, int, int]]:
+    """Start, kind and end of keys in hex."""
+    out, m = [], _HEXRUN.search(text)
+    while m:
+        kind, n = _key(bytes.fromhex(m[0][: len(m[0]) & ~1]))
+        end = m.start() + 2 * n
+        if n:
+            out.append((m.start(), kind, end))
+        m = n and _HEX_NEXT.match(text, end) or _HEXRUN.search(text, end if n else m.end())
+    return out
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of ``text``, by start, then by kind in the order of ``KINDS``, then by end."""
     if not text:
@@ -177,19 +230,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
             if _pem(m):
                 blocks.append((m.start(), m.end()))
                 found.append((m.start(), 3, m.end()))
-    for m in _B64.finditer(text):
-        if any(a <= m.start() < z for a, z in blocks):
-            continue
-        run = re.sub(r"[\r\n=]", "", m[0])
-        b = _b64(run[: len(run) - (len(run) % 4 == 1)])
-        if b and (n := der_key_length(b)) >= 24:
-            found.append((m.start(), 4, m.start() + _cut(m[0], -(-n * 8 // 6))))
-        elif b and (n := openssh_key_length(b)):
-            found.append((m.start(), 5, m.start() + _cut(m[0], -(-n * 8 // 6))))
-    for m in _HEXRUN.finditer(text):
-        n = der_key_length(bytes.fromhex(m[0][: len(m[0]) & ~1]))
-        if n >= 24:
-            found.append((m.start(), 4, m.start() + 2 * n))
+    found += [k for k in _b64_keys(text) if not any(a <= k[0] < z for a, z in blocks)]
+    found += _hex_keys(text)
     if ".ey" in text or ".ew" in text:
         found += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if _jwt(m)]
     return [(KINDS[k], a, z) for a, k, z in sorted(set(found))]
