@@ -67,6 +67,18 @@ def test_search_rejects_bad_queries(spark):
         retrieval.embedding_search(rows, [math.nan, 0.0], metric="l2")
 
 
+@pytest.mark.parametrize("metric", list(V.METRICS))
+def test_block_search_equals_one_search_a_query(spark, metric):
+    rows = [(f"s{i:02d}", "node", "p", 3, [float(i % 7 - 3), float(i % 5), float(i % 3 + 1)]) for i in range(60)]
+    x = spark.createDataFrame(rows, "subject_id string, subject_kind string, provider string, dim int, embedding array<float>").repartition(5)
+    block = spark.createDataFrame([(i, rows[i][4]) for i in range(0, 60, 10)], "query_id int, query array<float>")
+    got = retrieval.embedding_search_block(x, block, top_k=4, metric=metric).orderBy("query_id", "rank").collect()
+    assert len(got) == 24
+    for i in range(0, 60, 10):
+        want = [r["subject_id"] for r in retrieval.embedding_search(x, rows[i][4], top_k=4, metric=metric).collect()]
+        assert [r["subject_id"] for r in got if r["query_id"] == i] == want
+
+
 def test_observation_rules(spark):
     d = spark.createDataFrame([("d", "Patient has seizures.")], "document_id string, source_text string")
     row = ("d", "HP:0001250", 12, 20, "seizures", "present", "m", "p", "1", 0.9, "accepted")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena import contracts as C
@@ -36,6 +36,26 @@ def embedding_search(rows: DataFrame, query: list[float], provider: str | None =
     return x.orderBy(F.asc("score") if ascending else F.desc("score"), "subject_id", "subject_kind", "provider").limit(top_k)
 
 
+def embedding_search_block(rows: DataFrame, queries: DataFrame, provider: str | None = None, subject_kind: str | None = None, top_k: int = 10, metric: str = "cosine") -> DataFrame:
+    """For each row (query_id, query) the ``top_k`` rows by one of four metrics, as ``embedding_search`` ranks them.
+
+    Each partition keeps its own ``top_k`` of a query before rows are dealt by query.
+    """
+    if metric not in V.METRICS:
+        raise C.ContractError(f"metric must be one of {', '.join(V.METRICS)}")
+    rules = [("query_id must be non-missing", F.col("query_id").isNull()), ("embedding must be a non-empty finite vector", ~F.coalesce((F.size("query") > 0) & V.finite(F.col("query")), F.lit(False)))]
+    if metric.startswith("cosine"):
+        rules.append(("cosine search needs a non-zero query", F.forall("query", lambda x: x == 0)))
+    C.check(queries, rules, "queries")
+    score, ascending = V.METRICS[metric]
+    x = rows.where(F.col("embedding").isNotNull())
+    x = x.where(F.col("provider") == provider) if provider is not None else x
+    x = x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x
+    each = x.join(F.broadcast(queries.select("query_id", "query")), F.col("dim") == F.size("query")).withColumn("score", score(F.col("embedding"), F.col("query"))).drop("query")
+    order = Window.partitionBy("query_id").orderBy(F.asc("score") if ascending else F.desc("score"), "subject_id", "subject_kind", "provider")
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+
+
 def materialize_embedding_index(rows: DataFrame, dimensions: int, provider: str | None = None, subject_kind: str | None = None) -> DataFrame:
     """One width as a relation of its own, in the shared folder; null embeddings stay."""
     x = rows.where(F.col("dim") == dimensions)

@@ -33,6 +33,17 @@ def _search(metric: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _search_block(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Every vector whose id is divisible by 50 against all vectors."""
+        x = _vectors(spark, sf_dir)
+        block = x.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+        found = retrieval.embedding_search_block(x, block, metric=metric, top_k=10)
+        return found.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+    return run
+
+
 flagship = _search("cosine")
 
 
@@ -184,7 +195,7 @@ def judgment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f"search_{m}": _search(m) for m in V.METRICS}
+    out = {f"search_{m}": _search(m) for m in V.METRICS} | {f"search_block_{m}": _search_block(m) for m in V.METRICS}
     named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
     return out | {f.__name__: f for f in named}
 
@@ -207,6 +218,11 @@ def oracle_sql() -> dict[str, str]:
     out = {
         f"search_{m}": f"SELECT vec_id, label, round({s}, 6) AS score FROM embeddings e, (SELECT {_QUERY} AS q) ORDER BY {s} {d}, vec_id LIMIT 10" for m, (s, d) in _SCORES.items()
     }
+    out |= {
+        f"search_block_{m}": f"""
+WITH b AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)
+SELECT query_id, vec_id, label, round({s}, 6) AS score FROM embeddings e, b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s} {d}, vec_id) <= 10""" for m, (s, d) in _SCORES.items()
+    }
     return out | {
         "late_interaction": """
 WITH q AS (SELECT vec_id AS qi, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (0, 1, 2)),
