@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import materialize, scratch, shared_dir
+
+__all__ = ["Memo", "fold", "fresh", "held_out", "materialize", "q", "scratch", "shared_dir", "table", "words_lower"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """A table of ``sf_dir``, pruned to ``cols`` when some are given."""
@@ -17,33 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where a session names none (tests) a temporary folder is taken.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="verbena-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it again.
-
-    This cuts the lineage: later stages, and retries after a lost executor, start from files.
-    """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have (case-insensitive)."""
     taken, out = {c.lower() for c in df.columns}, []
