@@ -3,11 +3,14 @@
 The question is one of containment, not resemblance: does a long document hold at least
 ``threshold`` of a short item's word shingles?  Item shingles are put in one seeded random order (the
 MinHash order) and each item's sketch is its first few shingles in that order.  Items are partitioned
-by size (powers of two) and a partition's sketch has ``floor((1 - threshold) * largest size) + 1``
-members, which is more shingles than a matching document may miss: every match shares a sketch member,
-so the search loses none.  Documents whose shingles hit a sketch are candidates; partitions whose items
-need more shingles than a document has are passed over.  Exact shingle containment, on the shingle
-texts, then decides.
+by size (powers of two) and a partition's sketch has ``floor((1 - threshold) * largest size) + spare``
+members, which is more shingles than a matching document may miss: every match shares sketch members,
+so the search loses none.  Documents that hit a sketch as often as a match must, all rows of one
+document id taken together, are candidates.  Exact shingle containment, on the shingle texts, then decides.
+
+A phrase that many items share would make every document that holds it a candidate of all of them.  Two things
+keep that down: shingles of more than ``common_items`` items come last in the order, and a sketch has
+``spare`` members more than a match may miss, so a pair is a candidate only if it shares that many more.
 
 Text is lower-cased and every run of characters that are neither letters nor digits is one blank, so
 punctuation and line breaks inside a passage do not hide it.  A text of fewer than ``shingle`` words
@@ -32,6 +35,10 @@ from .common import fresh, materialize, q
 class Params:
     shingle: int = 5
     threshold: float = 0.8
+    #: Sketch members beyond those that a match may miss.
+    spare: int = 3
+    #: Shingles of more items than this come last in the sketch order.
+    common_items: int = 8
     #: Sketch rows up to which they are broadcast (16 bytes each); beyond, the join is a shuffle.
     broadcast_rows: int = 1_000_000
 
@@ -57,33 +64,37 @@ def shingle_texts(w: Column, k: int) -> Column:
 
 
 def sketches(items: DataFrame, p: Params) -> DataFrame:
-    """(item, need, h): each item's sketch members and the shingles that a match needs.
+    """(item, least, h): each item's sketch members and how many of them a match shares at least.
 
     ``items`` has ``item`` and ``w``, its words.
     """
-    own = items.select("item", F.explode(shingle_hashes(F.col("w"), p.shingle)).alias("h")).distinct()
-    sized = own.groupBy("item").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.xxhash64("h", F.lit(17)).alias("o"), "h"))).alias("s"))
+    own = materialize(items.select("item", F.explode(shingle_hashes(F.col("w"), p.shingle)).alias("h")).distinct(), "shingles")
+    common = own.groupBy("h").agg((F.count("*") > p.common_items).alias("common"))
+    order = F.struct("common", F.xxhash64("h", F.lit(17)).alias("o"), "h")
+    sized = own.join(common, "h").groupBy("item").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(order)).alias("s"))
     largest = F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1  # of the item's size partition
-    kept = F.least(F.floor(largest * (1 - p.threshold) + 1e-9) + 1, F.col("n")).cast("int")
-    return sized.select("item", F.ceil(F.col("n") * p.threshold - 1e-9).alias("need"), F.explode(F.slice("s", 1, kept)["h"]).alias("h"))
+    kept = F.least(F.floor(largest * (1 - p.threshold) + 1e-9) + p.spare, F.col("n")).cast("int")
+    missed = F.col("n") - F.ceil(F.col("n") * p.threshold - 1e-9)
+    return sized.select("item", (kept - missed).alias("least"), F.explode(F.slice("s", 1, kept)["h"]).alias("h"))
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", p: Params = Params()) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of the pairs at or over the threshold."""
     items = materialize(items.select(F.col(q(item_col)).alias("item"), words(F.col(q(item_text_col))).alias("w")).where(has_words(F.col("w"))), "items")
     sketch = materialize(sketches(items, p), "sketches")
-    by_hash = sketch.groupBy("h").agg(F.min("need").alias("need"))
+    by_hash = sketch.select("h").distinct()
     n_keys = by_hash.count()
     docs = docs.select(F.col(q(id_col)).alias("doc"), F.col(q(text_col)).alias("text"))
 
     # Words are a column of their own: inside a lambda the expression would be evaluated per shingle.
     hashed = docs.select("doc", words(F.col("text")).alias("w")).select("doc", shingle_hashes(F.col("w"), p.shingle).alias("hs"))
     # explode_outer: for a plain explode the optimizer adds a size filter and evaluates the words anew in it.
-    rows = hashed.select("doc", F.size("hs").alias("n_doc"), F.explode_outer("hs").alias("h"))
+    rows = hashed.select("doc", F.explode_outer("hs").alias("h"))
     side = F.broadcast(by_hash) if n_keys <= p.broadcast_rows else by_hash
-    hits = rows.join(side, "h").where(F.col("n_doc") >= F.col("need")).select("doc", "h").distinct()
-    # Candidates: pairs of a document and an item whose sketch it hits.
-    pairs = materialize(hits.join(sketch.select("item", "h"), "h").select("doc", "item").distinct(), "candidates")
+    hits = rows.join(side, "h", "left_semi").distinct()
+    # Candidates: pairs of a document and an item whose sketch it hits often enough.
+    met = hits.join(sketch, "h").groupBy("doc", "item").agg(F.count("*").alias("k"), F.first("least").alias("least"))
+    pairs = materialize(met.where("k >= least").select("doc", "item"), "candidates")
 
     item_shingles = items.select("item", F.explode(shingle_texts(F.col("w"), p.shingle)).alias("s")).distinct()
     sizes = item_shingles.groupBy("item").agg(F.count("*").alias("n_item"))
