@@ -1,8 +1,9 @@
 """Packing into optimal length buckets.
 
 Every document gets its token count from a public byte-level BPE vocabulary.  The global histogram of
-lengths goes to the driver (its size is bounded, see ``bin_top``), where dynamic programming chooses the
-bucket boundaries that minimise padding.  Inside each bucket documents form batches of
+lengths goes to the driver, one row per distinct length: d distinct lengths need at least d * d / 2 tokens in the
+corpus, so it grows with the square root of the corpus at most, and never beyond the longest document.
+There dynamic programming chooses the bucket boundaries that minimise padding.  Inside each bucket documents form batches of
 ``token_budget // boundary`` rows, each padded to the boundary.
 
 Batches are formed without a global sort: a bucket is dealt by hash into shards of about
@@ -44,7 +45,6 @@ class Params:
     buckets: int = 16
     token_budget: int = 65_536
     shard_rows: int = 50_000
-    exact_lengths: int = 4096
 
 
 @lru_cache(maxsize=2)
@@ -113,18 +113,11 @@ def token_count(text, vocabulary: str):
     return tokens(text)
 
 
-def bin_top(n, exact: int):
-    """The histogram bin of a length: itself up to ``exact``, above that rounded up to 1/2048 of the
-    next power of two.  So there are at most ``exact`` + 2048 bins per doubling, whatever the input."""
-    step = F.pow(F.lit(2), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)) - 0.5)) - 10, F.lit(0)))
-    return F.when(n <= exact, n).otherwise((F.ceil(n / step) * step).cast("long"))
-
-
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` upper bounds that minimise sum(bound - length) over all documents.
 
-    ``cost[j]`` is the least padded size of the first j bins.  Padded size is a Monge cost, so the best
-    split points do not go back as j grows and each layer takes O(bins log bins).
+    ``cost[j]`` is the least padded size of the first j lengths.  Padded size is a Monge cost, so the best
+    split points do not go back as j grows and each layer takes O(lengths log lengths).
     """
     n = len(lengths)
     if n == 0:
@@ -158,16 +151,16 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return out[::-1]
 
 
-def length_histogram(counted: DataFrame, n_col: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    rows = counted.groupBy(bin_top(F.col(n_col), p.exact_lengths).alias("top")).agg(F.count("*").alias("n")).orderBy("top").toPandas()
-    return rows["top"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def length_histogram(counted: DataFrame, n_col: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = counted.groupBy(F.col(n_col).alias("length")).agg(F.count("*").alias("n")).toPandas().sort_values("length")
+    return rows["length"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """One row per document: doc_id, n_tokens, bucket (its boundary), batch and position in the batch,
     both from 0, and ``padding``."""
     counted = materialize(docs.select(F.col(q(id_col)).alias("doc_id"), token_count(F.col(q(text_col)), p.vocabulary).alias("n_tokens")), "lengths")
-    lengths, counts = length_histogram(counted, "n_tokens", p)
+    lengths, counts = length_histogram(counted, "n_tokens")
     bounds = optimal_boundaries(lengths, counts, p.buckets)
     if not bounds:
         none = F.lit(None).cast("long")
