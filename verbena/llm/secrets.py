@@ -10,13 +10,15 @@ byte is reported:
 * ``jwt``      a signed token: JSON header with ``alg``, JSON payload, signature length as ``alg`` asks
 
 Defined results: a null text counts as empty (no spans); repeated rows are scanned alike; spans are
-zero-based, half-open, in code points; texts of any length are scanned whole.
+zero-based, half-open, in code points; texts of any length are scanned whole; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -37,7 +39,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 # First characters that a DER sequence (0x30), an OpenSSH container or a JSON object can have in base64.
 _START = r"(?:M[A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{22,}"
 _B64 = re.compile(r"(?<![A-Za-z0-9+/_-])" + _START)
@@ -131,8 +133,9 @@ def openssh_key_length(b: bytes) -> int:
     return at
 
 
-def _pem(m: re.Match) -> bool:
-    body = m[2].replace("\\r", "").replace("\\n", "\n")
+def _pem(label: str, body: str) -> bool:
+    """Whether the lines between the marks of a block are a well-formed key."""
+    body = body.replace("\\r", "").replace("\\n", "\n")
     lines = [x.strip() for x in body.splitlines()]
     encrypted = any(x.startswith("DEK-Info:") for x in lines)
     b = _b64("".join(x for x in lines if ":" not in x).replace(" ", "").rstrip("="))
@@ -140,7 +143,18 @@ def _pem(m: re.Match) -> bool:
         return False
     if encrypted:
         return len(b) % 8 == 0
-    return len(b) == (openssh_key_length(b) if "OPENSSH" in m[1] else der_key_length(b))
+    return len(b) == (openssh_key_length(b) if "OPENSSH" in label else der_key_length(b))
+
+
+def _pem_blocks(text: str) -> list[tuple[int, int]]:
+    """Start and end of confirmed blocks; an end mark closes the last begin mark with its label, so each mark is seen once."""
+    out, opened = [], {}
+    for m in _PEM.finditer(text):
+        if m[1] == "BEGIN":
+            opened[m[2]] = m
+        elif (begin := opened.pop(m[2], None)) and _pem(m[2], text[begin.end() : m.start()]):
+            out.append((begin.start(), m.end()))
+    return out
 
 
 def _jwt(m: re.Match) -> bool:
@@ -213,6 +227,11 @@ def _hex_keys(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _inside(at: int, blocks: list[tuple[int, int]]) -> bool:
+    k = bisect.bisect_right(blocks, at, key=lambda block: block[0]) - 1
+    return k >= 0 and at < blocks[k][1]
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of ``text``, by start, then by kind in the order of ``KINDS``, then by end."""
     if not text:
@@ -224,13 +243,9 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    blocks = []
-    if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            if _pem(m):
-                blocks.append((m.start(), m.end()))
-                found.append((m.start(), 3, m.end()))
-    found += [k for k in _b64_keys(text) if not any(a <= k[0] < z for a, z in blocks)]
+    blocks = sorted(_pem_blocks(text)) if "-----BEGIN" in text else []
+    found += [(a, 3, z) for a, z in blocks]
+    found += [k for k in _b64_keys(text) if not _inside(k[0], blocks)]
     found += _hex_keys(text)
     if ".ey" in text or ".ew" in text:
         found += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if _jwt(m)]
