@@ -5,17 +5,19 @@ Writers hide words by look-alike characters (``1d10t``), by blanks or marks betw
 characters: each observed character was written for one of several letters, a run of equal letters
 stands for one or two of them, and single letters with blanks or marks between them may be one word.
 Viterbi decoding picks the letters that a character language model finds most likely, less what the
-channel charges for each change.  Words that offer no choice are their own best path and pass as they
+channel charges for each change.  Marks inside a word (``1d10t-like``, ``id.iot``) end one word and begin the next, or
+stand for nothing.  Words that offer no choice are their own best path and pass as they
 are.  A logistic model then scores the restored text.
 
 Trained here: the language model (character trigrams counted over every training text) and the
-logistic model (labelled rows outside the held-out fold; at most ``max_labelled``, chosen by id hash).
-Scores see the text alone.
+logistic model (labelled rows outside the held-out fold; at most ``max_labelled``, chosen by id hash, one text each).
+Features are all words and character n-grams that tell enough about the labels (``min_g2``).  Scores see the text alone.
 
 Defined results: a null or empty text scores as a text without features (the model's prior); without
 labels of both kinds every score is the share of toxic labels (0 if there are none) capped below 0.5;
-several labels of one document count as toxic if any is; labels or documents with null ids are not
-used for training; repeated rows score alike; texts of any length are scored whole.
+several labels of one document count as toxic if any is; of texts that share a labelled id one is learned from (that
+with the smallest hash); labels or documents with null ids are not used for training; repeated rows score alike; texts
+and words of any length are decoded and scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,8 +41,10 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "§": "s", "*": "aeiou",
 }
-_CHAIN = re.compile(r"(?<![^\s])(?:[^\W_]|[@$!|+(<€£§*])(?:[ ._\-]{1,2}(?:[^\W_]|[@$!|+(<€£§*])){2,}(?![^\s.,;:!?])")
-_TOKEN = re.compile(r"[\w@$!|+(<€£§*'’-]+")
+_ONE = r"(?:[^\W_]|[@$!|+(<€£§*])"
+_CHAIN = re.compile(rf"(?<![\w@$!|+<€£§*])(?:{_ONE})(?:[ ._\-]{{1,2}}{_ONE}){{2,}}(?![\w@$|+<€£§*])")
+_TOKEN = re.compile(r"[\w@$!|+(<€£§*'’-]+(?:\.[\w@$!|+(<€£§*'’-]+)*")
+_INNER = "'’-_."
 _MARKS = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")  # runs of a symbol at the edges are decoration
 _EDGE = "^"
 _RUN = re.compile(r"(.)\1\1")
@@ -50,13 +54,11 @@ _RUN = re.compile(r"(.)\1\1")
 class Params:
     folds: int = 5
     max_labelled: int = 10_000
-    max_features: int = 50_000
     ngram: tuple[int, ...] = (4, 5)
     epochs: int = 12
     l2: float = 1e-5
     change_cost: float = 1.5
     join_cost: float = 0.7
-    max_word: int = 40
     partitions: int = 12
     min_g2: float = 10.0
 
@@ -132,7 +134,10 @@ def _is_letter() -> np.ndarray:
 
 
 def lattice(observed: str) -> list[list[tuple[str, float]]] | None:
-    """For each position the strings it may stand for and their costs (in units of Params); None if there is no choice."""
+    """For each position the strings it may stand for and their costs (in units of Params); None if there is no choice.
+
+    A mark inside the word stands for a word edge, or for nothing.
+    """
     out: list[list[tuple[str, float]]] = []
     choice, i = False, 0
     while i < len(observed):
@@ -141,38 +146,52 @@ def lattice(observed: str) -> list[list[tuple[str, float]]] | None:
         while j < len(observed) and observed[j] == ch:
             j += 1
         n = j - i
-        if ch.isalpha():
-            if n >= 3:
-                out.append([(ch, 1.0), (ch * 2, 1.0)])
-                choice = True
-            else:
-                out += [[(ch, 0.0)]] * n
-        elif ch in LOOKALIKES:
+        if ch in LOOKALIKES:
             out += [[(x, 1.0) for x in LOOKALIKES[ch]]] * (n if n < 3 else 1)
             choice = True
+        elif ch in _INNER:
+            out.append([(_EDGE, 0.0), ("", 1.0)])
+            choice = True
+        elif n >= 3:
+            out.append([(ch, 1.0), (ch * 2, 1.0)])
+            choice = True
         else:
-            return None
+            out += [[(ch, 0.0)]] * n
         i = j
     return out if choice else None
 
 
 def viterbi(steps: list[list[tuple[str, float]]], m: CharModel, cost: float) -> tuple[str, float]:
-    """The most likely letters of a lattice and their log-probability, edges included."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The most likely letters of a lattice and their log-probability, edges included.
+
+    States are the last two letters; each step keeps where its states came from, so time and memory grow with the
+    lattice and nothing else.
+    """
+    logp, place = m.logp, m.place
+    states: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for options in [*steps, [(_EDGE, 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        new: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, score in states.items():
             for letters, units in options:
-                x, y, s = a, b, score - cost * units
+                (x, y), s = state, score - cost * units
                 for ch in letters:
-                    z = m.place(ch)
-                    s += float(m.logp[0 if y == 0 else x, y, z])
+                    z = place(ch)
+                    if y or z:  # edges in a row are one
+                        s += float(logp[x if y else 0, y, z])
                     x, y = y, z
-                if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, text + letters)
+                if (x, y) not in new or s > new[x, y]:
+                    new[x, y] = s
+                    came[x, y] = state, letters
         states = new
-    s, text = max(states.values())
-    return text[:-1], s
+        back.append(came)
+    state = max(states, key=lambda k: (states[k], k))
+    total, out = states[state], []
+    for came in reversed(back):
+        state, letters = came[state]
+        out.append(letters)
+    return "".join(out[:0:-1]), total
 
 
 def log_prob(word: str, m: CharModel) -> float:
@@ -187,16 +206,26 @@ class Restorer(dict):
 
     def __missing__(self, token: str) -> str:
         plain = token.isalpha() and not _RUN.search(token)  # a lattice without choices
-        core = token if plain else _MARKS.sub("", token).lstrip("'’-?(<*+").rstrip("'’-!?(<|*+")
-        best = core
-        if not plain and any(map(str.isalpha, core)) and (steps := lattice(core)) and len(steps) <= self.p.max_word:
-            best = viterbi(steps, self.m, self.p.change_cost)[0]
+        best = token if plain else self.decoded(_MARKS.sub("", token).strip("'’-."))
         if len(token) <= 40:
             if len(self) > 300_000:
                 self.clear()
             self[token] = best
         return best
 
+    def decoded(self, core: str) -> str:
+        """The likeliest reading; a bracket or symbol at an edge may be punctuation instead of a letter."""
+        if not any(map(str.isalpha, core)) or not (steps := lattice(core)):
+            return core.strip("'’-?(<*+!|_.")
+        bare = core.lstrip("(<*+_").rstrip("!(<|*+_")
+        best, s = viterbi(steps, self.m, self.p.change_cost)
+        if bare != core:
+            other = lattice(bare) or [[(ch, 0.0)] for ch in bare]
+            text, t = viterbi(other, self.m, self.p.change_cost)
+            if t - self.p.change_cost >= s:
+                best = text
+        return best.replace(_EDGE, " ")
+
     def chain(self, match: re.Match) -> str:
         """Single characters with separators: one word if that is likelier than words of one letter."""
         letters = re.sub(r"[ ._\-]", "", match[0])
@@ -209,7 +238,7 @@ class Restorer(dict):
 def restore(text: str, r: Restorer) -> list[str]:
     """The words of the restored text."""
     low = text.lower()
-    return list(map(r.__getitem__, _TOKEN.findall(_CHAIN.sub(r.chain, low))))
+    return " ".join(map(r.__getitem__, _TOKEN.findall(_CHAIN.sub(r.chain, low)))).split()
 
 
 def features(words: list[str], sizes: tuple[int, ...]) -> list[str]:
@@ -295,6 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lab = labels.select(F.col("doc_id").alias("lid"), F.col("toxic").alias("toxic")).where("lid IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("lid"), p.folds))
     lab = lab.groupBy("lid").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("lid"), "lid").limit(p.max_labelled)  # the documented bound
     texts = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")).where("id IS NOT NULL").join(F.broadcast(lab), F.col("id") == F.col("lid"))
+    # One text of an id; as a partial aggregation, so an id that very many rows share is one row of each task.
+    texts = texts.groupBy("id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(chars)
 
     def featured(batches):
@@ -302,14 +333,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pd.DataFrame({"toxic": (batch["toxic"] > 0).astype("int64"), "f": [features(restore(t, r), p.ngram) if t else [] for t in batch["text"]]})
 
-    rows = materialize(texts.select("toxic", "text").repartition(p.partitions, "text").mapInPandas(featured, "toxic long, f array<string>"), "features")
+    rows = materialize(texts.select("toxic", "text").repartition(p.partitions).mapInPandas(featured, "toxic long, f array<string>"), "features")
     both = {int(r["toxic"]): int(r["n"]) for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = both.get(1, 0), both.get(0, 0)
     names: list[str] = []
     if n_toxic and n_clean:
         seen = rows.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").cast("double").alias("t"), F.count("*").cast("double").alias("n")).where("n >= 3")
         told = seen.withColumn("g", g_squared(F.col("t"), F.col("n") - F.col("t"), n_toxic, n_clean)).where(F.col("g") >= p.min_g2)
-        names = sorted(r["f"] for r in told.orderBy(F.desc("g"), "f").limit(p.max_features).select("f").collect())
+        names = sorted(r["f"] for r in told.select("f").collect())  # bounded by the labelled texts
     number = {f: i for i, f in enumerate(names)}
 
     def chosen(batches):
