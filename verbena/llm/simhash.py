@@ -7,13 +7,14 @@ How links are found, exactly and without comparing all pairs:
 
 1. Equal fingerprints collapse to one node with the smallest id (partial aggregation, so a text that
    a third of all rows share is one row before anything is joined).
-2. Bits fall into ``blocks`` groups.  Two fingerprints within ``max_bits`` agree on at least
+2. Bits fall into ``blocks`` groups (as many as keep buckets small for the number of fingerprints, see
+   ``choose_blocks``).  Two fingerprints within ``max_bits`` agree on at least
    ``blocks - max_bits`` groups, so each goes to one bucket per choice of that many groups and every
    link is found in some bucket.  Buckets beyond ``bucket_rows`` are cut into parts and each pair of
    parts is a task of its own, so no task gathers an unbounded bucket.
 3. Inside a bucket a table holds the Hamming distances to many reference fingerprints (pivots).  By
    the triangle inequality a pair whose distances to any one pivot differ by more than ``max_bits``
-   cannot link and is discarded; the rest is verified by exact distance.
+   cannot link and is discarded; the rest is verified by exact distance.  Links come from nowhere else.
 4. A bucket passes on a spanning forest of its links, never all pairs of a group.
 5. Components come from alternating large-star and small-star joins, each round written to the
    shared folder.
@@ -45,10 +46,13 @@ SEED = 42
 class Params:
     shingle: int = 4
     max_bits: int = 4
-    blocks: int = 6
+    blocks: int | None = None  # None: by the number of fingerprints
+    bucket_mean: int = 8
     pivots: int = 32
     bucket_rows: int = 4096
     partitions: int | None = None
+    #: Classes up to which their ids are broadcast (16 bytes each); beyond, the join is a shuffle.
+    broadcast_rows: int = 1_000_000
 
 
 def fingerprint(text: str | None, k: int = 4) -> int:
@@ -77,6 +81,18 @@ def simhash_column(text, k: int = 4):
     return simhash(text)
 
 
+def choose_blocks(n: int, max_bits: int, bucket_mean: int) -> int:
+    """The fewest groups of bits for which ``n`` random fingerprints fill a bucket with ``bucket_mean`` at most.
+
+    A key has the bits of all groups but ``max_bits``: 21 of 64 for six groups and four bits (up to 16 million
+    fingerprints at a mean of 8), 27 for seven (a thousand million), 32 for eight.
+    """
+    blocks = max_bits + 2
+    while blocks < 4 * max_bits + 4 and n > bucket_mean << (64 * (blocks - max_bits) // blocks):
+        blocks += 1
+    return blocks
+
+
 def block_keys(blocks: int, max_bits: int) -> list[tuple[int, int]]:
     """(number, mask) of each choice of groups that must agree."""
     if blocks <= max_bits:
@@ -190,7 +206,8 @@ def fingerprint_links(nodes: DataFrame, p: Params = Params()) -> DataFrame:
 
     ``nodes`` has the distinct fingerprints in column ``fp``.
     """
-    keys = F.array(*(F.struct(F.lit(n).cast("long").alias("k"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("v")) for n, m in block_keys(p.blocks, p.max_bits)))
+    blocks = p.blocks or choose_blocks(nodes.count(), p.max_bits, p.bucket_mean)
+    keys = F.array(*(F.struct(F.lit(n).cast("long").alias("k"), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64))).alias("v")) for n, m in block_keys(blocks, p.max_bits)))
     keyed = nodes.select("fp", F.explode(keys).alias("kv")).select("kv.k", "kv.v", "fp")
     large = keyed.groupBy("k", "v").count().where(F.col("count") > p.bucket_rows)
     parts = F.ceil(F.col("count") / (p.bucket_rows // 2)).cast("int")
@@ -235,9 +252,11 @@ def fingerprint_classes(ids: DataFrame, p: Params = Params()) -> DataFrame:
     """(fp, class_id) of each distinct fingerprint of ``ids``, which has columns ``id`` and ``fp``."""
     nodes = materialize(ids.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
     roots = components(fingerprint_links(nodes.select("fp"), p))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    return joined.join(best, "root").select("fp", "class_id")
+    joined = materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "root"), "rooted")
+    # Only fingerprints with links have a root; most roots are few rows, so they are sent to every task after a count.
+    best = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("class_id"))
+    best = F.broadcast(best) if best.count() <= p.broadcast_rows else best
+    return joined.join(best, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
