@@ -7,8 +7,13 @@ payload and writes new archives in which repeats are revisit records with fresh
 Archives are WARC/1.1 files, one gzip member each.  Spark's text writer makes them: a record is one line and the line
 separator is the ``CRLF CRLF`` that ends a record, so any file system that Spark writes to will do and a
 lost executor's tasks are written again under Spark's commit protocol.  Reading takes ``Content-Length``
-as the only guide, so payloads may hold anything, blank lines and record headers included.  Files are
-bounded by ``records_per_file`` and read as a stream of records.
+as the only guide, so payloads may hold anything, blank lines and record headers included, and holds the bytes of a
+response against their digest.  A file is bounded by ``file_bytes`` of payload: records of up to ``small_bytes`` are written
+``file_bytes / small_bytes`` to a file, larger ones apart from them, as many to a file as the largest allows.  One text
+is at most 2 GB in Spark, so a record is, too.
+
+Gzip members hold a file each, not a record: Spark's writers make no member by record, so readers that seek
+need an index of decompressed offsets.
 
 Defined results: a null payload counts as empty; null url or id give records without that header;
 repeated ids with equal payloads keep one response (the first as archived), the others revisit it;
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import q, scratch
+from .common import materialize, q, scratch
 
 CRLF = "\r\n"
 SEPARATOR = CRLF + CRLF
@@ -37,7 +42,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 @dataclass(frozen=True)
 class Params:
     min_bytes: int = 0
-    records_per_file: int = 2000
+    file_bytes: int = 256 << 20
+    small_bytes: int = 128 << 10
     date: str = "2020-01-01T00:00:00Z"
     content_type: str = "text/html; charset=utf-8"
 
@@ -66,12 +72,17 @@ def record(kind: Column, headers: list[tuple[str, Column]], payload: Column) ->
     return F.concat(F.lit("WARC/1.1" + CRLF), *lines, F.lit(CRLF), body)
 
 
-def _write(records: DataFrame, path: str, p: Params) -> None:
-    records.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", p.records_per_file).option("compression", "gzip").text(path)
+def _write(records: DataFrame, path: str, largest: int, p: Params) -> None:
+    """The column ``value`` as archives; ``largest`` bytes bound each record."""
+    per_file = max(1, p.file_bytes // largest)
+    records.select("value").write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+
 
+def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", p: Params = Params()) -> dict[str, int]:
+    """One response record per page, small ones below ``path/small``, others below ``path/large``.
 
-def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", p: Params = Params()) -> None:
-    """One response record per page.  ``Capture-Order`` numbers the records of this write."""
+    Returns the bytes that bound each folder's records.  ``Capture-Order`` numbers the records of this write.
+    """
     html = F.coalesce(F.col(q(html_col)).cast("string"), F.lit(""))
     order = F.monotonically_increasing_id()
     x = pages.select(F.col(q(id_col)).cast("string").alias("id"), F.col(q(url_col)).cast("string").alias("url"), html.alias("html"), order.alias("n"))
@@ -79,7 +90,13 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         ("WARC-Record-ID", record_id(F.lit("capture"), F.col("n"))), ("WARC-Date", F.lit(p.date)), ("WARC-Target-URI", F.col("url")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("html")))), ("Page-ID", F.col("id")), ("Capture-Order", F.col("n")), ("Content-Type", F.lit(p.content_type)),
     ]
-    _write(x.select(record(F.lit("response"), headers, F.col("html")).alias("value")), path, p)
+    size = F.octet_length("html") + 2 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1024  # with room for the headers
+    largest = x.agg(F.max(size)).first()[0] or 1024
+    folders = {"small": min(largest, p.small_bytes)} | ({"large": largest} if largest > p.small_bytes else {})
+    for folder, bound in folders.items():
+        part = x if len(folders) == 1 else x.where(size <= p.small_bytes if folder == "small" else size > p.small_bytes)
+        _write(part.select(record(F.lit("response"), headers, F.col("html")).alias("value")), f"{path}/{folder}", bound, p)
+    return folders
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -122,6 +139,8 @@ def read_records(spark: SparkSession, path: str, payload: bool = True, batch_byt
                 content = data.as_buffer().to_pybytes()
                 for h, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     actual = base64.b32encode(hashlib.sha1(block).digest()).decode()
+                    if h.get("WARC-Type") == "response" and h.get("WARC-Payload-Digest", f"sha1:{actual}") != f"sha1:{actual}":
+                        raise ValueError(f"payload of {h.get('WARC-Record-ID')} does not have its digest")
                     out.append((*(h.get(k) for k in HEADERS.values()), len(block), actual, *([block.decode("utf-8", "surrogatepass")] if payload else [])))
                     size += len(block) if payload else 200
                     if size >= batch_bytes:
@@ -131,25 +150,27 @@ def read_records(spark: SparkSession, path: str, payload: bool = True, batch_byt
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], names)
 
     kinds = {"n_bytes": "long"}
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(rows, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
 
 
-def write_deduplicated(spark: SparkSession, captures: str, path: str, p: Params = Params()) -> None:
+def write_deduplicated(spark: SparkSession, captures: str, path: str, folders: dict[str, int], p: Params = Params()) -> None:
     """Archives at ``path`` in which repeats of a payload are revisit records of its first capture.
 
+    ``folders`` are those of ``captures``, with the bytes that bound their records.
+
     Only headers are shuffled by digest.  The first capture (smallest page id, then archive order) comes
     from a partial aggregation; the join back is on the digest, where adaptive skew handling can split
     a payload that very many records share.
     """
-    records = read_records(spark, captures)
     headers = read_records(spark, captures, payload=False).select("record_id", "page", "url", "digest", "n_bytes", "n")
     number = F.expr("try_cast(page AS decimal(38,0))")
     rank = F.struct(number.isNull().alias("a"), number.alias("b"), F.col("page").alias("c"), F.col("n").cast("long").alias("d"))
     firsts = headers.where(F.col("n_bytes") >= p.min_bytes).groupBy("digest", "n_bytes").agg(F.min_by(F.struct("record_id", "page", "url", "n"), rank).alias("first"))
     linked = headers.join(firsts, ["digest", "n_bytes"]).where(F.col("first.record_id") != F.col("record_id"))
     repeats = linked.select(F.col("record_id").alias("rid"), "first")
-    x = records.join(repeats, F.col("record_id") == F.col("rid"), "left")
+    if len(folders) > 1:
+        repeats = materialize(repeats, "revisits")
     revisit = F.col("rid").isNotNull()
     only = lambda c: F.when(revisit, c)
     fresh_headers = [
@@ -159,15 +180,18 @@ def write_deduplicated(spark: SparkSession, captures: str, path: str, p: Params
         ("Content-Type", F.lit(p.content_type)),
     ]
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
-    _write(x.select(record(kind, fresh_headers, F.when(revisit, F.lit("")).otherwise(F.col("payload"))).alias("value")), path, p)
+    stored = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
+    for folder, bound in folders.items():
+        x = read_records(spark, f"{captures}/{folder}").join(repeats, F.col("record_id") == F.col("rid"), "left")
+        _write(x.select(record(kind, fresh_headers, stored).alias("value")), f"{path}/{folder}", bound, p)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", p: Params = Params(), path: str | None = None) -> DataFrame:
     """Write captures, write the deduplicated archives, read those back: one row per page."""
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    write_captures(pages, f"{path}/captures", id_col, url_col, html_col, p)
-    write_deduplicated(spark, f"{path}/captures", f"{path}/deduplicated", p)
+    folders = write_captures(pages, f"{path}/captures", id_col, url_col, html_col, p)
+    write_deduplicated(spark, f"{path}/captures", f"{path}/deduplicated", folders, p)
     kind = pages.schema[id_col].dataType
     back = read_records(spark, f"{path}/deduplicated", payload=False)
     return back.select(
