@@ -9,7 +9,7 @@ from verbena import contracts as C
 
 # The observation contract's columns and contexts (fixed values).
 COLUMNS = ("document_id", "hpo_id", "start_offset", "end_offset", "source_text", "context_status", "method", "provider_id", "provider_version", "confidence", "status")
-CONTEXTS = ("present", "absent", "uncertain", "family", "historical", "other")
+CONTEXTS = ("present", "absent/negated", "family_history", "uncertain", "conflict", "unsupported")
 
 
 def hpo_observation_contract() -> tuple[str, ...]:
@@ -43,4 +43,8 @@ def hpo_observations(documents: DataFrame, observations: DataFrame) -> DataFrame
 
 
 def hpo_proband_present(observations: DataFrame) -> DataFrame:
-    return observations.where("context_status = 'present'")
+    """Accepted observations of the proband itself, in contract columns; unknown contexts and other states are refused."""
+    C.columns(observations, COLUMNS, "observations")
+    rules = [("context_status is unknown", ~F.coalesce(F.col("context_status").isin(*CONTEXTS), F.lit(False))), ("status must be accepted", ~F.coalesce(F.col("status") == "accepted", F.lit(False)))]
+    C.check(observations, rules, "observations")
+    return observations.where("context_status = 'present'").select(*COLUMNS)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbena import contracts as C
-from verbena.sources.obo import read_obo
-from verbena.sources.receipts import admit, stamp
+from verbena.sources import receipts as R
+from verbena.sources.obo import parse_obo
 
 # Mapping predicates and tags of obsolete terms (fixed values).
 MAPPINGS = ("skos:exactMatch", "skos:closeMatch", "skos:broadMatch", "skos:narrowMatch", "skos:relatedMatch")
@@ -18,19 +18,12 @@ def mondo_import(path: str, release: DataFrame, source_id: str | None = None, so
     """release, artifact, terms, synonyms, mappings, obsolescence, edges and tags of the one selected release.
 
     Obsolete terms stay, other ontologies' terms go; a tag's ``source_row_id`` is source#term:ordinal.  The bytes
-    must match their receipt before anything is parsed.
+    must match their receipt before anything is parsed; a term identifier that two stanzas share is refused.
     """
-    spark: SparkSession = release.sparkSession
-    chosen = release.take(2)
-    if len(chosen) != 1:
-        raise C.ContractError("release must be exactly one row")
-    row = chosen[0].asDict()
-    artifact = {n: row[n] for n in ("provider_id", "release_id", "available_at", "receipt_id")}
-    artifact |= {"source_id": source_id or row.get("source_id"), "source_uri": source_uri or row.get("source_uri"), "sha256": sha256 or row.get("sha256")}
-    if not (artifact["source_id"] and artifact["source_uri"]):
-        raise C.ContractError("source_id and source_uri are required")
-    admit(spark, path, artifact["sha256"])
-    graph = read_obo(spark, path, "MONDO", artifact["source_id"], include_obsolete=True)
+    spark = release.sparkSession
+    artifact = R.artifact(release, source_id, source_uri, sha256)
+    R.admit(spark, path, artifact["sha256"])
+    graph = parse_obo(R.verified_text(spark, path, artifact["sha256"]), "MONDO", artifact["source_id"], include_obsolete=True)
     own = lambda df, c="node_id": df.where(F.startswith(c, F.lit("MONDO:")))
     terms = own(graph.nodes)
     C.unique(terms, ["node_id"], "Mondo identifiers")
@@ -39,11 +32,11 @@ def mondo_import(path: str, release: DataFrame, source_id: str | None = None, so
     predicate = F.split("value", " ")[0]
     return {
         "release": release,
-        "artifact": stamp(spark.range(1), artifact).drop("id"),
-        "terms": stamp(terms.join(gone, "node_id", "left").withColumn("is_obsolete", F.coalesce("is_obsolete", F.lit(False))), artifact),
-        "synonyms": stamp(own(graph.aliases), artifact),
-        "mappings": stamp(tags.where((F.col("tag") == "xref") | ((F.col("tag") == "property_value") & predicate.isin(*MAPPINGS) & F.contains("value", F.lit(" ")))), artifact),
-        "obsolescence": stamp(tags.where(F.col("tag").isin(*OBSOLETE_TAGS)), artifact),
-        "edges": stamp(own(graph.edges, "from_id"), artifact),
-        "tags": stamp(tags, artifact),
+        "artifact": R.stamp(spark.range(1), artifact).drop("id"),
+        "terms": R.stamp(terms.join(gone, "node_id", "left").withColumn("is_obsolete", F.coalesce("is_obsolete", F.lit(False))), artifact),
+        "synonyms": R.stamp(own(graph.aliases), artifact),
+        "mappings": R.stamp(tags.where((F.col("tag") == "xref") | ((F.col("tag") == "property_value") & predicate.isin(*MAPPINGS) & F.contains("value", F.lit(" ")))), artifact),
+        "obsolescence": R.stamp(tags.where(F.col("tag").isin(*OBSOLETE_TAGS)), artifact),
+        "edges": R.stamp(own(graph.edges, "from_id"), artifact),
+        "tags": R.stamp(tags, artifact),
     }
