@@ -1,11 +1,17 @@
-"""Text functions as Catalyst expressions.  Offsets are zero-based, half-open, in code points."""
+"""Text functions as Catalyst expressions; token rows, whose offsets are running sums, in Arrow batches.  Offsets are zero-based, half-open, in code points."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+_RUN = re.compile("[A-Za-z0-9]+")
 
 
 def normalize(text: Column) -> Column:
@@ -32,28 +38,110 @@ def token_spans(text: Column) -> Column:
     return F.aggregate(paired, zero, step, lambda s: s["out"])
 
 
+def _token_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, rows, texts = (batch.column(k) for k in range(3))
+        at, n, token, start, end = [], [], [], [], []
+
+        def made() -> pa.RecordBatch:
+            take = pa.array(at, pa.int64())
+            arrays = [ids.take(take), rows.take(take), pa.array(n, pa.int32()), pa.array(token, pa.string()), pa.array([t.lower() for t in token], pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+            return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, schema, strict=True)], schema=schema)
+
+        for k, text in enumerate(texts.to_pylist()):
+            for i, m in enumerate(_RUN.finditer(text or ""), 1):
+                at.append(k)
+                n.append(i)
+                token.append(m[0])
+                start.append(m.start())
+                end.append(m.end())
+                if len(at) == size:
+                    yield made()
+                    for column in (at, n, token, start, end):
+                        column.clear()
+        if at:
+            yield made()
+
+
 def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per token.  Offsets come from a running sum per document over exploded runs, linear in
-    the text's length (the array form copies its state per token and suits short texts)."""
-    from pyspark.sql import Window
+    """One row per token: document_id, row (a number of the text), token_index from 1, token, normalized, start_offset, end_offset.
 
+    Texts are cut where they lie, batch by batch; no token is shuffled.
+    """
     x = df.select(F.col(id_col).alias("document_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    found = F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+)"), 1)
-    gaps = F.split("text", "[A-Za-z0-9]+", -1)
-    pairs = x.select("document_id", "row", F.posexplode(F.arrays_zip(found.alias("t"), gaps.alias("g"))).alias("i", "p")).select("document_id", "row", "i", F.col("p.t").alias("token"), F.col("p.g").alias("gap"))
-    w = Window.partitionBy("row").orderBy("i")
-    end = F.sum(F.length("gap") + F.coalesce(F.length("token"), F.lit(0))).over(w)
-    placed = pairs.withColumn("end_offset", end).where("token IS NOT NULL")
-    return placed.select("document_id", "row", (F.col("i") + 1).alias("token_index"), "token", F.lower("token").alias("normalized"), (F.col("end_offset") - F.length("token")).alias("start_offset"), "end_offset")
+    kinds = T.StructType([x.schema["document_id"], x.schema["row"], *(T.StructField(c, t) for c, t in (("token_index", T.IntegerType()), ("token", T.StringType()), ("normalized", T.StringType()), ("start_offset", T.IntegerType()), ("end_offset", T.IntegerType())))])
+    schema = to_arrow_schema(kinds)
+    return x.mapInArrow(lambda batches: _token_rows(batches, schema, 50_000), kinds)
+
+
+def spans_before(i: int, n: int, max_n: int) -> int:
+    """How many spans of up to ``max_n`` of ``n`` tokens begin before token ``i`` (from 0)."""
+    full = min(i, max(0, n - max_n + 1))  # tokens with room for the longest span
+    return full * max_n + (i - full) * (2 * n - full - i + 1) // 2
+
+
+def ngrams(df: DataFrame, id_col: str, text_col: str, max_n: int, wanted: frozenset[str] | None = None) -> DataFrame:
+    """Spans of 1 to ``max_n`` tokens: document_id, row, normalized_span, token_count, start_offset, end_offset, span, ordinal.
+
+    ``ordinal`` numbers all spans of a text from 1, by first token and length.  With ``wanted`` (normalized spans) only those are made, and only tokens that begin one are looked at.
+    """
+    sizes: dict[str, list[int]] = {}
+    for w in wanted or ():
+        parts = w.split(" ")
+        sizes.setdefault(parts[0], []).append(len(parts))
+    lengths = {w: sorted(set(n)) for w, n in sizes.items()}
+    every = list(range(1, max_n + 1))
+    x = df.select(F.col(id_col).alias("document_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    kinds = T.StructType([x.schema["document_id"], x.schema["row"], *(T.StructField(c, t) for c, t in (("normalized_span", T.StringType()), ("token_count", T.IntegerType()), ("start_offset", T.IntegerType()), ("end_offset", T.IntegerType()), ("span", T.StringType()), ("ordinal", T.LongType())))])
+    schema = to_arrow_schema(kinds)
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+
+            def made(batch=batch, out=out) -> pa.RecordBatch:
+                at, *rest = zip(*out, strict=True)
+                take = pa.array(at, pa.int64())
+                arrays = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, rest)]
+                return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(arrays, schema, strict=True)], schema=schema)
+
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                if not text:
+                    continue
+                words = _RUN.findall(text)
+                low = [w.lower() for w in words]
+                begins = range(len(low)) if wanted is None else [i for i, w in enumerate(low) if w in lengths]
+                if not len(begins):
+                    continue
+                places = [m.span() for m in _RUN.finditer(text)]
+                for i in begins:
+                    for n in every if wanted is None else lengths[low[i]]:
+                        if i + n > len(low):
+                            break
+                        joined = " ".join(low[i : i + n])
+                        if wanted is None or joined in wanted:
+                            a, z = places[i][0], places[i + n - 1][1]
+                            out.append((k, joined, n, a, z, text[a:z], spans_before(i, len(low), max_n) + n))
+                    if len(out) >= 20_000:
+                        yield made()
+                        out.clear()
+            if out:
+                yield made()
+
+    return x.mapInArrow(spans, kinds)
 
 
 def literal_spans(text: Column, query: str) -> Column:
-    """array<struct<start_offset,end_offset>> of the case-insensitive, non-overlapping occurrences."""
+    """array<struct<start_offset,end_offset>> of the case-insensitive, non-overlapping occurrences.
+
+    Offsets run along the parts between occurrences; a part is kept as its length only, so what each step copies is
+    numbers, not text.
+    """
     n = len(query)
-    parts = F.split(F.lower(text), re.escape(query.lower()), -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_offset:int,end_offset:int>>").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p) + n).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + F.length(p)).alias("start_offset"), (s["at"] + F.length(p) + n).alias("end_offset")))).alias("out"))
-    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), zero, step, lambda s: s["out"])
+    parts = F.transform(F.split(F.lower(text), re.escape(query.lower()), -1), F.length)
+    zero = F.array().cast("array<int>")
+    starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), zero, lambda s, p: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)) + n, F.lit(0)) + p)))
+    return F.transform(starts, lambda a: F.struct(a.alias("start_offset"), (a + n).alias("end_offset")))
 
 
 def occurs_once(text: Column, part: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbena import contracts as C
@@ -76,25 +76,44 @@ def projection(source: DataFrame, from_col: str, predicate: str, to_col: str, at
 def projection_sql(source_table: str, from_col: str, predicate: str, to_col: str, target_table: str = "semantic_edges", attrs: str | None = None, trust: str | None = None) -> str:
     for n in (source_table, from_col, predicate, to_col, target_table, *filter(None, (attrs, trust))):
         C.identifier(n, "name")
-    return f"CREATE TABLE {target_table} USING parquet AS SELECT {from_col} AS from_id, {predicate} AS predicate, {to_col} AS to_id, {attrs or 'CAST(NULL AS STRING)'} AS attrs, {trust or 'CAST(NULL AS STRING)'} AS trust FROM {source_table}"
+    return f"CREATE OR REPLACE TEMPORARY VIEW {target_table} AS SELECT {from_col} AS from_id, {predicate} AS predicate, {to_col} AS to_id, {attrs or 'CAST(NULL AS STRING)'} AS attrs, {trust or 'CAST(NULL AS STRING)'} AS trust FROM {source_table}"
 
 
-def closure(edges: DataFrame, transitive_predicates: list[str], max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, transitive_predicates: list[str]) -> DataFrame:
     """All (from_id, predicate, to_id) reachable over one or more edges of the same predicate.
 
-    Semi-naive: each round joins only what the last one found to the base edges, drops known pairs and
-    writes the rest to the shared folder.
+    Doubling: round k holds the pairs that up to 2**k edges join and, apart, those that exactly 2**k edges join.  One
+    join of the two gives the next round, so a path of n edges takes log2(n) rounds, and each new pair of a chain is
+    made once.  Rounds end when one finds no new pair; each is written to the shared folder.
     """
-    base = materialize(edges.where(F.col("predicate").isin(*transitive_predicates) if transitive_predicates else F.lit(False)).select("from_id", "predicate", "to_id").where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct(), "edges")
-    known = delta = base
-    step = base.select(F.col("from_id").alias("mid"), F.col("predicate").alias("p"), F.col("to_id").alias("far"))
-    for _ in range(max_rounds):
-        found = delta.join(step, (F.col("to_id") == F.col("mid")) & (F.col("predicate") == F.col("p"))).select("from_id", "predicate", F.col("far").alias("to_id")).distinct()
-        delta = materialize(found.join(known, ["from_id", "predicate", "to_id"], "left_anti").select("from_id", "predicate", "to_id"), "delta")
-        if not delta.take(1):
+    keys = ["from_id", "predicate", "to_id"]
+    base = edges.where(F.col("predicate").isin(*transitive_predicates) if transitive_predicates else F.lit(False))
+    known = leap = materialize(base.select(*keys).where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct(), "closure")
+
+    def after_leap(rows: DataFrame) -> DataFrame:
+        ahead = rows.select(F.col("from_id").alias("mid"), F.col("predicate").alias("p"), F.col("to_id").alias("far"))
+        return leap.join(ahead, (F.col("to_id") == F.col("mid")) & (F.col("predicate") == F.col("p"))).select("from_id", "predicate", F.col("far").alias("to_id")).distinct()
+
+    while True:
+        new = materialize(after_leap(known).join(known, keys, "left_anti").select(*keys), "closure")
+        if not new.take(1):
             return known
-        known = known.unionByName(delta)
-    raise RuntimeError(f"the closure did not settle in {max_rounds} rounds")
+        leap = materialize(after_leap(leap), "closure")
+        known = known.unionByName(new)
+
+
+def closure_sql(transitive_predicates: list[str], source_table: str = "semantic_edges", target_table: str = "semantic_entailed_edges") -> str:
+    """The closure as one statement.  The host bounds a recursive query's levels and rows and has no recursive UNION
+    that drops repeats, so ``closure`` is the form for cycles and large graphs; this one is for acyclic edges."""
+    C.identifier(source_table, "source_table")
+    C.identifier(target_table, "target_table")
+    chosen = ", ".join("'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'" for p in transitive_predicates)
+    chosen = f"predicate IN ({chosen})" if chosen else "false"
+    return (
+        f"CREATE OR REPLACE TEMPORARY VIEW {target_table} AS WITH RECURSIVE e AS (SELECT DISTINCT from_id, predicate, to_id FROM {source_table} WHERE {chosen}), "
+        "c AS (SELECT from_id, predicate, to_id FROM e UNION ALL SELECT c.from_id, c.predicate, e.to_id FROM c JOIN e ON e.from_id = c.to_id AND e.predicate = c.predicate) "
+        "SELECT DISTINCT from_id, predicate, to_id FROM c"
+    )
 
 
 def alias_index(aliases: DataFrame) -> DataFrame:
@@ -103,35 +122,28 @@ def alias_index(aliases: DataFrame) -> DataFrame:
     return aliases.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("normalized_alias", n).where("normalized_alias <> ''").withColumn("token_count", F.size(F.split("normalized_alias", " ")))
 
 
-def candidates(token_rows: DataFrame, max_n: int) -> DataFrame:
-    """N-grams of tokens (1 to max_n) with spans, from ``text.tokens`` rows."""
-    w = Window.partitionBy("row").orderBy("token_index")
-    later = [F.lead(F.struct("normalized", "end_offset"), k).over(w).alias(f"k{k}") for k in range(1, max_n)]
-    x = token_rows.select("*", *later)
-    parts = []
-    for n in range(1, max_n + 1):
-        words = [F.col("normalized"), *(F.col(f"k{k}.normalized") for k in range(1, n))]
-        last: Column = F.col("end_offset") if n == 1 else F.col(f"k{n - 1}.end_offset")
-        parts.append(F.when(last.isNotNull(), F.struct(F.concat_ws(" ", *words).alias("normalized_span"), F.lit(n).alias("token_count"), F.col("start_offset").alias("start_offset"), last.alias("end_offset"))))
-    grams = x.select("document_id", "row", F.explode(F.array_compact(F.array(*parts))).alias("g"))
-    return grams.select("document_id", "row", "g.*")
+#: Aliases up to which their normalized texts travel with the tasks; beyond, every n-gram meets the index in a join.
+MAX_BROADCAST_ALIASES = 1_000_000
 
 
-def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id", text_col: str = "text", longest_match: bool = True) -> DataFrame:
-    """Mentions of indexed aliases in all documents, as one plan.
+def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id", text_col: str = "text", longest_match: bool = True, ordered: bool = False) -> DataFrame:
+    """Mentions of indexed aliases in all documents, as one plan, in the columns of ``mentions`` and the alias's own.
 
-    Without ``longest_match`` every match stays; with it a match inside a strictly longer one goes.
+    Without ``longest_match`` every match stays; with it a match inside a strictly longer one goes.  ``ordered`` sorts by
+    document, start, end (longest first) and node.
     """
-    max_n = index.agg(F.coalesce(F.max("token_count"), F.lit(0))).first()[0]
-    toks = X.tokens(documents, id_col, text_col)
-    if max_n == 0:
-        max_n = 1
-    spans = candidates(toks, int(max_n))
-    m = spans.join(index, (F.col("normalized_span") == F.col("normalized_alias")) & (spans["token_count"] == index["token_count"])).drop(index["token_count"])
+    n_aliases, max_n = index.agg(F.count("*"), F.coalesce(F.max("token_count"), F.lit(0))).first()
+    wanted = None
+    if n_aliases <= MAX_BROADCAST_ALIASES:
+        wanted = frozenset(r["a"] for r in index.select(F.col("normalized_alias").alias("a")).distinct().collect())
+    spans = X.ngrams(documents, id_col, text_col, max(1, int(max_n)), wanted)
+    side = index.withColumnRenamed("token_count", "alias_tokens")
+    side = F.broadcast(side) if wanted is not None else side
+    m = spans.join(side, (F.col("normalized_span") == F.col("normalized_alias")) & (F.col("token_count") == F.col("alias_tokens"))).drop("alias_tokens")
     best = Window.partitionBy("row", "start_offset", "end_offset", "node_id").orderBy(F.desc_nulls_last("weight"), F.asc_nulls_last("alias_kind"), F.asc_nulls_last("alias"), F.asc_nulls_last("source"))
     m = m.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     several = F.count("*").over(Window.partitionBy("row", "start_offset", "end_offset")) > 1
-    span_id = F.concat(F.coalesce(F.col("document_id").cast("string"), F.lit("document")), F.lit(":"), F.col("start_offset").cast("string"), F.lit("-"), F.col("end_offset").cast("string"))
+    span_id = F.concat(F.coalesce(F.col("document_id").cast("string"), F.lit("mention")), F.lit(":"), F.lpad(F.col("ordinal").cast("string"), F.greatest(F.lit(6), F.length(F.col("ordinal").cast("string"))), F.lit("0")))
     m = m.withColumn("mention_id", F.when(several, F.concat(span_id, F.lit(":"), "node_id")).otherwise(span_id))
     if longest_match:
         # A match is inside a longer one if, up to its start, some match reaches at least as far.
@@ -139,4 +151,16 @@ def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id"
         before = Window.partitionBy("row").orderBy(F.col("start_offset"), F.desc("end_offset")).rowsBetween(Window.unboundedPreceding, -1)
         kept = spans_only.withColumn("reach", F.max("end_offset").over(before)).where("reach IS NULL OR reach < end_offset").select("row", "start_offset", "end_offset")
         m = m.join(kept, ["row", "start_offset", "end_offset"], "left_semi")
-    return m.select("document_id", "mention_id", "node_id", "normalized_span", "start_offset", "end_offset", F.col("weight").alias("score"), F.lit("lexical_alias").alias("method"), "alias", "alias_kind", "source")
+    none = F.lit(None).cast("string")
+    out = m.select(
+        "document_id", "mention_id", "node_id", "span", "start_offset", "end_offset", F.col("weight").alias("score"), F.lit("lexical_alias").alias("method"), none.alias("attrs"), none.alias("trust"),
+        "alias", "alias_kind", "source", "normalized_span",
+    )
+    return out.orderBy("document_id", "start_offset", F.desc("end_offset"), "node_id") if ordered else out
+
+
+def ground(spark: SparkSession, text: str, document_id: str | None = None, prefix: str = "semantic", longest_match: bool = True) -> DataFrame:
+    """Mentions in one text by a store's alias index, in text order: the default annotator."""
+    index = spark.table(f"{C.identifier(prefix)}_alias_index")
+    one = spark.createDataFrame([(document_id, text)], "document_id string, text string")
+    return annotate(one, index, longest_match=longest_match, ordered=True)
