@@ -62,6 +62,14 @@ def unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
         raise ContractError(f"{what} must be unique by {', '.join(keys)}")
 
 
+def unique_each(df: DataFrame, keys: Sequence[Sequence[str]], what: str) -> None:
+    """Every list of ``keys`` is unique by itself; all are looked at in one shuffle of the rows' key hashes and keys."""
+    sets = F.array(*(F.struct(F.lit(n).alias("n"), F.to_json(F.struct(*k), {"ignoreNullFields": "false"}).alias("key")) for n, k in enumerate(keys)))
+    twice = df.select(F.explode(sets).alias("s")).groupBy("s.n", "s.key").count().where("count > 1").select("n").take(1)
+    if twice:
+        raise ContractError(f"{what} must be unique by {', '.join(keys[twice[0]['n']])}")
+
+
 def contained(df: DataFrame, other: DataFrame, keys: Sequence[str], message: str) -> None:
     if df.join(other.select(*keys).distinct(), list(keys), "left_anti").take(1):
         raise ContractError(message)

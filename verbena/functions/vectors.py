@@ -40,6 +40,11 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(n == 0, F.raise_error(F.lit("embedding rows must have a non-zero norm"))).otherwise(x.cast("double") / n))
 
 
+def unit_dot(a: Column, n: Column, query: list[float]) -> Column:
+    """Dot product of ``a`` scaled to length one, ``n`` being its norm, with ``query``; a zero vector is an error."""
+    return F.when(n == 0, F.raise_error(F.lit("embedding rows must have a non-zero norm"))).otherwise(dot(a, F.array(*map(F.lit, query))) / n)
+
+
 def finite(a: Column) -> Column:
     """True if no element is null, NaN or infinite."""
     return F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))

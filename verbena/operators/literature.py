@@ -19,16 +19,27 @@ def visible_versions(articles: DataFrame, high_water_ordinal: int) -> DataFrame:
     return last.select("provider_id", "article_id", *(F.col(f"v.{c}").alias(c) for c in rest)).where(~F.col("is_deleted"))
 
 
+def literature_snapshot_catalog(snapshots: DataFrame) -> DataFrame:
+    """Snapshots by provider and id with their cutoff; ``effective_at`` is optional."""
+    C.columns(snapshots, ["provider_id", "snapshot_id", "high_water_ordinal"], "snapshots")
+    x = C.with_defaults(snapshots, {"effective_at": T.TimestampType()}).select("provider_id", "snapshot_id", "high_water_ordinal", "effective_at")
+    C.typed(x, ["high_water_ordinal"], (T.NumericType,), "snapshots")
+    C.typed(x, ["effective_at"], (T.TimestampType,), "snapshots")
+    cut = F.col("high_water_ordinal").cast("double")
+    C.check(x, [*C.required_text("provider_id", "snapshot_id"), ("high_water_ordinal must be a finite whole number", ~F.coalesce((cut == F.floor(cut)) & (F.abs(cut) < float("inf")), F.lit(False)))], "snapshots")
+    C.unique(x, ["provider_id", "snapshot_id"], "snapshots")
+    return x
+
+
 def literature_retrieve(articles: DataFrame, sections: DataFrame, snapshots: DataFrame, query: str, provider_id: str, snapshot_id: str, section_names: list[str] | None = None) -> DataFrame:
     """Exact spans of ``query``, in either case, in the sections of the snapshot's visible articles."""
     if not query:
         raise C.ContractError("query must be non-empty text")
     C.columns(articles, [*VERSION_KEY, "is_deleted"], "articles")
     C.columns(sections, [*VERSION_KEY, "section", "text"], "sections")
-    C.columns(snapshots, ["provider_id", "snapshot_id", "high_water_ordinal"], "snapshots")
+    snapshots = literature_snapshot_catalog(snapshots)
     C.check(articles, [*C.required_text("provider_id", "article_id", "pmid", "version_id"), ("source_ordinal must be present", F.col("source_ordinal").isNull()), ("is_deleted must be present", F.col("is_deleted").isNull())], "articles")
-    C.unique(articles, ["provider_id", "article_id", "version_id"], "articles")
-    C.unique(articles, ["provider_id", "article_id", "source_ordinal"], "articles")
+    C.unique_each(articles, (["provider_id", "article_id", "version_id"], ["provider_id", "article_id", "source_ordinal"]), "articles")
     C.contained(sections, articles, VERSION_KEY, "sections must bind a supplied article version")
     s = snapshots.where((F.col("provider_id") == provider_id) & (F.col("snapshot_id") == snapshot_id)).take(2)
     if len(s) != 1:
@@ -38,6 +49,6 @@ def literature_retrieve(articles: DataFrame, sections: DataFrame, snapshots: Dat
     x = x.join(visible_versions(articles.where(F.col("provider_id") == provider_id), s[0]["high_water_ordinal"]).select(*VERSION_KEY), VERSION_KEY, "left_semi")
     x = x.where(F.contains(F.lower("text"), F.lit(query.lower()))).withColumn("h", F.explode(X.literal_spans(F.col("text"), query)))
     return x.select(
-        "provider_id", F.lit(snapshot_id).alias("snapshot_id"), F.lit(s[0]["high_water_ordinal"]).alias("high_water_ordinal"), "article_id", "pmid", "version_id", "source_ordinal", "section",
+        "provider_id", F.lit(snapshot_id).alias("snapshot_id"), F.lit(s[0]["high_water_ordinal"]).alias("high_water_ordinal"), F.lit(s[0]["effective_at"]).cast("timestamp").alias("effective_at"), "article_id", "pmid", "version_id", "source_ordinal", "section",
         "h.start_offset", "h.end_offset", F.substring("text", F.col("h.start_offset") + 1, F.col("h.end_offset") - F.col("h.start_offset")).alias("source_text"), F.col("text").alias("section_text"), "subsection", "source_entity_ordinal",
     )

@@ -17,6 +17,9 @@ RELATIONS = {
     "disease_phenotype": (("disease_id", "phenotype_id"), "biolink:has_phenotype"),
 }
 
+#: Releases up to which a catalog is broadcast; beyond, facts meet it in a shuffle.
+MAX_BROADCAST_RELEASES = 100_000
+
 
 def monarch_release_catalog(releases: DataFrame) -> DataFrame:
     C.columns(releases, ["provider_id", "release_id"], "releases")
@@ -63,37 +66,62 @@ def source_release_select(releases: DataFrame, provider_id: str, release_id: str
     return select_release(source_release_catalog(releases), provider_id, release_id, as_of, time_col="available_at")
 
 
-def normalize_facts(facts: DataFrame, relation: str) -> DataFrame:
+def _projected(facts: DataFrame, relation: str) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """The relation's columns with its default predicate, and the rules of a row; repeated rows still repeat."""
     roles, predicate = RELATIONS[relation]
     C.columns(facts, [*roles, "release_id", "provider_id", "source_version"], "facts")
     x = C.with_defaults(facts, {"predicate": T.StringType(), "attrs": T.StringType()})
-    x = x.select(*roles, F.coalesce("predicate", F.lit(predicate)).alias("predicate"), "release_id", "provider_id", "source_version", "attrs").dropDuplicates()
-    C.check(x, C.required_text(*roles, "predicate", "release_id", "provider_id", "source_version"), "facts")
-    return x
+    x = x.select(*roles, F.coalesce("predicate", F.lit(predicate)).alias("predicate"), "release_id", "provider_id", "source_version", "attrs")
+    return x, C.required_text(*roles, "predicate", "release_id", "provider_id", "source_version")
+
+
+def normalize_facts(facts: DataFrame, relation: str) -> DataFrame:
+    x, rules = _projected(facts, relation)
+    C.check(x, rules, "facts")
+    return x.dropDuplicates()
+
+
+def admitted_facts(facts: DataFrame, releases: DataFrame, relation: str) -> tuple[DataFrame, DataFrame]:
+    """(facts, release catalog), both valid.  All rules and the catalog's releases are held against the facts in one
+    aggregation without a shuffle of them; repeated rows still repeat, so a caller can narrow them down first."""
+    catalog = monarch_release_catalog(releases)
+    x, rules = _projected(facts, relation)
+    known = catalog.select(F.col("provider_id").alias("kp"), F.col("release_id").alias("kr"), F.lit(True).alias("known"))
+    known = F.broadcast(known) if known.count() <= MAX_BROADCAST_RELEASES else known
+    met = x.join(known, (F.col("provider_id") == F.col("kp")) & (F.col("release_id") == F.col("kr")), "left")
+    C.check(met, [*rules, ("facts name a release that the catalog does not have", F.col("known").isNull())], "facts")
+    return x, catalog
+
+
+def monarch_import(facts: DataFrame, releases: DataFrame, relation: str, table: str | None = None, replace: bool = False) -> DataFrame:
+    """Normalized facts of known releases; with ``table`` they are appended to it, or put in its place."""
+    rows = admitted_facts(facts, releases, relation)[0].dropDuplicates()
+    if table is not None:
+        rows.write.mode("overwrite" if replace else "append").saveAsTable(C.identifier(table, "table"))
+    return rows
 
 
 def monarch_query(facts: DataFrame, releases: DataFrame, relation: str, provider_id: str, release_id: str | None = None, as_of=None, as_of_ordinal=None):
     """(facts of the selected release, the release's catalog row)."""
-    catalog = monarch_release_catalog(releases)
-    x = normalize_facts(facts, relation)
-    C.contained(x, catalog, ["provider_id", "release_id"], "facts name a release that the catalog does not have")
+    x, catalog = admitted_facts(facts, releases, relation)
     chosen = select_release(catalog, provider_id, release_id, as_of, as_of_ordinal)
-    return x.where((F.col("provider_id") == provider_id) & (F.col("release_id") == chosen["release_id"])), chosen
+    return x.where((F.col("provider_id") == provider_id) & (F.col("release_id") == chosen["release_id"])).dropDuplicates(), chosen
 
 
 def holdout_audit(facts: DataFrame, releases: DataFrame, provider_id: str, train_release_id: str, holdout_release_id: str) -> DataFrame:
     """Facts of the holdout release whose gene, disease and predicate the training release lacks."""
     if train_release_id == holdout_release_id:
         raise C.ContractError("training and holdout releases must differ")
-    train, _ = monarch_query(facts, releases, "gene_disease", provider_id, train_release_id)
-    held, _ = monarch_query(facts, releases, "gene_disease", provider_id, holdout_release_id)
+    x, catalog = admitted_facts(facts, releases, "gene_disease")
+    names = [select_release(catalog, provider_id, r)["release_id"] for r in (train_release_id, holdout_release_id)]
+    train, held = (x.where((F.col("provider_id") == provider_id) & (F.col("release_id") == n)) for n in names)
     keys = ["gene_id", "disease_id", "predicate"]
-    return held.join(train.select(*keys).distinct(), keys, "left_anti")
+    return held.dropDuplicates().join(train.select(*keys).distinct(), keys, "left_anti").select(*held.columns)
 
 
 def negation_status(negated: Column) -> Column:
     v = F.lower(F.trim(negated))
-    return F.when(negated.isNull() | (v == ""), "not_provided").when(v.isin("false", "f", "0"), "not_negated").when(v.isin("true", "t", "1"), "negated").otherwise("malformed")
+    return F.when(negated.isNull() | (v == ""), "not_provided").when(v == "false", "not_negated").when(v == "true", "negated").otherwise("malformed")
 
 
 def role_status(subject: Column, obj: Column, predicate: Column, negation: Column, subject_category: Column, object_category: Column, first: str, second: str) -> Column:

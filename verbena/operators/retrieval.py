@@ -17,10 +17,17 @@ def check_embeddings(rows: DataFrame) -> None:
     C.check(rows, [*C.required_text("subject_id", "subject_kind", "provider"), ("embedding length must equal dim", F.size("embedding") != F.col("dim")), ("embedding must be finite", ~V.finite(F.col("embedding")))], "embeddings")
 
 
+def check_widths(rows: DataFrame) -> DataFrame:
+    """``rows``; an embedding whose length is not its ``dim``, or that is not finite, is an error where it is read."""
+    good = F.coalesce((F.size("embedding") == F.col("dim")) & V.finite(F.col("embedding")), F.lit(False))
+    held = F.when(good | F.col("embedding").isNull(), F.col("embedding")).otherwise(F.raise_error(F.lit("embeddings must be finite and as long as dim")).cast(rows.schema["embedding"].dataType))
+    return rows.withColumn("embedding", held)
+
+
 def _scope(rows: DataFrame, dim: int, provider: str | None, subject_kind: str | None) -> DataFrame:
     x = rows.where((F.col("dim") == dim) & F.col("embedding").isNotNull())
     x = x.where(F.col("provider") == provider) if provider is not None else x
-    return x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x
+    return check_widths(x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x)
 
 
 def embedding_search(rows: DataFrame, query: list[float], provider: str | None = None, subject_kind: str | None = None, top_k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -51,6 +58,7 @@ def embedding_search_block(rows: DataFrame, queries: DataFrame, provider: str |
     x = rows.where(F.col("embedding").isNotNull())
     x = x.where(F.col("provider") == provider) if provider is not None else x
     x = x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x
+    x = check_widths(x)
     each = x.join(F.broadcast(queries.select("query_id", "query")), F.col("dim") == F.size("query")).withColumn("score", score(F.col("embedding"), F.col("query"))).drop("query")
     order = Window.partitionBy("query_id").orderBy(F.asc("score") if ascending else F.desc("score"), "subject_id", "subject_kind", "provider")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
@@ -74,8 +82,8 @@ def late_interaction_search(rows: DataFrame, query: list[list[float]], provider:
     x = _scope(rows, len(query[0]), provider, subject_kind)
     x = x.where(F.col("subject_id").isin(candidate_subject_id)) if candidate_subject_id is not None else x
     keys = ["provider", "subject_kind", "subject_id", "block_id", "dim"]
-    e = V.unit(F.col("embedding"))
-    each = x.select(*keys, "token_index", "token", e.alias("e")).select(*keys, "token_index", "token", *(V.dot(F.col("e"), F.array(*map(F.lit, t))).alias(f"s{i}") for i, t in enumerate(unit)))
+    normed = x.select(*keys, "token_index", "token", "embedding", V.norm(F.col("embedding")).alias("norm"))
+    each = normed.select(*keys, "token_index", "token", *(V.unit_dot(F.col("embedding"), F.col("norm"), t).alias(f"s{i}") for i, t in enumerate(unit)))
     best = [F.max(F.struct(F.col(f"s{i}").alias("s"), (-F.col("token_index")).alias("i"), F.col("token").alias("t"))).alias(f"b{i}") for i in range(len(unit))]
     g = each.groupBy(*keys).agg(F.count("*").alias("candidate_token_count"), *best)
     total = sum((F.col(f"b{i}.s") for i in range(1, len(unit))), F.col("b0.s"))
