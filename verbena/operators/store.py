@@ -6,13 +6,15 @@ table's next content to the shared folder before it overwrites, since a table ca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbena import contracts as C
 from verbena.functions import vectors as V
-from verbena.operators import graph
+from verbena.functions.providers import PromptRunner, run_prompts
+from verbena.operators import graph, judgments, prompts
 from verbena.shared import materialize
+from verbena.sources.obo import Obo, read_obo
 
 SUBJECT = ("subject_kind", "provider", "subject_id")
 
@@ -32,22 +34,31 @@ def _replace(spark: SparkSession, name: str, rows: DataFrame, keys: tuple[str, .
 
 
 def write_graph(spark: SparkSession, nodes: DataFrame | None = None, aliases: DataFrame | None = None, edges: DataFrame | None = None, replace: bool = False, index: bool = True, prefix: str = "semantic") -> None:
-    """Adds rows that are absent; with ``replace``, the supplied relations' former rows go.  All inputs pass before any write."""
+    """Adds rows that are absent; with ``replace``, the supplied relations' former rows go.
+
+    All inputs are validated and what each table gets is written to the shared folder before any table is touched, so
+    the tables change one after the other by plain copies only.  A host without transactions over tables allows no
+    more; a write that was cut off can be repeated, since rows that are there already are not added again.
+    """
     graph.init(spark, prefix)
     names = graph.tables(prefix)
     given = {k: graph.conform(v, k) for k, v in (("nodes", nodes), ("aliases", aliases), ("edges", edges)) if v is not None}
-    for k, rows in given.items():
-        if replace:
-            materialize(rows, k).write.insertInto(names[k], overwrite=True)
-            continue
-        if k == "nodes":
-            merged = graph.insert_absent(spark.table(names[k]), rows)
-            C.unique(merged, ["node_id"], "nodes")
-        _append(spark, names[k], absent(spark.table(names[k]), rows))
+    if "nodes" in given and not replace:
+        C.unique(graph.insert_absent(spark.table(names["nodes"]), given["nodes"]), ["node_id"], "nodes")
+    staged = {k: materialize(rows if replace else absent(spark.table(names[k]), rows), k) for k, rows in given.items()}
+    for k, rows in staged.items():
+        rows.select(*spark.table(names[k]).columns).write.insertInto(names[k], overwrite=replace)
     if index and aliases is not None:
         index_aliases(spark, prefix)
 
 
+def write_obo(spark: SparkSession, path: str, family: str, source: str | None = None, replace: bool = False, index: bool = True, include_obsolete: bool = False, prefix: str = "semantic") -> Obo:
+    """An OBO file's graph, read and written."""
+    found = read_obo(spark, path, family, source, include_obsolete)
+    write_graph(spark, found.nodes, found.aliases, found.edges, replace, index, prefix)
+    return found
+
+
 def index_aliases(spark: SparkSession, prefix: str = "semantic") -> DataFrame:
     """Rebuilds the normalized alias table."""
     name = f"{graph.tables(prefix)['aliases'].removesuffix('_aliases')}_alias_index"
@@ -70,14 +81,27 @@ def write_embeddings(spark: SparkSession, rows: DataFrame, replace: bool = False
 
 
 def write_token_embeddings(spark: SparkSession, rows: DataFrame, replace: bool = False, prefix: str = "semantic") -> None:
-    """Appends token vectors; offsets come as pairs, half-open and from zero."""
+    """Appends token vectors; offsets come as pairs, half-open and from zero.
+
+    A block is named provider|kind|subject where none is given.  Tokens without an index are numbered from 0 in the
+    order of their offsets inside their block; without offsets they need one.
+    """
     graph.init(spark, prefix)
-    x = _vectors(rows, "token_embeddings")
+    x = _vectors(token_defaults(rows), "token_embeddings")
     both = F.col("start_offset").isNotNull() | F.col("end_offset").isNotNull()
     C.check(x, [("token_index must not be negative", F.col("token_index") < 0), *((m, both & bad) for m, bad in C.offsets("start_offset", "end_offset"))], "token_embeddings")
     _write_vectors(spark, x, graph.tables(prefix)["token_embeddings"], replace)
 
 
+def token_defaults(rows: DataFrame) -> DataFrame:
+    x = rows if "block_id" in rows.columns else rows.withColumn("block_id", F.lit(None).cast("string"))
+    x = x.withColumn("block_id", F.coalesce("block_id", F.concat_ws("|", "provider", "subject_kind", "subject_id")))
+    if "token_index" not in x.columns:
+        C.columns(x, ["start_offset"], "token_embeddings without token_index")
+        x = x.withColumn("token_index", F.row_number().over(Window.partitionBy("subject_id", "block_id").orderBy("start_offset", "end_offset")) - 1)
+    return x
+
+
 def _write_vectors(spark: SparkSession, rows: DataFrame, name: str, replace: bool) -> None:
     if replace:
         _replace(spark, name, rows, SUBJECT)
@@ -86,6 +110,41 @@ def _write_vectors(spark: SparkSession, rows: DataFrame, name: str, replace: boo
 
 
 def record(spark: SparkSession, rows: DataFrame, relation: str, prefix: str = "semantic") -> None:
-    """Appends validated mentions or judgments; columns that are missing become null."""
+    """Appends validated mentions or judgments; columns that are missing become null, but a judgment's time is now."""
     graph.init(spark, prefix)
+    if relation == "judgments" and "recorded_at" not in rows.columns:
+        rows = rows.withColumn("recorded_at", F.current_timestamp())
     _append(spark, graph.tables(prefix)[relation], graph.conform(rows, relation))
+
+
+def annotate(spark: SparkSession, documents: DataFrame, id_col: str = "document_id", text_col: str = "text", longest_match: bool = True, store: bool = False, prefix: str = "semantic") -> DataFrame:
+    """Mentions in all documents by the store's aliases; with ``store`` they are recorded, too."""
+    graph.init(spark, prefix)
+    if not spark.catalog.tableExists(f"{prefix}_alias_index"):
+        index_aliases(spark, prefix)
+    found = graph.annotate(documents, spark.table(f"{prefix}_alias_index"), id_col, text_col, longest_match)
+    if store:
+        found = materialize(found, "mentions")
+        record(spark, found, "mentions", prefix)
+    return found
+
+
+def judge(documents: DataFrame, mentions: DataFrame, runner: PromptRunner, context: DataFrame | None = None, instructions: str = prompts.INSTRUCTIONS, model: str = "semantic-runner", store: bool = False, prefix: str = "semantic") -> DataFrame:
+    """Judgments of each document's mentions, one prompt and one response a document.
+
+    A response must hold one result per mention, in text order; a document whose response breaks a rule is refused,
+    and with it the whole relation.  ``context`` (document_id, node_id and more) names nodes that a replacement may take.
+    """
+    asked = prompts.judgment_prompts(documents.join(mentions.select("document_id").distinct(), "document_id", "left_semi"), mentions, context, instructions)
+    responses = materialize(run_prompts(asked, runner).select(F.col("document_id").alias("call_id"), "response"), "responses")
+    order = Window.partitionBy("document_id").orderBy(*(c for c in ("start_offset", "end_offset", "mention_id") if c in mentions.columns))
+    candidates = mentions.select(F.col("document_id").alias("call_id"), (F.row_number().over(order) - 1).alias("position"), "mention_id", "node_id")
+    allowed = context.select(F.col("document_id").alias("call_id"), "node_id") if context is not None else None
+    bad = judgments.violations(responses, candidates, allowed).where("reason IS NOT NULL").take(1)
+    if bad:
+        raise C.ContractError(f"response for {bad[0]['call_id']}: {bad[0]['reason']}")
+    found = judgments.judgments(responses, candidates, model, allowed)
+    if store:
+        found = materialize(found, "judgments")
+        record(documents.sparkSession, found, "judgments", prefix)
+    return found
