@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from verbena.functions import text as X
 from verbena.functions import vectors as V
 from verbena.operators import graph, hypotheses, judgments, literature, observations, prompts, releases, retrieval
+from verbena.plans import session
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,12 +82,15 @@ def sha256_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def benchmark_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items' first three words as aliases."""
+    words = F.split(X.normalize(F.col("text")), " ")
+    return _t(spark, sf_dir, "benchmark").select(F.concat(F.lit("item:"), "item_id").alias("node_id"), F.array_join(F.slice(words, 1, 3), " ").alias("alias"), F.lit("label").alias("alias_kind"), F.lit("benchmark").alias("source"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("attrs"))
+
+
 def lexical_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents annotated with the benchmark's first three words as aliases."""
-    b = _t(spark, sf_dir, "benchmark")
-    words = F.split(X.normalize(F.col("text")), " ")
-    aliases = b.select(F.concat(F.lit("item:"), "item_id").alias("node_id"), F.array_join(F.slice(words, 1, 3), " ").alias("alias"), F.lit("label").alias("alias_kind"), F.lit("benchmark").alias("source"), F.lit(1.0).alias("weight"), F.lit(None).cast("string").alias("attrs"))
-    found = graph.annotate(_t(spark, sf_dir, "documents").select("doc_id", "text"), graph.alias_index(aliases), "doc_id", "text")
+    found = graph.annotate(_t(spark, sf_dir, "documents").select("doc_id", "text"), graph.alias_index(benchmark_aliases(spark, sf_dir)), "doc_id", "text")
     return found.select(F.col("document_id").alias("doc_id"), "node_id", "start_offset", "end_offset")
 
 
@@ -197,7 +201,7 @@ def judgment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"search_{m}": _search(m) for m in V.METRICS} | {f"search_block_{m}": _search_block(m) for m in V.METRICS}
     named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
-    return out | {f.__name__: f for f in named}
+    return out | {f.__name__: f for f in (*named, *session.QUERIES)}
 
 
 _QUERY = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -223,7 +227,7 @@ def oracle_sql() -> dict[str, str]:
 WITH b AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)
 SELECT query_id, vec_id, label, round({s}, 6) AS score FROM embeddings e, b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s} {d}, vec_id) <= 10""" for m, (s, d) in _SCORES.items()
     }
-    return out | {
+    return out | session.oracle_sql() | {
         "late_interaction": """
 WITH q AS (SELECT vec_id AS qi, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN (0, 1, 2)),
 s AS (SELECT label, vec_id, qi, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM embeddings, q),
@@ -283,11 +287,11 @@ SELECT 'judgment:' || subject_id AS judgment_id, subject_id, CASE l_returnflag W
         "hypothesis_violations": """
 WITH h AS (SELECT o_orderkey % 6 AS k, o_custkey AS c, o_totalprice / 400000.0 AS p, o_orderkey FROM orders),
 s AS (SELECT l_orderkey, bool_or(l_returnflag = 'A') AS support, bool_or(l_returnflag = 'R') AS contradiction, bool_or(l_returnflag = 'N') AS context FROM lineitem GROUP BY 1)
-SELECT o_orderkey::VARCHAR AS hypothesis_id, CASE WHEN k = 5 THEN 'unsupported judgment' WHEN k <> 0 AND NOT p BETWEEN 0 AND 1 THEN 'non-abstaining confidence must be finite and between zero and one'
-  WHEN k <> 0 AND c % 10 = 0 THEN 'non-abstaining hypotheses require inheritance_id or mechanism_text' WHEN k = 3 AND c % 3 <> 0 THEN 'insufficient-evidence hypotheses require missing_evidence'
-  WHEN k = 2 AND c % 2 <> 0 THEN 'contradicting hypotheses require contradiction' WHEN k = 0 AND l_orderkey IS NOT NULL THEN 'abstaining hypotheses cannot cite source spans'
-  WHEN k <> 0 AND l_orderkey IS NULL THEN 'each non-abstaining hypothesis must cite a source span'
-  WHEN k IN (1, 4) AND NOT support OR k = 2 AND NOT contradiction OR k = 3 AND NOT context THEN 'hypothesis evidence roles do not match their judgments' END AS reason
+SELECT o_orderkey::VARCHAR AS hypothesis_id, CASE WHEN k = 5 THEN 'judgment has a value outside its list' WHEN k <> 0 AND NOT p BETWEEN 0 AND 1 THEN 'confidence must lie in [0, 1] unless the judgment abstains'
+  WHEN k <> 0 AND c % 10 = 0 THEN 'an inheritance_id or a mechanism_text is needed unless the judgment abstains' WHEN k = 3 AND c % 3 <> 0 THEN 'insufficient evidence needs its missing_evidence named'
+  WHEN k = 2 AND c % 2 <> 0 THEN 'a contradicting judgment needs its contradiction named' WHEN k = 0 AND l_orderkey IS NOT NULL THEN 'abstaining hypotheses have no source spans'
+  WHEN k <> 0 AND l_orderkey IS NULL THEN 'a source span is needed unless the judgment abstains'
+  WHEN k IN (1, 4) AND NOT support OR k = 2 AND NOT contradiction OR k = 3 AND NOT context THEN 'no cited span has the evidence roles that the judgment needs' END AS reason
 FROM h LEFT JOIN s ON l_orderkey = o_orderkey""",
         "judgment_prompts": f"""
 WITH m AS (SELECT l_orderkey, l_linenumber AS n, concat_ws('/', l_linenumber, l_partkey, l_suppkey) AS i, l_partkey AS p FROM lineitem),
