@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from verbena import contracts as C
 from verbena.functions import text as X
 from verbena.functions import vectors as V
-from verbena.operators import graph, judgments, observations, retrieval
+from verbena.operators import graph, judgments, literature, observations, retrieval
+from verbena.operators import releases as R
 from verbena.sources import obo, receipts
 
 
@@ -43,6 +44,46 @@ def test_closure_of_a_cycle(spark):
     e = spark.createDataFrame([("a", "p", "b"), ("b", "p", "c"), ("c", "p", "a"), ("a", "q", "z")], "from_id string, predicate string, to_id string")
     assert graph.closure(e, ["p"]).count() == 9
     assert graph.closure(e, []).count() == 0
+    chain = spark.createDataFrame([(f"{i}", "p", f"{i + 1}") for i in range(37)], "from_id string, predicate string, to_id string")
+    assert graph.closure(chain, ["p"]).count() == 37 * 38 // 2
+    chain.createOrReplaceTempView("chain_edges")
+    spark.sql(graph.closure_sql(["p"], "chain_edges", "chain_closed"))
+    assert spark.table("chain_closed").count() == 37 * 38 // 2
+    spark.sql(graph.closure_sql([], "chain_edges", "chain_closed"))
+    assert spark.table("chain_closed").count() == 0
+    spark.sql(graph.projection_sql("chain_edges", "from_id", "predicate", "to_id", "chain_projected"))
+    assert spark.table("chain_projected").columns == ["from_id", "predicate", "to_id", "attrs", "trust"]
+
+
+def test_closure_equals_search(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = {(r.randrange(30), r.randrange(30)) for _ in range(45)}
+    want = set()
+    for a in range(30):
+        todo = [b for x, b in pairs if x == a]
+        seen = set()
+        while todo:
+            b = todo.pop()
+            if b not in seen:
+                seen.add(b)
+                todo += [c for x, c in pairs if x == b]
+        want |= {(str(a), str(b)) for b in seen}
+    e = spark.createDataFrame([(str(a), "p", str(b)) for a, b in pairs] * 2, "from_id string, predicate string, to_id string")
+    assert {(x["from_id"], x["to_id"]) for x in graph.closure(e, ["p"]).collect()} == want
+
+
+def test_spans_are_numbered_in_order(spark):
+    text = "one Two three four"
+    d = spark.createDataFrame([("d", text), ("e", None), ("f", "!")], "id string, text string")
+    for most in (1, 2, 3, 9):
+        got = sorted((r["ordinal"], r["normalized_span"], r["span"]) for r in X.ngrams(d, "id", "text", most).collect())
+        words = text.split()
+        want = [" ".join(words[i : i + n]) for i in range(4) for n in range(1, most + 1) if i + n <= 4]
+        assert got == [(k, w.lower(), w) for k, w in enumerate(want, 1)]
+    few = {(r["ordinal"], r["span"]) for r in X.ngrams(d, "id", "text", 3, frozenset({"two three", "four", "one x"})).collect()}
+    assert few == {(5, "Two three"), (9, "four")}
 
 
 def test_insert_absent_is_null_safe(spark):
@@ -56,6 +97,13 @@ def test_annotation_prefers_longest(spark):
     got = {r["node_id"]: (r["start_offset"], r["end_offset"]) for r in graph.annotate(d, graph.alias_index(a)).collect()}
     assert got == {"HP:0004322": (16, 31), "HP:0001250": (36, 44)}
     assert graph.annotate(d, graph.alias_index(a), longest_match=False).count() == 3
+    rows = graph.annotate(d, graph.alias_index(a), ordered=True).collect()
+    assert [(r["mention_id"], r["span"], r["score"], r["method"]) for r in rows] == [("d:000008", "SHORT---stature", 1.0, "lexical_alias"), ("d:000013", "seizures", 1.0, "lexical_alias")]
+    graph_limit, graph.MAX_BROADCAST_ALIASES = graph.MAX_BROADCAST_ALIASES, 0
+    try:
+        assert graph.annotate(d, graph.alias_index(a), ordered=True).collect() == rows
+    finally:
+        graph.MAX_BROADCAST_ALIASES = graph_limit
 
 
 def test_search_rejects_bad_queries(spark):
@@ -79,11 +127,39 @@ def test_block_search_equals_one_search_a_query(spark, metric):
         assert [r["subject_id"] for r in got if r["query_id"] == i] == want
 
 
+def test_widths_are_held(spark):
+    rows = spark.createDataFrame([("a", "node", "t", 2, [1.0, 0.0, 3.0])], "subject_id string, subject_kind string, provider string, dim int, embedding array<float>")
+    with pytest.raises(Exception, match="as long as dim"):
+        retrieval.embedding_search(rows, [1.0, 0.0]).collect()
+
+
+def test_release_contracts(spark):
+    facts = spark.createDataFrame([("G", "D", "r1", "p", "1"), ("G", "D", "r1", "p", "1"), ("H", "D", "r2", "p", "1")], "gene_id string, disease_id string, release_id string, provider_id string, source_version string")
+    releases = spark.createDataFrame([("p", "r1", 1.0), ("p", "r2", 2.0)], "provider_id string, release_id string, source_ordinal double")
+    assert R.monarch_import(facts, releases, "gene_disease").count() == 2
+    assert [r["gene_id"] for r in R.holdout_audit(facts, releases, "p", "r1", "r2").collect()] == ["H"]
+    with pytest.raises(C.ContractError, match="catalog"):
+        R.monarch_import(facts, releases.where("release_id = 'r1'"), "gene_disease")
+    words = spark.createDataFrame([(w,) for w in (None, "", "true", " False ", "t", "1", "f", "0")], "w string")
+    assert [r[0] for r in words.select(R.negation_status(F.col("w"))).collect()] == ["not_provided", "not_provided", "negated", "not_negated", *["malformed"] * 4]
+    s = spark.createDataFrame([("p", "s", 3)], "provider_id string, snapshot_id string, high_water_ordinal long")
+    assert literature.literature_snapshot_catalog(s).first()["effective_at"] is None
+    for bad in (s.union(s), s.selectExpr("provider_id", "snapshot_id", "0.5D AS high_water_ordinal"), s.selectExpr("provider_id", "'' AS snapshot_id", "high_water_ordinal")):
+        with pytest.raises(C.ContractError):
+            literature.literature_snapshot_catalog(bad)
+
+
 def test_observation_rules(spark):
     d = spark.createDataFrame([("d", "Patient has seizures.")], "document_id string, source_text string")
     row = ("d", "HP:0001250", 12, 20, "seizures", "present", "m", "p", "1", 0.9, "accepted")
     schema = "document_id string, hpo_id string, start_offset int, end_offset int, source_text string, context_status string, method string, provider_id string, provider_version string, confidence double, status string"
     assert observations.hpo_observations(d, spark.createDataFrame([row], schema)).count() == 1
+    for known in ("absent/negated", "family_history", "conflict", "unsupported", "uncertain"):
+        assert observations.hpo_observations(d, spark.createDataFrame([tuple(known if i == 5 else v for i, v in enumerate(row))], schema)).count() == 1
+    assert observations.hpo_proband_present(spark.createDataFrame([row, tuple("conflict" if i == 5 else v for i, v in enumerate(row))], schema)).count() == 1
+    for at, bad in ((5, "historical"), (10, "rejected")):
+        with pytest.raises(C.ContractError):
+            observations.hpo_proband_present(spark.createDataFrame([tuple(bad if i == at else v for i, v in enumerate(row))], schema))
     for at, bad in ((1, "HP:1"), (2, 11), (3, 99), (4, "seizure"), (5, "maybe"), (9, 1.5), (10, "rejected"), (0, "x")):
         with pytest.raises(C.ContractError):
             observations.hpo_observations(d, spark.createDataFrame([tuple(bad if i == at else v for i, v in enumerate(row))], schema))
@@ -91,12 +167,14 @@ def test_observation_rules(spark):
 
 def test_obo_and_receipts(spark, tmp_path):
     f = tmp_path / "a.obo"
-    f.write_text('format-version: 1.2\n\n[Term]\nid: HP:1\nname: All\ndef: "Root \\"term\\"" [x]\nalt_id: HP:OLD\nsynonym: "whole phenotype" EXACT []\nis_a: HP:0 {x="y"} ! root\nrelationship: part_of HP:2 ! two\n\n[Term]\nid: HP:9\nis_obsolete: true\n\n[Typedef]\nid: part_of\n')
+    f.write_text('format-version: 1.2\n\n[Term]\nid: HP:1\nname: All\ndef: "Root \\"term\\"" [x]\nalt_id: HP:OLD\nsynonym: "whole phenotype" EXACT []\nno colon here\nis_a: HP:0 {x="y"} ! root\nrelationship: part_of HP:2 ! two\n\n[Term]\nid: HP:9\nis_obsolete: TRUE\n\n[Typedef]\nid: part_of\n')
     o = obo.read_obo(spark, str(f), "hpo")
     n = o.nodes.collect()
     assert [(r["node_id"], r["label"], r["description"]) for r in n] == [("HP:1", "All", 'Root "term"')]
     assert {r["alias"] for r in o.aliases.collect()} == {"All", "HP:OLD", "whole phenotype"}
     assert {(r["predicate"], r["to_id"]) for r in o.edges.collect()} == {("is_a", "HP:0"), ("part_of", "HP:2")}
+    assert [r["trust"] for r in n] == [None] and {r["alias_kind"] for r in o.aliases.collect()} == {"label", "alt_id", "synonym:exact"}
+    assert [(r["tag_ordinal"], r["tag"], r["value"]) for r in o.tags.orderBy("tag_ordinal").collect()][5:7] == [(6, "no colon here", "no colon here"), (7, "is_a", 'HP:0 {x="y"} ! root')]
     digest = hashlib.sha256(f.read_bytes()).hexdigest()
     assert receipts.admit(spark, str(f), digest) == f.read_bytes()
     with pytest.raises(C.ContractError):

@@ -2,7 +2,7 @@ import pytest
 
 from verbena.contracts import ContractError
 from verbena.functions import providers as P
-from verbena.operators import packs, store
+from verbena.operators import graph, packs, store
 
 
 def test_graph_writes(spark, tmp_path):
@@ -36,7 +36,23 @@ def test_graph_writes(spark, tmp_path):
         assert sorted((r["token_index"], r["token"]) for r in spark.table("s_token_embeddings").collect()) == [(0, "a"), (1, "b")]
         judged = spark.createDataFrame([("j", "m", "p", "keep")], "judgment_id string, subject_id string, predicate string, decision string")
         store.record(spark, judged, "judgments", prefix="s")
-        assert spark.table("s_judgments").first()["model"] is None
+        assert spark.table("s_judgments").first()["model"] is None and spark.table("s_judgments").first()["recorded_at"] is not None
+
+        (tmp_path / "a.obo").write_text("[Term]\nid: T:1\nname: Short stature\n\n[Term]\nid: T:2\nname: stature\nis_a: T:1\n")
+        for _ in range(2):
+            store.write_obo(spark, str(tmp_path / "a.obo"), "t", prefix="o")
+        assert spark.table("o_nodes").count() == 2 and spark.table("o_edges").count() == 1
+        texts = spark.createDataFrame([("d1", "Short stature, stature"), ("d2", "none")], "document_id string, text string")
+        mentions = store.annotate(spark, texts, store=True, prefix="o")
+        assert spark.table("o_mentions").count() == mentions.count() == 2 and graph.ground(spark, "stature", prefix="o").first()["mention_id"] == "mention:000001"
+        said = '[{"mention_id": "d1:000002", "decision": "keep"}, {"mention_id": "d1:000005", "decision": "replace", "replacement_node_id": "T:9"}]'
+        context = spark.createDataFrame([("d1", "T:9")], "document_id string, node_id string")
+        judged = store.judge(texts, mentions, P.FunctionRunner(lambda ps: [said] * len(ps)), context, store=True, prefix="o")
+        assert sorted(r["object_id"] for r in judged.collect()) == ["T:1", "T:9"] and spark.table("o_judgments").count() == 2
+        with pytest.raises(ContractError, match="candidate or context"):
+            store.judge(texts, mentions, P.FunctionRunner(lambda ps: [said] * len(ps)), prefix="o")
+        unnamed = spark.createDataFrame([("s", "node", "p", 3, 5, [1.0]), ("s", "node", "p", 0, 2, [2.0])], "subject_id string, subject_kind string, provider string, start_offset int, end_offset int, embedding array<float>")
+        assert sorted((r["block_id"], r["token_index"], r["start_offset"]) for r in store.token_defaults(unnamed).collect()) == [("p|node|s", 0, 0), ("p|node|s", 1, 3)]
     finally:
         spark.sql("USE default")
         spark.sql("DROP DATABASE verbena_t CASCADE")
