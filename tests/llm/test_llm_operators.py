@@ -226,7 +226,7 @@ def test_mix_is_learned_and_parameters_are_averaged(spark):
     both = attention_lm.average(pd.Series([3, 1]), pd.Series([pickle.dumps(one), pickle.dumps(two)]))
     assert both["n"][0] == 4 and np.allclose(pickle.loads(both["w"][0])["b"], 2)
 
-    p = attention_lm.Params(head=30, dim=8, rounds=1, frequent=50, averages=2, windows_per_trainer=8)
+    p = attention_lm.Params(head=30, dim=8, rounds=1, frequent=50, averages=2, block_windows=8)
     rows = docs(spark, *((i, prose(i, 40)) for i in range(60)))
     model, _ = attention_lm.fit(rows, p=p)
     texts = [prose(i, 40) for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 1]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from verbena.llm import compression, decontam, packing, secrets, simhash, toxicity, warc
+from verbena.llm import compression, decontam, packing, quotation, secrets, simhash, toxicity, warc
 
 from test_llm_operators import KEY, brute_fingerprint, docs, openssh, prose
 
@@ -188,3 +188,48 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         empty = spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0)
         assert stage(spark, empty, str(tmp_path)).columns == empty.columns, name
+
+
+def brute_threads(rows):
+    """Replies by the plainest reading of the rules: earlier message with most first-level quotes, then a walk down each tree."""
+    parsed = [quotation.parse(t) for *_, t in rows]
+    reply = {}
+    for i, (conv, turn, _, _) in enumerate(rows):
+        votes = Counter()
+        for level, _, h in parsed[i][2]:
+            said = [(rows[j][1], j) for j in range(len(rows)) if rows[j][0] == conv and rows[j][1] is not None and h in parsed[j][1]]
+            if turn is not None and said and min(said)[0] < turn and level == 1:
+                votes[min(said)[1]] += 1
+        if votes:
+            reply[i] = max(votes, key=lambda j: (votes[j], rows[j][1], j))
+    place = {}
+
+    def walk(i, root):
+        place[i] = (rows[root][1], sum(1 for r in place.values() if r[2] == root), root)
+        for j in sorted((j for j in reply if reply[j] == i), key=lambda j: (rows[j][1], j)):
+            walk(j, root)
+
+    for i in range(len(rows)):
+        if i not in reply:
+            walk(i, i)
+    return {i: (place[i][0], place[i][1], rows[reply[i]][1] if i in reply else None, parsed[i][0]) for i in range(len(rows))}
+
+
+def test_reply_order_equals_a_walk(spark):
+    r = random.Random(8)
+    rows = []
+    for conv in range(6):
+        for turn in range(r.choice((1, 3, 40))):
+            said = f"message {conv} {turn} says {r.randrange(99999)}"
+            quoted = "".join(f"{'> ' * (1 + (r.random() < 0.2))}{rows[-1 - r.randrange(min(turn, 5))][3].split(chr(10))[-1].upper()}\n" for _ in range(r.choice((0, 1, 1, 2)))) if turn else ""
+            rows.append((conv, turn, "u", quoted + said))
+    rows += [(9, t, "u", "root" if t == 0 else f"> root\nreply {t}") for t in (0, 5000, 3, 600, 512, 511, 70_000)] + [(9, 3, "u", "> root\nreply 3 again"), (9, None, "u", "> root"), (None, 0, "u", "a"), (None, 1, "u", "> a\nb")]
+    rows += [(10, t, "u", f"link {t}" if t == 0 else f"> link {t - 1}\nlink {t}") for t in range(70)]
+    m = spark.createDataFrame([(*x, "y") for x in rows], "conv_id long, turn long, role string, text string, position string").coalesce(1)
+    want = Counter((rows[i][0], rows[i][1], a, b, c, text) for i, (a, b, c, text) in brute_threads(rows).items())
+    got = quotation.link_quotes(m).collect()
+    assert Counter((x["conv_id"], x["turn"], x["thread_turn"], x["position"], x["reply_to"], x["text"]) for x in got) == want
+    chain = [x["position"] for x in got if x["conv_id"] == 10]
+    assert chain == list(range(70)) and max(x["depth"] for x in got) == 69
+    long = spark.createDataFrame([(1, 0, "u", "word " * 30_000), (1, 1, "u", "> " + "word " * 30_000 + "\nyes")], "conv_id long, turn long, role string, text string")
+    assert [x["n_linked"] for x in quotation.link_quotes(long).collect()] == [0, 1]
