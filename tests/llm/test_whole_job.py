@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from verbena.llm import compression, decontam, packing, quotation, secrets, simhash, toxicity, warc
+from verbena.llm import compression, decontam, licenses, packing, quotation, secrets, simhash, toxicity, warc
 
 from test_llm_operators import KEY, brute_fingerprint, docs, openssh, prose
 
@@ -233,3 +233,47 @@ def test_reply_order_equals_a_walk(spark):
     assert chain == list(range(70)) and max(x["depth"] for x in got) == 69
     long = spark.createDataFrame([(1, 0, "u", "word " * 30_000), (1, 1, "u", "> " + "word " * 30_000 + "\nyes")], "conv_id long, turn long, role string, text string")
     assert [x["n_linked"] for x in quotation.link_quotes(long).collect()] == [0, 1]
+
+
+def test_licence_scans_at_the_edges(spark):
+    from verbena.llm.license_texts import TEMPLATES
+
+    mit, line = TEMPLATES["MIT"], TEMPLATES["MIT-reference"]
+    assert licenses.scan_licenses(docs(spark).limit(0)).count() == 0
+    rows = [(1, line), (1, line), (2, f"{mit}\n\n{prose(1, 40)}\n\n{mit}"), (3, "\n".join([prose(2, 20_000), line, prose(3, 20_000)]))]
+    got = Counter((r["doc_id"], r["license"]) for r in licenses.scan_licenses(docs(spark, *rows)).collect())
+    assert got == {(1, "MIT-reference"): 2, (2, "MIT"): 2, (3, "MIT-reference"): 1}
+
+
+@pytest.mark.parametrize("gap", [1, 2, 3, 5, 8])
+def test_no_line_between_others_is_lost(gap):
+    from verbena.llm.license_texts import TEMPLATES
+
+    s = licenses.scanner(TEMPLATES, licenses.Params())
+    text = f"\n{' '.join('abcdefgh'[:gap])}\n".join(["All rights reserved"] * 30)
+    assert sum(h[0] == "All-rights-reserved" for h in s.scan(text)) == 30
+
+
+def aligned(template, words):
+    """The best score of aligning the whole template with any stretch of words: match 2, change or gap -1."""
+    m, n = len(template), len(words)
+    best = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(1, m + 1):
+        best[i][0] = -i
+        for j in range(1, n + 1):
+            best[i][j] = max(best[i - 1][j - 1] + (2 if template[i - 1] == words[j - 1] else -1), best[i - 1][j] - 1, best[i][j - 1] - 1)
+    return max(best[m])
+
+
+def test_alignment_equals_the_full_table():
+    r = random.Random(6)
+    for _ in range(60):
+        template = [r.randrange(1, 9) for _ in range(r.randrange(3, 25))]
+        copy = [w for t in template if r.random() > 0.1 for w in ([t] if r.random() > 0.1 else [t, 9])]
+        words = [0] * r.randrange(6) + copy + [0] * 6
+        wide = len(template) + len(words)
+        pairs = licenses.align(template, words, 0, wide)
+        assert all(template[a] == words[b] for a, b in pairs) and pairs == sorted(pairs)
+        inside = pairs[-1][1] - pairs[0][1] + 1 - len(pairs) if pairs else 0
+        lost = len(template) - len(pairs)
+        assert aligned(template, words) <= 2 * len(pairs) - max(inside, 0) and aligned(template, words) >= 2 * len(pairs) - inside - lost
