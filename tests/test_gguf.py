@@ -2,6 +2,7 @@ import struct
 
 import numpy as np
 import pytest
+from gguf_writer import written
 
 from verbena.contracts import ContractError
 from verbena.functions import quant
@@ -19,7 +20,7 @@ TENSORS = [("w.f32", 0, (4, 2), np.arange(8, dtype="<f4").tobytes()), ("w.q8_0",
 @pytest.fixture
 def model(tmp_path):
     path = tmp_path / "valid.gguf"
-    path.write_bytes(gguf.written(values=VALUES, tensors=TENSORS, alignment=64))
+    path.write_bytes(written(values=VALUES, tensors=TENSORS, alignment=64))
     return str(path)
 
 
@@ -47,19 +48,19 @@ def test_broken_containers(tmp_path):
         with pytest.raises(ContractError, match=message):
             gguf.Container(str(path))
 
-    whole = gguf.written(values=VALUES, tensors=TENSORS, alignment=64)
+    whole = written(values=VALUES, tensors=TENSORS, alignment=64)
     broken(b"", "magic")
     broken(b"GGUG" + whole[4:], "magic")
-    broken(gguf.written(version=1), "GGUF version 1 is not supported")
-    broken(gguf.written()[:20], "overruns the file")
+    broken(written(version=1), "GGUF version 1 is not supported")
+    broken(written()[:20], "overruns the file")
     broken(b"GGUF" + struct.pack("<IQQ", 3, 2**60, 2**60), "header counts exceed")
-    broken(gguf.written(values=[("a", 0, 1), ("a", 0, 2)]), "duplicate metadata key 'a'")
-    broken(gguf.written(tensors=[("w", 0, (1,), b"\0" * 4)] * 2), "duplicate tensor 'w'")
-    broken(gguf.written(tensors=[("w", 0, (1, 1, 1, 1, 1), b"\0" * 4)]), "has 5 dimensions")
-    broken(gguf.written(values=[("general.alignment", 4, 24)]), "is not a power of two")
-    broken(gguf.written(tensors=[("w", 8, (33,), b"\0" * 34)]), "is not a multiple of the q8_0 block")
-    broken(gguf.written(tensors=[("w", 0, (100,), b"\0" * 32)]), "payload overruns the file")
-    broken(gguf.written(values=[("a", 9, (9, [(9, [(9, [(9, [(0, [1])])])])]))]), "nested")
+    broken(written(values=[("a", 0, 1), ("a", 0, 2)]), "duplicate metadata key 'a'")
+    broken(written(tensors=[("w", 0, (1,), b"\0" * 4)] * 2), "duplicate tensor 'w'")
+    broken(written(tensors=[("w", 0, (1, 1, 1, 1, 1), b"\0" * 4)]), "has 5 dimensions")
+    broken(written(values=[("general.alignment", 4, 24)]), "is not a power of two")
+    broken(written(tensors=[("w", 8, (33,), b"\0" * 34)]), "is not a multiple of the q8_0 block")
+    broken(written(tensors=[("w", 0, (100,), b"\0" * 32)]), "payload overruns the file")
+    broken(written(values=[("a", 9, (9, [(9, [(9, [(9, [(0, [1])])])])]))]), "nested")
     broken(b"GGUF" + struct.pack("<IQQQ", 3, 0, 1, 1) + b"a" + struct.pack("<IQ", 77, 0), "unknown type 77")
     broken(b"GGUF" + struct.pack("<IQQQ", 3, 0, 1, 100) + b"a" * 20, "string of 100 bytes overruns")
     broken(b"GGUF" + struct.pack("<IQQQ", 3, 0, 1, 1) + b"\xff" + struct.pack("<IQ", 0, 0), "not valid UTF-8")
@@ -129,7 +130,7 @@ def test_values_and_products(spark, model, tmp_path):
     path = tmp_path / "quant.gguf"
     rng = np.random.default_rng(5)
     kinds = [0, 1, 30, 8, 10, 11, 12, 13, 14, 15]
-    path.write_bytes(gguf.written(tensors=[(f"w.{k}", k, (512, 7), rng.integers(0, 60, 512 * 7 // gguf.TENSOR_TYPES[k][1] * gguf.TENSOR_TYPES[k][2], dtype=np.uint8).tobytes()) for k in kinds]))
+    path.write_bytes(written(tensors=[(f"w.{k}", k, (512, 7), rng.integers(0, 60, 512 * 7 // gguf.TENSOR_TYPES[k][1] * gguf.TENSOR_TYPES[k][2], dtype=np.uint8).tobytes()) for k in kinds]))
     c = gguf.container(str(path))
     x = rng.normal(size=512).astype(np.float32)
     for k in kinds:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,24 @@ def identifier(name: str, what: str = "prefix") -> str:
     return name
 
 
+def takes_tables(f: Callable) -> Callable:
+    """``f`` with table names taken wherever it asks for a DataFrame; a name may be qualified by dots."""
+    signature = inspect.signature(f)
+    relations = [n for n, p in signature.parameters.items() if "DataFrame" in str(p.annotation)]
+
+    @functools.wraps(f)
+    def named(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        for n in relations:
+            if isinstance(given := bound.arguments.get(n), str):
+                for part in given.split("."):
+                    identifier(part, n)
+                bound.arguments[n] = SparkSession.active().table(given)
+        return f(*bound.args, **bound.kwargs)
+
+    return named
+
+
 def columns(df: DataFrame, required: Sequence[str], what: str) -> None:
     if missing := [c for c in required if c not in df.columns]:
         raise ContractError(f"{what} is missing columns: {', '.join(missing)}")
@@ -49,6 +69,11 @@ def offsets(start: str, end: str) -> list[tuple[str, Column]]:
     return [(f"{start} and {end} must be zero-based half-open offsets", ~F.coalesce(ok, F.lit(False)))]
 
 
+def written_time(time: Column) -> Column:
+    """A timestamp as text with milliseconds."""
+    return F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSS")
+
+
 def check(df: DataFrame, rules: list[tuple[str, Column]], what: str) -> None:
     """All rules (message, violated) in one aggregation; raises for the first broken one in order."""
     row = df.agg(*(F.count_if(F.coalesce(bad, F.lit(False))).alias(str(n)) for n, (_, bad) in enumerate(rules))).first()

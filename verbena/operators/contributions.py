@@ -149,6 +149,7 @@ def monarch_violations(payloads: DataFrame, sources: DataFrame) -> DataFrame:
 VALIDATORS = {"mondo": mondo_violations, "dismech": dismech_violations, "monarch": monarch_violations}
 
 
+@C.takes_tables
 def contribution(hypotheses: DataFrame, sources: DataFrame, source_fields: DataFrame, payloads: DataFrame, target: str) -> dict[str, DataFrame]:
     """hypothesis, sources, payload and schema of valid contributions; one broken rule refuses all of them."""
     if target not in VALIDATORS:

@@ -67,6 +67,7 @@ def replace_by(stored: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame
     return stored.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
 
+@C.takes_tables
 def projection(source: DataFrame, from_col: str, predicate: str, to_col: str, attrs: str | None = None, trust: str | None = None) -> DataFrame:
     """An edge-shaped relation in the columns of ``edges``."""
     opt = lambda c: (F.col(c) if c else F.lit(None)).cast("string")
@@ -79,6 +80,7 @@ def projection_sql(source_table: str, from_col: str, predicate: str, to_col: str
     return f"CREATE OR REPLACE TEMPORARY VIEW {target_table} AS SELECT {from_col} AS from_id, {predicate} AS predicate, {to_col} AS to_id, {attrs or 'CAST(NULL AS STRING)'} AS attrs, {trust or 'CAST(NULL AS STRING)'} AS trust FROM {source_table}"
 
 
+@C.takes_tables
 def closure(edges: DataFrame, transitive_predicates: list[str]) -> DataFrame:
     """All (from_id, predicate, to_id) reachable over one or more edges of the same predicate.
 
@@ -126,6 +128,7 @@ def alias_index(aliases: DataFrame) -> DataFrame:
 MAX_BROADCAST_ALIASES = 1_000_000
 
 
+@C.takes_tables
 def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id", text_col: str = "text", longest_match: bool = True, ordered: bool = False) -> DataFrame:
     """Mentions of indexed aliases in all documents, as one plan, in the columns of ``mentions`` and the alias's own.
 

@@ -19,6 +19,7 @@ def visible_versions(articles: DataFrame, high_water_ordinal: int) -> DataFrame:
     return last.select("provider_id", "article_id", *(F.col(f"v.{c}").alias(c) for c in rest)).where(~F.col("is_deleted"))
 
 
+@C.takes_tables
 def literature_snapshot_catalog(snapshots: DataFrame) -> DataFrame:
     """Snapshots by provider and id with their cutoff; ``effective_at`` is optional."""
     C.columns(snapshots, ["provider_id", "snapshot_id", "high_water_ordinal"], "snapshots")
@@ -31,6 +32,7 @@ def literature_snapshot_catalog(snapshots: DataFrame) -> DataFrame:
     return x
 
 
+@C.takes_tables
 def literature_retrieve(articles: DataFrame, sections: DataFrame, snapshots: DataFrame, query: str, provider_id: str, snapshot_id: str, section_names: list[str] | None = None) -> DataFrame:
     """Exact spans of ``query``, in either case, in the sections of the snapshot's visible articles."""
     if not query:

@@ -31,6 +31,7 @@ def violations(documents: DataFrame, observations: DataFrame) -> DataFrame:
     return x.withColumn("reason", reason).drop("d_id", "d_text")
 
 
+@C.takes_tables
 def hpo_observations(documents: DataFrame, observations: DataFrame) -> DataFrame:
     """The observations in contract columns; raises with the reason if any breaks a rule."""
     C.columns(documents, ["document_id", "source_text"], "documents")
@@ -42,6 +43,7 @@ def hpo_observations(documents: DataFrame, observations: DataFrame) -> DataFrame
     return observations.select(*COLUMNS)
 
 
+@C.takes_tables
 def hpo_proband_present(observations: DataFrame) -> DataFrame:
     """Accepted observations of the proband itself, in contract columns; unknown contexts and other states are refused."""
     C.columns(observations, COLUMNS, "observations")

@@ -21,6 +21,7 @@ RELATIONS = {
 MAX_BROADCAST_RELEASES = 100_000
 
 
+@C.takes_tables
 def monarch_release_catalog(releases: DataFrame) -> DataFrame:
     C.columns(releases, ["provider_id", "release_id"], "releases")
     x = C.with_defaults(releases, {"effective_date": T.DateType(), "source_ordinal": T.DoubleType()})
@@ -31,6 +32,7 @@ def monarch_release_catalog(releases: DataFrame) -> DataFrame:
     return x
 
 
+@C.takes_tables
 def source_release_catalog(releases: DataFrame) -> DataFrame:
     C.columns(releases, ["provider_id", "release_id", "available_at", "receipt_id"], "releases")
     C.typed(releases, ["available_at"], (T.TimestampType,), "releases")
@@ -62,6 +64,7 @@ def select_release(catalog: DataFrame, provider_id: str, release_id: str | None
     return rows[0]
 
 
+@C.takes_tables
 def source_release_select(releases: DataFrame, provider_id: str, release_id: str | None = None, as_of=None):
     return select_release(source_release_catalog(releases), provider_id, release_id, as_of, time_col="available_at")
 
@@ -93,6 +96,7 @@ def admitted_facts(facts: DataFrame, releases: DataFrame, relation: str) -> tupl
     return x, catalog
 
 
+@C.takes_tables
 def monarch_import(facts: DataFrame, releases: DataFrame, relation: str, table: str | None = None, replace: bool = False) -> DataFrame:
     """Normalized facts of known releases; with ``table`` they are appended to it, or put in its place."""
     rows = admitted_facts(facts, releases, relation)[0].dropDuplicates()
@@ -101,6 +105,7 @@ def monarch_import(facts: DataFrame, releases: DataFrame, relation: str, table:
     return rows
 
 
+@C.takes_tables
 def monarch_query(facts: DataFrame, releases: DataFrame, relation: str, provider_id: str, release_id: str | None = None, as_of=None, as_of_ordinal=None):
     """(facts of the selected release, the release's catalog row)."""
     x, catalog = admitted_facts(facts, releases, relation)
@@ -108,6 +113,7 @@ def monarch_query(facts: DataFrame, releases: DataFrame, relation: str, provider
     return x.where((F.col("provider_id") == provider_id) & (F.col("release_id") == chosen["release_id"])).dropDuplicates(), chosen
 
 
+@C.takes_tables
 def holdout_audit(facts: DataFrame, releases: DataFrame, provider_id: str, train_release_id: str, holdout_release_id: str) -> DataFrame:
     """Facts of the holdout release whose gene, disease and predicate the training release lacks."""
     if train_release_id == holdout_release_id:

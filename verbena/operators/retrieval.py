@@ -30,6 +30,7 @@ def _scope(rows: DataFrame, dim: int, provider: str | None, subject_kind: str |
     return check_widths(x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x)
 
 
+@C.takes_tables
 def embedding_search(rows: DataFrame, query: list[float], provider: str | None = None, subject_kind: str | None = None, top_k: int = 10, metric: str = "cosine") -> DataFrame:
     """The ``top_k`` rows by one of four metrics; ties by subject, kind and provider."""
     if metric not in V.METRICS:
@@ -43,6 +44,7 @@ def embedding_search(rows: DataFrame, query: list[float], provider: str | None =
     return x.orderBy(F.asc("score") if ascending else F.desc("score"), "subject_id", "subject_kind", "provider").limit(top_k)
 
 
+@C.takes_tables
 def embedding_search_block(rows: DataFrame, queries: DataFrame, provider: str | None = None, subject_kind: str | None = None, top_k: int = 10, metric: str = "cosine") -> DataFrame:
     """For each row (query_id, query) the ``top_k`` rows by one of four metrics, as ``embedding_search`` ranks them.
 
@@ -64,13 +66,22 @@ def embedding_search_block(rows: DataFrame, queries: DataFrame, provider: str |
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def materialize_embedding_index(rows: DataFrame, dimensions: int, provider: str | None = None, subject_kind: str | None = None) -> DataFrame:
-    """One width as a relation of its own, in the shared folder; null embeddings stay."""
+@C.takes_tables
+def materialize_embedding_index(rows: DataFrame, dimensions: int, provider: str | None = None, subject_kind: str | None = None, table: str | None = None) -> DataFrame:
+    """One width as a relation of its own, in the shared folder or as ``table``; null embeddings stay.
+
+    Searches over it are exact and take any metric, so it is not bound to one.
+    """
     x = rows.where(F.col("dim") == dimensions)
     x = x.where(F.col("provider") == provider) if provider is not None else x
-    return materialize(x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x, "embedding-index")
+    x = x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x
+    if table is None:
+        return materialize(x, "embedding-index")
+    x.write.mode("overwrite").saveAsTable(C.identifier(table, "table"))
+    return rows.sparkSession.table(table)
 
 
+@C.takes_tables
 def late_interaction_search(rows: DataFrame, query: list[list[float]], provider: str | None = None, subject_kind: str | None = None, top_k: int = 10, candidate_subject_id: list[str] | None = None) -> DataFrame:
     """Blocks of token vectors by the sum, over query tokens, of the best cosine with a block's token.
 

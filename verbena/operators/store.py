@@ -33,6 +33,7 @@ def _replace(spark: SparkSession, name: str, rows: DataFrame, keys: tuple[str, .
     merged.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
 
 
+@C.takes_tables
 def write_graph(spark: SparkSession, nodes: DataFrame | None = None, aliases: DataFrame | None = None, edges: DataFrame | None = None, replace: bool = False, index: bool = True, prefix: str = "semantic") -> None:
     """Adds rows that are absent; with ``replace``, the supplied relations' former rows go.
 
@@ -74,12 +75,14 @@ def _vectors(rows: DataFrame, relation: str) -> DataFrame:
     return x
 
 
+@C.takes_tables
 def write_embeddings(spark: SparkSession, rows: DataFrame, replace: bool = False, prefix: str = "semantic") -> None:
     """Appends vectors of one width; with ``replace``, the same subjects' former vectors go."""
     graph.init(spark, prefix)
     _write_vectors(spark, _vectors(rows, "embeddings"), graph.tables(prefix)["embeddings"], replace)
 
 
+@C.takes_tables
 def write_token_embeddings(spark: SparkSession, rows: DataFrame, replace: bool = False, prefix: str = "semantic") -> None:
     """Appends token vectors; offsets come as pairs, half-open and from zero.
 
@@ -109,6 +112,7 @@ def _write_vectors(spark: SparkSession, rows: DataFrame, name: str, replace: boo
         _append(spark, name, rows)
 
 
+@C.takes_tables
 def record(spark: SparkSession, rows: DataFrame, relation: str, prefix: str = "semantic") -> None:
     """Appends validated mentions or judgments; columns that are missing become null, but a judgment's time is now."""
     graph.init(spark, prefix)
@@ -117,6 +121,7 @@ def record(spark: SparkSession, rows: DataFrame, relation: str, prefix: str = "s
     _append(spark, graph.tables(prefix)[relation], graph.conform(rows, relation))
 
 
+@C.takes_tables
 def annotate(spark: SparkSession, documents: DataFrame, id_col: str = "document_id", text_col: str = "text", longest_match: bool = True, store: bool = False, prefix: str = "semantic") -> DataFrame:
     """Mentions in all documents by the store's aliases; with ``store`` they are recorded, too."""
     graph.init(spark, prefix)
@@ -129,6 +134,7 @@ def annotate(spark: SparkSession, documents: DataFrame, id_col: str = "document_
     return found
 
 
+@C.takes_tables
 def judge(documents: DataFrame, mentions: DataFrame, runner: PromptRunner, context: DataFrame | None = None, instructions: str = prompts.INSTRUCTIONS, model: str = "semantic-runner", store: bool = False, prefix: str = "semantic") -> DataFrame:
     """Judgments of each document's mentions, one prompt and one response a document.
 
