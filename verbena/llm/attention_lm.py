@@ -8,11 +8,11 @@ counts, so probabilities sum to one over the whole vocabulary.
 The model: embeddings of class and position, one causal attention head, a residual sum, a softmax in
 two steps (first a group of about the square root of all classes, then a class inside it).
 Training gathers from every training document: word counts, class bigrams, and windows side by side
-that cover all of its text, so each id is a target once a round.  Embeddings start from the singular vectors of
-the bigram table; then ``rounds`` of local Adam passes over the windows follow, each on
-``trainers`` partitions whose parameters are averaged.  The number of trainers follows the number of
-windows up to ``max_trainers``; their parameters are averaged in ``averages`` groups on executors first,
-so the driver receives that many sets.
+that cover all of its text, so each id is a target once.  Embeddings start from the singular vectors of
+the bigram table; then come ``rounds`` of local Adam passes, each over its share of the windows, so all rounds
+together are one pass over all text.  Windows lie in blocks in the shared folder and are trained on where a task reads
+them, never shuffled; parameters of all tasks (``max_trainers`` at most) are averaged in ``averages`` groups on
+executors first, so the driver receives that many sets.
 
 Scoring: a text is cut into windows of ``width`` ids that overlap by ``overlap``; each id is scored
 once, in the first window that has it beyond the overlap, and windows of many texts go through the
@@ -62,11 +62,11 @@ class Params:
     width: int = 48
     overlap: int = 16
     rounds: int = 4
-    batch: int = 48
+    batch: int = 192
     rate: float = 6e-3
-    windows_per_trainer: int = 4096
+    block_windows: int = 2048
     max_trainers: int = 1024
-    averages: int = 16
+    averages: int = 4
     frequent: int = 50_000
     alpha: float = 0.1
     mixes: tuple[float, ...] = (0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98)
@@ -199,14 +199,15 @@ class Network:
         out[rows] += inside
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy of y (-1: no target)."""
+    def gradients(self, x: np.ndarray, y: np.ndarray, attended: int = 24) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of y (-1: no target).  Attention goes over ``attended`` windows at once, which a cache holds."""
         w, scale = self.w, np.float32(1 / np.sqrt(self.w["E"].shape[1]))
-        h0, qs, ks, vs, a, c, h = self.hidden(x)
+        parts = [self.hidden(x[i : i + attended]) for i in range(0, len(x), attended)]
+        h = np.concatenate([p[-1] for p in parts])
         i, j = np.nonzero(y >= 0)
         rows, y = h[i, j], y[i, j]
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g, d = {k: np.zeros_like(w[k]) for k in ("U", "b")}, np.zeros_like(rows)
+        g, d = {k: np.zeros_like(w[k]) for k in ("U", "b", "Wo", "Wq", "Wk", "Wv")}, np.zeros_like(rows)
 
         def step(x, weights, bias, own):
             """Gradients of weights, bias and x where class ``own`` was right."""
@@ -227,14 +228,18 @@ class Network:
                 d[r] += more
         dh = np.zeros_like(h)
         dh[i, j] = d
-        g["Wo"] = flat(c).T @ flat(dh)
-        dc = dh @ w["Wo"].T
-        da, dv = dc @ vs.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * scale
-        dq, dk = ds @ ks, ds.transpose(0, 2, 1) @ qs
-        dx = dh + dq @ w["Wq"].T + dk @ w["Wk"].T + dv @ w["Wv"].T
-        for name, d in (("Wq", dq), ("Wk", dk), ("Wv", dv)):
-            g[name] = flat(h0).T @ flat(d)
+        dx = dh.copy()
+        for k, (h0, qs, ks, vs, a, c, _) in enumerate(parts):
+            at = slice(k * attended, k * attended + len(h0))
+            g["Wo"] += flat(c).T @ flat(dh[at])
+            dc = (flat(dh[at]) @ w["Wo"].T).reshape(c.shape)
+            da = dc @ vs.transpose(0, 2, 1)
+            da -= (dc * c).sum(axis=2, keepdims=True)  # the sum of da * a over what a position attends to
+            da *= a
+            da *= scale
+            for name, t in (("Wq", da @ ks), ("Wk", da.transpose(0, 2, 1) @ qs), ("Wv", a.transpose(0, 2, 1) @ dc)):
+                g[name] += flat(h0).T @ flat(t)
+                dx[at] += (flat(t) @ w[name].T).reshape(t.shape)
         order = np.argsort(x, axis=None, kind="stable")
         seen = x.ravel()[order]
         starts = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
@@ -245,6 +250,39 @@ class Network:
         return g
 
 
+def bounded_counts(batches: Iterator[pd.DataFrame], held: int = 400_000) -> Iterator[pd.DataFrame]:
+    """Counts of the words of column ``text``, handed on when ``held`` distinct ones have come together."""
+    c: Counter = Counter()
+
+    def rows() -> pd.DataFrame:
+        return pd.DataFrame({"word": [as_text(w) for w in c], "h": pd.Series([word_hash(w) for w in c], dtype="int64"), "c": pd.Series(list(c.values()), dtype="int64")})
+
+    for batch in batches:
+        for text in batch["text"]:
+            c.update(words_lower(text))
+            if len(c) >= held:
+                yield rows()
+                c.clear()
+    yield rows()
+
+
+def packed_rows(table: np.ndarray) -> list[bytes]:
+    """Each row of a table of counts as its nonzero places and their counts."""
+    out = []
+    for row in table:
+        at = np.flatnonzero(row)
+        out.append(np.concatenate([at, row[at]]).tobytes())
+    return out
+
+
+def added_up(pickled: pd.Series, size: int) -> np.ndarray:
+    row = np.zeros(size, np.int64)
+    for part in pickled:
+        at, n = np.frombuffer(part, np.int64).reshape(2, -1)
+        row[at] += n
+    return row
+
+
 def train_pass(net: Network, windows: Iterator[np.ndarray], p: Params) -> int:
     """One Adam pass over windows of inputs and targets in one array (start token first, -1 after the end)."""
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -470,12 +508,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
     train = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")).where(~held_out(F.col("id"), p.folds))
     tuning, train = train.where(fold(F.col("id"), p.folds) == 1).select("text"), train.select("text")
 
-    def counts(batches):
-        for batch in batches:
-            c = Counter(chain.from_iterable(map(words_lower, batch["text"])))
-            yield pd.DataFrame({"word": [as_text(w) for w in c], "h": pd.Series([word_hash(w) for w in c], dtype="int64"), "c": pd.Series(list(c.values()), dtype="int64")})
-
-    words = materialize(train.mapInPandas(counts, "word string, h long, c long").groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c")), "words")
+    words = materialize(train.mapInPandas(bounded_counts, "word string, h long, c long").groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c")), "words")
     n_docs = train.count()
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = words.orderBy(F.desc("c"), "h").limit(p.frequent).toPandas()
@@ -503,7 +536,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
     held = np.int16 if n_classes < 1 << 15 else np.int32
 
     def gather(batches):
-        """The windows of all texts (k = -1) and, at the end, the partition's class bigrams (k >= 0)."""
+        """The windows of all texts in blocks (k = -1) and, at the end, the task's class bigrams by first class (k >= 0)."""
         ids, table = word_ids(p.vocabulary), np.zeros(n_classes * n_classes, np.int64)
         for batch in batches:
             for part in slices(list(batch["text"])):
@@ -514,33 +547,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
                 for i in range(0, len(follows), 1 << 20):
                     table += np.bincount(follows[i : i + (1 << 20)], minlength=len(table))
                 rows = covering(y, np.add.reduceat(n, coded.begin), p.width).astype(held)
-                for i in range(0, len(rows), 10_000):
-                    w = [r.tobytes() for r in rows[i : i + 10_000]]
-                    yield pd.DataFrame({"k": np.full(len(w), -1), "n": np.zeros(len(w), np.int64), "w": w})
-        k = np.flatnonzero(table)
-        yield pd.DataFrame({"k": k, "n": table[k], "w": pd.Series([None] * len(k), dtype=object)})
-
-    gathered = materialize(train.mapInPandas(gather, "k long, n long, w binary"), "gathered")
-    pairs = gathered.where("k >= 0").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # at most classes ** 2 rows
-    table = np.zeros(n_classes * n_classes)
-    table[pairs["k"].to_numpy(np.int64)] = pairs["n"].to_numpy(float)
-    net = Network.start(table.reshape(n_classes, n_classes), p)
-
-    windows = gathered.where("k < 0").select("w", F.monotonically_increasing_id().alias("row"))
-    trainers = min(p.max_trainers, max(1, -(-windows.count() // p.windows_per_trainer)))
-    dealt = windows.repartition(trainers, F.xxhash64("row"))  # copies of a window go to different trainers
-    for _ in range(p.rounds if n_docs else 0):
+                rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]  # neighbours in a text are not neighbours in training
+                blocks = [rows[i : i + p.block_windows].tobytes() for i in range(0, len(rows), p.block_windows)]
+                yield pd.DataFrame({"k": np.full(len(blocks), -1), "w": blocks})
+        yield pd.DataFrame({"k": range(n_classes), "w": packed_rows(table.reshape(n_classes, n_classes))})
+
+    gathered = materialize(train.mapInPandas(gather, "k long, w binary"), "gathered")
+    sums = gathered.where("k >= 0").groupBy("k").applyInPandas(lambda g: pd.DataFrame({"k": g["k"][:1], "w": packed_rows(added_up(g["w"], n_classes)[None])}), "k long, w binary")
+    table = np.zeros((n_classes, n_classes))
+    for r in sums.toPandas().itertuples():  # a row a class
+        table[r.k] = added_up(pd.Series([r.w]), n_classes)
+    net = Network.start(table, p)
+
+    blocks = gathered.where("k < 0").select("w", F.pmod(F.xxhash64("w"), F.lit(p.rounds)).alias("round"))
+    for n_round in range(p.rounds if n_docs else 0):
         shared = spark.sparkContext.broadcast(net)
 
         def local(batches, shared=shared):
             own = Network({k: v.copy() for k, v in shared.value.w.items()}, shared.value.group)
-            blocks = (np.frombuffer(b"".join(batch["w"]), held).astype(np.int64).reshape(-1, p.width + 1) for batch in batches)
-            seen = train_pass(own, blocks, p)
+            windows = (np.frombuffer(w, held).astype(np.int64).reshape(-1, p.width + 1) for batch in batches for w in batch["w"])
+            seen = train_pass(own, windows, p)
             yield pd.DataFrame({"n": [seen], "w": [pickle.dumps(own.w)]})
 
-        parts = dealt.mapInPandas(local, "n long, w binary").where("n > 0").withColumn("g", F.spark_partition_id() % p.averages)
+        parts = blocks.where(F.col("round") == n_round).select("w").coalesce(p.max_trainers).mapInPandas(local, "n long, w binary").where("n > 0").withColumn("g", F.spark_partition_id() % p.averages)
         groups = parts.groupBy("g").applyInPandas(lambda g: average(g["n"], g["w"]), "n long, w binary").toPandas()  # ``averages`` rows at most
-        net = Network(pickle.loads(average(groups["n"], groups["w"])["w"][0]), net.group)
+        if len(groups):
+            net = Network(pickle.loads(average(groups["n"], groups["w"])["w"][0]), net.group)
     n_train = int(total["n"]) + n_docs
     model = Model(net, classes, tail, frequent, n_train, int(total["v"]) + (n_docs > 0), n_docs, p)
     counts = words.select("h", "c")
