@@ -129,3 +129,16 @@ def verdicts(measured: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("verdict") == "kept")).alias("kept"), "ratio", "verdict", "n_chunks", "n_repetitive_chunks", "n_noisy_chunks",
     )
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+n AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+g AS (SELECT r, i, w[i:i + 2] AS v FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+t AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, v) AS c FROM g) WHERE c > 1),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM t, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n.dup, 0) AS n_dup_lines,
+  coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""

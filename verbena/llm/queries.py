@@ -52,9 +52,19 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain patterns' counts alone, as SQL can count them."""
+    return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain quality rules alone, as SQL can count them."""
+    return op6_compression_bands(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = (
     op1_quotation_linking, op2_length_buckets, op3_secret_scan, op4_toxicity_viterbi, op5_attention_scores,
-    op6_compression_bands, op7_license_alignment, op8_simhash_pivots, op9_containment_search, op10_warc_revisits,
+    op6_compression_bands, op7_license_alignment, op8_simhash_pivots, op9_containment_search, op10_warc_revisits, secret_base_counts, quality_base_counts,
 )
 
 
@@ -63,4 +73,6 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op9_containment_search": decontam.ORACLE_SQL, "op10_warc_revisits": warc.ORACLE_SQL}
+    return {
+        "op9_containment_search": decontam.ORACLE_SQL, "op10_warc_revisits": warc.ORACLE_SQL, "secret_base_counts": secrets.BASE_SQL, "quality_base_counts": compression.BASE_SQL,
+    }

@@ -294,3 +294,12 @@ def digest(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+_EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+_NAMES = "|".join(map(_EITHER, ("password", "passwd", "secret", "token"))) + f"|{_EITHER('api')}_?{_EITHER('key')}"
+BASE_SQL = f"""
+SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24)) AS n_hex
+FROM documents
+"""
