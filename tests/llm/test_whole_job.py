@@ -3,6 +3,7 @@
 import base64
 import random
 import time
+import zlib
 from collections import Counter
 from itertools import product
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from verbena.llm import compression, decontam, licenses, packing, quotation, secrets, simhash, toxicity, warc
+from verbena.llm import attention_lm, compression, decontam, licenses, packing, quotation, secrets, simhash, toxicity, warc
 
 from test_llm_operators import KEY, brute_fingerprint, docs, openssh, prose
 
@@ -277,3 +278,26 @@ def test_alignment_equals_the_full_table():
         inside = pairs[-1][1] - pairs[0][1] + 1 - len(pairs) if pairs else 0
         lost = len(template) - len(pairs)
         assert aligned(template, words) <= 2 * len(pairs) - max(inside, 0) and aligned(template, words) >= 2 * len(pairs) - inside - lost
+
+
+def test_attention_beats_bigrams_and_the_base(spark):
+    """Each text keeps to one topic, but every second word tells nothing of it: only what attention looks back to does."""
+    r = random.Random(1)
+    topics = [[f"{a}{b}" for b in "ban dor fil gam".split()] for a in ("ra", "te", "no", "mu")]
+    texts = {i: " ".join(f"{r.choice(t)} and" for t in [r.choice(topics)] for _ in range(30)) for i in range(600)}
+    p = attention_lm.Params(head=60, dim=16, batch=8, rate=2e-2)
+    rows = docs(spark, *texts.items()).repartition(4)
+    model, _ = attention_lm.fit(rows, p=p)
+    held = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 == 0]
+    train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    ids, n = attention_lm.word_ids(p.vocabulary), len(model.net.group)
+    after = lambda y: (np.r_[n - 1, y[:-1]], y)
+    y, tails, *_ = attention_lm.Coded.of(held).pieces(model.classes, model.tail, n - 1, ids)
+    seen = np.zeros((n, n))
+    np.add.at(seen, after(attention_lm.Coded.of(train).pieces(model.classes, model.tail, n - 1, ids)[0]), 1)
+    one = (seen.sum(axis=0) + 0.1) / (seen.sum() + 0.1 * n)
+    bigram = np.log(((seen + 5 * one) / (seen.sum(axis=1, keepdims=True) + 5))[after(y)]).sum() + tails.sum()
+    attention = attention_lm.spelled(attention_lm.Coded.of(held), model, ids).sum()
+    assert attention > bigram * 0.8  # natural logs, below zero
+    got = [x for x in attention_lm.score(rows, p=p).collect() if x["held_out"]]
+    assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got)
