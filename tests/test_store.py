@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from verbena.contracts import ContractError
 from verbena.functions import providers as P
 from verbena.operators import graph, packs, store
@@ -66,20 +68,41 @@ def test_runner(spark):
         P.run_prompts(asked, P.FunctionRunner(lambda ps: [])).collect()
 
 
-def test_pack_views(spark):
-    columns = ["id", "predicate", "negated", *(c + t for c in ("subject", "object") for t in packs.ENDPOINT.values())]
-    edge = lambda i, s, o, sc, oc, neg=None: tuple({"id": i, "predicate": "biolink:p", "negated": neg, "subject": s, "object": o, "subject_category": sc, "object_category": oc, "subject_label": f"l{s}"}.get(c) for c in columns)
+def pack_frames(spark, edges):
+    kinds = {packs.TEXT: "string", packs.TEXTS: "array<string>", packs.NUMBER: "double"}
+    schema = lambda r: ", ".join(f"{c} {kinds[k]}" for k, names in packs.CONTRACT[r].items() for c in names.split())
+    names = [c for n in packs.CONTRACT["denormalized_edges"].values() for c in n.split()]
+    pack = {r: spark.createDataFrame([], schema(r)) for r in packs.RELATIONS}
+    pack["denormalized_edges"] = spark.createDataFrame([tuple(e.get(c) for c in names) for e in edges], schema("denormalized_edges"))
+    pack["nodes"] = spark.createDataFrame([("x", "c", "n", "s", [], [])], schema("nodes"))
+    return pack
+
+
+def test_pack_views(spark, tmp_path):
+    edge = lambda i, s, o, sc, oc, neg=None: {"id": i, "predicate": "biolink:p", "negated": neg, "subject": s, "object": o, "subject_category": sc, "object_category": oc, "subject_label": f"l{s}", "subject_closure": ["z"]}
     gene, disease = "biolink:Gene", "biolink:Disease"
-    edges = spark.createDataFrame([edge("1", "G", "D", gene, disease), edge("2", "D", "G", disease, gene), edge("3", "G", "D", gene, disease, "true"), edge("4", None, "D", gene, disease), edge("5", "G", "H", gene, gene)], ", ".join(f"{c} string" for c in columns))
-    pack = {"denormalized_edges": edges} | {k: spark.createDataFrame([("x",)], "id string") for k in packs.RELATIONS[1:]}
+    pack = pack_frames(spark, [edge("1", "G", "D", gene, disease), edge("2", "D", "G", disease, gene), edge("3", "G", "D", gene, disease, "true"), edge("4", None, "D", gene, disease), edge("5", "G", "H", gene, gene), edge("6", "G", "D", gene, disease, "t")])
     releases = spark.createDataFrame([("r1", "p", 1.0)], "release_id string, provider_id string, source_ordinal double").selectExpr("*", "date'2025-01-01' AS effective_date")
     names = packs.project_pack(spark, pack, releases, "p", "r1", "vp")
-    assert names.count() == 7 and spark.table("vp_nodes").first()[:] == ("x", "p", "r1")
+    assert names.count() == 7 and [spark.table("vp_nodes").first()[c] for c in ("id", "provider_id", "release_id")] == ["x", "p", "r1"]
     rows = {r["edge_id"]: r for r in spark.table("vp_gene_disease").collect()}
-    assert [rows[k]["role_status"] for k in "12345"] == ["supported_subject_to_object", "supported_object_to_subject", "negated", "missing_endpoint", "unsupported_orientation"]
+    assert [rows[k]["association_status"] for k in "123456"] == ["supported_subject_to_object", "supported_object_to_subject", "negated", "missing_endpoint", "unsupported_orientation", "malformed_negation"]
     assert [(rows[k]["gene_id"], rows[k]["disease_id"], rows[k]["source_direction"]) for k in "123"] == [("G", "D", "subject_to_object"), ("G", "D", "object_to_subject"), (None, None, None)]
-    assert rows["2"]["disease_label"] == "lD" and rows["2"]["source_subject"] == "D"
-    for bad in ({"release_id": "latest"}, {"release_id": "r2"}, {"pack": {"nodes": edges}}, {"pack": pack | {"denormalized_edges": edges.drop("negated")}}):
+    assert rows["2"]["disease_label"] == "lD" and rows["2"]["source_subject"] == "D" and rows["1"]["gene_closure"] == ["z"]
+    edges = pack["denormalized_edges"]
+    broken = ({"nodes": edges}, pack | {"denormalized_edges": edges.drop("negated")}, pack | {"denormalized_edges": edges.withColumn("negated", F.lit(True))}, pack | {"information_content": pack["information_content"].withColumn("ic", F.lit("1"))})
+    for bad in ({"release_id": "latest"}, {"release_id": "r2"}, *({"pack": b} for b in broken)):
         with pytest.raises(ContractError):
             packs.project_pack(spark, **({"pack": pack, "releases": releases, "provider_id": "p", "release_id": "r1", "prefix": "vq"} | bad))
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("vq")]
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS verbena_pack LOCATION '{tmp_path}/pack'")
+    try:
+        for name, df in pack.items():
+            df.write.saveAsTable(f"verbena_pack.{name}")
+        releases.createOrReplaceTempView("pack_releases")
+        assert packs.project_pack(spark, packs.attached_pack(spark, "verbena_pack"), "pack_releases", "p", "r1", "va").count() == 7
+        assert spark.table("va_associations").count() == 6
+        with pytest.raises(ContractError, match="current"):
+            packs.attached_pack(spark, spark.catalog.currentDatabase())
+    finally:
+        spark.sql("DROP DATABASE verbena_pack CASCADE")

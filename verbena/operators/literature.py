@@ -12,14 +12,18 @@ from verbena.functions import text as X
 VERSION_KEY = ["provider_id", "article_id", "pmid", "version_id", "source_ordinal"]
 
 
-def visible_versions(articles: DataFrame, high_water_ordinal: int) -> DataFrame:
-    """The last event of each article up to the cutoff, without deleted ones (partial aggregation, no window)."""
+def last_events(articles: DataFrame) -> DataFrame:
+    """The last event of each article (partial aggregation, no window)."""
     rest = [c for c in articles.columns if c not in ("provider_id", "article_id")]
-    last = articles.where(F.col("source_ordinal") <= high_water_ordinal).groupBy("provider_id", "article_id").agg(F.max_by(F.struct(*rest), "source_ordinal").alias("v"))
-    return last.select("provider_id", "article_id", *(F.col(f"v.{c}").alias(c) for c in rest)).where(~F.col("is_deleted"))
+    last = articles.groupBy("provider_id", "article_id").agg(F.max_by(F.struct(*rest), "source_ordinal").alias("v"))
+    return last.select("provider_id", "article_id", *(F.col(f"v.{c}").alias(c) for c in rest))
+
+
+def visible_versions(articles: DataFrame, high_water_ordinal: int) -> DataFrame:
+    """The last event of each article up to the cutoff, without deleted ones."""
+    return last_events(articles.where(F.col("source_ordinal") <= high_water_ordinal)).where(~F.col("is_deleted"))
 
 
-@C.takes_tables
 def literature_snapshot_catalog(snapshots: DataFrame) -> DataFrame:
     """Snapshots by provider and id with their cutoff; ``effective_at`` is optional."""
     C.columns(snapshots, ["provider_id", "snapshot_id", "high_water_ordinal"], "snapshots")
