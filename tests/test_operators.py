@@ -149,6 +149,25 @@ def test_release_contracts(spark):
             literature.literature_snapshot_catalog(bad)
 
 
+def test_block_of_late_interactions_equals_one_a_query(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(f"b{i // 4}", f"s{i // 4}", "node", "p", i % 4, "t", 3, [r.uniform(-1, 1) for _ in range(3)]) for i in range(80)]
+    x = spark.createDataFrame(rows, "block_id string, subject_id string, subject_kind string, provider string, token_index int, token string, dim int, embedding array<float>").repartition(3)
+    asked = {q: [[r.uniform(-1, 1) for _ in range(3)] for _ in range(1 + q)] for q in range(3)}
+    queries = spark.createDataFrame([(q, k, v) for q, tokens in asked.items() for k, v in enumerate(tokens)], "query_id int, query_token int, query array<double>")
+    got = retrieval.late_interaction_search_block(x, queries, top_k=5).orderBy("query_id", "rank").collect()
+    for q, tokens in asked.items():
+        want = retrieval.late_interaction_search(x, tokens, top_k=5).collect()
+        assert [(g["block_id"], g["candidate_token_count"], g["query_token_count"]) for g in got if g["query_id"] == q] == [(w["block_id"], 4, len(tokens)) for w in want]
+        assert [g["score"] for g in got if g["query_id"] == q] == pytest.approx([w["score"] for w in want])
+    with pytest.raises(C.ContractError, match="non-zero"):
+        retrieval.late_interaction_search_block(x, queries.selectExpr("query_id", "query_token", "array(0D, 0D, 0D) AS query"))
+    x.createOrReplaceTempView("token_rows")
+    assert retrieval.late_interaction_search_block("token_rows", queries, top_k=1).count() == 3
+
+
 def test_observation_rules(spark):
     d = spark.createDataFrame([("d", "Patient has seizures.")], "document_id string, source_text string")
     row = ("d", "HP:0001250", 12, 20, "seizures", "present", "m", "p", "1", 0.9, "accepted")

@@ -17,6 +17,13 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts, dealt over all task slots where they lie in fewer files than that (a file may be one split)."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    slots = spark.sparkContext.defaultParallelism
+    return d.repartition(slots) if len(d.inputFiles()) < slots else d
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _t(spark, sf_dir, "embeddings")
     return x.select(F.format_string("%09d", F.col("vec_id")).alias("subject_id"), F.lit("node").alias("subject_kind"), F.concat(F.lit("label"), F.col("label")).alias("provider"), F.size("embedding").alias("dim"), "embedding", "vec_id", "label")
@@ -69,7 +76,7 @@ def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.tokens(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    t = X.tokens(spread_texts(spark, sf_dir), "doc_id", "text")
     return t.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_tokens"), F.sum(F.col("start_offset").cast("long")).alias("starts"), F.sum(F.col("end_offset").cast("long")).alias("ends"))
 
 
@@ -90,7 +97,7 @@ def benchmark_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents annotated with the benchmark's first three words as aliases."""
-    found = graph.annotate(_t(spark, sf_dir, "documents").select("doc_id", "text"), graph.alias_index(benchmark_aliases(spark, sf_dir)), "doc_id", "text")
+    found = graph.annotate(spread_texts(spark, sf_dir), graph.alias_index(benchmark_aliases(spark, sf_dir)), "doc_id", "text")
     return found.select(F.col("document_id").alias("doc_id"), "node_id", "start_offset", "end_offset")
 
 

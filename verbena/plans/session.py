@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions import vectors as V
 from verbena.functions.providers import FunctionRunner
-from verbena.operators import contributions, evidence, graph, observations, prompts, releases, store
+from verbena.operators import contributions, evidence, graph, observations, prompts, releases, retrieval, store
 from verbena.operators.judgments import read_json
 
 
@@ -95,6 +95,14 @@ def maxsim_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("block", F.round(V.maxsim(F.array(*(F.array(*map(F.lit, t)) for t in q)), F.col("d")), 5).alias("score"))
 
 
+def late_interaction_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, with the two after it, as a query against all blocks of eight vectors."""
+    x = _t(spark, sf_dir, "embeddings")
+    queries = x.where("vec_id % 50 < 3").select((F.col("vec_id") - F.col("vec_id") % 50).alias("query_id"), (F.col("vec_id") % 50).alias("query_token"), F.col("embedding").alias("query"))
+    rows = x.select(F.lit("p").alias("provider"), F.lit("node").alias("subject_kind"), F.format_string("%09d", F.floor(F.col("vec_id") / 8)).alias("subject_id"), F.floor(F.col("vec_id") / 8).alias("block_id"), F.size("embedding").alias("dim"), "embedding")
+    return retrieval.late_interaction_search_block(rows, queries, top_k=10).select("query_id", "block_id", F.round("score", 5).alias("score"), "candidate_token_count")
+
+
 def observation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One context after the other, known and unknown ones, and whether the contract takes it."""
     d = _t(spark, sf_dir, "documents").where("length(text) > 3").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("source_text"), "doc_id")
@@ -115,9 +123,9 @@ def negation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every mention with its identity and its span as written."""
-    from verbena.plans.queries import benchmark_aliases
+    from verbena.plans.queries import benchmark_aliases, spread_texts
 
-    found = graph.annotate(_t(spark, sf_dir, "documents").select("doc_id", "text"), graph.alias_index(benchmark_aliases(spark, sf_dir)), "doc_id", "text")
+    found = graph.annotate(spread_texts(spark, sf_dir), graph.alias_index(benchmark_aliases(spark, sf_dir)), "doc_id", "text")
     return found.select(F.col("document_id").alias("doc_id"), "mention_id", F.sha2("span", 256).alias("span_sha256"), "score", "method")
 
 
@@ -190,7 +198,7 @@ def contribution_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    session_receipts, session_replaced_terms, session_mechanisms, session_scores, session_evidence, session_cited_references, session_best_cited, session_disease_terms, maxsim_token_blocks,
+    session_receipts, session_replaced_terms, session_mechanisms, session_scores, session_evidence, session_cited_references, session_best_cited, session_disease_terms, maxsim_token_blocks, late_interaction_block,
     observation_contexts, negation_words, lexical_mentions, judged_mentions, contribution_terms, contribution_records, contribution_associations,
 )
 
@@ -231,6 +239,11 @@ SELECT v.mechanism, v.reference, u.value AS supports, v.field_path FROM v JOIN b
         "maxsim_token_blocks": """
 WITH s AS (SELECT e.vec_id // 8 AS block, q.vec_id AS qi, max(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS best FROM embeddings e, embeddings q WHERE q.vec_id < 4 GROUP BY 1, 2)
 SELECT block, round(sum(best), 5) AS score FROM s GROUP BY 1""",
+        "late_interaction_block": """
+WITH q AS (SELECT vec_id - vec_id % 50 AS query_id, vec_id % 50 AS t, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 < 3),
+b AS (SELECT query_id, t, vec_id // 8 AS block_id, max(list_cosine_similarity(embedding::DOUBLE[], q)) AS s, count(*) AS n FROM embeddings, q GROUP BY 1, 2, 3),
+x AS (SELECT query_id, block_id, sum(s) AS score, max(n) AS n FROM b GROUP BY 1, 2)
+SELECT query_id, block_id, round(score, 5) AS score, n AS candidate_token_count FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) <= 10""",
         "observation_contexts": """
 SELECT ['present', 'absent/negated', 'family_history', 'uncertain', 'conflict', 'unsupported', 'historical', 'family'][doc_id % 8 + 1] AS context_status, doc_id % 8 < 6 AS taken, count(*) AS n FROM documents WHERE length(text) > 3 GROUP BY 1, 2""",
         "negation_words": "SELECT o_orderkey, ['negated', 'negated', 'not_negated', 'malformed', 'malformed', 'malformed', 'malformed', 'not_provided', 'malformed'][o_orderkey % 9 + 1] AS negation_status FROM orders",
