@@ -64,7 +64,7 @@ class Params:
     rounds: int = 4
     batch: int = 192
     rate: float = 6e-3
-    block_windows: int = 2048
+    block_windows: int = 32
     max_trainers: int = 1024
     averages: int = 4
     frequent: int = 50_000
@@ -250,7 +250,7 @@ class Network:
         return g
 
 
-def bounded_counts(batches: Iterator[pd.DataFrame], held: int = 400_000) -> Iterator[pd.DataFrame]:
+def bounded_counts(batches: Iterator[pd.DataFrame], held: int = 200_000) -> Iterator[pd.DataFrame]:
     """Counts of the words of column ``text``, handed on when ``held`` distinct ones have come together."""
     c: Counter = Counter()
 
