@@ -283,6 +283,14 @@ def added_up(pickled: pd.Series, size: int) -> np.ndarray:
     return row
 
 
+def unpacked(batches: Iterator[pd.DataFrame], held: type, p: Params) -> Iterator[np.ndarray]:
+    """Windows out of the blocks of column ``w``, sixteen training batches at once."""
+    for batch in batches:
+        rows = np.frombuffer(b"".join(batch["w"]), held).reshape(-1, p.width + 1)
+        for i in range(0, len(rows), 16 * p.batch):
+            yield rows[i : i + 16 * p.batch].astype(np.int64)
+
+
 def train_pass(net: Network, windows: Iterator[np.ndarray], p: Params) -> int:
     """One Adam pass over windows of inputs and targets in one array (start token first, -1 after the end)."""
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -565,8 +573,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
 
         def local(batches, shared=shared):
             own = Network({k: v.copy() for k, v in shared.value.w.items()}, shared.value.group)
-            windows = (np.frombuffer(w, held).astype(np.int64).reshape(-1, p.width + 1) for batch in batches for w in batch["w"])
-            seen = train_pass(own, windows, p)
+            seen = train_pass(own, unpacked(batches, held, p), p)
             yield pd.DataFrame({"n": [seen], "w": [pickle.dumps(own.w)]})
 
         parts = blocks.where(F.col("round") == n_round).select("w").coalesce(p.max_trainers).mapInPandas(local, "n long, w binary").where("n > 0").withColumn("g", F.spark_partition_id() % p.averages)
