@@ -46,7 +46,8 @@ def test_graph_writes(spark, tmp_path):
         assert spark.table("o_nodes").count() == 2 and spark.table("o_edges").count() == 1
         texts = spark.createDataFrame([("d1", "Short stature, stature"), ("d2", "none")], "document_id string, text string")
         mentions = store.annotate(spark, texts, store=True, prefix="o")
-        assert spark.table("o_mentions").count() == mentions.count() == 2 and graph.ground(spark, "stature", prefix="o").first()["mention_id"] == "mention:000001"
+        assert spark.table("o_mentions").count() == mentions.count() == 2 and graph.LexicalAnnotator().ground(spark, "stature", prefix="o").first()["mention_id"] == "mention:000001"
+        assert isinstance(graph.LexicalAnnotator(), P.Annotator)
         said = '[{"mention_id": "d1:000002", "decision": "keep"}, {"mention_id": "d1:000005", "decision": "replace", "replacement_node_id": "T:9"}]'
         context = spark.createDataFrame([("d1", "T:9")], "document_id string, node_id string")
         judged = store.judge(texts, mentions, P.FunctionRunner(lambda ps: [said] * len(ps)), context, store=True, prefix="o")

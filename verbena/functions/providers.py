@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from verbena.contracts import ContractError
 
@@ -36,6 +36,11 @@ class JudgmentParser(Protocol):
     def parse(self, response: str) -> list[dict]: ...
 
 
+@runtime_checkable
+class Annotator(Protocol):
+    def ground(self, spark: SparkSession, text: str, document_id: str | None = None, prefix: str = "semantic", longest_match: bool = True) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class FunctionRunner:
     """A function of prompts as a runner."""

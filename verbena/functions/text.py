@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,23 +20,18 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+SPAN = T.StructType([T.StructField("token_index", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("normalized", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType())])
+
+
 def token_spans(text: Column) -> Column:
-    """array<struct<token_index,token,normalized,start_offset,end_offset>> of the alphanumeric runs.
+    """array<struct<token_index,token,normalized,start_offset,end_offset>> of the alphanumeric runs; null for null."""
 
-    Offsets are prefix sums over runs and the gaps before them, so no character loop is needed.
-    """
-    tokens = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1)
-    gaps = F.split(text, "[A-Za-z0-9]+", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token_index:int,token:string,normalized:string,start_offset:int,end_offset:int>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["g"])
-        end = start + F.length(x["t"])
-        span = F.struct((F.size(s["out"]) + 1).alias("token_index"), x["t"].alias("token"), F.lower(x["t"]).alias("normalized"), start.alias("start_offset"), end.alias("end_offset"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out"))
-
-    paired = F.zip_with(tokens, F.slice(gaps, F.lit(1), F.size(tokens)), lambda t, g: F.struct(t.alias("t"), g.alias("g")))
-    return F.aggregate(paired, zero, step, lambda s: s["out"])
+    @F.pandas_udf(T.ArrayType(SPAN))
+    def spans(texts: pd.Series) -> pd.Series:
+        found = lambda t: [(i, m[0], m[0].lower(), m.start(), m.end()) for i, m in enumerate(_RUN.finditer(t), 1)]
+        return pd.Series([None if t is None else [dict(zip(SPAN.names, x, strict=True)) for x in found(t)] for t in texts], dtype=object)
+
+    return spans(text)
 
 
 def _token_rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:

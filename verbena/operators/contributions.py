@@ -35,12 +35,18 @@ SCHEMAS = (
     ("monarch", "https://github.com/biolink/biolink-model", "v4.4.6; monarch-ingest 289efde68e817beeced342a5c80ba91cf0d53116", "biolink-model.yaml; KGX edge TSV"),
 )
 
+SCOPES = {
+    "mondo": "fields of the pinned issue templates and a supporting citation", "dismech": "pinned disease, pathophysiology and evidence fields with their values",
+    "monarch": "pinned association predicates and provenance values",
+}
+
 Rules = list[tuple[str, Column]]
 
 
 def schema(spark: SparkSession, target: str) -> DataFrame:
     """The pinned schemas of a target; the target's own checks are still due before a submission, which is not made here."""
-    return spark.createDataFrame([s for s in SCHEMAS if s[0] == target], "target string, schema_uri string, schema_revision string, schema_path string")
+    rows = [(*s, f"{SCOPES[target]}; the target's own review comes after, and nothing is submitted") for s in SCHEMAS if s[0] == target]
+    return spark.createDataFrame(rows, "target string, schema_uri string, schema_revision string, schema_path string, validation_scope string")
 
 
 def gate_violations(hypotheses: DataFrame, sources: DataFrame) -> DataFrame:

@@ -162,8 +162,11 @@ def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id"
     return out.orderBy("document_id", "start_offset", F.desc("end_offset"), "node_id") if ordered else out
 
 
-def ground(spark: SparkSession, text: str, document_id: str | None = None, prefix: str = "semantic", longest_match: bool = True) -> DataFrame:
-    """Mentions in one text by a store's alias index, in text order: the default annotator."""
-    index = spark.table(f"{C.identifier(prefix)}_alias_index")
-    one = spark.createDataFrame([(document_id, text)], "document_id string, text string")
-    return annotate(one, index, longest_match=longest_match, ordered=True)
+class LexicalAnnotator:
+    """The default annotator: mentions by a store's alias index."""
+
+    def ground(self, spark: SparkSession, text: str, document_id: str | None = None, prefix: str = "semantic", longest_match: bool = True) -> DataFrame:
+        """Mentions in one text, in text order."""
+        index = spark.table(f"{C.identifier(prefix)}_alias_index")
+        one = spark.createDataFrame([(document_id, text)], "document_id string, text string")
+        return annotate(one, index, longest_match=longest_match, ordered=True)

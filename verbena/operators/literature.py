@@ -46,6 +46,7 @@ def literature_retrieve(articles: DataFrame, sections: DataFrame, snapshots: Dat
     snapshots = literature_snapshot_catalog(snapshots)
     C.check(articles, [*C.required_text("provider_id", "article_id", "pmid", "version_id"), ("source_ordinal must be present", F.col("source_ordinal").isNull()), ("is_deleted must be present", F.col("is_deleted").isNull())], "articles")
     C.unique_each(articles, (["provider_id", "article_id", "version_id"], ["provider_id", "article_id", "source_ordinal"]), "articles")
+    C.check(sections, [*C.required_text("provider_id", "article_id", "pmid", "version_id", "section", "text"), ("source_ordinal must be present", F.col("source_ordinal").isNull())], "sections")
     C.contained(sections, articles, VERSION_KEY, "sections must bind a supplied article version")
     s = snapshots.where((F.col("provider_id") == provider_id) & (F.col("snapshot_id") == snapshot_id)).take(2)
     if len(s) != 1:
