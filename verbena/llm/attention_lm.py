@@ -263,7 +263,8 @@ def bounded_counts(batches: Iterator[pd.DataFrame], held: int = 200_000) -> Iter
             if len(c) >= held:
                 yield rows()
                 c.clear()
-    yield rows()
+    if c:  # a frame without rows has no column types
+        yield rows()
 
 
 def packed_rows(table: np.ndarray) -> list[bytes]:
