@@ -301,3 +301,14 @@ def test_attention_beats_bigrams_and_the_base(spark):
     assert attention > bigram * 0.8  # natural logs, below zero
     got = [x for x in attention_lm.score(rows, p=p).collect() if x["held_out"]]
     assert sum(x["score"] for x in got) > sum(x["base_score"] for x in got)
+
+
+def test_partitions_without_rows(spark):
+    """Every operator over more partitions than rows."""
+    rows = docs(spark, (1, prose(1, 30)), (2, prose(2, 30)), (3, "")).repartition(7)
+    p = attention_lm.Params(head=30, dim=8)
+    assert attention_lm.score(rows, p=p).count() == 3
+    assert toxicity.score(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").repartition(5)).count() == 3
+    assert packing.pack(rows).count() == 3 and simhash.near_duplicates(rows).count() == 3
+    assert compression.verdicts(compression.compression_bands(rows)).count() == 3 and secrets.digest(secrets.find_secrets(rows)).count() == 3
+    assert licenses.scan_licenses(rows).count() == 0
