@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, compression, decontam, licenses, packing, quotation, secrets, simhash, toxicity, warc
+from . import attention_lm, compression, decontam, divergence, importance, licenses, packing, quotation, secrets, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain patterns' counts alone, as SQL can count them."""
     return op3_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
@@ -64,7 +76,8 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     op1_quotation_linking, op2_length_buckets, op3_secret_scan, op4_toxicity_viterbi, op5_attention_scores,
-    op6_compression_bands, op7_license_alignment, op8_simhash_pivots, op9_containment_search, op10_warc_revisits, secret_base_counts, quality_base_counts,
+    op6_compression_bands, op7_license_alignment, op8_simhash_pivots, op9_containment_search, op10_warc_revisits,
+    op11_source_divergence, op12_importance_resampling, op13_token_counts, secret_base_counts, quality_base_counts,
 )
 
 
@@ -75,4 +88,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def llm_oracle_sql() -> dict[str, str]:
     return {
         "op9_containment_search": decontam.ORACLE_SQL, "op10_warc_revisits": warc.ORACLE_SQL, "secret_base_counts": secrets.BASE_SQL, "quality_base_counts": compression.BASE_SQL,
+        "op11_source_divergence": divergence.ORACLE_SQL, "op12_importance_resampling": importance.ORACLE_SQL,
     }
