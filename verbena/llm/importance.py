@@ -42,8 +42,8 @@ class Params:
     percent: int = 25
     min_words: int = 20
     seed: int = 7
-    block_entries: int = 262_144
-    block_docs: int = 4_096
+    block_entries: int = 65_536
+    block_docs: int = 1_024
 
 
 def features(text: bytes, buckets: int) -> tuple[int, np.ndarray]:
@@ -62,12 +62,17 @@ def features(text: bytes, buckets: int) -> tuple[int, np.ndarray]:
     return n, row
 
 
+def _narrow(most: int) -> type:
+    """The unsigned kind that holds numbers up to ``most``."""
+    return next(kind for kind in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(kind).max)
+
+
 def _packed(batches: Iterator[pa.RecordBatch], p: Params, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     ids, words, ends, columns, counts = [], [], [0], [], []
-    small = np.uint16 if p.buckets <= 1 << 16 else np.uint32
 
     def block() -> pa.RecordBatch:
-        parts = [[ids], [words], [np.array(ends, np.int64).tobytes()], [np.concatenate(columns).astype(small).tobytes()], [np.concatenate(counts).tobytes()]]
+        n = np.concatenate(counts)
+        parts = [[ids], [words], [np.array(ends, np.int64).tobytes()], [np.concatenate(columns).astype(_narrow(p.buckets - 1)).tobytes()], [n.astype(_narrow(n.max(initial=0))).tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(parts, schema, strict=True)], schema=schema)
 
     for batch in batches:
@@ -89,7 +94,8 @@ def _packed(batches: Iterator[pa.RecordBatch], p: Params, schema: pa.Schema) ->
 def csr_blocks(docs: DataFrame, id_col: str, text_col: str, p: Params = Params()) -> DataFrame:
     """The matrix as rows (doc_ids, n_words, ends, columns, counts), persisted in the shared folder.
 
-    ``ends`` holds int64 row pointers, ``columns`` unsigned bucket numbers in ascending order by document and ``counts`` int64.
+    ``ends`` holds int64 row pointers, ``columns`` bucket numbers in ascending order by document and ``counts``
+    their features, both as unsigned integers no wider than a block needs.
     """
     x = docs.select(F.col(q(id_col)), F.coalesce(F.col(q(text_col)).cast("string"), F.lit("")).cast("binary"))
     binary = [T.StructField(c, T.BinaryType()) for c in ("ends", "columns", "counts")]
@@ -100,9 +106,10 @@ def csr_blocks(docs: DataFrame, id_col: str, text_col: str, p: Params = Params()
 
 def _csr(batch: pa.RecordBatch, k: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ends, columns and counts of row ``k``, the last three columns of ``batch``."""
-    kinds = (np.int64, np.uint16 if p.buckets <= 1 << 16 else np.uint32, np.int64)
-    ends, columns, counts = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in zip((-3, -2, -1), kinds, strict=True))
-    return ends, columns, counts
+    ends, columns, counts = (batch.column(c)[k].as_buffer() for c in (-3, -2, -1))
+    at = np.frombuffer(columns, _narrow(p.buckets - 1))
+    width = len(counts) // max(1, len(at))
+    return np.frombuffer(ends, np.int64), at, np.frombuffer(counts, f"u{width or 1}").astype(np.int64)
 
 
 def column_sums(blocks: DataFrame, p: Params = Params()) -> np.ndarray:
@@ -113,7 +120,7 @@ def column_sums(blocks: DataFrame, p: Params = Params()) -> np.ndarray:
         for batch in batches:
             for k in range(batch.num_rows):
                 _, columns, counts = _csr(batch, k, p)
-                np.add.at(total, columns, counts)
+                total += np.bincount(columns, counts, p.buckets).astype(np.int64)  # a block's sums are exact as doubles
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
