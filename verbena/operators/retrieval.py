@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from verbena import contracts as C
 from verbena.functions import vectors as V
+from verbena.operators import vector_index
 from verbena.shared import materialize
 
+#: Doubles of query vectors (1 MB) up to which they are broadcast; beyond, queries and rows meet in tiles.
+MAX_BROADCAST_DOUBLES = 1 << 17
+
 
 def check_embeddings(rows: DataFrame) -> None:
     C.columns(rows, ["subject_id", "subject_kind", "provider", "dim", "embedding"], "embeddings")
@@ -48,7 +52,8 @@ def embedding_search(rows: DataFrame, query: list[float], provider: str | None =
 def embedding_search_block(rows: DataFrame, queries: DataFrame, provider: str | None = None, subject_kind: str | None = None, top_k: int = 10, metric: str = "cosine") -> DataFrame:
     """For each row (query_id, query) the ``top_k`` rows by one of four metrics, as ``embedding_search`` ranks them.
 
-    Each partition keeps its own ``top_k`` of a query before rows are dealt by query.
+    Few queries are broadcast, and each partition keeps its own ``top_k`` of a query before rows are dealt by query.
+    Beyond ``MAX_BROADCAST_DOUBLES`` queries and rows meet in tiles and nothing is broadcast.
     """
     if metric not in V.METRICS:
         raise C.ContractError(f"metric must be one of {', '.join(V.METRICS)}")
@@ -61,6 +66,8 @@ def embedding_search_block(rows: DataFrame, queries: DataFrame, provider: str |
     x = x.where(F.col("provider") == provider) if provider is not None else x
     x = x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x
     x = check_widths(x)
+    if queries.agg(F.coalesce(F.sum(F.size("query")), F.lit(0))).first()[0] > MAX_BROADCAST_DOUBLES:
+        return vector_index.search_tiles(x, queries, metric, top_k)
     each = x.join(F.broadcast(queries.select("query_id", "query")), F.col("dim") == F.size("query")).withColumn("score", score(F.col("embedding"), F.col("query"))).drop("query")
     order = Window.partitionBy("query_id").orderBy(F.asc("score") if ascending else F.desc("score"), "subject_id", "subject_kind", "provider")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
@@ -70,7 +77,7 @@ def embedding_search_block(rows: DataFrame, queries: DataFrame, provider: str |
 def materialize_embedding_index(rows: DataFrame, dimensions: int, provider: str | None = None, subject_kind: str | None = None, table: str | None = None) -> DataFrame:
     """One width as a relation of its own, in the shared folder or as ``table``; null embeddings stay.
 
-    Searches over it are exact and take any metric, so it is not bound to one.
+    Searches over it are exact and take any metric, so it is not bound to one; ``approximate_index`` is the form that is.
     """
     x = rows.where(F.col("dim") == dimensions)
     x = x.where(F.col("provider") == provider) if provider is not None else x
@@ -81,6 +88,14 @@ def materialize_embedding_index(rows: DataFrame, dimensions: int, provider: str
     return rows.sparkSession.table(table)
 
 
+@C.takes_tables
+def approximate_index(rows: DataFrame, dimensions: int, provider: str | None = None, subject_kind: str | None = None, metric: str = "cosine", path: str | None = None) -> vector_index.VectorIndex:
+    """An inverted file over one width for one metric, see ``vector_index``; ``vector_index.search`` asks it."""
+    if metric not in V.METRICS:
+        raise C.ContractError(f"metric must be one of {', '.join(V.METRICS)}")
+    return vector_index.build(_scope(rows, dimensions, provider, subject_kind), dimensions, metric, path)
+
+
 @C.takes_tables
 def late_interaction_search(rows: DataFrame, query: list[list[float]], provider: str | None = None, subject_kind: str | None = None, top_k: int = 10, candidate_subject_id: list[str] | None = None) -> DataFrame:
     """Blocks of token vectors by the sum, over query tokens, of the best cosine with a block's token.

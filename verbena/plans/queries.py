@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions import text as X
 from verbena.functions import vectors as V
-from verbena.operators import graph, hypotheses, judgments, literature, observations, prompts, releases, retrieval
+from verbena.operators import graph, hypotheses, judgments, literature, observations, prompts, releases, retrieval, vector_index
 from verbena.plans import session
 
 
@@ -52,6 +52,38 @@ def _search_block(metric: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _query_block(x: DataFrame) -> DataFrame:
+    return x.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _search_tiles(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The searches of ``search_block``, by tiles."""
+        x = _vectors(spark, sf_dir)
+        return vector_index.search_tiles(x, _query_block(x), metric, 10).select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def _search_index(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The searches of ``search_block``, by an inverted file in exact mode."""
+        x = _vectors(spark, sf_dir)
+        found = vector_index.search(retrieval.approximate_index(x, 64, metric=metric), _query_block(x), 10)
+        return found.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"))
+
+    return run
+
+
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each query's true ten the inverted file finds in approximate mode."""
+    x = _vectors(spark, sf_dir)
+    queries = _query_block(x)
+    found = vector_index.search(retrieval.approximate_index(x, 64), queries, 10, exact=False)
+    true = vector_index.search_tiles(x, queries, "cosine", 10).select("query_id", "vec_id", F.lit(1).alias("true"))
+    return found.join(true, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_found"), F.count("true").alias("n_true"))
+
+
 flagship = _search("cosine")
 
 
@@ -207,7 +239,8 @@ def judgment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"search_{m}": _search(m) for m in V.METRICS} | {f"search_block_{m}": _search_block(m) for m in V.METRICS}
-    named = (late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
+    out |= {f"search_tiles_{m}": _search_tiles(m) for m in V.METRICS} | {f"search_index_{m}": _search_index(m) for m in V.METRICS}
+    named = (index_recall, late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
     return out | {f.__name__: f for f in (*named, *session.QUERIES)}
 
 
@@ -230,9 +263,9 @@ def oracle_sql() -> dict[str, str]:
         f"search_{m}": f"SELECT vec_id, label, round({s}, 6) AS score FROM embeddings e, (SELECT {_QUERY} AS q) ORDER BY {s} {d}, vec_id LIMIT 10" for m, (s, d) in _SCORES.items()
     }
     out |= {
-        f"search_block_{m}": f"""
+        f"{how}_{m}": f"""
 WITH b AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)
-SELECT query_id, vec_id, label, round({s}, 6) AS score FROM embeddings e, b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s} {d}, vec_id) <= 10""" for m, (s, d) in _SCORES.items()
+SELECT query_id, vec_id, label, round({s}, 6) AS score FROM embeddings e, b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {s} {d}, vec_id) <= 10""" for how in ("search_block", "search_tiles", "search_index") for m, (s, d) in _SCORES.items()
     }
     return out | session.oracle_sql() | {
         "late_interaction": """
