@@ -43,7 +43,8 @@ def conform(rows: DataFrame, relation: str) -> DataFrame:
     required = [n[:-1] for n, _ in fields if n.endswith("!")]
     C.columns(rows, required, relation)
     out = rows.select(*((F.col(n.rstrip("!")) if n.rstrip("!") in rows.columns else F.lit(None)).cast(t).alias(n.rstrip("!")) for n, t in fields))
-    C.check(out, C.required_text(*(n for n, t in ((f[0].rstrip("!"), f[1]) for f in fields) if t == "STRING" and n in required)), relation)
+    texts = C.required_text(*(n[:-1] for n, t in fields if n.endswith("!") and t == "STRING"))
+    C.check(out, [*texts, *((f"{n[:-1]} must be non-missing", F.col(n[:-1]).isNull()) for n, t in fields if n.endswith("!") and t != "STRING")], relation)
     if relation == "nodes":
         C.unique(out.distinct(), ["node_id"], "nodes")
     if relation == "aliases":

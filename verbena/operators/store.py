@@ -38,8 +38,8 @@ def write_graph(spark: SparkSession, nodes: DataFrame | None = None, aliases: Da
     """Adds rows that are absent; with ``replace``, the supplied relations' former rows go.
 
     All inputs are validated and what each table gets is written to the shared folder before any table is touched, so
-    the tables change one after the other by plain copies only.  A host without transactions over tables allows no
-    more; a write that was cut off can be repeated, since rows that are there already are not added again.
+    the tables change one after the other by plain copies only.  Catalog tables allow no more; a write that was cut off
+    can be repeated, since rows that are there already are not added again.  ``versions.Store`` writes all as one transaction.
     """
     graph.init(spark, prefix)
     names = graph.tables(prefix)
@@ -67,7 +67,7 @@ def index_aliases(spark: SparkSession, prefix: str = "semantic") -> DataFrame:
     return spark.table(name)
 
 
-def _vectors(rows: DataFrame, relation: str) -> DataFrame:
+def checked_vectors(rows: DataFrame, relation: str) -> DataFrame:
     x = graph.conform(rows, relation)
     C.check(x, [("embedding length must equal dim", F.size("embedding") != F.col("dim")), ("embedding must be finite", ~V.finite(F.col("embedding")))], relation)
     if len(x.select("dim").distinct().take(2)) > 1:
@@ -79,29 +79,34 @@ def _vectors(rows: DataFrame, relation: str) -> DataFrame:
 def write_embeddings(spark: SparkSession, rows: DataFrame, replace: bool = False, prefix: str = "semantic") -> None:
     """Appends vectors of one width; with ``replace``, the same subjects' former vectors go."""
     graph.init(spark, prefix)
-    _write_vectors(spark, _vectors(rows, "embeddings"), graph.tables(prefix)["embeddings"], replace)
+    _write_vectors(spark, checked_vectors(rows, "embeddings"), graph.tables(prefix)["embeddings"], replace)
 
 
 @C.takes_tables
 def write_token_embeddings(spark: SparkSession, rows: DataFrame, replace: bool = False, prefix: str = "semantic") -> None:
     """Appends token vectors; offsets come as pairs, half-open and from zero.
 
-    A block is named provider|kind|subject where none is given.  Tokens without an index are numbered from 0 in the
-    order of their offsets inside their block; without offsets they need one.
+    A block is named provider|kind|subject where none is given.  Tokens without an index are numbered from 0 inside their
+    block, in the order of their offsets or, without offsets, in that of the rows as they come.
     """
     graph.init(spark, prefix)
-    x = _vectors(token_defaults(rows), "token_embeddings")
+    _write_vectors(spark, checked_tokens(rows), graph.tables(prefix)["token_embeddings"], replace)
+
+
+def checked_tokens(rows: DataFrame) -> DataFrame:
+    x = checked_vectors(token_defaults(rows), "token_embeddings")
     both = F.col("start_offset").isNotNull() | F.col("end_offset").isNotNull()
     C.check(x, [("token_index must not be negative", F.col("token_index") < 0), *((m, both & bad) for m, bad in C.offsets("start_offset", "end_offset"))], "token_embeddings")
-    _write_vectors(spark, x, graph.tables(prefix)["token_embeddings"], replace)
+    return x
 
 
 def token_defaults(rows: DataFrame) -> DataFrame:
     x = rows if "block_id" in rows.columns else rows.withColumn("block_id", F.lit(None).cast("string"))
     x = x.withColumn("block_id", F.coalesce("block_id", F.concat_ws("|", "provider", "subject_kind", "subject_id")))
     if "token_index" not in x.columns:
-        C.columns(x, ["start_offset"], "token_embeddings without token_index")
-        x = x.withColumn("token_index", F.row_number().over(Window.partitionBy("subject_id", "block_id").orderBy("start_offset", "end_offset")) - 1)
+        order = [c for c in ("start_offset", "end_offset") if c in x.columns]
+        of_block = Window.partitionBy("subject_id", "block_id").orderBy(*order, "_come")
+        x = x.withColumn("_come", F.monotonically_increasing_id()).withColumn("token_index", F.row_number().over(of_block) - 1).drop("_come")
     return x
 
 
@@ -116,9 +121,12 @@ def _write_vectors(spark: SparkSession, rows: DataFrame, name: str, replace: boo
 def record(spark: SparkSession, rows: DataFrame, relation: str, prefix: str = "semantic") -> None:
     """Appends validated mentions or judgments; columns that are missing become null, but a judgment's time is now."""
     graph.init(spark, prefix)
-    if relation == "judgments" and "recorded_at" not in rows.columns:
-        rows = rows.withColumn("recorded_at", F.current_timestamp())
-    _append(spark, graph.tables(prefix)[relation], graph.conform(rows, relation))
+    _append(spark, graph.tables(prefix)[relation], graph.conform(timed(rows, relation), relation))
+
+
+def timed(rows: DataFrame, relation: str) -> DataFrame:
+    now = relation == "judgments" and "recorded_at" not in rows.columns
+    return rows.withColumn("recorded_at", F.current_timestamp()) if now else rows
 
 
 @C.takes_tables
