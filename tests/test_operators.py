@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,20 @@ def test_maxsim_definition_and_nulls(spark):
         one("array(array(1,0),array(0))", "array(array(1,0))")
 
 
+def test_literal_spans_where_lower_case_changes_the_length(spark):
+    texts = ["İabc abc", "ABCẞabc", "ΑΣ σ Σ", None, "", "x" * 50 + "abc" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    began = time.time()
+    got = {r["id"]: r["s"] and [tuple(x) for x in r["s"]] for r in df.select("id", X.literal_spans(F.col("text"), "aBc").alias("s")).collect()}
+    assert got[0] == [(1, 4), (5, 8)] and got[1] == [(0, 3), (4, 7)] and got[2] == got[4] == [] and got[3] is None
+    assert len(got[5]) == 100_000 and got[5][-1] == (50 + 299_997, 50 + 300_000) and time.time() - began < 10
+    sigma = X.literal_hits(df, "text", "Σ").select("id", "h.*").collect()
+    assert [tuple(r) for r in sorted(sigma)] == [(2, 1, 2), (2, 3, 4), (2, 5, 6)]
+    dotted = X.literal_hits(df, "text", "iAb").select("id", "h.*").collect()
+    assert [tuple(r) for r in dotted] == [(0, 0, 3)]
+    assert df.where("id = 0").select(X.normalize(F.col("text"))).first()[0] == "iabc abc"
+
+
 def test_token_and_literal_spans_reproduce_text(spark):
     text = "  The cat—2 cats; CAT!é cat"
     df = spark.createDataFrame([(1, text), (2, "")], "id int, text string")

@@ -7,17 +7,31 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _RUN = re.compile("[A-Za-z0-9]+")
+# The letters whose lower case is not one letter by itself: dotted capital I, and capital sigma at a word's end.
+_ODD_UPPER, _ODD_LOWER = "\u0130\u03a3", "i\u03c3"
+_ODD = str.maketrans(_ODD_UPPER, _ODD_LOWER)
+
+
+def fold(text: Column) -> Column:
+    """Lower case letter by letter, so that offsets stay: the host's own form makes two letters of one and looks at a word's end for another."""
+    return F.lower(F.translate(text, _ODD_UPPER, _ODD_LOWER))
+
+
+def folded(text: str) -> str:
+    """``fold`` of one text."""
+    return text.translate(_ODD).lower()
 
 
 def normalize(text: Column) -> Column:
     """Lower case, every run of other characters than ASCII letters and digits as one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
 
 
 SPAN = T.StructType([T.StructField("token_index", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("normalized", T.StringType()), T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType())])
@@ -127,17 +141,32 @@ def ngrams(df: DataFrame, id_col: str, text_col: str, max_n: int, wanted: frozen
     return x.mapInArrow(spans, kinds)
 
 
+HIT = T.StructType([T.StructField("start_offset", T.IntegerType()), T.StructField("end_offset", T.IntegerType())])
+
+
 def literal_spans(text: Column, query: str) -> Column:
-    """array<struct<start_offset,end_offset>> of the case-insensitive, non-overlapping occurrences.
+    """array<struct<start_offset,end_offset>> of the case-insensitive, non-overlapping occurrences; null for null.
 
-    Offsets run along the parts between occurrences; a part is kept as its length only, so what each step copies is
-    numbers, not text.
+    Both are folded letter by letter, so a place in the folded text is that place in the text.  Linear in text and hits.
     """
-    n = len(query)
-    parts = F.transform(F.split(F.lower(text), re.escape(query.lower()), -1), F.length)
-    zero = F.array().cast("array<int>")
-    starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), zero, lambda s, p: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)) + n, F.lit(0)) + p)))
-    return F.transform(starts, lambda a: F.struct(a.alias("start_offset"), (a + n).alias("end_offset")))
+    wanted = re.compile(re.escape(folded(query)))
+
+    @F.arrow_udf(T.ArrayType(HIT))
+    def spans(texts: pa.Array) -> pa.Array:
+        starts, upto = [], [0]
+        for t in texts.to_pylist():
+            starts += [m.start() for m in wanted.finditer(folded(t))] if t else []
+            upto.append(len(starts))
+        at = pa.array(starts, pa.int32())
+        hits = pa.StructArray.from_arrays([at, pc.add(at, pa.scalar(len(query), pa.int32()))], names=HIT.names)
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), hits, mask=texts.is_null())
+
+    return spans(text)
+
+
+def literal_hits(rows: DataFrame, text_col: str, query: str) -> DataFrame:
+    """``rows`` with ``h``, once for each occurrence; only texts that have one leave the JVM."""
+    return rows.where(F.contains(fold(F.col(text_col)), F.lit(folded(query)))).withColumn("h", F.explode(literal_spans(F.col(text_col), query)))
 
 
 def occurs_once(text: Column, part: Column) -> Column:

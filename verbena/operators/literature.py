@@ -54,7 +54,7 @@ def literature_retrieve(articles: DataFrame, sections: DataFrame, snapshots: Dat
     x = C.with_defaults(sections, {"subsection": T.StringType(), "source_entity_ordinal": T.IntegerType()}).where(F.col("provider_id") == provider_id)
     x = x.where(F.col("section").isin(section_names)) if section_names is not None else x
     x = x.join(visible_versions(articles.where(F.col("provider_id") == provider_id), s[0]["high_water_ordinal"]).select(*VERSION_KEY), VERSION_KEY, "left_semi")
-    x = x.where(F.contains(F.lower("text"), F.lit(query.lower()))).withColumn("h", F.explode(X.literal_spans(F.col("text"), query)))
+    x = X.literal_hits(x, "text", query)
     return x.select(
         "provider_id", F.lit(snapshot_id).alias("snapshot_id"), F.lit(s[0]["high_water_ordinal"]).alias("high_water_ordinal"), F.lit(s[0]["effective_at"]).cast("timestamp").alias("effective_at"), "article_id", "pmid", "version_id", "source_ordinal", "section",
         "h.start_offset", "h.end_offset", F.substring("text", F.col("h.start_offset") + 1, F.col("h.end_offset") - F.col("h.start_offset")).alias("source_text"), F.col("text").alias("section_text"), "subsection", "source_entity_ordinal",

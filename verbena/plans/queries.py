@@ -113,8 +113,13 @@ def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def literal_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.where(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", F.explode(X.literal_spans(F.col("text"), "license")).alias("h")).select("doc_id", "h.start_offset", "h.end_offset")
+    return X.literal_hits(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", "license").select("doc_id", "h.start_offset", "h.end_offset")
+
+
+def literal_search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with letters whose lower case is no single letter in many places, searched for three of them."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.translate("text", "anesANES", "İΣẞçİΣẞÇ").alias("text"))
+    return X.literal_hits(d, "text", "İσD").select("doc_id", "h.start_offset", "h.end_offset", F.substring("text", F.col("h.start_offset") + 1, F.lit(3)).alias("source_text"))
 
 
 def sha256_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +245,7 @@ def judgment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"search_{m}": _search(m) for m in V.METRICS} | {f"search_block_{m}": _search_block(m) for m in V.METRICS}
     out |= {f"search_tiles_{m}": _search_tiles(m) for m in V.METRICS} | {f"search_index_{m}": _search_index(m) for m in V.METRICS}
-    named = (index_recall, late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
+    named = (index_recall, late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, literal_search_folded, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
     return out | {f.__name__: f for f in (*named, *session.QUERIES)}
 
 
@@ -288,6 +293,12 @@ WITH p AS (SELECT doc_id, string_split(lower(text), 'license') AS g FROM documen
 u AS (SELECT doc_id, unnest(range(1, len(g))) AS i, g FROM p),
 w AS (SELECT doc_id, (sum(length(g[i]) + 7) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS e FROM u)
 SELECT doc_id, e - 7 AS start_offset, e AS end_offset FROM w""",
+        "literal_search_folded": """
+WITH d AS (SELECT doc_id, translate(text, 'anesANES', 'İΣẞçİΣẞÇ') AS text FROM documents),
+p AS (SELECT doc_id, text, string_split(lower(text), 'iσd') AS g FROM d WHERE contains(lower(text), 'iσd')),
+u AS (SELECT doc_id, text, unnest(range(1, len(g))) AS i, g FROM p),
+w AS (SELECT doc_id, text, (sum(length(g[i]) + 3) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS e FROM u)
+SELECT doc_id, e - 3 AS start_offset, e AS end_offset, text[e - 2 : e] AS source_text FROM w""",
         "sha256_receipts": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
         "lexical_annotation": f"""
 WITH a AS (SELECT DISTINCT 'item:' || item_id AS node_id, array_to_string(({_WORDS})[1:3], ' ') AS alias FROM benchmark),
