@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verbena import contracts as C
 from verbena.functions import vectors as V
-from verbena.operators import vector_index
+from verbena.operators import maxsim_search, vector_index
 from verbena.shared import materialize
 
 #: Doubles of query vectors (1 MB) up to which they are broadcast; beyond, queries and rows meet in tiles.
@@ -124,22 +125,19 @@ def late_interaction_search(rows: DataFrame, query: list[list[float]], provider:
 def late_interaction_search_block(rows: DataFrame, queries: DataFrame, provider: str | None = None, subject_kind: str | None = None, top_k: int = 10) -> DataFrame:
     """For each query the ``top_k`` blocks, as ``late_interaction_search`` ranks them.
 
-    ``queries`` (query_id, query_token, query) has a row a token and is sent to every task.  A product is at once
-    aggregated to the best of its query token and block, before anything is shuffled; no block or query is gathered.
+    ``queries`` (query_id, query_token, query) has a row a token.  Few queries are broadcast and meet every block; beyond
+    ``MAX_BROADCAST_DOUBLES`` nothing is, and bounds choose the blocks that are scored, see ``maxsim_search``.  A query token's
+    best token is the one of the smaller index among equals; without the columns, indices and tokens are missing.
     """
     C.columns(queries, ["query_id", "query_token", "query"], "queries")
     rules = [("query_id must be non-missing", F.col("query_id").isNull()), ("query tokens must be finite and non-zero", ~F.coalesce(V.finite(F.col("query")) & F.exists("query", lambda x: x != 0), F.lit(False)))]
     C.check(queries, rules, "queries")
-    x = rows.where(F.col("embedding").isNotNull())
+    x = C.with_defaults(rows, {"token_index": T.IntegerType(), "token": T.StringType()}).where(F.col("embedding").isNotNull())
     x = x.where(F.col("provider") == provider) if provider is not None else x
     x = check_widths(x.where(F.col("subject_kind") == subject_kind) if subject_kind is not None else x)
-    keys = ["provider", "subject_kind", "subject_id", "block_id", "dim"]
-    normed = x.select(*keys, "embedding", V.norm(F.col("embedding")).alias("norm"))
-    asked = queries.select("query_id", "query_token", "query", V.norm(F.col("query")).alias("query_norm"))
-    each = normed.join(F.broadcast(asked), F.col("dim") == F.size("query"))
-    zero = F.raise_error(F.lit("embedding rows must have a non-zero norm")).cast("double")
-    each = each.select("query_id", "query_token", *keys, F.when(F.col("norm") == 0, zero).otherwise(V.dot(F.col("embedding"), F.col("query")) / F.col("norm") / F.col("query_norm")).alias("s"))
-    best = each.groupBy("query_id", "query_token", *keys).agg(F.max("s").alias("s"), F.count("*").alias("n"))
-    total = best.groupBy("query_id", *keys).agg(F.sum("s").alias("score"), F.count("*").alias("query_token_count"), F.max("n").alias("candidate_token_count"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "provider", "subject_kind", "subject_id", "block_id")
-    return total.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    x = x.select(*maxsim_search.BLOCK, "token_index", "token", "embedding")
+    asked = queries.select("query_id", "query_token", "query")
+    if queries.agg(F.coalesce(F.sum(F.size("query")), F.lit(0))).first()[0] > MAX_BROADCAST_DOUBLES:
+        return maxsim_search.search(x, asked, top_k)
+    met = x.withColumn("norm", V.norm(F.col("embedding"))).join(F.broadcast(asked.withColumn("query_norm", V.norm(F.col("query")))), F.col("dim") == F.size("query"))
+    return maxsim_search.ranked(maxsim_search.scored(met), top_k)

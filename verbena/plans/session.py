@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions import vectors as V
 from verbena.functions.providers import FunctionRunner
-from verbena.operators import contributions, evidence, graph, observations, prompts, releases, retrieval, store
+from verbena.operators import contributions, evidence, graph, maxsim_search, observations, prompts, releases, retrieval, store
 from verbena.operators.judgments import read_json
 
 
@@ -103,6 +103,16 @@ def late_interaction_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.late_interaction_search_block(rows, queries, top_k=10).select("query_id", "block_id", F.round("score", 5).alias("score"), "candidate_token_count")
 
 
+def late_interaction_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches of ``late_interaction_block`` by bounds, with the tokens that make the scores."""
+    x = _t(spark, sf_dir, "embeddings")
+    queries = x.where("vec_id % 50 < 3").select((F.col("vec_id") - F.col("vec_id") % 50).alias("query_id"), (F.col("vec_id") % 50).alias("query_token"), F.col("embedding").alias("query"))
+    block = F.floor(F.col("vec_id") / 8)
+    rows = x.select(F.lit("p").alias("provider"), F.lit("node").alias("subject_kind"), F.format_string("%09d", block).alias("subject_id"), block.alias("block_id"), F.size("embedding").alias("dim"), (F.col("vec_id") % 8).cast("int").alias("token_index"), F.concat(F.lit("<"), "vec_id", F.lit(">")).alias("token"), "embedding")
+    found = maxsim_search.search(rows, queries, 10)
+    return found.select("query_id", "block_id", F.round("score", 5).alias("score"), F.round("score_mean", 5).alias("score_mean"), "query_token_count", "candidate_token_count", "best_token_index", "best_token")
+
+
 def observation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One context after the other, known and unknown ones, and whether the contract takes it."""
     d = _t(spark, sf_dir, "documents").where("length(text) > 3").select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("source_text"), "doc_id")
@@ -198,7 +208,7 @@ def contribution_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    session_receipts, session_replaced_terms, session_mechanisms, session_scores, session_evidence, session_cited_references, session_best_cited, session_disease_terms, maxsim_token_blocks, late_interaction_block,
+    session_receipts, session_replaced_terms, session_mechanisms, session_scores, session_evidence, session_cited_references, session_best_cited, session_disease_terms, maxsim_token_blocks, late_interaction_block, late_interaction_pruned,
     observation_contexts, negation_words, lexical_mentions, judged_mentions, contribution_terms, contribution_records, contribution_associations,
 )
 
@@ -215,7 +225,7 @@ t AS (SELECT 'C:' || c_custkey AS node_id, c_name AS label, c_custkey % 7 = 0 AS
 m AS (SELECT regexp_extract(d.field_path, '^(/pathophysiology/[0-9]+)/', 1) AS field_prefix, b.value AS mechanism, d.value AS description, d.source_id, d.source_id || '#' || d.field_path AS source_row_id
       FROM f d JOIN f b ON b.source_id = d.source_id AND b.field_path = regexp_replace(d.field_path, '/description$', '/name') WHERE regexp_matches(d.field_path, '^/pathophysiology/[0-9]+/description$')),
 s AS (SELECT source_row_id, list_dot_product(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS cosine FROM m JOIN embeddings e ON e.vec_id = TRY_CAST(substr(mechanism, 6) AS BIGINT) % 50),
-v AS (SELECT m.source_row_id, m.mechanism, e.source_id, e.field_path, e.value AS reference FROM m JOIN f e ON e.source_id = m.source_id AND regexp_matches(e.field_path, '^' || m.field_prefix || '/evidence/[0-9]+/reference$'))
+v AS (SELECT m.source_row_id, m.mechanism, e.source_id, e.field_path, e.value AS reference FROM m JOIN f e ON e.source_id = m.source_id AND regexp_extract(e.field_path, '^(/pathophysiology/[0-9]+)/evidence/[0-9]+/reference$', 1) = m.field_prefix)
 """
 _CITED = """
 WITH x AS (SELECT o_orderkey AS k, o_custkey AS c, p[1] AS part, p[2] AS supplier FROM orders LEFT JOIN (SELECT l_orderkey, min([l_partkey, l_suppkey]) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
@@ -244,6 +254,12 @@ WITH q AS (SELECT vec_id - vec_id % 50 AS query_id, vec_id % 50 AS t, embedding:
 b AS (SELECT query_id, t, vec_id // 8 AS block_id, max(list_cosine_similarity(embedding::DOUBLE[], q)) AS s, count(*) AS n FROM embeddings, q GROUP BY 1, 2, 3),
 x AS (SELECT query_id, block_id, sum(s) AS score, max(n) AS n FROM b GROUP BY 1, 2)
 SELECT query_id, block_id, round(score, 5) AS score, n AS candidate_token_count FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) <= 10""",
+        "late_interaction_pruned": """
+WITH q AS (SELECT vec_id - vec_id % 50 AS query_id, vec_id % 50 AS t, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 < 3),
+b AS (SELECT query_id, t, vec_id // 8 AS block_id, max(list_cosine_similarity(embedding::DOUBLE[], q)) AS s, arg_max(vec_id, (list_cosine_similarity(embedding::DOUBLE[], q), -vec_id)) AS v, count(*) AS n FROM embeddings, q GROUP BY 1, 2, 3),
+x AS (SELECT query_id, block_id, sum(s) AS score, max(n) AS n, count(*) AS m, string_agg((v % 8)::VARCHAR, ',' ORDER BY t) AS i, string_agg('<' || v || '>', '' ORDER BY t) AS w FROM b GROUP BY 1, 2)
+SELECT query_id, block_id, round(score, 5) AS score, round(score / m, 5) AS score_mean, m AS query_token_count, n AS candidate_token_count, i AS best_token_index, w AS best_token
+FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) <= 10""",
         "observation_contexts": """
 SELECT ['present', 'absent/negated', 'family_history', 'uncertain', 'conflict', 'unsupported', 'historical', 'family'][doc_id % 8 + 1] AS context_status, doc_id % 8 < 6 AS taken, count(*) AS n FROM documents WHERE length(text) > 3 GROUP BY 1, 2""",
         "negation_words": "SELECT o_orderkey, ['negated', 'negated', 'not_negated', 'malformed', 'malformed', 'malformed', 'malformed', 'not_provided', 'malformed'][o_orderkey % 9 + 1] AS negation_status FROM orders",
