@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from .common import Memo, materialize, q
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
-# Lines that introduce a quote in the languages at hand (fixed patterns).
-_INTRO = re.compile(r"\s*(on .*\bwrote|am .*\bschrieb.*|le .*\ba écrit|el .*\bescribió)\s*:\s*", re.I)
+# Lines that introduce a quote in the languages at hand: how they begin and end (fixed values), or the verb that they hold.
+_INTRO_ENDS = {"on ": "wrote", "le ": "a écrit", "el ": "escribió"}
+_INTRO_HOLDS = {"am ": re.compile(r"\bschrieb")}
 
 PARSED = T.StructType([
     T.StructField("own", T.StringType()), T.StructField("own_hashes", T.ArrayType(T.LongType())),
@@ -51,6 +52,20 @@ def quote_level(line: str) -> tuple[int, str]:
     return (m[1].count(">"), m[2]) if m else (0, line)
 
 
+def introduces(line: str) -> bool:
+    """Whether a line introduces a quote, as ``On Monday x wrote:`` does."""
+    head = line.strip()
+    if not head.endswith(":"):
+        return False
+    head = head[:-1].rstrip().lower()
+    verb = _INTRO_ENDS.get(head[:3])
+    if verb:
+        before = head[-len(verb) - 1 : -len(verb)]
+        return head.endswith(verb) and len(head) >= 3 + len(verb) and not (before.isalnum() or before == "_")
+    holds = _INTRO_HOLDS.get(head[:3])
+    return bool(holds and holds.search(head, 3))
+
+
 def normalised(text: str) -> str:
     return " ".join(text.split()).lower()
 
@@ -73,7 +88,7 @@ def parse(text: str | None) -> tuple:
     for k, (level, part) in enumerate(runs):
         said = [x for x in map(normalised, part) if x]
         if level == 0:
-            if k + 1 < len(runs) and part and _INTRO.fullmatch(part[-1]):
+            if k + 1 < len(runs) and part and introduces(part[-1]):
                 part = part[:-1]
             own_lines += part
         elif said:

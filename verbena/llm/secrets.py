@@ -5,10 +5,13 @@ base64 and hex candidates are decoded and their structure is parsed; only what p
 byte is reported:
 
 * ``pem``      a ``PRIVATE KEY`` block whose body is a well-formed key (or a declared encrypted one)
-* ``der``      bare base64 or hex that is an ASN.1 private key, nested lengths checked
+* ``der``      bare base64 or hex (also with colons) that is an ASN.1 private key, nested lengths checked
 * ``openssh``  bare base64 or hex that is an ``openssh-key-v1`` container, length-prefixed fields checked
 * ``jwt``      a signed token: JSON header with ``alg``, JSON payload, signature length as ``alg`` asks
 
+Base64 may be wrapped by line ends, also such as are written out as ``\\n``, with indentation or quote marks after
+them.  Lines that follow on each other are joined and decoded once, however many of them may begin a key.
+
 Defined results: a null text counts as empty (no spans); repeated rows are scanned alike; spans are
 zero-based, half-open, in code points; texts of any length are scanned whole; an empty table gives an
 empty result.
@@ -42,12 +45,16 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
 # First characters that a DER sequence (0x30), an OpenSSH container or a JSON object can have in base64.
 _START = r"(?:M[A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]{22,}"
-_B64 = re.compile(r"(?<![A-Za-z0-9+/_-])" + _START)
+_B64 = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[nr]))" + _START)  # at a word's start, or after a line end that is written out
 _B64_NEXT = re.compile(_START)  # right after a key
-_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+# Between two lines of base64: line ends, written out or not, then blanks and quote marks.
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t>]*(?=[A-Za-z0-9+/_-])")
 _HEXSTART = r"(?:30|(?i:6f70656e7373682d6b65792d763100))[0-9A-Fa-f]{30,}"
 _HEXRUN = re.compile(r"(?<![0-9A-Fa-f])" + _HEXSTART)
 _HEX_NEXT = re.compile(_HEXSTART)
+_COLONS = re.compile(r"(?<![0-9A-Fa-f:])(?:30|(?i:6f))(?::\s{0,16}[0-9A-Fa-f]{2}(?![0-9A-Fa-f])){15,}")
+_PAIR = re.compile(r"[0-9A-Fa-f]{2}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_.-])(e[w-z][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)")
 
 # Signature bytes that the registered algorithms give (fixed values of RFC 7518 and RFC 8037).
@@ -88,34 +95,37 @@ def _nested(b: bytes, start: int, end: int, depth: int = 0) -> list[tuple[int, i
     return out
 
 
-def der_key_length(b: bytes) -> int:
-    """Bytes that an ASN.1 private key at the start of ``b`` takes; 0 if there is none.
+def der_key_length(b: bytes, at: int = 0) -> int:
+    """Bytes that an ASN.1 private key at place ``at`` of ``b`` takes; 0 if there is none.
 
     Known layouts: PKCS#1, DSA and SEC1 (version, then numbers or an octet string), PKCS#8
     (version, algorithm, octet string) and encrypted PKCS#8 (algorithm, octet string).
     """
-    top = _header(b, 0)
+    top = _header(b, at)
     if top is None or top[0] != 0x30 or top[2] > len(b):
         return 0
+    first = _header(b, top[1])
+    if first is None or first[2] > top[2] or first[0] not in (2, 0x30) or b[first[1] : first[1] + 1] not in (b"\0", b"\1", b"\6"):
+        return 0  # neither a version nor an algorithm: nothing after it need be read
     inner = _nested(b, top[1], top[2])
     if not inner or len(inner) < 2:
         return 0
     tags = [t for t, _, _ in inner]
     version = tags[0] == 2 and inner[0][2] - inner[0][1] == 1 and b[inner[0][1]] <= 1
     if version and (tags[1] == 4 or tags[1:3] == [0x30, 4] or len(tags) >= 6 and all(t == 2 for t in tags[:6])):
-        return top[2]
+        return top[2] - at
     if tags == [0x30, 4]:
         algorithm = _nested(b, inner[0][1], inner[0][2])
         if algorithm and algorithm[0][0] == 6 and inner[1][2] - inner[1][1] >= 8:
-            return top[2]
+            return top[2] - at
     return 0
 
 
-def openssh_key_length(b: bytes) -> int:
-    """Bytes that an ``openssh-key-v1`` container takes; 0 if there is none."""
-    if not b.startswith(b"openssh-key-v1\0"):
+def openssh_key_length(b: bytes, at: int = 0) -> int:
+    """Bytes that an ``openssh-key-v1`` container at place ``at`` takes; 0 if there is none."""
+    if not b.startswith(b"openssh-key-v1\0", at):
         return 0
-    at = 15
+    start, at = at, at + 15
 
     def field() -> bool:
         nonlocal at
@@ -130,13 +140,13 @@ def openssh_key_length(b: bytes) -> int:
     at += 4
     if not 1 <= keys <= 64 or not all(field() for _ in range(keys + 1)):  # public keys, private part
         return 0
-    return at
+    return at - start
 
 
 def _pem(label: str, body: str) -> bool:
     """Whether the lines between the marks of a block are a well-formed key."""
     body = body.replace("\\r", "").replace("\\n", "\n")
-    lines = [x.strip() for x in body.splitlines()]
+    lines = [x.strip(" \t>") for x in body.splitlines()]  # with the marks of a quoted mail
     encrypted = any(x.startswith("DEK-Info:") for x in lines)
     b = _b64("".join(x for x in lines if ":" not in x).replace(" ", "").rstrip("="))
     if not b:
@@ -168,45 +178,57 @@ def _jwt(m: re.Match) -> bool:
     return signature is not None and (len(signature) == _SIGNATURE[alg] if alg in _SIGNATURE else alg[:2] in ("RS", "PS") and len(signature) >= 128)
 
 
-def _cut(run: str, need: int) -> int:
-    """Characters of ``run`` that hold ``need`` base64 characters and the padding after them."""
-    at = seen = 0
-    while at < len(run) and seen < need:
-        seen += run[at] not in "\r\n="
-        at += 1
-    while at < len(run) and run[at] == "=":
-        at += 1
-    return at
-
-
-def _key(b: bytes | None) -> tuple[int, int]:
-    """Kind and bytes of the key that ``b`` begins with; no bytes if there is none."""
+def _key(b: bytes | None, at: int = 0) -> tuple[int, int]:
+    """Kind and bytes of the key at place ``at`` of ``b``; no bytes if there is none."""
     if not b:
         return 4, 0
-    if (n := der_key_length(b)) >= 24:
+    if (n := der_key_length(b, at)) >= 24:
         return 4, n
-    return 5, openssh_key_length(b)
-
-
-def _b64_key(text: str, at: int) -> tuple[int, int]:
-    """Kind and end of the key that is base64 from ``at`` on; the end is ``at`` if there is none."""
-    stop = len(text)
-    if text[at] == "M":  # read no further than the length that the first bytes declare
-        top = _header(_b64(text[at : at + 8]) or b"", 0)
-        if top is None or top[0] != 0x30 or top[2] > stop - at:
-            return 4, at
-        stop = min(stop, at + 4 * top[2] + 8)  # a line may hold a single character, its end two
-    run = _RUN.match(text, at, stop)[0]
-    bare = re.sub(r"[\r\n=]", "", run)
-    kind, n = _key(_b64(bare[: len(bare) - (len(bare) % 4 == 1)]))
-    return kind, at + _cut(run, -(-n * 8 // 6)) if n else at
+    return 5, openssh_key_length(b, at)
+
+
+class _Run:
+    """Lines of base64 from a place on, joined, with their places; each of the four ways to read them is decoded once."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.starts, self.places, parts, n = text, [], [], [], 0
+        while m := _LINE.match(text, at):
+            self.starts.append(n)
+            self.places.append(m.start())
+            parts.append(m[0])
+            n, self.end = n + len(m[0]), m.end()
+            gap = _BREAK.match(text, m.end())
+            if not gap:
+                break
+            at = gap.end()
+        self.joined, self.read = "".join(parts), {}
+
+    def key(self, at: int) -> tuple[int, int]:
+        """Kind and end of the key that begins at place ``at`` of the text; the end is ``at`` if there is none."""
+        k = bisect.bisect_right(self.places, at) - 1
+        from_ = self.starts[k] + at - self.places[k]
+        way = from_ % 4
+        if way not in self.read:
+            part = self.joined[way:]
+            self.read[way] = _b64(part[: len(part) - (len(part) % 4 == 1)])
+        kind, n = _key(self.read[way], (from_ - way) // 4 * 3)
+        if not n:
+            return kind, at
+        last = from_ + -(-n * 8 // 6) - 1
+        k = bisect.bisect_right(self.starts, last) - 1
+        end = self.places[k] + last - self.starts[k] + 1
+        while self.text[end : end + 1] == "=":
+            end += 1
+        return kind, end
 
 
 def _b64_keys(text: str) -> list[tuple[int, int, int]]:
     """Start, kind and end of keys in base64; after a key the scan goes on at its end, else after the first line."""
-    out, m = [], _B64.search(text)
+    out, m, run = [], _B64.search(text), None
     while m:
-        kind, end = _b64_key(text, m.start())
+        if run is None or m.start() >= run.end:
+            run = _Run(text, m.start())
+        kind, end = run.key(m.start())
         if end > m.start():
             out.append((m.start(), kind, end))
             m = _B64_NEXT.match(text, end) or _B64.search(text, end)
@@ -215,6 +237,17 @@ def _b64_keys(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _colon_keys(text: str) -> list[tuple[int, int, int]]:
+    """Start, kind and end of keys in hex with colons between the bytes."""
+    out = []
+    for m in _COLONS.finditer(text):
+        pairs = list(_PAIR.finditer(text, m.start(), m.end()))
+        kind, n = _key(bytes.fromhex("".join(p[0] for p in pairs)))
+        if n:
+            out.append((m.start(), kind, pairs[n - 1].end()))
+    return out
+
+
 def _hex_keys(text: str) -> list[tuple[int, int, int]]:
     """Start, kind and end of keys in hex."""
     out, m = [], _HEXRUN.search(text)
@@ -247,7 +280,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found += [(a, 3, z) for a, z in blocks]
     found += [k for k in _b64_keys(text) if not _inside(k[0], blocks)]
     found += _hex_keys(text)
-    if ".ey" in text or ".ew" in text:
+    found += _colon_keys(text) if "30:" in text or "6f:" in text.lower() else []
+    if any(h in text for h in ("ew", "ex", "ey", "ez")) and "." in text:  # how a header may begin
         found += [(m.start(), 6, m.end()) for m in _JWT.finditer(text) if _jwt(m)]
     return [(KINDS[k], a, z) for a, k, z in sorted(set(found))]
 
