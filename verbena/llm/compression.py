@@ -2,7 +2,8 @@
 
 zstandard ratios (compressed bytes over bytes) of the whole text and of its fixed-size chunks are held
 against limits that depend on the length: below the lower limit text repeats itself, above the
-upper one it is noise (encoded data, random characters).  Chunks cover every byte: the last one is the text's last
+upper one it is noise (encoded data, random characters); so it is where compression saves nothing on what the
+frequencies of its bytes give.  Chunks cover every byte: the last one is the text's last
 ``chunk`` bytes and counts for those bytes that no chunk before it has; a text of no more than ``chunk``
 bytes is one chunk.  A text is rejected by its chunks when more than ``chunk_share`` of its bytes lie in
 chunks beyond the limits.  Plain counts of words, symbols and repeats come with it.
@@ -33,27 +34,36 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """Limits by length: ``below[i]`` bytes take ``low[i]`` and ``high[i]``; the last pair has no bound.
-
-    Measured at level 3 over the distinct prose of the sf0.1 texts and over random base64: an upper limit lies between
-    the largest ratio of prose (0.75 below 512 bytes, 0.59 below 2048, 0.49 for chunks) and the least of base64 (0.84,
-    0.78, 0.76), a lower one well below the least ratio of prose (0.54, 0.42, 0.38).  Below 128 bytes both are near 1,
-    so no upper limit tells them apart and there is none.
+    """Limits by length: ``below[i]`` bytes take ``low[i]``, ``high[i]`` and ``plain[i]``; the last ones have no bound.
+
+    ``plain`` holds the ratio against what coding each byte by its frequency alone would take: noise of any alphabet comes out
+    above 1, as there is nothing else to save, and prose below.
+
+    Measured at level 3 over the distinct prose of the sf0.1 texts and over random base64, base32, hex, letters and digits, in
+    lines, in words of fixed and of changing length and in pairs.  Ratios: the largest of prose is 0.75 below 512
+    bytes, 0.70, 0.59, 0.52 and 0.48 below 1024 to 8192; the least of base64 in lines or words 0.83, 0.76, 0.74, 0.73, 0.73, of base32
+    0.69, 0.65, 0.64, 0.63, 0.62, of letters 0.67, 0.62, 0.60, 0.59, 0.59.  Against the bytes' frequencies: prose at most
+    0.975 from 4096 bytes on, 0.929 from 8192 on and 0.979 in chunks, noise at least 1.009, 1.002 and 1.017.
+    So from 4096 bytes on every kind of noise is told apart; below, hex, digits and noise in pairs are not, below 2048 letters, below
+    1024 base32; below 256 bytes nothing is, and below 128 there is no upper limit.  A lower limit lies well below the
+    least ratio of prose (0.54, 0.42, 0.38).
     """
 
     level: int = 3
     below: tuple[int, ...] = (128, 256, 512, 1024, 2048, 4096, 8192, 32768)
     low: tuple[float, ...] = (0.40, 0.42, 0.40, 0.36, 0.32, 0.30, 0.28, 0.26, 0.24)
-    high: tuple[float, ...] = (math.inf, 1.0, 0.80, 0.76, 0.70, 0.68, 0.66, 0.66, 0.66)
+    high: tuple[float, ...] = (math.inf, 1.0, 0.80, 0.73, 0.62, 0.57, 0.57, 0.57, 0.57)
+    plain: tuple[float, ...] = (math.inf,) * 6 + (0.99, 0.97, 0.97)
     chunk: int = 4096
     chunk_low: float = 0.20
-    chunk_high: float = 0.66
+    chunk_high: float = 0.57
+    chunk_plain: float = 1.0
     chunk_share: float = 0.5
 
 
 FIELDS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_chunks", "n_repetitive_chunks", "n_noisy_chunks")]
-    + [T.StructField("ratio", T.DoubleType()), T.StructField("verdict", T.StringType())]
+    + [T.StructField("ratio", T.DoubleType()), T.StructField("plain", T.DoubleType()), T.StructField("verdict", T.StringType())]
 )
 
 
@@ -81,32 +91,46 @@ def repeat_words(words: list) -> int:
     return int(cover.sum())
 
 
-def chunk_ratios(b: bytes, size: int, compress) -> list[tuple[int, float]]:
-    """(bytes it stands for, ratio) of each chunk; the last one reaches back, so all have ``size`` bytes."""
+def plain_ratio(b: bytes) -> float:
+    """Bytes that coding each byte by its frequency would take, over bytes."""
+    n = np.bincount(np.frombuffer(b, np.uint8))
+    share = n[n > 0] / len(b)
+    return float(-(share * np.log2(share)).sum() / 8)
+
+
+def chunks(b: bytes, size: int) -> list[tuple[int, bytes]]:
+    """(bytes it stands for, chunk); the last one reaches back, so all have ``size`` bytes."""
     n = len(b)
     ends = [*range(size, n, size), n]
-    return [(end - before, len(compress(b[end - size : end])) / size) for before, end in zip([0, *ends], ends, strict=False)]
+    return [(end - before, b[end - size : end]) for before, end in zip([0, *ends], ends, strict=False)]
+
+
+def chunk_ratios(b: bytes, size: int, compress) -> list[tuple[int, float]]:
+    """(bytes it stands for, ratio) of each chunk."""
+    return [(k, len(compress(part)) / size) for k, part in chunks(b, size)]
 
 
 def measure(text: str | None, bands: Bands, compress) -> tuple:
     """The values of ``FIELDS`` for one text."""
     if not text:
-        return (0,) * 9 + (None, "empty")
+        return (0,) * 9 + (None, None, "empty")
     b = text.encode("utf-8", "surrogatepass")
     words = b.split()
     lines = [x for x in b.split(b"\n") if x.split(None, 1)]
     n, i = len(b), bisect.bisect_right(bands.below, len(b))
-    ratio = len(compress(b)) / n
-    parts = chunk_ratios(b, bands.chunk, compress) if n > bands.chunk else [(n, ratio)]
-    low, high = (bands.chunk_low, bands.chunk_high) if n > bands.chunk else (bands.low[i], bands.high[i])
-    dull, wild = [k for k, x in parts if x < low], [k for k, x in parts if x > high]
+    ratio, plain = len(compress(b)) / n, plain_ratio(b)
+    whole = n <= bands.chunk
+    parts = [(n, ratio, plain)] if whole else [(k, len(compress(part)) / bands.chunk, plain_ratio(part)) for k, part in chunks(b, bands.chunk)]
+    low, high, most = (bands.low[i], bands.high[i], bands.plain[i]) if whole else (bands.chunk_low, bands.chunk_high, bands.chunk_plain)
+    dull, wild = [k for k, x, _ in parts if x < low], [k for k, x, f in parts if x > high or x > most * f]
     if ratio < bands.low[i] or sum(dull) > bands.chunk_share * n:
         verdict = "repetitive"
-    elif ratio > bands.high[i] or sum(wild) > bands.chunk_share * n:
+    elif ratio > bands.high[i] or ratio > bands.plain[i] * plain or sum(wild) > bands.chunk_share * n:
         verdict = "incompressible"
     else:
         verdict = "kept"
-    return (len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words), n, len(parts), len(dull), len(wild), ratio, verdict)
+    counts = (len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words), n, len(parts), len(dull), len(wild))
+    return (*counts, ratio, plain, verdict)
 
 
 def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
@@ -127,7 +151,7 @@ def verdicts(measured: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.col("verdict") == "kept")).alias("kept"), "ratio", "verdict", "n_chunks", "n_repetitive_chunks", "n_noisy_chunks",
+        (~failed & (F.col("verdict") == "kept")).alias("kept"), "ratio", "plain", "verdict", "n_chunks", "n_repetitive_chunks", "n_noisy_chunks",
     )
 
 
