@@ -6,8 +6,9 @@ import functools
 import inspect
 import re
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +96,68 @@ def unique_each(df: DataFrame, keys: Sequence[Sequence[str]], what: str) -> None
         raise ContractError(f"{what} must be unique by {', '.join(keys[twice[0]['n']])}")
 
 
+@dataclass(frozen=True)
+class Relation:
+    """What ``check_relations`` holds against a relation: rules of a row, lists of columns that are unique, keys that
+    others may refer to and keys that must be among those; the latter two by a name and columns, a reference with its message."""
+
+    df: DataFrame
+    what: str
+    rules: Sequence[tuple[str, Column]] = ()
+    unique: Sequence[Sequence[str]] = ()
+    held: Sequence[tuple[str, Sequence[str]]] = ()
+    needed: Sequence[tuple[str, Sequence[str], str]] = ()
+
+
+def check_relations(*relations: Relation) -> None:
+    """All rules of all relations in one pass over each; raises for the first broken one in order.
+
+    A row gives its keys and the rules that it breaks, keys meet in one shuffle, and a row a rule comes back.
+    """
+    messages: list[str] = []
+    parts = []
+
+    def tag(message: str) -> Column:
+        messages.append(message)
+        return F.lit(len(messages) - 1)
+
+    names: dict[str, Column] = {}
+    for r in relations:
+        key = lambda columns: F.to_json(F.struct(*(F.col(c).alias(str(k)) for k, c in enumerate(columns))), {"ignoreNullFields": "false"})
+        row = lambda n, k, own, other, bad: F.struct(n.cast("int").alias("n"), k.alias("key"), F.lit(own).alias("own"), F.lit(other).alias("other"), bad.alias("bad"))
+        none, no = F.lit(None).cast("string"), F.lit(False)
+        said = [row(tag(f"{r.what}: {m}"), none, 0, False, F.coalesce(bad, no)) for m, bad in r.rules]
+        said += [row(tag(f"{r.what} must be unique by {', '.join(c)}"), key(c), 1, True, no) for c in r.unique]
+        for name, c, message in r.needed:
+            names[name] = tag(message)
+            said.append(row(names[name], key(c), 0, False, no))
+        said += [row(names.setdefault(name, tag("")), key(c), 0, True, no) for name, c in r.held]
+        parts.append(r.df.select(F.explode(F.filter(F.array(*said), lambda s: s["bad"] | s["key"].isNotNull())).alias("s")).select("s.*"))
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    met = rows.groupBy("n", "key").agg(F.sum("own").alias("own"), F.max("other").alias("other"), F.count_if("bad").alias("bad"))
+    broken = F.when(F.col("key").isNull(), F.col("bad")).when((F.col("own") > 1) | ~F.col("other"), 1).otherwise(0)
+    found = met.groupBy("n").agg(F.sum(broken).alias("broken")).where("broken > 0").orderBy("n").collect()
+    if found:
+        message, n = messages[found[0]["n"]], found[0]["broken"]
+        raise ContractError(f"{message} ({n} rows)" if ": " in message else message)
+
+
+def observed(df: DataFrame, rules: list[tuple[str, Column]], what: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df``, and a function that raises for the first rule which a row of it broke.
+
+    The rows are looked at in the job that reads ``df``, all of them, whatever is filtered out behind; the function is to be called after that job.
+    """
+    seen = Observation()
+
+    def verify() -> None:
+        counts = seen.get
+        for n, (message, _) in enumerate(rules):
+            if counts[str(n)]:
+                raise ContractError(f"{what}: {message} ({counts[str(n)]} rows)")
+
+    return df.observe(seen, *(F.count_if(F.coalesce(bad, F.lit(False))).alias(str(n)) for n, (_, bad) in enumerate(rules))), verify
+
+
 def contained(df: DataFrame, other: DataFrame, keys: Sequence[str], message: str) -> None:
     if df.join(other.select(*keys).distinct(), list(keys), "left_anti").take(1):
         raise ContractError(message)

@@ -26,16 +26,25 @@ def visible_versions(articles: DataFrame, high_water_ordinal: int) -> DataFrame:
 
 def literature_snapshot_catalog(snapshots: DataFrame) -> DataFrame:
     """Snapshots by provider and id with their cutoff; ``effective_at`` is optional."""
+    x = _snapshot_columns(snapshots)
+    C.check_relations(_snapshots(x))
+    return x
+
+
+def _snapshot_columns(snapshots: DataFrame) -> DataFrame:
     C.columns(snapshots, ["provider_id", "snapshot_id", "high_water_ordinal"], "snapshots")
     x = C.with_defaults(snapshots, {"effective_at": T.TimestampType()}).select("provider_id", "snapshot_id", "high_water_ordinal", "effective_at")
     C.typed(x, ["high_water_ordinal"], (T.NumericType,), "snapshots")
     C.typed(x, ["effective_at"], (T.TimestampType,), "snapshots")
-    cut = F.col("high_water_ordinal").cast("double")
-    C.check(x, [*C.required_text("provider_id", "snapshot_id"), ("high_water_ordinal must be a finite whole number", ~F.coalesce((cut == F.floor(cut)) & (F.abs(cut) < float("inf")), F.lit(False)))], "snapshots")
-    C.unique(x, ["provider_id", "snapshot_id"], "snapshots")
     return x
 
 
+def _snapshots(x: DataFrame) -> C.Relation:
+    cut = F.col("high_water_ordinal").cast("double")
+    rules = [*C.required_text("provider_id", "snapshot_id"), ("high_water_ordinal must be a finite whole number", ~F.coalesce((cut == F.floor(cut)) & (F.abs(cut) < float("inf")), F.lit(False)))]
+    return C.Relation(x, "snapshots", rules, [["provider_id", "snapshot_id"]])
+
+
 @C.takes_tables
 def literature_retrieve(articles: DataFrame, sections: DataFrame, snapshots: DataFrame, query: str, provider_id: str, snapshot_id: str, section_names: list[str] | None = None) -> DataFrame:
     """Exact spans of ``query``, in either case, in the sections of the snapshot's visible articles."""
@@ -43,11 +52,16 @@ def literature_retrieve(articles: DataFrame, sections: DataFrame, snapshots: Dat
         raise C.ContractError("query must be non-empty text")
     C.columns(articles, [*VERSION_KEY, "is_deleted"], "articles")
     C.columns(sections, [*VERSION_KEY, "section", "text"], "sections")
-    snapshots = literature_snapshot_catalog(snapshots)
-    C.check(articles, [*C.required_text("provider_id", "article_id", "pmid", "version_id"), ("source_ordinal must be present", F.col("source_ordinal").isNull()), ("is_deleted must be present", F.col("is_deleted").isNull())], "articles")
-    C.unique_each(articles, (["provider_id", "article_id", "version_id"], ["provider_id", "article_id", "source_ordinal"]), "articles")
-    C.check(sections, [*C.required_text("provider_id", "article_id", "pmid", "version_id", "section", "text"), ("source_ordinal must be present", F.col("source_ordinal").isNull())], "sections")
-    C.contained(sections, articles, VERSION_KEY, "sections must bind a supplied article version")
+    snapshots = _snapshot_columns(snapshots)
+    once = lambda c: (f"{c} must be present", F.col(c).isNull())
+    C.check_relations(
+        _snapshots(snapshots),
+        C.Relation(sections, "sections", [*C.required_text("provider_id", "article_id", "pmid", "version_id", "section", "text"), once("source_ordinal")], needed=[("version", VERSION_KEY, "sections must bind a supplied article version")]),
+        C.Relation(
+            articles, "articles", [*C.required_text("provider_id", "article_id", "pmid", "version_id"), once("source_ordinal"), once("is_deleted")],
+            [["provider_id", "article_id", "version_id"], ["provider_id", "article_id", "source_ordinal"]], [("version", VERSION_KEY)],
+        ),
+    )
     s = snapshots.where((F.col("provider_id") == provider_id) & (F.col("snapshot_id") == snapshot_id)).take(2)
     if len(s) != 1:
         raise C.ContractError("snapshot must be known, once")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verbena import contracts as C
+from verbena.shared import materialize
 
 # Role columns of each fact relation, and the predicate it takes when none is given (fixed values).
 RELATIONS = {
@@ -27,8 +28,8 @@ def monarch_release_catalog(releases: DataFrame) -> DataFrame:
     x = C.with_defaults(releases, {"effective_date": T.DateType(), "source_ordinal": T.DoubleType()})
     C.typed(x, ["effective_date"], (T.DateType, T.TimestampType), "releases")
     C.typed(x, ["source_ordinal"], (T.NumericType,), "releases")
-    C.check(x, [*C.required_text("provider_id", "release_id"), ("release_id must not be 'latest'", F.lower("release_id") == "latest"), ("a release needs a date or an ordinal", F.col("effective_date").isNull() & F.col("source_ordinal").isNull())], "releases")
-    C.unique(x, ["provider_id", "release_id"], "releases")
+    rules = [*C.required_text("provider_id", "release_id"), ("release_id must not be 'latest'", F.lower("release_id") == "latest"), ("a release needs a date or an ordinal", F.col("effective_date").isNull() & F.col("source_ordinal").isNull())]
+    C.check_relations(C.Relation(x, "releases", rules, [["provider_id", "release_id"]]))
     return x
 
 
@@ -36,9 +37,8 @@ def monarch_release_catalog(releases: DataFrame) -> DataFrame:
 def source_release_catalog(releases: DataFrame) -> DataFrame:
     C.columns(releases, ["provider_id", "release_id", "available_at", "receipt_id"], "releases")
     C.typed(releases, ["available_at"], (T.TimestampType,), "releases")
-    C.check(releases, [*C.required_text("provider_id", "release_id", "receipt_id"), ("available_at must be present", F.col("available_at").isNull())], "releases")
-    C.unique(releases, ["provider_id", "release_id"], "releases")
-    C.unique(releases, ["provider_id", "available_at"], "releases")
+    rules = [*C.required_text("provider_id", "release_id", "receipt_id"), ("available_at must be present", F.col("available_at").isNull())]
+    C.check_relations(C.Relation(releases, "releases", rules, [["provider_id", "release_id"], ["provider_id", "available_at"]]))
     return releases
 
 
@@ -84,16 +84,37 @@ def normalize_facts(facts: DataFrame, relation: str) -> DataFrame:
     return x.dropDuplicates()
 
 
-def admitted_facts(facts: DataFrame, releases: DataFrame, relation: str) -> tuple[DataFrame, DataFrame]:
-    """(facts, release catalog), both valid.  All rules and the catalog's releases are held against the facts in one
-    aggregation without a shuffle of them; repeated rows still repeat, so a caller can narrow them down first."""
+def _met(facts: DataFrame, releases: DataFrame, relation: str) -> tuple[DataFrame, list[tuple[str, Column]], DataFrame]:
+    """Facts beside their release, the rules of both, and the catalog."""
     catalog = monarch_release_catalog(releases)
     x, rules = _projected(facts, relation)
     known = catalog.select(F.col("provider_id").alias("kp"), F.col("release_id").alias("kr"), F.lit(True).alias("known"))
     known = F.broadcast(known) if known.count() <= MAX_BROADCAST_RELEASES else known
     met = x.join(known, (F.col("provider_id") == F.col("kp")) & (F.col("release_id") == F.col("kr")), "left")
-    C.check(met, [*rules, ("facts name a release that the catalog does not have", F.col("known").isNull())], "facts")
-    return x, catalog
+    return met, [*rules, ("facts name a release that the catalog does not have", F.col("known").isNull())], catalog
+
+
+def admitted_facts(facts: DataFrame, releases: DataFrame, relation: str) -> tuple[DataFrame, DataFrame]:
+    """(facts, release catalog), both valid.  All rules and the catalog's releases are held against the facts in one
+    aggregation without a shuffle of them; repeated rows still repeat, so a caller can narrow them down first."""
+    met, rules, catalog = _met(facts, releases, relation)
+    C.check(met, rules, "facts")
+    return met.drop("kp", "kr", "known"), catalog
+
+
+def selected_facts(facts: DataFrame, releases: DataFrame, relation: str, provider_id: str, *selections: dict) -> tuple[DataFrame, list]:
+    """(distinct facts of the selected releases, the releases' catalog rows) in one pass over ``facts``.
+
+    All facts are held against the rules while those of the selected releases are written to the shared folder; what a
+    broken rule leaves there is not given back.
+    """
+    met, rules, catalog = _met(facts, releases, relation)
+    chosen = [select_release(catalog, provider_id, **s) for s in selections]
+    seen, verify = C.observed(met, rules, "facts")
+    own = seen.where((F.col("provider_id") == provider_id) & F.col("release_id").isin(*(r["release_id"] for r in chosen)))
+    kept = materialize(own.drop("kp", "kr", "known").dropDuplicates(), "facts")
+    verify()
+    return kept, chosen
 
 
 @C.takes_tables
@@ -108,9 +129,8 @@ def monarch_import(facts: DataFrame, releases: DataFrame, relation: str, table:
 @C.takes_tables
 def monarch_query(facts: DataFrame, releases: DataFrame, relation: str, provider_id: str, release_id: str | None = None, as_of=None, as_of_ordinal=None):
     """(facts of the selected release, the release's catalog row)."""
-    x, catalog = admitted_facts(facts, releases, relation)
-    chosen = select_release(catalog, provider_id, release_id, as_of, as_of_ordinal)
-    return x.where((F.col("provider_id") == provider_id) & (F.col("release_id") == chosen["release_id"])).dropDuplicates(), chosen
+    found, (chosen,) = selected_facts(facts, releases, relation, provider_id, {"release_id": release_id, "as_of": as_of, "as_of_ordinal": as_of_ordinal})
+    return found, chosen
 
 
 @C.takes_tables
@@ -118,11 +138,10 @@ def holdout_audit(facts: DataFrame, releases: DataFrame, provider_id: str, train
     """Facts of the holdout release whose gene, disease and predicate the training release lacks."""
     if train_release_id == holdout_release_id:
         raise C.ContractError("training and holdout releases must differ")
-    x, catalog = admitted_facts(facts, releases, "gene_disease")
-    names = [select_release(catalog, provider_id, r)["release_id"] for r in (train_release_id, holdout_release_id)]
-    train, held = (x.where((F.col("provider_id") == provider_id) & (F.col("release_id") == n)) for n in names)
+    x, _ = selected_facts(facts, releases, "gene_disease", provider_id, {"release_id": train_release_id}, {"release_id": holdout_release_id})
+    train, held = (x.where(F.col("release_id") == n) for n in (train_release_id, holdout_release_id))
     keys = ["gene_id", "disease_id", "predicate"]
-    return held.dropDuplicates().join(train.select(*keys).distinct(), keys, "left_anti").select(*held.columns)
+    return held.join(train.select(*keys).distinct(), keys, "left_anti").select(*held.columns)
 
 
 def negation_status(negated: Column) -> Column:
