@@ -231,3 +231,41 @@ def test_judgments_are_accepted_by_call(spark):
     rows = judgments.judgments(r.where("call_id = '0'"), c, "m", x).orderBy("subject_id").collect()
     assert [(v["judgment_id"], v["object_id"], v["decision"], v["confidence"]) for v in rows] == [("judgment:m1", "n1", "keep", None), ("judgment:m2", "c", "replace", None)]
     assert judgments.judgments(r.limit(0), c.limit(0), "m").count() == 0
+
+
+def reach(edges):
+    out = set(edges)
+    while more := {(a, p, d) for a, p, b in out for c, q, d in edges if (b, p) == (c, q)} - out:
+        out |= more
+    return out
+
+
+def test_closure_of_strong_parts_and_increments(spark):
+    """Cycles in cycles, a dense part, chains between them; edges inserted one part after the other."""
+    import random
+
+    r = random.Random(3)
+    edges = {(f"n{a}", "p", f"n{b}") for a, b in [(i, i + 1) for i in range(12)] + [(5, 2), (9, 7), (11, 6), (3, 3)]}
+    edges |= {(f"d{r.randrange(8)}", "p", f"d{r.randrange(8)}") for _ in range(25)} | {("n12", "p", "d0"), ("d1", "q", "n0"), ("n0", "q", "d1")}
+    df = lambda e: spark.createDataFrame(sorted(e), "from_id string, predicate string, to_id string")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(graph.closure(df(edges), ["p", "q"])) == sorted(reach(edges))
+    first = {e for e in edges if r.random() < 0.6}
+    closed = graph.closure(df(first), ["p", "q"])
+    assert rows(graph.closure_insert(closed, df(edges - first), ["p", "q"])) == sorted(reach(edges))
+    assert rows(graph.closure_insert(closed, df(first), ["p", "q"])) == sorted(reach(first))
+
+
+def test_annotation_with_more_aliases_than_travel(spark, monkeypatch):
+    aliases = ["heart", "heart attack", "acute heart attack", "attack of the heart", "the", "of the", "1 2 3", "Größe"]
+    index = graph.alias_index(spark.createDataFrame([(f"n{i}", a, "label", "s", 1.0, None) for i, a in enumerate(aliases)], "node_id string, alias string, alias_kind string, source string, weight double, attrs string"))
+    texts = ["An acute HEART attack; the attack of the heart.", "1-2-3 of the", None, "", "none here", "gr e gr the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
+    columns = ("document_id", "mention_id", "node_id", "span", "start_offset", "end_offset")
+    for longest in (True, False):
+        few, many = (sorted(map(tuple, graph.annotate(docs, index, longest_match=longest, max_broadcast=n).select(*columns).collect()), key=str) for n in (100, 0))
+        assert few == many and few
+    held = X.alias_filter(index, 8)
+    assert held.has("heart attack") and list(held.begins("acute", 4)) == [3] and list(held.begins("heart", 4)) == [1, 2]
+    words = [f"w{i}" for i in range(2000)]
+    assert sum(map(held.has, words)) < 20 and sum(bool(held.begins(w, 4)) for w in words) < 60

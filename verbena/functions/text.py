@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,22 +94,106 @@ def spans_before(i: int, n: int, max_n: int) -> int:
     return full * max_n + (i - full) * (2 * n - full - i + 1) // 2
 
 
-def ngrams(df: DataFrame, id_col: str, text_col: str, max_n: int, wanted: frozenset[str] | None = None) -> DataFrame:
+class Wanted:
+    """Normalized spans that are looked for: their own, by the first token."""
+
+    def __init__(self, spans: Iterable[str]):
+        self.spans = frozenset(spans)
+        self.lengths: dict[str, list[int]] = {}
+        for n, first in sorted({(w.count(" ") + 1, w.split(" ", 1)[0]) for w in self.spans}):
+            self.lengths.setdefault(first, []).append(n)
+
+    def begins(self, token: str, max_n: int) -> Sequence[int]:
+        """Token counts of the spans that may begin with ``token``."""
+        return self.lengths.get(token, ())
+
+    def has(self, span: str) -> bool:
+        return span in self.spans
+
+
+class Every:
+    """All spans."""
+
+    def begins(self, token: str, max_n: int) -> Sequence[int]:
+        return range(1, max_n + 1)
+
+    def has(self, span: str) -> bool:
+        return True
+
+
+#: Bits of a filter at most (32 MB), and of a part of it, which is what tasks combine.
+FILTER_BITS, _PART_BITS = 1 << 28, 1 << 18
+_HASHES = 5
+
+
+class Filter:
+    """A Bloom filter of spans, and of first tokens with the number of tokens after them; what it denies is not there."""
+
+    def __init__(self, bits: int, data: Broadcast | None = None):
+        self.bits, self.data = bits, data
+
+    def places(self, key: str) -> list[int]:
+        h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
+        a, b = h & (1 << 64) - 1, h >> 64 | 1
+        return [(a + k * b) % self.bits for k in range(_HASHES)]
+
+    def _held(self, key: str) -> bool:
+        data = self.data.value
+        return all(data[p >> 3] >> (p & 7) & 1 for p in self.places(key))
+
+    def begins(self, token: str, max_n: int) -> Sequence[int]:
+        return [n for n in range(1, max_n + 1) if self._held(f"{n} {token}")]
+
+    def has(self, span: str) -> bool:
+        return self._held(f"0 {span}")
+
+
+def alias_filter(index: DataFrame, n: int) -> Filter:
+    """A filter of all aliases (normalized_alias, token_count), wrong for less than one per cent of what it lacks up to ten million; tasks set
+    bits and the parts of the filter, 1,024 at most, are combined before they come back."""
+    made = Filter(min(FILTER_BITS, 1 << max(18, (20 * max(1, n)).bit_length())))
+
+    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for alias, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key in (f"0 {alias}", f"{size} {alias.split(' ', 1)[0]}"):
+                    for p in made.places(key):
+                        part = parts.setdefault(p // _PART_BITS, np.zeros(_PART_BITS // 8, np.uint8))
+                        part[p % _PART_BITS >> 3] |= 1 << (p & 7)
+        for k, part in parts.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": pa.array([part.tobytes()])})
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[k] = held[k] | np.frombuffer(bits, np.uint8) if k in held else np.frombuffer(bits, np.uint8)
+        for k, part in held.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "bits": pa.array([part.tobytes()])})
+
+    keys = index.select("normalized_alias", "token_count").distinct()
+    rows = keys.mapInArrow(set_bits, "part int, bits binary").repartition("part").mapInArrow(combined, "part int, bits binary").collect()
+    data = np.zeros(made.bits // 8, np.uint8)
+    for r in rows:
+        at = r["part"] * _PART_BITS // 8
+        data[at : at + _PART_BITS // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return Filter(made.bits, index.sparkSession.sparkContext.broadcast(data.tobytes()))
+
+
+def ngrams(df: DataFrame, id_col: str, text_col: str, max_n: int, wanted: Wanted | Filter | Every | frozenset[str] | None = None) -> DataFrame:
     """Spans of 1 to ``max_n`` tokens: document_id, row, normalized_span, token_count, start_offset, end_offset, span, ordinal.
 
-    ``ordinal`` numbers all spans of a text from 1, by first token and length.  With ``wanted`` (normalized spans) only those are made, and only tokens that begin one are looked at.
+    ``ordinal`` numbers all spans of a text from 1, by first token and length.  With ``wanted`` only spans that it has are
+    made, and of tokens only those looked at that begin one.
     """
-    sizes: dict[str, list[int]] = {}
-    for w in wanted or ():
-        parts = w.split(" ")
-        sizes.setdefault(parts[0], []).append(len(parts))
-    lengths = {w: sorted(set(n)) for w, n in sizes.items()}
-    every = list(range(1, max_n + 1))
+    wanted = Every() if wanted is None else Wanted(wanted) if isinstance(wanted, frozenset) else wanted
     x = df.select(F.col(id_col).alias("document_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     kinds = T.StructType([x.schema["document_id"], x.schema["row"], *(T.StructField(c, t) for c, t in (("normalized_span", T.StringType()), ("token_count", T.IntegerType()), ("start_offset", T.IntegerType()), ("end_offset", T.IntegerType()), ("span", T.StringType()), ("ordinal", T.LongType())))])
     schema = to_arrow_schema(kinds)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(maxsize=100_000)(lambda token: wanted.begins(token, max_n))
         for batch in batches:
             out: list[tuple] = []
 
@@ -120,16 +208,16 @@ def ngrams(df: DataFrame, id_col: str, text_col: str, max_n: int, wanted: frozen
                     continue
                 words = _RUN.findall(text)
                 low = [w.lower() for w in words]
-                begins = range(len(low)) if wanted is None else [i for i, w in enumerate(low) if w in lengths]
-                if not len(begins):
+                begins = [(i, sizes) for i, w in enumerate(low) if (sizes := known(w))]
+                if not begins:
                     continue
                 places = [m.span() for m in _RUN.finditer(text)]
-                for i in begins:
-                    for n in every if wanted is None else lengths[low[i]]:
+                for i, sizes in begins:
+                    for n in sizes:
                         if i + n > len(low):
                             break
                         joined = " ".join(low[i : i + n])
-                        if wanted is None or joined in wanted:
+                        if wanted.has(joined):
                             a, z = places[i][0], places[i + n - 1][1]
                             out.append((k, joined, n, a, z, text[a:z], spans_before(i, len(low), max_n) + n))
                     if len(out) >= 20_000:

@@ -81,28 +81,97 @@ def projection_sql(source_table: str, from_col: str, predicate: str, to_col: str
     return f"CREATE OR REPLACE TEMPORARY VIEW {target_table} AS SELECT {from_col} AS from_id, {predicate} AS predicate, {to_col} AS to_id, {attrs or 'CAST(NULL AS STRING)'} AS attrs, {trust or 'CAST(NULL AS STRING)'} AS trust FROM {source_table}"
 
 
+_PAIR = ["from_id", "predicate", "to_id"]
+
+
+def _pairs(edges: DataFrame, transitive_predicates: list[str]) -> DataFrame:
+    base = edges.where(F.col("predicate").isin(*transitive_predicates) if transitive_predicates else F.lit(False))
+    return base.select(*_PAIR).where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct()
+
+
+def _compose(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Pairs over a pair of ``first`` and one of ``then``."""
+    ahead = then.select(F.col("from_id").alias("mid"), F.col("predicate").alias("p"), F.col("to_id").alias("far"))
+    return first.join(ahead, (F.col("to_id") == F.col("mid")) & (F.col("predicate") == F.col("p"))).select("from_id", "predicate", F.col("far").alias("to_id")).distinct()
+
+
+def _mutual(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(predicate, node, rep): nodes of ``new`` pairs that ``known`` joins in both directions, each with the least node that they lead to."""
+    back = known.where("from_id > to_id").select(F.col("to_id").alias("a"), F.col("predicate").alias("p"), F.col("from_id").alias("b"))
+    there = new.where("from_id < to_id").join(back, (F.col("from_id") == F.col("a")) & (F.col("to_id") == F.col("b")) & (F.col("predicate") == F.col("p")))
+    turned = new.where("from_id > to_id").select(F.col("to_id").alias("a"), F.col("predicate").alias("p"), F.col("from_id").alias("b"))
+    here = known.where("from_id < to_id").join(turned, (F.col("from_id") == F.col("a")) & (F.col("to_id") == F.col("b")) & (F.col("predicate") == F.col("p")))
+    both = there.select(*_PAIR).unionByName(here.select(*_PAIR))
+    leads = materialize(both.groupBy("predicate", F.col("to_id").alias("node")).agg(F.min("from_id").alias("rep")), "mutual")
+    if not leads.take(1):
+        return leads
+    while True:  # each node's rep may lead on to a smaller one: double the steps until none does
+        on = leads.select(F.col("predicate").alias("p"), F.col("node").alias("via"), F.col("rep").alias("end"))
+        next_ = materialize(leads.join(on, (F.col("predicate") == F.col("p")) & (F.col("rep") == F.col("via")), "left").select("predicate", "node", F.coalesce("end", "rep").alias("rep"), F.col("end").isNotNull().alias("moved")), "mutual")
+        moved, leads = next_.where("moved").take(1), next_.drop("moved")
+        if not moved:
+            return leads
+
+
+def _renamed(rows: DataFrame, reps: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (predicate and more) with nodes in ``columns`` replaced by their reps."""
+    for c in columns:
+        of = reps.select(F.col("predicate").alias("p"), F.col("node").alias("old"), F.col("rep").alias("new"))
+        rows = rows.join(of, (F.col("predicate") == F.col("p")) & (F.col(c) == F.col("old")), "left").withColumn(c, F.coalesce("new", c)).drop("p", "old", "new")
+    return rows
+
+
 @C.takes_tables
 def closure(edges: DataFrame, transitive_predicates: list[str]) -> DataFrame:
     """All (from_id, predicate, to_id) reachable over one or more edges of the same predicate.
 
     Doubling: round k holds the pairs that up to 2**k edges join and, apart, those that exactly 2**k edges join.  One
     join of the two gives the next round, so a path of n edges takes log2(n) rounds, and each new pair of a chain is
-    made once.  Rounds end when one finds no new pair; each is written to the shared folder.
+    made once.  Nodes that are found to lead to each other are one node from then on, so a strongly connected part of m
+    nodes is one pair in later rounds and not m**2; its pairs are made once, at the end.  Rounds end when one
+    finds no new pair; each is written to the shared folder.
     """
-    keys = ["from_id", "predicate", "to_id"]
-    base = edges.where(F.col("predicate").isin(*transitive_predicates) if transitive_predicates else F.lit(False))
-    known = leap = materialize(base.select(*keys).where("from_id IS NOT NULL AND to_id IS NOT NULL").distinct(), "closure")
-
-    def after_leap(rows: DataFrame) -> DataFrame:
-        ahead = rows.select(F.col("from_id").alias("mid"), F.col("predicate").alias("p"), F.col("to_id").alias("far"))
-        return leap.join(ahead, (F.col("to_id") == F.col("mid")) & (F.col("predicate") == F.col("p"))).select("from_id", "predicate", F.col("far").alias("to_id")).distinct()
-
+    known = leap = new = materialize(_pairs(edges, transitive_predicates), "closure")
+    parts = None  # (predicate, node, rep) of all nodes that are no longer their own
     while True:
-        new = materialize(after_leap(known).join(known, keys, "left_anti").select(*keys), "closure")
+        while (met := _mutual(new, known)).take(1):  # again, as renamed pairs may be mutual in turn
+            known, leap = (materialize(_renamed(x, met, "from_id", "to_id").distinct(), "closure") for x in (known, leap))
+            parts = materialize(met if parts is None else _renamed(parts, met, "rep").unionByName(met), "parts")
+            new = known
+        new = materialize(_compose(leap, known).join(known, _PAIR, "left_anti").select(*_PAIR), "closure")
         if not new.take(1):
-            return known
-        leap = materialize(after_leap(leap), "closure")
+            break
+        leap = materialize(_compose(leap, leap), "closure")
         known = known.unionByName(new)
+    if parts is None:
+        return known
+    members = parts.unionByName(parts.select("predicate", F.col("rep").alias("node"), "rep").distinct())
+    for c in ("from_id", "to_id"):
+        of = members.select(F.col("predicate").alias("p"), F.col("rep").alias("one"), "node")
+        known = known.join(of, (F.col("predicate") == F.col("p")) & (F.col(c) == F.col("one")), "left").withColumn(c, F.coalesce("node", c)).select(*_PAIR)
+    return known
+
+
+@C.takes_tables
+def closure_insert(closed: DataFrame, edges: DataFrame, transitive_predicates: list[str]) -> DataFrame:
+    """The closure after ``edges`` are inserted, from the closure before: equal to a recomputation.
+
+    A new path goes from a new edge's start to a new edge's end over new edges and old pairs between them, and old pairs
+    lead to the one and from the other.  So only the ends of new edges are closed anew, and old pairs are read by joins with those.
+    """
+    old = closed.select(*_PAIR)
+    added = materialize(_pairs(edges, transitive_predicates).join(old, _PAIR, "left_anti").select(*_PAIR), "inserted")
+    starts = added.select(F.col("predicate").alias("p"), F.col("from_id").alias("end")).distinct()
+    ends = added.select(F.col("predicate").alias("p"), F.col("to_id").alias("end")).distinct()
+    at = lambda c: (F.col("predicate") == F.col("p")) & (F.col(c) == F.col("end"))
+    between = old.join(ends, at("from_id"), "left_semi").join(starts, at("to_id"), "left_semi")
+    paths = closure(added.unionByName(between), transitive_predicates).join(starts, at("from_id"), "left_semi").join(ends, at("to_id"), "left_semi")
+    paths = materialize(paths.unionByName(added).distinct(), "inserted")
+    before = old.join(starts, at("to_id"), "left_semi")
+    after = old.join(ends, at("from_id"), "left_semi")
+    led = materialize(paths.unionByName(_compose(before, paths)), "inserted")
+    new = led.unionByName(_compose(led, after)).distinct().join(old, _PAIR, "left_anti")
+    return old.unionByName(materialize(new.select(*_PAIR), "inserted"))
 
 
 def closure_sql(transitive_predicates: list[str], source_table: str = "semantic_edges", target_table: str = "semantic_entailed_edges") -> str:
@@ -125,24 +194,29 @@ def alias_index(aliases: DataFrame) -> DataFrame:
     return aliases.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("normalized_alias", n).where("normalized_alias <> ''").withColumn("token_count", F.size(F.split("normalized_alias", " ")))
 
 
-#: Aliases up to which their normalized texts travel with the tasks; beyond, every n-gram meets the index in a join.
+#: Aliases up to which their normalized texts travel with the tasks; beyond, a filter of at most ``X.FILTER_BITS`` bits does.
 MAX_BROADCAST_ALIASES = 1_000_000
 
 
 @C.takes_tables
-def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id", text_col: str = "text", longest_match: bool = True, ordered: bool = False) -> DataFrame:
+def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id", text_col: str = "text", longest_match: bool = True, ordered: bool = False, max_broadcast: int = MAX_BROADCAST_ALIASES) -> DataFrame:
     """Mentions of indexed aliases in all documents, as one plan, in the columns of ``mentions`` and the alias's own.
 
+    Few aliases travel with the tasks.  Of many only a filter does: it tells which tokens may begin an alias of which length and
+    which spans may be aliases, so hardly any other span is made, and the spans meet the index in a join.
+
     Without ``longest_match`` every match stays; with it a match inside a strictly longer one goes.  ``ordered`` sorts by
     document, start, end (longest first) and node.
     """
     n_aliases, max_n = index.agg(F.count("*"), F.coalesce(F.max("token_count"), F.lit(0))).first()
-    wanted = None
-    if n_aliases <= MAX_BROADCAST_ALIASES:
-        wanted = frozenset(r["a"] for r in index.select(F.col("normalized_alias").alias("a")).distinct().collect())
+    few = n_aliases <= max_broadcast
+    if few:
+        wanted = X.Wanted(r["a"] for r in index.select(F.col("normalized_alias").alias("a")).distinct().collect())
+    else:
+        wanted = X.alias_filter(index, n_aliases)
     spans = X.ngrams(documents, id_col, text_col, max(1, int(max_n)), wanted)
     side = index.withColumnRenamed("token_count", "alias_tokens")
-    side = F.broadcast(side) if wanted is not None else side
+    side = F.broadcast(side) if few else side
     m = spans.join(side, (F.col("normalized_span") == F.col("normalized_alias")) & (F.col("token_count") == F.col("alias_tokens"))).drop("alias_tokens")
     best = Window.partitionBy("row", "start_offset", "end_offset", "node_id").orderBy(F.desc_nulls_last("weight"), F.asc_nulls_last("alias_kind"), F.asc_nulls_last("alias"), F.asc_nulls_last("source"))
     m = m.withColumn("rank", F.row_number().over(best)).where("rank = 1")

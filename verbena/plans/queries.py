@@ -138,6 +138,12 @@ def lexical_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("document_id").alias("doc_id"), "node_id", "start_offset", "end_offset")
 
 
+def lexical_annotation_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lexical_annotation`` as with more aliases than travel with the tasks."""
+    found = graph.annotate(spread_texts(spark, sf_dir), graph.alias_index(benchmark_aliases(spark, sf_dir)), "doc_id", "text", max_broadcast=0)
+    return found.select(F.col("document_id").alias("doc_id"), "node_id", "start_offset", "end_offset")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _t(spark, sf_dir, "conversations")
     x = c.select(F.concat("conv_id", F.lit("/"), "turn").alias("f"), F.lit("next").alias("p"), F.concat("conv_id", F.lit("/"), F.col("turn") + 1).alias("t"))
@@ -148,6 +154,26 @@ def graph_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(_edges(spark, sf_dir), ["next"])
 
 
+def _cycles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns that follow each other, back to the first in every third conversation; and edges that join conversations to the next ones."""
+    c = _t(spark, sf_dir, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    node = lambda conv, turn: F.concat(conv, F.lit("/"), turn)
+    back = last.where("conv_id % 3 = 0").select(node(F.col("conv_id"), F.col("turn") + 1).alias("f"), F.lit("next").alias("p"), node(F.col("conv_id"), F.lit(0)).alias("t"))
+    on = last.where("conv_id % 7 < 3").select(node(F.col("conv_id"), F.col("turn") + 1).alias("f"), F.lit("next").alias("p"), node(F.col("conv_id") + 1, F.lit(0)).alias("t"))
+    return _edges(spark, sf_dir).unionByName(graph.projection(back, "f", "p", "t")), graph.projection(on, "f", "p", "t")
+
+
+def graph_closure_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(_cycles(spark, sf_dir)[0], ["next"])
+
+
+def graph_closure_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closure kept up to date when conversations are joined."""
+    edges, on = _cycles(spark, sf_dir)
+    return graph.closure_insert(graph.closure(edges, ["next"]), on, ["next"])
+
+
 def graph_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges inserted twice are stored once."""
     e = _edges(spark, sf_dir)
@@ -245,7 +271,7 @@ def judgment_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {f"search_{m}": _search(m) for m in V.METRICS} | {f"search_block_{m}": _search_block(m) for m in V.METRICS}
     out |= {f"search_tiles_{m}": _search_tiles(m) for m in V.METRICS} | {f"search_index_{m}": _search_index(m) for m in V.METRICS}
-    named = (index_recall, late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, literal_search_folded, sha256_receipts, lexical_annotation, graph_closure, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
+    named = (index_recall, late_interaction, maxsim_blocks, normalized_text, text_tokens, literal_search, literal_search_folded, sha256_receipts, lexical_annotation, lexical_annotation_filtered, graph_closure, graph_closure_cycles, graph_closure_insert, graph_insert, facts_as_of, holdout, literature_snapshot, observation_violations, pack_roles, model_judgments, hypothesis_violations, judgment_prompts)
     return out | {f.__name__: f for f in (*named, *session.QUERIES)}
 
 
@@ -263,6 +289,13 @@ WITH f AS (SELECT DISTINCT 'G:' || o_custkey AS gene_id, 'D:' || (l_partkey % 50
 m AS (SELECT min(strftime(o_orderdate, '%Y-%m')) AS a, max(strftime(o_orderdate, '%Y-%m')) AS b FROM orders)"""
 
 
+_CYCLES = """
+WITH RECURSIVE l AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY 1),
+e AS (SELECT conv_id || '/' || turn AS f, conv_id || '/' || (turn + 1) AS t FROM conversations UNION SELECT conv_id || '/' || (turn + 1), conv_id || '/0' FROM l WHERE conv_id % 3 = 0 {more}),
+c AS (SELECT f, t FROM e UNION SELECT c.f, e.t FROM c JOIN e ON c.t = e.f)
+SELECT f AS from_id, 'next' AS predicate, t AS to_id FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         f"search_{m}": f"SELECT vec_id, label, round({s}, 6) AS score FROM embeddings e, (SELECT {_QUERY} AS q) ORDER BY {s} {d}, vec_id LIMIT 10" for m, (s, d) in _SCORES.items()
@@ -300,18 +333,20 @@ u AS (SELECT doc_id, text, unnest(range(1, len(g))) AS i, g FROM p),
 w AS (SELECT doc_id, text, (sum(length(g[i]) + 3) OVER (PARTITION BY doc_id ORDER BY i))::INTEGER AS e FROM u)
 SELECT doc_id, e - 3 AS start_offset, e AS end_offset, text[e - 2 : e] AS source_text FROM w""",
         "sha256_receipts": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-        "lexical_annotation": f"""
+        **dict.fromkeys(("lexical_annotation", "lexical_annotation_filtered"), f"""
 WITH a AS (SELECT DISTINCT 'item:' || item_id AS node_id, array_to_string(({_WORDS})[1:3], ' ') AS alias FROM benchmark),
 p AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS t, string_split_regex(text, '[A-Za-z0-9]+') AS g FROM documents),
 u AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS i, t, g FROM p),
 v AS (SELECT doc_id, i, lower(t[i]) AS w, length(t[i]) AS n, length(g[i]) AS m FROM u),
 k AS (SELECT doc_id, i, w, n, sum(n + m) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM v),
 s AS (SELECT doc_id, e - n AS start_offset, lead(e, 2) OVER o AS end_offset, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o AS alias FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY i))
-SELECT doc_id, node_id, start_offset::INTEGER AS start_offset, end_offset::INTEGER AS end_offset FROM s JOIN a USING (alias)""",
+SELECT doc_id, node_id, start_offset::INTEGER AS start_offset, end_offset::INTEGER AS end_offset FROM s JOIN a USING (alias)"""),
         "graph_closure": """
 WITH RECURSIVE e AS (SELECT DISTINCT conv_id || '/' || turn AS f, conv_id || '/' || (turn + 1) AS t FROM conversations),
 c AS (SELECT f, t FROM e UNION SELECT c.f, e.t FROM c JOIN e ON c.t = e.f)
 SELECT f AS from_id, 'next' AS predicate, t AS to_id FROM c""",
+        "graph_closure_cycles": _CYCLES.format(more=""),
+        "graph_closure_insert": _CYCLES.format(more="UNION SELECT conv_id || '/' || (turn + 1), (conv_id + 1) || '/0' FROM l WHERE conv_id % 7 < 3"),
         "graph_insert": """
 WITH e AS (SELECT DISTINCT conv_id || '/' || turn AS from_id, 'next' AS predicate, conv_id || '/' || (turn + 1) AS to_id FROM conversations)
 SELECT *, NULL::VARCHAR AS attrs, NULL::VARCHAR AS trust FROM e UNION ALL SELECT *, NULL::VARCHAR, 'again' FROM e""",
