@@ -7,10 +7,15 @@ from data and every join is an equi-join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbena.functions import vectors as V
+from verbena.functions.providers import EmbeddingProvider, embedding_batch
+from verbena.operators import retrieval
+from verbena.shared import materialize
 
 RELEASE = ("provider_id", "release_id", "source_id")
 ROW = (*RELEASE, "source_row_id")
@@ -73,6 +78,40 @@ def best_cited(found: DataFrame, scores: DataFrame, evidence: DataFrame, fields:
     return evidence.join(F.broadcast(best), list(ROW)).join(says, [*RELEASE, "field_path"], "left").select("mechanism", "reference", "supports", "field_path")
 
 
+@dataclass(frozen=True)
+class MechanismSession:
+    """``ranked``: each question's best mechanisms with the number of their references; ``best``: the evidence of the best one that has any."""
+
+    ranked: DataFrame
+    best: DataFrame
+
+
+def mechanism_session(fields: DataFrame, questions: DataFrame, provider: EmbeddingProvider, top_k: int = 10, section: str = "pathophysiology") -> MechanismSession:
+    """Mechanisms for a set of questions (question_id, question), ranked by the inner product of the provider's vectors.
+
+    Descriptions and questions go through the provider batch by batch; each text is embedded once.  Ties go by the row
+    keys as JSON.  Questions without text get no answer.
+    """
+    found = mechanisms(fields, section).withColumn("subject_id", F.to_json(F.struct(*ROW)))
+    found = materialize(found, "mechanisms")
+    vectors = materialize(embedding_batch(found, provider, "subject_id", "description", "mechanism"), "vectors")
+    asked = embedding_batch(questions, provider, "question_id", "question", "question")
+    asked = materialize(asked.select(F.col("subject_id").alias("query_id"), F.col("embedding").alias("query")), "questions")
+    cited = materialize(mechanism_evidence(found, fields, section), "evidence")
+    n = cited.groupBy(*ROW).agg(F.count("reference").alias("cited_references"))
+
+    def answers(rows: DataFrame, most: int) -> DataFrame:
+        top = retrieval.embedding_search_block(rows, asked, metric="inner_product", top_k=most)
+        return top.select(F.col("query_id").alias("question_id"), "subject_id", "score", "rank").join(found, "subject_id")
+
+    ranked = answers(vectors, top_k).join(n, list(ROW), "left").select("question_id", "rank", "score", "mechanism", "description", *ROW, F.coalesce("cited_references", F.lit(0)).alias("cited_references"))
+    known = cited.select(F.to_json(F.struct(*ROW)).alias("subject_id")).distinct()
+    first = answers(vectors.join(known, "subject_id", "left_semi"), 1).select("question_id", *ROW)
+    says = fields.where(F.endswith("field_path", F.lit("/supports"))).select(*RELEASE, F.regexp_replace("field_path", "/supports$", "/reference").alias("field_path"), F.col("value").alias("supports"))
+    best = first.join(cited, list(ROW)).join(says, [*RELEASE, "field_path"], "left").select("question_id", "mechanism", "reference", "supports", "field_path", *ROW)
+    return MechanismSession(ranked, best)
+
+
 def disease_terms(fields: DataFrame, terms: DataFrame) -> DataFrame:
     """Disease identifiers of records with their ontology label; both releases and receipts stay visible."""
     d = fields.where("field_path = '/disease_term/term/id'").select(F.col("value").alias("disease_id"), F.col("release_id").alias("record_release"), F.col("receipt_id").alias("record_receipt"))

@@ -7,14 +7,16 @@ is the disease term.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbena.functions import vectors as V
-from verbena.functions.providers import FunctionRunner
-from verbena.operators import contributions, evidence, graph, maxsim_search, observations, prompts, releases, retrieval, store
+from verbena.functions.providers import FunctionEmbedding, FunctionRunner
+from verbena.operators import contributions, evidence, graph, hypotheses, maxsim_search, observations, prompts, releases, retrieval, store, versions
 from verbena.operators.judgments import read_json
+from verbena.shared import scratch
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,84 @@ def session_best_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.best_cited(m, _scores(spark, sf_dir, m), evidence.mechanism_evidence(m, f), f)
 
 
+def digit_counts(texts: Sequence[str]) -> list[list[int]]:
+    """A stand-in for an encoder that SQL can follow."""
+    return [[t.count(str(d)) for d in range(10)] for t in texts]
+
+
+def _session(spark: SparkSession, sf_dir: str) -> evidence.MechanismSession:
+    """Customers' names as questions to the mechanisms."""
+    questions = _t(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("question_id"), F.col("c_name").alias("question"))
+    return evidence.mechanism_session(_fields(spark, sf_dir), questions, FunctionEmbedding("digits", digit_counts), top_k=5)
+
+
+def session_ranked_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir).ranked.select("question_id", "rank", "score", "mechanism", "source_row_id", "cited_references")
+
+
+def session_best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir).best.select("question_id", "mechanism", "reference", "supports", "field_path", "source_row_id")
+
+
+def hypothesis_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as links into their order's fields: some name a row, some a part of the value, some what is not there."""
+    f = _t(spark, sf_dir, "orders").select(
+        F.lit("p").alias("provider_id"), F.lit("r").alias("release_id"), F.col("o_orderkey").cast("string").alias("source_id"), F.concat(F.lit("row"), "o_orderkey").alias("source_row_id"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("/shared")).otherwise(F.concat(F.lit("/order/"), "o_orderkey")).alias("field_path"), F.lit("rc").alias("receipt_id"), F.concat(F.lit("customer "), "o_custkey", F.lit(" of "), "o_orderpriority").alias("value"),
+    )
+    k = F.col("l_linenumber") + F.col("l_partkey")
+    links = _t(spark, sf_dir, "lineitem").select(
+        F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("hypothesis_id"), F.lit("orders").alias("source_relation"), F.when(F.col("l_orderkey") % 5 == 0, F.lit("/shared")).otherwise(F.concat(F.lit("/order/"), "l_orderkey")).alias("field_path"),
+        F.when(k % 4 == 1, "customer ").when(k % 4 == 2, "o").when(k % 4 == 3, "nothing").alias("text"), F.lit("c").alias("citation"), F.when(F.col("l_returnflag") == "R", "contradiction").when(F.col("l_returnflag") == "A", "support").otherwise("hearsay").alias("evidence_role"),
+        F.when(k % 3 != 0, F.concat(F.lit("row"), "l_orderkey")).alias("source_row_id"),
+    )
+    found = hypotheses.resolved_links(links, f.select(*hypotheses.FIELD_COLUMNS))
+    good = F.col("reason").isNull()
+    return found.select("hypothesis_id", "reason", *(F.when(good, F.col(c)).alias(c) for c in ("source_record_id", "start_offset", "end_offset", "source_span")))
+
+
+def store_replaced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written to a store in versions, every fiftieth replaced by its double; the last version."""
+    x = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("subject_id"), F.lit("node").alias("subject_kind"), F.lit("p").alias("provider"), F.size("embedding").alias("dim"), "embedding", "vec_id")
+    s = versions.Store(spark, scratch(spark, "store"), buckets=16)
+    s.write_embeddings(x)
+    s.write_embeddings(x.where("vec_id % 50 = 0").withColumn("embedding", F.transform("embedding", lambda v: v * 2)), replace=True)
+    return s.table("embeddings").select(F.col("subject_id").cast("long").alias("vec_id"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 5).alias("square"))
+
+
+def store_graph_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as a graph that is written, written again with customers, and then replaced; rows by version and relation."""
+    n = _t(spark, sf_dir, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("node_id"), F.lit("nation").alias("family"), F.col("n_name").alias("label"), "n_regionkey")
+    c = _t(spark, sf_dir, "customer").select(F.concat(F.lit("C:"), "c_custkey").alias("node_id"), F.lit("customer").alias("family"), F.col("c_name").alias("label"), "c_nationkey")
+    alias = lambda x: x.select("node_id", F.col("label").alias("alias"), F.lit("label").alias("alias_kind"))
+    edges = c.select(F.col("node_id").alias("from_id"), F.lit("in").alias("predicate"), F.concat(F.lit("N:"), "c_nationkey").alias("to_id"))
+    s = versions.Store(spark, scratch(spark, "store"), buckets=4)
+    s.write_graph(n, alias(n))
+    s.write_graph(n.drop("n_regionkey").unionByName(c.drop("c_nationkey")), alias(n).unionByName(alias(c)), edges)
+    s.write_graph(c.where("c_nationkey % 2 = 0"), replace=True)
+    counts = [s.table(r, v).agg(F.count("*").alias("n")).select(F.lit(v).alias("version"), F.lit(r).alias("relation"), "n") for v in s.versions() for r in ("nodes", "aliases", "alias_index", "edges")]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def store_recorded_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments of lines, recorded in two versions; what is missing takes its default."""
+    li = _t(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("subject_id"), F.when(F.col("l_returnflag") == "R", "drop").otherwise("keep").alias("decision"), "l_returnflag")
+    rows = li.select(F.concat(F.lit("judgment:"), "subject_id").alias("judgment_id"), "subject_id", F.lit("grounds").alias("predicate"), "decision", "l_returnflag")
+    s = versions.Store(spark, scratch(spark, "store"), buckets=8)
+    s.record(rows.where("l_returnflag = 'R'").drop("l_returnflag"), "judgments")
+    s.record(rows.where("l_returnflag <> 'R'").drop("l_returnflag"), "judgments")
+    return s.table("judgments").select("judgment_id", "subject_id", "decision", "model", F.col("recorded_at").isNotNull().alias("timed"))
+
+
+def facts_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized facts of known releases, each once."""
+    o, li = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    facts = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("D:"), F.col("l_partkey") % 500).alias("disease_id"), F.concat(F.lit("P:"), F.col("l_suppkey")).alias("phenotype_id"), month.alias("release_id"), F.lit("p").alias("provider_id"), month.alias("source_version"))
+    months = o.groupBy(month.alias("release_id")).agg(F.min(F.to_date("o_orderdate")).alias("effective_date")).select(F.lit("p").alias("provider_id"), "release_id", "effective_date")
+    return releases.monarch_import(facts, months, "disease_phenotype").select("disease_id", "phenotype_id", "predicate", "release_id")
+
+
 def session_disease_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.disease_terms(_fields(spark, sf_dir), _terms(spark, sf_dir)).groupBy("disease_id", "term_label", "record_release", "term_release").agg(F.count("*").alias("n"))
 
@@ -209,6 +289,7 @@ def contribution_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     session_receipts, session_replaced_terms, session_mechanisms, session_scores, session_evidence, session_cited_references, session_best_cited, session_disease_terms, maxsim_token_blocks, late_interaction_block, late_interaction_pruned,
+    session_ranked_mechanisms, session_best_evidence, hypothesis_links, store_replaced_vectors, store_graph_versions, store_recorded_judgments, facts_import,
     observation_contexts, negation_words, lexical_mentions, judged_mentions, contribution_terms, contribution_records, contribution_associations,
 )
 
@@ -227,6 +308,12 @@ m AS (SELECT regexp_extract(d.field_path, '^(/pathophysiology/[0-9]+)/', 1) AS f
 s AS (SELECT source_row_id, list_dot_product(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS cosine FROM m JOIN embeddings e ON e.vec_id = TRY_CAST(substr(mechanism, 6) AS BIGINT) % 50),
 v AS (SELECT m.source_row_id, m.mechanism, e.source_id, e.field_path, e.value AS reference FROM m JOIN f e ON e.source_id = m.source_id AND regexp_extract(e.field_path, '^(/pathophysiology/[0-9]+)/evidence/[0-9]+/reference$', 1) = m.field_prefix)
 """
+_ASKED = _FIELDS + """
+, z AS (SELECT source_row_id, count(*) AS c FROM v GROUP BY 1),
+d AS (SELECT m.*, list_transform(range(10), lambda d: (length(description) - length(replace(description, d::VARCHAR, '')))::DOUBLE) AS e, '{"provider_id":"p","release_id":"r1","source_id":"' || source_id || '","source_row_id":"' || source_row_id || '"}' AS subject_id FROM m),
+q AS (SELECT c_custkey::VARCHAR AS question_id, list_transform(range(10), lambda d: (length(c_name) - length(replace(c_name, d::VARCHAR, '')))::DOUBLE) AS q FROM customer WHERE c_custkey % 50 = 0),
+x AS (SELECT question_id, list_dot_product(e, q) AS score, mechanism, d.source_row_id, c, (row_number() OVER (PARTITION BY question_id ORDER BY list_dot_product(e, q) DESC, subject_id))::INTEGER AS r FROM d CROSS JOIN q LEFT JOIN z USING (source_row_id))
+"""
 _CITED = """
 WITH x AS (SELECT o_orderkey AS k, o_custkey AS c, p[1] AS part, p[2] AS supplier FROM orders LEFT JOIN (SELECT l_orderkey, min([l_partkey, l_suppkey]) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 s AS (SELECT DISTINCT l_orderkey AS k, 'PMID:' || l_partkey || ';' AS citation, 's' || l_suppkey AS span FROM lineitem WHERE l_returnflag = 'N')
@@ -254,6 +341,30 @@ WITH q AS (SELECT vec_id - vec_id % 50 AS query_id, vec_id % 50 AS t, embedding:
 b AS (SELECT query_id, t, vec_id // 8 AS block_id, max(list_cosine_similarity(embedding::DOUBLE[], q)) AS s, count(*) AS n FROM embeddings, q GROUP BY 1, 2, 3),
 x AS (SELECT query_id, block_id, sum(s) AS score, max(n) AS n FROM b GROUP BY 1, 2)
 SELECT query_id, block_id, round(score, 5) AS score, n AS candidate_token_count FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) <= 10""",
+        "session_ranked_mechanisms": _ASKED + """
+SELECT question_id, r AS rank, score, mechanism, source_row_id, coalesce(c, 0) AS cited_references FROM x WHERE r <= 5""",
+        "session_best_evidence": _ASKED + """
+, y AS (SELECT * FROM x WHERE c > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY r) = 1)
+SELECT question_id, y.mechanism, v.reference, s.value AS supports, v.field_path, y.source_row_id FROM y JOIN v USING (source_row_id) LEFT JOIN f s ON s.source_id = v.source_id AND s.field_path = regexp_replace(v.field_path, '/reference$', '/supports')""",
+        "hypothesis_links": """
+WITH f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '/shared' ELSE '/order/' || o_orderkey END AS path, 'customer ' || o_custkey || ' of ' || o_orderpriority AS value FROM orders),
+n AS (SELECT path, count(*) AS n FROM f GROUP BY 1),
+l AS (SELECT *, concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) AS id, l_linenumber + l_partkey AS k FROM lineitem),
+m AS (SELECT id, l_returnflag AS flag, CASE k % 4 WHEN 1 THEN 'customer ' WHEN 2 THEN 'o' WHEN 3 THEN 'nothing' END AS t, value, f.o_orderkey, CASE WHEN k % 3 <> 0 THEN 1 ELSE n.n END AS n FROM l JOIN f ON o_orderkey = l_orderkey JOIN n USING (path)),
+r AS (SELECT *, CASE WHEN flag NOT IN ('R', 'A') THEN 'evidence_role has a value outside its list' WHEN n <> 1 THEN 'field_path must resolve to exactly one source field'
+  WHEN t IS NOT NULL AND len(string_split(value, t)) <> 2 THEN 'text must occur exactly once in the source field' END AS reason FROM m)
+SELECT id AS hypothesis_id, reason, CASE WHEN reason IS NULL THEN 'row' || o_orderkey END AS source_record_id, CASE WHEN reason IS NULL THEN CASE WHEN t IS NULL THEN 0 ELSE strpos(value, t) - 1 END END::INTEGER AS start_offset,
+  CASE WHEN reason IS NULL THEN CASE WHEN t IS NULL THEN length(value) ELSE strpos(value, t) - 1 + length(t) END END::INTEGER AS end_offset, CASE WHEN reason IS NULL THEN coalesce(t, value) END AS source_span FROM r""",
+        "store_replaced_vectors": "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * CASE WHEN vec_id % 50 = 0 THEN 4 ELSE 1 END, 5) AS square FROM embeddings",
+        "store_graph_versions": """
+WITH n AS (SELECT count(*) AS n FROM nation), c AS (SELECT count(*) AS c, count(*) FILTER (c_nationkey % 2 = 0) AS e FROM customer),
+x AS (SELECT unnest([1, 2, 3]) AS version), y AS (SELECT unnest(['nodes', 'aliases', 'alias_index', 'edges']) AS relation)
+SELECT version::INTEGER AS version, relation, (CASE WHEN version = 3 AND relation = 'nodes' THEN e WHEN relation = 'edges' THEN CASE WHEN version = 1 THEN 0 ELSE c END WHEN version = 1 THEN n ELSE n + c END)::BIGINT AS n FROM n, c, x, y""",
+        "store_recorded_judgments": """
+SELECT 'judgment:' || i AS judgment_id, i AS subject_id, CASE l_returnflag WHEN 'R' THEN 'drop' ELSE 'keep' END AS decision, NULL::VARCHAR AS model, true AS timed
+FROM (SELECT DISTINCT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS i, l_returnflag FROM lineitem)""",
+        "facts_import": """
+SELECT DISTINCT 'D:' || (l_partkey % 500) AS disease_id, 'P:' || l_suppkey AS phenotype_id, 'biolink:has_phenotype' AS predicate, strftime(o_orderdate, '%Y-%m') AS release_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         "late_interaction_pruned": """
 WITH q AS (SELECT vec_id - vec_id % 50 AS query_id, vec_id % 50 AS t, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 < 3),
 b AS (SELECT query_id, t, vec_id // 8 AS block_id, max(list_cosine_similarity(embedding::DOUBLE[], q)) AS s, arg_max(vec_id, (list_cosine_similarity(embedding::DOUBLE[], q), -vec_id)) AS v, count(*) AS n FROM embeddings, q GROUP BY 1, 2, 3),
