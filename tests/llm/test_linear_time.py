@@ -2,6 +2,7 @@
 
 import base64
 import json
+import math
 import random
 import time
 
@@ -94,3 +95,19 @@ def test_tokens_with_empty_payloads():
     for header in ({"alg": "HS256"}, {"typ": "JWT", "alg": "HS256"}):
         text = f"x {part(header)}.{part({})}.{signature} y"
         assert [f for f in secrets.scan(text) if f[0] == "jwt"] == [("jwt", 2, len(text) - 2)]
+
+
+def test_hidden_words_behind_more_separators_and_in_other_scripts(spark):
+    from verbena.llm import toxicity
+
+    words = "idiot clown the and stone river light trash house".split()
+    signs = "".join(chr(0x4E00 + i) for i in range(3000))  # many letters that are more frequent than those of the words
+    texts = [(" ".join(words * 40),), *((" ".join(signs[i : i + 60 : 3] for i in range(0, 2940, 7)),) for _ in range(9))]
+    m = toxicity.char_model(spark.createDataFrame(texts, "text string"))
+    assert len(m.letters) == 96 and set("aeioutsgbclz") <= set(m.letters) and len(m.rare) > 2000
+    assert abs(sum(map(math.exp, m.rare.values())) - 1) < 0.01
+    r = toxicity.Restorer(m, toxicity.Params())
+    for hidden in ("i/d/i/o/t", "i,d,i,o,t", "i   d   i   o   t", "id​i‍ot", "1­d10t", "1 / d / 1 / 0 / t"):
+        assert "idiot" in toxicity.restore(f"the {hidden} stone", r), hidden
+    assert toxicity.restore("the stone 1, 2 and 3", r)[:2] == ["the", "stone"]
+    assert toxicity.log_prob(next(iter(m.rare)), m) > toxicity.log_prob("ก", m)

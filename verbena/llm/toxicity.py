@@ -1,7 +1,7 @@
 """Toxicity scores behind a noisy-channel deobfuscator.
 
 Writers hide words by look-alike characters (``1d10t``), by blanks or marks between letters
-(``i d i o t``, ``i.d.i.o.t``) and by repeating letters (``idiooot``).  A text is read as a lattice of
+(``i d i o t``, ``i.d.i.o.t``, ``i/d/i/o/t``), also marks that take no room, and by repeating letters (``idiooot``).  A text is read as a lattice of
 characters: each observed character was written for one of several letters, a run of equal letters
 stands for one or two of them, and single letters with blanks or marks between them may be one word.
 Viterbi decoding picks the letters that a character language model finds most likely, less what the
@@ -42,7 +42,9 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "§": "s", "*": "aeiou",
 }
 _ONE = r"(?:[^\W_]|[@$!|+(<€£§*])"
-_CHAIN = re.compile(rf"(?<![\w@$!|+<€£§*])(?:{_ONE})(?:[ ._\-]{{1,2}}{_ONE}){{2,}}(?![\w@$|+<€£§*])")
+_BETWEEN = r"[ ._\-/,]"
+_CHAIN = re.compile(rf"(?<![\w@$!|+<€£§*])(?:{_ONE})(?:{_BETWEEN}{{1,3}}{_ONE}){{2,}}(?![\w@$|+<€£§*])")
+_UNSEEN = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))  # marks that take no room: soft hyphen, zero-width blanks and joiners
 _TOKEN = re.compile(r"[\w@$!|+(<€£§*'’-]+(?:\.[\w@$!|+(<€£§*'’-]+)*")
 _INNER = "'’-_."
 _MARKS = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")  # runs of a symbol at the edges are decoration
@@ -65,31 +67,44 @@ class Params:
 
 @dataclass
 class CharModel:
-    """Log-probabilities of a letter after two others, smoothed towards shorter contexts."""
+    """Log-probabilities of a letter after two others, smoothed towards shorter contexts.
+
+    Letters outside ``letters`` are one class there; ``rare`` has each one's log-probability inside it.
+    """
 
     letters: str
     logp: np.ndarray
     index: dict = field(default_factory=dict)
+    rare: dict = field(default_factory=dict)
+    rarest: float = 0.0
 
     @classmethod
-    def fit(cls, letters: str, counts: np.ndarray) -> CharModel:
-        """``letters[0]`` is the word edge, ``letters[1]`` stands for all rarer letters."""
+    def fit(cls, letters: str, counts: np.ndarray, rare: dict[str, int] | None = None) -> CharModel:
+        """``letters[0]`` is the word edge, ``letters[1]`` stands for all others, which ``rare`` counts."""
         one = counts.sum(axis=(0, 1)) + 0.5
         one /= one.sum()
         two = counts.sum(axis=0)
         two = (two + 5 * one) / (two.sum(axis=1, keepdims=True) + 5)
         three = (counts + 5 * two[None]) / (counts.sum(axis=2, keepdims=True) + 5)
-        return cls(letters, np.log(three).astype(np.float32), {ch: i for i, ch in enumerate(letters)})
+        total = sum(rare.values()) + 0.5 * len(rare) + 0.5 if rare else 0.0
+        own = {ch: float(np.log((n + 0.5) / total)) for ch, n in (rare or {}).items()}
+        return cls(letters, np.log(three).astype(np.float32), {ch: i for i, ch in enumerate(letters)}, own, float(np.log(0.5 / total)) if rare else 0.0)
 
     def place(self, ch: str) -> int:
         return self.index.get(ch, 1)
 
+    def inside(self, ch: str) -> float:
+        """Log-probability of a letter inside its class."""
+        return self.rare.get(ch, self.rarest)
+
 
 def char_model(docs: DataFrame, text_col: str = "text", alphabet: int = 96) -> CharModel:
     """The character model of all lower-cased words of ``docs``, word edges included.
 
-    Batches add up their own counts and Spark adds those up.  Letters beyond the ``alphabet`` most
-    frequent share one place, so what reaches the driver is bounded by alphabet ** 3, not by the texts.
+    Batches add up their own counts and Spark adds those up.  Contexts are kept for ``alphabet`` letters: all that the channel
+    may restore, whatever the scripts of the corpus, then the most frequent.  All others, of which there are 65,536 at most,
+    share one place in contexts and have their own frequency inside it, so what reaches the driver is bounded by
+    alphabet ** 3 and by that, not by the texts.
     """
 
     def count(batches):
@@ -111,7 +126,11 @@ def char_model(docs: DataFrame, text_col: str = "text", alphabet: int = 96) -> C
     rows = docs.select(F.col(q(text_col)).alias("t")).mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     rows = materialize(rows, "trigrams")
     by_letter = rows.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFF)).alias("ch")).agg(F.sum("n").alias("n")).where("ch > 0").toPandas().sort_values(["n", "ch"], ascending=[False, True])
-    codes = sorted(by_letter["ch"].tolist()[: alphabet - 2])
+    seen = dict(zip(by_letter["ch"].tolist(), by_letter["n"].tolist(), strict=True))
+    restored = sorted({ord(ch) for letters in LOOKALIKES.values() for ch in letters})
+    codes = sorted([*restored, *(ch for ch in seen if ch not in restored)][: alphabet - 2])
+    kept = set(codes)
+    rare = {chr(ch): n for ch, n in seen.items() if ch not in kept}
     place = np.ones(1 << 16, np.int64)
     place[0] = 0
     place[codes] = np.arange(2, len(codes) + 2)
@@ -125,7 +144,7 @@ def char_model(docs: DataFrame, text_col: str = "text", alphabet: int = 96) -> C
     placed = rows.mapInPandas(places, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size**3)
     counts[placed["k"].to_numpy(np.int64)] = placed["n"].to_numpy(np.float64)
-    return CharModel.fit(_EDGE + "?" + "".join(map(chr, codes)), counts.reshape(size, size, size))
+    return CharModel.fit(_EDGE + "?" + "".join(map(chr, codes)), counts.reshape(size, size, size), rare)
 
 
 @lru_cache(maxsize=1)
@@ -180,6 +199,8 @@ def viterbi(steps: list[list[tuple[str, float]]], m: CharModel, cost: float) ->
                     z = place(ch)
                     if y or z:  # edges in a row are one
                         s += float(logp[x if y else 0, y, z])
+                    if z == 1:
+                        s += m.inside(ch)
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y]:
                     new[x, y] = s
@@ -228,7 +249,7 @@ class Restorer(dict):
 
     def chain(self, match: re.Match) -> str:
         """Single characters with separators: one word if that is likelier than words of one letter."""
-        letters = re.sub(r"[ ._\-]", "", match[0])
+        letters = re.sub(_BETWEEN, "", match[0])
         steps = lattice(letters) or [[(ch, 0.0)] for ch in letters]
         word, joined = viterbi(steps, self.m, self.p.change_cost)
         apart = sum(max(log_prob(x, self.m) for x in (LOOKALIKES.get(ch, ch))) for ch in letters)
@@ -237,7 +258,7 @@ class Restorer(dict):
 
 def restore(text: str, r: Restorer) -> list[str]:
     """The words of the restored text."""
-    low = text.lower()
+    low = text.lower().translate(_UNSEEN)
     return " ".join(map(r.__getitem__, _TOKEN.findall(_CHAIN.sub(r.chain, low)))).split()
 
 
