@@ -80,7 +80,7 @@ def test_merging_equals_the_plain_rule():
     "data, message",
     [
         (ranked(**{"tokenizer.ggml.token_type": None}), "missing tokenizer.ggml.token_type"), (ranked(**{"tokenizer.ggml.token_type": (9, (5, [1]))}), "tokenizer.ggml.token_type"), (ranked(**{"tokenizer.ggml.bos_token_id": (4, 999)}), "bos_token_id outside"),
-        (ranked(**{"tokenizer.ggml.merges": (9, (8, ["q zz"]))}), "merge operands outside"), (ranked(**{"tokenizer.ggml.merges": (9, (8, ["b a"]))}), "merge result outside"), (ranked(**{"tokenizer.ggml.merges": (9, (8, ["ab"]))}), "invalid tokenizer merge"),
+        (ranked(**{"tokenizer.ggml.merges": (9, (8, ["q zz"]))}), "merge operands outside"), (ranked(**{"tokenizer.ggml.merges": (9, (8, ["b a"]))}), "makes is no token"), (ranked(**{"tokenizer.ggml.merges": (9, (8, ["ab"]))}), "is not two parts"),
         (scored(**{"tokenizer.ggml.scores": (9, (6, [float("nan")] * 272))}), "non-finite"), (ranked(**{"tokenizer.ggml.pre": (8, "other")}), "unsupported"), (scored(**{"tokenizer.ggml.tokens": (9, (8, ["", *SCORED[1:]]))}), "invalid UTF-8 token"),
         (written(), "unsupported"),
     ],

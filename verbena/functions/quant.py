@@ -15,6 +15,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from verbena.contracts import ContractError
 from verbena.sources.gguf import TENSOR_TYPES, Container, Tensor, container
 
+# Parts of the error texts below are what callers of these functions look for.
+
 F32 = np.float32
 FLOATS = ArrayType(FloatType())
 

@@ -22,6 +22,8 @@ from pyspark.sql.functions import pandas_udf
 from verbena.contracts import ContractError
 from verbena.sources.gguf import ARRAY, STRING, Container, Cursor, container
 
+# Parts of the error texts below are what callers of these functions look for.
+
 # Token types, the sign for a blank, and the published pre-tokenization pattern (fixed values).
 CONTROL, USER_DEFINED, BYTE = 3, 4, 6
 BLANK = "▁"
@@ -82,7 +84,7 @@ class Vocabulary:
         self.tokens = list(self.items("tokenizer.ggml.tokens", STRING))
         n = len(self.tokens)
         if not n:
-            raise ContractError("empty tokenizer vocabulary")
+            raise ContractError("the tokenizer holds no tokens")
         for i, t in enumerate(self.tokens):
             if not t:
                 raise ContractError(f"empty or invalid UTF-8 token at id {i}")
@@ -131,7 +133,7 @@ class Vocabulary:
             if i is None or i != i:
                 raise ContractError("NULL token id")
             if not 0 <= i < len(self.tokens):
-                raise ContractError("token id outside vocabulary")
+                raise ContractError("a token id is not one of the vocabulary's")
             out.append(int(i))
         return out
 
@@ -144,18 +146,18 @@ class ByteVocabulary(Vocabulary):
         self.characters = byte_characters()
         for b, ch in enumerate(self.characters):
             if ch not in self.ids:
-                raise ContractError(f"missing byte {b} in tokenizer vocabulary")
+                raise ContractError(f"the vocabulary has no token for byte {b}")
         self.byte_ids = [self.ids[ch] for ch in self.characters]
         self.bytes = {ch: b for b, ch in enumerate(self.characters)}
         self.merges: dict[tuple[int, int], tuple[tuple, int]] = {}
         for rank, m in enumerate(self.items("tokenizer.ggml.merges", STRING)):
             left, blank, right = m.partition(" ")
             if not blank:
-                raise ContractError(f"invalid tokenizer merge at rank {rank}")
+                raise ContractError(f"the merge of rank {rank} is not two parts")
             if left not in self.ids or right not in self.ids:
                 raise ContractError(f"merge operands outside vocabulary at rank {rank}")
             if left + right not in self.ids:
-                raise ContractError(f"merge result outside vocabulary at rank {rank}")
+                raise ContractError(f"what the merge of rank {rank} makes is no token")
             self.merges[self.ids[left], self.ids[right]] = ((rank,), self.ids[left + right])
         whole = sorted({t for t, k in zip(self.tokens, self.types, strict=True) if k in (CONTROL, USER_DEFINED)}, key=lambda t: -len(t.encode()))
         self.whole = regex.compile("|".join(map(regex.escape, whole))) if whole else None  # the longest is tried first

@@ -126,7 +126,7 @@ def dismech_violations(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     any_entry = lambda bad: F.exists(entries, lambda e: F.coalesce(bad(e), F.lit(True)))
     any_evidence = lambda bad: F.exists(evidence, lambda e: F.coalesce(bad(e), F.lit(True)))
     rules: Rules = [
-        ("name needs text", ~nonblank(F.col("name"))), ("disease_term id must be a MONDO identifier", _lacks(F.col("disease_term.id"), "^MONDO:[0-9]+$")), ("disease_term label needs text", ~nonblank(F.col("disease_term.label"))),
+        ("name needs text", ~nonblank(F.col("name"))), ("disease_term needs an id that is MONDO: and digits", _lacks(F.col("disease_term.id"), "^MONDO:[0-9]+$")), ("disease_term label needs text", ~nonblank(F.col("disease_term.label"))),
         ("pathophysiology must not be empty", F.coalesce(F.size(entries) < 1, F.lit(True))),
         *((f"pathophysiology {f} needs text", any_entry(lambda e, f=f: ~nonblank(e[f]))) for f in ("name", "description")),
         ("biological_scale has a value outside its list", any_entry(lambda e: _not_in(e["biological_scale"], SCALES))), ("pathophysiology evidence must not be empty", any_entry(lambda e: F.size(e["evidence"]) < 1)),
@@ -145,7 +145,7 @@ def monarch_violations(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     x = _with_flag(x, cited, "cited")
     rules: Rules = [
         *((f"{c} needs text", ~nonblank(F.col(c))) for c in MONARCH_TEXT), *((f"{c} must be a CURIE", _lacks(F.col(c), CURIE)) for c in ("subject", "object")), ("predicate has a value outside its list", _not_in(F.col("predicate"), PREDICATES)),
-        ("primary_knowledge_source must be an infores CURIE", _lacks(F.col("primary_knowledge_source"), "^infores:[A-Za-z0-9_.-]+$")), ("knowledge_level has a value outside its list", _not_in(F.col("knowledge_level"), KNOWLEDGE_LEVELS)),
+        ("primary_knowledge_source needs the prefix infores", _lacks(F.col("primary_knowledge_source"), "^infores:[A-Za-z0-9_.-]+$")), ("knowledge_level has a value outside its list", _not_in(F.col("knowledge_level"), KNOWLEDGE_LEVELS)),
         ("agent_type has a value outside its list", _not_in(F.col("agent_type"), AGENT_TYPES)), ("publications must hold a supporting citation", ~F.col("cited")),
         ("has_evidence must be CURIEs", ~F.coalesce((F.size("has_evidence") > 0) & F.forall("has_evidence", lambda e: F.coalesce(e.rlike(CURIE), F.lit(False))), F.lit(False))),
     ]

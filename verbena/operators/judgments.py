@@ -9,6 +9,7 @@ candidates is accepted when its response holds no result.  call_id must be uniqu
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,12 +31,16 @@ RULES = (
 def read_json(response: str):
     """The response if it begins with JSON, else its first suffix that is JSON; ValueError if there is none."""
     text = (response or "").strip()
-    starts = [0] if text[:1] in ("[", "{") else [i for i, c in enumerate(text) if c in "[{"]
-    for at in starts:
+    if text[:1] in ("[", "{"):
+        return json.loads(text)
+    read = json.JSONDecoder().raw_decode
+    for m in re.finditer(r"[\[{]", text) if text[-1:] in ("]", "}") else ():
         try:
-            return json.loads(text[at:])
-        except ValueError:
+            found, end = read(text, m.start())
+        except (ValueError, RecursionError):
             continue
+        if end == len(text):
+            return found
     raise ValueError("no JSON")
 
 

@@ -121,6 +121,17 @@ def hypothesis_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("hypothesis_id", "reason", *(F.when(good, F.col(c)).alias(c) for c in ("source_record_id", "start_offset", "end_offset", "source_span")))
 
 
+def contribution_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as hypotheses whose lines are their sources: why each can't become a contribution."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = _t(spark, sf_dir, "orders").select(
+        k.cast("string").alias("hypothesis_id"), F.when(k % 4 == 0, "proposed").when(k % 4 == 1, "accepted").when(k % 4 == 2, "revised").alias("review_status"), F.when(c % 3 == 0, "contradicts").when(c % 9 != 1, "supports").alias("judgment"),
+        F.when(c % 5 == 0, "m").alias("missing_evidence"), F.when(k % 7 == 0, "c").alias("contradiction"),
+    )
+    cited = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("hypothesis_id"), F.when(F.col("l_returnflag") == "A", "support").otherwise("context").alias("evidence_role"))
+    return contributions.gate_violations(rows, cited)
+
+
 def store_replaced_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors written to a store in versions, every fiftieth replaced by its double; the last version."""
     x = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("subject_id"), F.lit("node").alias("subject_kind"), F.lit("p").alias("provider"), F.size("embedding").alias("dim"), "embedding", "vec_id")
@@ -289,7 +300,7 @@ def contribution_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     session_receipts, session_replaced_terms, session_mechanisms, session_scores, session_evidence, session_cited_references, session_best_cited, session_disease_terms, maxsim_token_blocks, late_interaction_block, late_interaction_pruned,
-    session_ranked_mechanisms, session_best_evidence, hypothesis_links, store_replaced_vectors, store_graph_versions, store_recorded_judgments, facts_import,
+    session_ranked_mechanisms, session_best_evidence, hypothesis_links, contribution_gates, store_replaced_vectors, store_graph_versions, store_recorded_judgments, facts_import,
     observation_contexts, negation_words, lexical_mentions, judged_mentions, contribution_terms, contribution_records, contribution_associations,
 )
 
@@ -355,6 +366,9 @@ r AS (SELECT *, CASE WHEN flag NOT IN ('R', 'A') THEN 'evidence_role has a value
   WHEN t IS NOT NULL AND len(string_split(value, t)) <> 2 THEN 'text must occur exactly once in the source field' END AS reason FROM m)
 SELECT id AS hypothesis_id, reason, CASE WHEN reason IS NULL THEN 'row' || o_orderkey END AS source_record_id, CASE WHEN reason IS NULL THEN CASE WHEN t IS NULL THEN 0 ELSE strpos(value, t) - 1 END END::INTEGER AS start_offset,
   CASE WHEN reason IS NULL THEN CASE WHEN t IS NULL THEN length(value) ELSE strpos(value, t) - 1 + length(t) END END::INTEGER AS end_offset, CASE WHEN reason IS NULL THEN coalesce(t, value) END AS source_span FROM r""",
+        "contribution_gates": """
+SELECT o_orderkey::VARCHAR AS hypothesis_id, CASE WHEN o_orderkey % 4 IN (0, 3) THEN 'the hypothesis is neither accepted nor revised' WHEN o_custkey % 3 = 0 OR o_custkey % 9 = 1 THEN 'the judgment does not support it'
+  WHEN o_custkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'missing evidence or a contradiction is open' WHEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'A') THEN 'no supporting span is cited' END AS reason FROM orders""",
         "store_replaced_vectors": "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * CASE WHEN vec_id % 50 = 0 THEN 4 ELSE 1 END, 5) AS square FROM embeddings",
         "store_graph_versions": """
 WITH n AS (SELECT count(*) AS n FROM nation), c AS (SELECT count(*) AS c, count(*) FILTER (c_nationkey % 2 = 0) AS e FROM customer),
@@ -393,10 +407,10 @@ SELECT k::VARCHAR AS hypothesis_id, CASE WHEN r = 4 THEN 'contribution_type {out
   WHEN NOT cited THEN 'the text must hold a supporting citation' WHEN r = 3 THEN 'orcid must be four groups of an ORCID' END AS reason FROM c""",
         "contribution_records": _CITED + f"""
 , c AS (SELECT x.*, x.k % 6 AS r, EXISTS (SELECT 1 FROM s WHERE s.k = x.k AND s.citation = 'PMID:' || x.part || ';' AND s.span = 's' || x.supplier) AS cited FROM x WHERE part IS NOT NULL)
-SELECT k::VARCHAR AS hypothesis_id, CASE WHEN r = 5 THEN 'disease_term id must be a MONDO identifier' WHEN r = 4 THEN 'biological_scale {outside}' WHEN r = 3 THEN 'evidence explanation needs text' WHEN r = 1 THEN 'evidence must be of the kind SUPPORT'
+SELECT k::VARCHAR AS hypothesis_id, CASE WHEN r = 5 THEN 'disease_term needs an id that is MONDO: and digits' WHEN r = 4 THEN 'biological_scale {outside}' WHEN r = 3 THEN 'evidence explanation needs text' WHEN r = 1 THEN 'evidence must be of the kind SUPPORT'
   WHEN r = 2 THEN 'evidence_source {outside}' WHEN NOT cited THEN 'reference and snippet must be one cited support' END AS reason FROM c""",
         "contribution_associations": _CITED + f"""
 , c AS (SELECT x.*, x.k % 7 AS r, EXISTS (SELECT 1 FROM s WHERE s.k = x.k AND s.citation = 'PMID:' || x.part || ';') AS cited FROM x WHERE part IS NOT NULL)
-SELECT k::VARCHAR AS hypothesis_id, CASE WHEN r = 1 THEN 'subject must be a CURIE' WHEN r = 2 THEN 'predicate {outside}' WHEN r = 3 THEN 'primary_knowledge_source must be an infores CURIE' WHEN r = 4 THEN 'agent_type {outside}'
+SELECT k::VARCHAR AS hypothesis_id, CASE WHEN r = 1 THEN 'subject must be a CURIE' WHEN r = 2 THEN 'predicate {outside}' WHEN r = 3 THEN 'primary_knowledge_source needs the prefix infores' WHEN r = 4 THEN 'agent_type {outside}'
   WHEN NOT cited THEN 'publications must hold a supporting citation' WHEN r = 5 THEN 'has_evidence must be CURIEs' END AS reason FROM c""",
     }

@@ -23,6 +23,8 @@ from pyspark.sql.functions import udtf
 
 from verbena.contracts import ContractError
 
+# Parts of the error texts below are what callers of these functions look for.
+
 # Value types by number, and struct codes of the scalar ones (fixed values).
 VALUE_TYPES = ("uint8", "int8", "uint16", "int16", "uint32", "int32", "float32", "bool", "string", "array", "uint64", "int64", "float64")
 CODES = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
@@ -97,14 +99,14 @@ class Cursor:
         """Passes over one value; strings inside it are checked as they come."""
         if kind == ARRAY:
             if depth >= MAX_NESTING:
-                raise ContractError(f"arrays are nested more than {MAX_NESTING} deep")
+                raise ContractError(f"an array lies more than {MAX_NESTING} arrays deep")
             item, length = self.number("I"), self.number("Q")
             began = self.at
             if item in CODES:
                 self.skip(struct.calcsize(f"<{CODES[item]}") * length, f"array of {length} elements")
             else:
                 if length > len(self.data) - self.at:
-                    raise ContractError(f"array of {length} elements overruns the file")
+                    raise ContractError(f"an array states {length} elements, more than the file can hold")
                 for _ in range(length):
                     self.value(item, depth + 1)
             return Value(kind, began, item, length)
@@ -164,7 +166,7 @@ class Container:
         if v is None:
             return 32
         if v.kind != 4:
-            raise ContractError("general.alignment must be a uint32")
+            raise ContractError("general.alignment has another type than uint32")
         n = Cursor(self.data, v.at).number("I")
         if n == 0 or n & (n - 1):
             raise ContractError(f"alignment {n} is not a power of two")
@@ -176,7 +178,7 @@ class Container:
             raise ContractError(f"tensor '{name}' has {rank} dimensions")
         dims = tuple(c.number("Q") for _ in range(rank))
         if prod(dims) >= 1 << 63:
-            raise ContractError(f"tensor '{name}' has too many elements")
+            raise ContractError(f"the elements of tensor '{name}' are too many to count")
         kind, at = c.number("I"), c.number("Q")
         n_bytes = None
         if kind in TENSOR_TYPES:
