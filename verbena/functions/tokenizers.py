@@ -133,7 +133,7 @@ class Vocabulary:
             if i is None or i != i:
                 raise ContractError("NULL token id")
             if not 0 <= i < len(self.tokens):
-                raise ContractError("a token id is not one of the vocabulary's")
+                raise ContractError("a token id lies outside what the vocabulary holds")
             out.append(int(i))
         return out
 

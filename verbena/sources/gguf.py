@@ -99,7 +99,7 @@ class Cursor:
         """Passes over one value; strings inside it are checked as they come."""
         if kind == ARRAY:
             if depth >= MAX_NESTING:
-                raise ContractError(f"an array lies more than {MAX_NESTING} arrays deep")
+                raise ContractError(f"an array is nested in more than {MAX_NESTING} others")
             item, length = self.number("I"), self.number("Q")
             began = self.at
             if item in CODES:
