@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -103,9 +102,9 @@ class Wanted:
         for n, first in sorted({(w.count(" ") + 1, w.split(" ", 1)[0]) for w in self.spans}):
             self.lengths.setdefault(first, []).append(n)
 
-    def begins(self, token: str, max_n: int) -> Sequence[int]:
-        """Token counts of the spans that may begin with ``token``."""
-        return self.lengths.get(token, ())
+    def beginnings(self, max_n: int) -> Callable[[str], Sequence[int] | None]:
+        """Token counts of the spans that may begin with a token."""
+        return self.lengths.get
 
     def has(self, span: str) -> bool:
         return span in self.spans
@@ -114,8 +113,9 @@ class Wanted:
 class Every:
     """All spans."""
 
-    def begins(self, token: str, max_n: int) -> Sequence[int]:
-        return range(1, max_n + 1)
+    def beginnings(self, max_n: int) -> Callable[[str], Sequence[int] | None]:
+        every = range(1, max_n + 1)
+        return lambda token: every
 
     def has(self, span: str) -> bool:
         return True
@@ -124,40 +124,55 @@ class Every:
 #: Bits of a filter at most (32 MB), and of a part of it, which is what tasks combine.
 FILTER_BITS, _PART_BITS = 1 << 28, 1 << 18
 _HASHES = 5
+_KNOWN_TOKENS = 500_000
 
 
 class Filter:
     """A Bloom filter of spans, and of first tokens with the number of tokens after them; what it denies is not there."""
 
     def __init__(self, bits: int, data: Broadcast | None = None):
+        """``bits`` is a power of two."""
         self.bits, self.data = bits, data
 
-    def places(self, key: str) -> list[int]:
-        h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
-        a, b = h & (1 << 64) - 1, h >> 64 | 1
-        return [(a + k * b) % self.bits for k in range(_HASHES)]
+    def places(self, key: str) -> Iterator[int]:
+        h = xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass"))
+        step, last = h >> 32 | 1, self.bits - 1
+        for _ in range(_HASHES):
+            yield h & last
+            h += step
+
+    def has(self, span: str) -> bool:
+        return self._held(f"0 {span}")
 
     def _held(self, key: str) -> bool:
         data = self.data.value
         return all(data[p >> 3] >> (p & 7) & 1 for p in self.places(key))
 
-    def begins(self, token: str, max_n: int) -> Sequence[int]:
-        return [n for n in range(1, max_n + 1) if self._held(f"{n} {token}")]
+    def beginnings(self, max_n: int) -> Callable[[str], Sequence[int] | None]:
+        """Most tokens are denied by one look for the token alone; tokens that came before are not looked for again."""
+        held = self._held
 
-    def has(self, span: str) -> bool:
-        return self._held(f"0 {span}")
+        class Known(dict):
+            def __missing__(self, token: str) -> Sequence[int]:
+                if len(self) >= _KNOWN_TOKENS:
+                    self.clear()
+                found = self[token] = tuple(n for n in range(1, max_n + 1) if held(f"{n} {token}")) if held(f"? {token}") else ()
+                return found
+
+        return Known().__getitem__
 
 
 def alias_filter(index: DataFrame, n: int) -> Filter:
-    """A filter of all aliases (normalized_alias, token_count), wrong for less than one per cent of what it lacks up to ten million; tasks set
+    """A filter of all aliases (normalized_alias, token_count), wrong for less than one per cent of what it lacks up to eight million; tasks set
     bits and the parts of the filter, 1,024 at most, are combined before they come back."""
-    made = Filter(min(FILTER_BITS, 1 << max(18, (20 * max(1, n)).bit_length())))
+    made = Filter(min(FILTER_BITS, 1 << max(18, (30 * max(1, n)).bit_length())))
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
             for alias, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for key in (f"0 {alias}", f"{size} {alias.split(' ', 1)[0]}"):
+                first = alias.split(" ", 1)[0]
+                for key in (f"0 {alias}", f"? {first}", f"{size} {first}"):
                     for p in made.places(key):
                         part = parts.setdefault(p // _PART_BITS, np.zeros(_PART_BITS // 8, np.uint8))
                         part[p % _PART_BITS >> 3] |= 1 << (p & 7)
@@ -193,7 +208,7 @@ def ngrams(df: DataFrame, id_col: str, text_col: str, max_n: int, wanted: Wanted
     schema = to_arrow_schema(kinds)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(maxsize=100_000)(lambda token: wanted.begins(token, max_n))
+        known = wanted.beginnings(max_n)
         for batch in batches:
             out: list[tuple] = []
 
