@@ -216,7 +216,10 @@ def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id"
         wanted = X.alias_filter(index, n_aliases)
     spans = X.ngrams(documents, id_col, text_col, max(1, int(max_n)), wanted)
     side = index.withColumnRenamed("token_count", "alias_tokens")
-    side = F.broadcast(side) if few else side
+    if few:
+        side = F.broadcast(side)
+    else:
+        spans = materialize(spans, "spans")  # read thrice below; texts are looked through once
     m = spans.join(side, (F.col("normalized_span") == F.col("normalized_alias")) & (F.col("token_count") == F.col("alias_tokens"))).drop("alias_tokens")
     best = Window.partitionBy("row", "start_offset", "end_offset", "node_id").orderBy(F.desc_nulls_last("weight"), F.asc_nulls_last("alias_kind"), F.asc_nulls_last("alias"), F.asc_nulls_last("source"))
     m = m.withColumn("rank", F.row_number().over(best)).where("rank = 1")
