@@ -262,9 +262,13 @@ def test_annotation_with_more_aliases_than_travel(spark, monkeypatch):
     texts = ["An acute HEART attack; the attack of the heart.", "1-2-3 of the", None, "", "none here", "gr e gr the"]
     docs = spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")
     columns = ("document_id", "mention_id", "node_id", "span", "start_offset", "end_offset")
+    longer = every = None
     for longest in (True, False):
         few, many = (sorted(map(tuple, graph.annotate(docs, index, longest_match=longest, max_broadcast=n).select(*columns).collect()), key=str) for n in (100, 0))
         assert few == many and few
+        longer, every = (few, every) if longest else (longer, few)
+    inside = lambda x, y: x[0] == y[0] and y[4] <= x[4] and x[5] <= y[5] and (x[4], x[5]) != (y[4], y[5])
+    assert longer == [x for x in every if not any(inside(x, y) for y in every)] and len(longer) < len(every)
     held = X.alias_filter(index, 8)
     begins = held.beginnings(4)
     assert held.has("heart attack") and list(begins("acute")) == [3] and list(begins("heart")) == [1, 2]

@@ -216,22 +216,21 @@ def annotate(documents: DataFrame, index: DataFrame, id_col: str = "document_id"
         wanted = X.alias_filter(index, n_aliases)
     spans = X.ngrams(documents, id_col, text_col, max(1, int(max_n)), wanted)
     side = index.withColumnRenamed("token_count", "alias_tokens")
-    if few:
-        side = F.broadcast(side)
-    else:
-        spans = materialize(spans, "spans")  # read thrice below; texts are looked through once
+    side = F.broadcast(side) if few else side
     m = spans.join(side, (F.col("normalized_span") == F.col("normalized_alias")) & (F.col("token_count") == F.col("alias_tokens"))).drop("alias_tokens")
+    if longest_match:
+        # A match is inside a longer one if, up to its start, some match reaches at least as far; matches of one span go together.
+        # This window comes first, so all of them share its shuffle by text and texts are looked through once.
+        before = Window.partitionBy("row").orderBy("start_offset", F.desc("end_offset")).rowsBetween(Window.unboundedPreceding, -1)
+        m = m.withColumn("reach", F.coalesce(F.max("end_offset").over(before), F.lit(-1)))
+        m = m.withColumn("reach", F.min("reach").over(Window.partitionBy("row", "start_offset", "end_offset")))
     best = Window.partitionBy("row", "start_offset", "end_offset", "node_id").orderBy(F.desc_nulls_last("weight"), F.asc_nulls_last("alias_kind"), F.asc_nulls_last("alias"), F.asc_nulls_last("source"))
     m = m.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     several = F.count("*").over(Window.partitionBy("row", "start_offset", "end_offset")) > 1
     span_id = F.concat(F.coalesce(F.col("document_id").cast("string"), F.lit("mention")), F.lit(":"), F.lpad(F.col("ordinal").cast("string"), F.greatest(F.lit(6), F.length(F.col("ordinal").cast("string"))), F.lit("0")))
     m = m.withColumn("mention_id", F.when(several, F.concat(span_id, F.lit(":"), "node_id")).otherwise(span_id))
     if longest_match:
-        # A match is inside a longer one if, up to its start, some match reaches at least as far.
-        spans_only = m.select("row", "start_offset", "end_offset").distinct()
-        before = Window.partitionBy("row").orderBy(F.col("start_offset"), F.desc("end_offset")).rowsBetween(Window.unboundedPreceding, -1)
-        kept = spans_only.withColumn("reach", F.max("end_offset").over(before)).where("reach IS NULL OR reach < end_offset").select("row", "start_offset", "end_offset")
-        m = m.join(kept, ["row", "start_offset", "end_offset"], "left_semi")
+        m = m.where(F.col("reach") < F.col("end_offset"))
     none = F.lit(None).cast("string")
     out = m.select(
         "document_id", "mention_id", "node_id", "span", "start_offset", "end_offset", F.col("weight").alias("score"), F.lit("lexical_alias").alias("method"), none.alias("attrs"), none.alias("trust"),
