@@ -44,7 +44,7 @@ LOOKALIKES = {
 _ONE = r"(?:[^\W_]|[@$!|+(<€£§*])"
 _BETWEEN = r"[ ._\-/,]"
 _CHAIN = re.compile(rf"(?<![\w@$!|+<€£§*])(?:{_ONE})(?:{_BETWEEN}{{1,3}}{_ONE}){{2,}}(?![\w@$|+<€£§*])")
-_UNSEEN = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))  # marks that take no room: soft hyphen, zero-width blanks and joiners
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"  # marks that take no room: soft hyphen, zero-width blanks and joiners
 _TOKEN = re.compile(r"[\w@$!|+(<€£§*'’-]+(?:\.[\w@$!|+(<€£§*'’-]+)*")
 _INNER = "'’-_."
 _MARKS = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")  # runs of a symbol at the edges are decoration
@@ -258,7 +258,10 @@ class Restorer(dict):
 
 def restore(text: str, r: Restorer) -> list[str]:
     """The words of the restored text."""
-    low = text.lower().translate(_UNSEEN)
+    low = text.lower()
+    for mark in _UNSEEN:
+        if mark in low:
+            low = low.replace(mark, "")
     return " ".join(map(r.__getitem__, _TOKEN.findall(_CHAIN.sub(r.chain, low)))).split()
 
 
