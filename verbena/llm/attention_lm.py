@@ -72,6 +72,14 @@ class Params:
     mixes: tuple[float, ...] = (0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98)
 
 
+def keep_memory() -> None:
+    """Has the allocator keep what arrays free for those that follow.
+
+    It asks the system for new pages for each array above the largest one freed so far (32 MB at most), and touching new pages cost a third of training.
+    """
+    np.empty(31 << 20, np.uint8)
+
+
 class WordIds(dict):
     """Subword ids of words; forgets everything when full."""
 
@@ -107,17 +115,25 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def own_less_all(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log-softmax of rows of logits at the columns ``own``."""
-    top = z.max()
-    total = np.exp(z - top) @ np.ones(z.shape[1], z.dtype)
-    low = np.flatnonzero(~(total > 1e-25))
-    with np.errstate(divide="ignore"):
-        whole = np.log(total) + top
-    if len(low):  # rows far below the block's largest logit
-        far = z[low].max(axis=1)
-        whole[low] = np.log(np.exp(z[low] - far[:, None]).sum(axis=1)) + far
-    return z[np.arange(len(z)), own] - whole
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Puts exp(z - shift) in the place of rows of logits; gives the shifts (0, or one a row) and the sums of rows."""
+    shift = np.zeros(1, z.dtype)
+    if len(z) and not (z.max() < 60 and z.min() > -60):
+        shift = z.max(axis=1)
+        z -= shift[:, None]
+    np.exp(z, out=z)
+    return shift, z @ np.ones(z.shape[1], z.dtype)
+
+
+def own_less_all(x: np.ndarray, weights: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log-softmax of the logits of rows ``x`` at the columns ``own``."""
+    z = x @ weights
+    z += bias
+    mine = z.ravel().take(np.arange(0, z.size, z.shape[1]) + own)
+    shift, total = exponentials(z)
+    mine -= np.log(total)
+    mine -= shift
+    return mine
 
 
 @dataclass
@@ -167,84 +183,95 @@ class Network:
             w[k] = rng.normal(0, 1 / np.sqrt(p.dim), (p.dim, p.dim)) / (np.sqrt(size) if k != "Wv" else 1)
         return cls({k: v.astype(np.float32) for k, v in w.items()}, group)
 
-    def hidden(self, x: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
-        """Activations for inputs of shape (windows, positions); attention logits stay within 40 of zero.
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """By class and by position, side by side: query, key, value times ``Wo``, embedding.  Those of an input are sums of two rows."""
+        w, dim = self.w, self.w["E"].shape[1]
+        maps = np.concatenate([w["Wq"] / dim**0.5, w["Wk"], w["Wv"] @ w["Wo"], np.eye(dim, dtype=w["Wq"].dtype)], axis=1)
+        return w["E"] @ maps, w["P"] @ maps
+
+    def hidden(self, x: np.ndarray, skip: int = 0, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """Activations for inputs of shape (windows, positions), the states last; attention logits stay within 40 of zero.
 
         The first ``skip`` positions are only attended to: queries and later activations leave them out.
         """
-        w, (n, size) = self.w, x.shape
-        h0 = w["E"][x] + w["P"][:size]
-        dim = h0.shape[2]
-        qkv = (h0.reshape(-1, dim) @ np.concatenate([w["Wq"], w["Wk"], w["Wv"]], axis=1)).reshape(n, size, 3 * dim)
-        h0, qs, ks, vs = h0[:, skip:], qkv[:, skip:, :dim], qkv[..., dim : 2 * dim], qkv[..., 2 * dim :]
-        a = qs @ ks.transpose(0, 2, 1)
-        a *= np.float32(1 / np.sqrt(dim))
-        np.clip(a, -40, 40, out=a)
-        np.exp(a, out=a)
-        a *= np.tril(np.ones((size - skip, size), np.float32), skip)  # no position sees a later one
-        a /= (a.reshape(-1, size) @ np.ones(size, np.float32)).reshape(n, size - skip, 1)
-        c = a @ vs
-        return h0, qs, ks, vs, a, c, h0 + (c.reshape(-1, dim) @ w["Wo"]).reshape(h0.shape)
+        by_class, by_position = tables or self.tables()
+        rows = by_class.take(x, axis=0)
+        rows += by_position[: x.shape[1]]
+        (n, size), dim = x.shape, rows.shape[2] // 4
+        q, k, v, h0 = (rows[..., i * dim : (i + 1) * dim] for i in range(4))
+        e = q[:, skip:] @ k.transpose(0, 2, 1)
+        if e.size and not (e.max() < 40 and e.min() > -40):
+            np.clip(e, -40, 40, out=e)
+        np.exp(e, out=e)
+        e *= np.tri(size - skip, size, skip, e.dtype)  # no position sees a later one
+        total = (e.reshape(-1, size) @ np.ones(size, e.dtype)).reshape(n, size - skip, 1)
+        c = e @ v
+        c /= total
+        return rows, e, total, c, c + h0[:, skip:]
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log-probability of classes y after hidden states h (rows)."""
-        w, g = self.w, self.group[y]
-        out = own_less_all(h @ w["G"] + w["c"], g)
+        w, g = self.w, self.group.take(y)
+        out = own_less_all(h, w["G"], w["c"], g)
         rows = np.argsort(g.astype(np.int16), kind="stable")
-        near, own, inside = h[rows], self.place[y[rows]], np.empty(len(y), out.dtype)
+        near, own, inside = h.take(rows, axis=0), self.place.take(y.take(rows)), np.empty(len(y), out.dtype)
         ends = np.cumsum(np.bincount(g, minlength=len(self.members))).tolist()
-        for begin, end, m in zip([0, *ends], ends, self.members, strict=False):
-            if begin < end:
-                inside[begin:end] = own_less_all(near[begin:end] @ w["U"][:, m] + w["b"][m], own[begin:end])
+        for a, b, m in zip([0, *ends], ends, self.members, strict=False):
+            if a < b:
+                inside[a:b] = own_less_all(near[a:b], w["U"][:, m], w["b"][m], own[a:b])
         out[rows] += inside
         return out
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, attended: int = 24) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, attended: int = 48) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of y (-1: no target).  Attention goes over ``attended`` windows at once, which a cache holds."""
-        w, scale = self.w, np.float32(1 / np.sqrt(self.w["E"].shape[1]))
-        parts = [self.hidden(x[i : i + attended]) for i in range(0, len(x), attended)]
+        w, dim, tables = self.w, self.w["E"].shape[1], self.tables()
+        parts = [self.hidden(x[i : i + attended], 0, tables) for i in range(0, len(x), attended)]
         h = np.concatenate([p[-1] for p in parts])
-        i, j = np.nonzero(y >= 0)
-        rows, y = h[i, j], y[i, j]
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g, d = {k: np.zeros_like(w[k]) for k in ("U", "b", "Wo", "Wq", "Wk", "Wv")}, np.zeros_like(rows)
+        at = np.flatnonzero(y >= 0)
+        of = self.group.take(y.ravel().take(at))
+        order = np.argsort(of.astype(np.int16), kind="stable")  # by group
+        at, of = at.take(order), of.take(order)
+        rows, y = flat(h).take(at, axis=0), y.ravel().take(at)
+        g, share = {k: np.zeros_like(w[k]) for k in ("U", "b")}, 1 / max(1, len(y))
 
         def step(x, weights, bias, own):
             """Gradients of weights, bias and x where class ``own`` was right."""
-            dz = x @ weights + bias
-            dz -= dz.max(axis=1, keepdims=True)
-            np.exp(dz, out=dz)
-            dz /= dz.sum(axis=1, keepdims=True)
-            dz[np.arange(len(own)), own] -= 1
-            dz *= np.float32(1 / max(1, len(y)))
-            return x.T @ dz, dz.sum(axis=0), dz @ weights.T
-
-        of = self.group[y]
-        g["G"], g["c"], d[:] = step(rows, w["G"], w["c"], of)
-        for k, m in enumerate(self.members):
-            r = np.flatnonzero(of == k)
-            if len(r):
-                g["U"][:, m], g["b"][m], more = step(rows[r], w["U"][:, m], w["b"][m], np.searchsorted(m, y[r]))
-                d[r] += more
+            dz = x @ weights
+            dz += bias
+            dz *= (share / exponentials(dz)[1])[:, None]
+            dz.reshape(-1)[np.arange(0, dz.size, dz.shape[1]) + own] -= share
+            return x.T @ dz, np.ones(len(dz), dz.dtype) @ dz, dz @ weights.T
+
+        g["G"], g["c"], d = step(rows, w["G"], w["c"], of)
+        ends, own = np.cumsum(np.bincount(of, minlength=len(self.members))).tolist(), self.place.take(y)
+        for a, b, m in zip([0, *ends], ends, self.members, strict=False):
+            if a < b:
+                g["U"][:, m], g["b"][m], more = step(rows[a:b], w["U"][:, m], w["b"][m], own[a:b])
+                d[a:b] += more
         dh = np.zeros_like(h)
-        dh[i, j] = d
-        dx = dh.copy()
-        for k, (h0, qs, ks, vs, a, c, _) in enumerate(parts):
-            at = slice(k * attended, k * attended + len(h0))
-            g["Wo"] += flat(c).T @ flat(dh[at])
-            dc = (flat(dh[at]) @ w["Wo"].T).reshape(c.shape)
-            da = dc @ vs.transpose(0, 2, 1)
-            da -= (dc * c).sum(axis=2, keepdims=True)  # the sum of da * a over what a position attends to
-            da *= a
-            da *= scale
-            for name, t in (("Wq", da @ ks), ("Wk", da.transpose(0, 2, 1) @ qs), ("Wv", a.transpose(0, 2, 1) @ dc)):
-                g[name] += flat(h0).T @ flat(t)
-                dx[at] += (flat(t) @ w[name].T).reshape(t.shape)
-        order = np.argsort(x, axis=None, kind="stable")
+        flat(dh)[at] = d
+        maps = np.concatenate([w["Wq"] / dim**0.5, w["Wk"], w["Wv"] @ w["Wo"]], axis=1)
+        dmaps, dx = np.zeros_like(maps), np.empty_like(dh)
+        for k, (rows, e, total, c, _) in enumerate(parts):
+            at = slice(k * attended, k * attended + len(rows))
+            q, k, v, h0 = (rows[..., i * dim : (i + 1) * dim] for i in range(4))
+            dc = dh[at] / total
+            de = dc @ v.transpose(0, 2, 1)
+            c *= dc
+            de -= (flat(c) @ np.ones(dim, c.dtype)).reshape(total.shape)  # the sum of de * e / total over what a position attends to
+            de *= e
+            each = np.concatenate([de @ k, de.transpose(0, 2, 1) @ q, e.transpose(0, 2, 1) @ dc], axis=2)  # of queries, keys and values
+            dmaps += flat(h0).T @ flat(each)
+            np.matmul(flat(each), maps.T, out=flat(dx[at]))
+        dx += dh
+        g["Wq"], g["Wk"], mixed = dmaps[:, :dim] / dim**0.5, dmaps[:, dim : 2 * dim], dmaps[:, 2 * dim :]
+        g["Wv"], g["Wo"] = mixed @ w["Wo"].T, w["Wv"].T @ mixed
+        order = np.argsort(x.astype(np.int16 if len(self.group) < 1 << 15 else np.int64), axis=None, kind="stable")
         seen = x.ravel()[order]
         starts = np.flatnonzero(np.r_[True, seen[1:] != seen[:-1]])
         g["E"] = np.zeros_like(w["E"])
-        g["E"][seen[starts]] = np.add.reduceat(flat(dx)[order], starts, axis=0)
+        g["E"][seen[starts]] = np.add.reduceat(flat(dx).take(order, axis=0), starts, axis=0)
         g["P"] = np.zeros_like(w["P"])
         g["P"][: x.shape[1]] = dx.sum(axis=0)
         return g
@@ -407,7 +434,7 @@ class Coded:
 
 def spelled(coded: Coded, model: Model, ids: WordIds, windows_at_once: int = 768, attended: int = 64) -> np.ndarray:
     """Natural log-probability that the attention model gives to each word and end."""
-    p, net = model.params, model.net
+    p, net, tables = model.params, model.net, model.net.tables()
     y, tails, first, n = coded.pieces(model.classes, model.tail, len(net.group) - 1, ids)
     x = np.r_[y[-1], y[:-1]]  # each text begins with the class that ended the one before
     length = np.add.reduceat(n, coded.begin)
@@ -422,7 +449,7 @@ def spelled(coded: Coded, model: Model, ids: WordIds, windows_at_once: int = 768
             at = start[b, None] + along
             inputs, at = x[np.minimum(at, len(x) - 1)], at[:, skip:]
             new = at < stop[b, None]
-            h = np.concatenate([net.hidden(inputs[j : j + attended], skip)[-1] for j in range(0, len(inputs), attended)])
+            h = np.concatenate([net.hidden(inputs[j : j + attended], skip, tables)[-1] for j in range(0, len(inputs), attended)])
             out[at[new]] += net.log_probs(h[new], y[at[new]])
     return np.add.reduceat(out, first)
 
@@ -489,6 +516,7 @@ def learn_mix(train: DataFrame, model: Model, counts: DataFrame) -> float:
 
     def sums(batches):
         """Sums over frequent words by mix (k >= 0), and the rare words of each text (k = -1)."""
+        keep_memory()
         m, ids, total = shared.value, word_ids(p.vocabulary), np.zeros(len(p.mixes))
         for batch in batches:
             copies = Counter(t or "" for t in batch["text"])
@@ -546,6 +574,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
 
     def gather(batches):
         """The windows of all texts in blocks (k = -1) and, at the end, the task's class bigrams by first class (k >= 0)."""
+        keep_memory()
         ids, table = word_ids(p.vocabulary), np.zeros(n_classes * n_classes, np.int64)
         for batch in batches:
             for part in slices(list(batch["text"])):
@@ -573,6 +602,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
         shared = spark.sparkContext.broadcast(net)
 
         def local(batches, shared=shared):
+            keep_memory()
             own = Network({k: v.copy() for k, v in shared.value.w.items()}, shared.value.group)
             seen = train_pass(own, unpacked(batches, held, p), p)
             yield pd.DataFrame({"n": [seen], "w": [pickle.dumps(own.w)]})
@@ -593,6 +623,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pa
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
+        keep_memory()
         m, ids = shared.value, word_ids(p.vocabulary)
         common = {w: float(np.log10(c + p.alpha)) for w, c in m.frequent.items()}
         for batch in batches:
