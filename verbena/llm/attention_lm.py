@@ -41,15 +41,17 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
-from itertools import chain, count
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, held_out, materialize, q, words_lower
+from .common import fold, held_out, materialize, q
 from .packing import encoding
 
 
@@ -80,19 +82,57 @@ def keep_memory() -> None:
     np.empty(31 << 20, np.uint8)
 
 
-class WordIds(dict):
-    """Subword ids of words; forgets everything when full."""
-
-    def __init__(self, vocabulary: str):
-        self.encode = encoding(vocabulary).encode_ordinary
-
-    def __missing__(self, word: bytes) -> list[int]:
-        ids = self.encode(" " + word.decode("utf-8", "replace"))
-        if len(word) <= 40:
-            if len(self) >= 300_000:
-                self.clear()
-            self[word] = ids
-        return ids
+class WordIds:
+    """Subword ids of words, one list after the other; forgets everything when full."""
+
+    def __init__(self, vocabulary: str, held: int = 300_000):
+        tokenizer = encoding(vocabulary)
+        self.encode, self.held = tokenizer.encode_ordinary, held
+        self.n_bytes = np.zeros(tokenizer.n_vocab, np.int64)
+        for token in tokenizer.token_byte_values():
+            self.n_bytes[tokenizer.encode_single_token(token)] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.ids, self.begin, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __getitem__(self, word: bytes) -> list[int]:
+        return self.cut([word])[0].tolist()
+
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has.  They are encoded as one text, since no piece goes on over a blank, unless
+        white space beyond ASCII meets it."""
+        texts = [" " + as_text(w) for w in words]
+        alone = [i for i, t in enumerate(texts) if t[1].isspace() or t[-1].isspace()]
+        apart = {i: self.encode(texts[i]) for i in alone}
+        for i in alone:
+            texts[i] = ""
+        ids = np.array(self.encode("".join(texts)), np.int32)
+        length = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+        size = np.diff(np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(length), "right"), prepend=0)
+        if alone:
+            begin = np.cumsum(size)[alone]
+            size[alone] = [len(x) for x in apart.values()]
+            ids = np.insert(ids, np.repeat(begin, size[alone]), np.fromiter(chain.from_iterable(apart.values()), np.int32))
+        return ids, size
+
+    def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one word after the other, and how many each has."""
+        place = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        if len(new) and self.at and (len(self.at) + len(new) > self.held or len(self.ids) > 8 * self.held):
+            self.forget()
+            new = np.arange(len(words))
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            ids, size = self.encoded(unknown)
+            place[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.at.update(zip(unknown, place[new].tolist(), strict=True))
+            self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(size) - size]
+            self.ids, self.size = np.r_[self.ids, ids], np.r_[self.size, size]
+        size = self.size[place]
+        return self.ids[np.arange(size.sum()) + np.repeat(self.begin[place] - np.cumsum(size) + size, size)], size
 
 
 _IDS: dict[str, WordIds] = {}
@@ -102,14 +142,25 @@ def word_ids(vocabulary: str) -> WordIds:
     return _IDS.setdefault(vocabulary, WordIds(vocabulary))
 
 
-def subwords(words: list[bytes], ids: WordIds) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(map(ids.__getitem__, words)), np.int64)
-
-
 def as_text(word: bytes) -> str:
     return word.decode("utf-8", "replace")
 
 
+def distinct_words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts, the place in that list of each word of the texts, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+    coded = pc.dictionary_encode(split.flatten())
+    words, code = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    length = np.diff(split.offsets.to_numpy())
+    if b"" in words:  # stands before and after blanks at the ends of a text
+        none = words.index(b"")
+        del words[none]
+        length = length - np.bincount(np.repeat(np.arange(len(length)), length)[code == none], minlength=len(length))
+        code = code[code != none]
+        code = code - (code > none)
+    return words, code, length
+
+
 def word_hash(word: bytes) -> int:
     h = xxhash.xxh64_intdigest(word, 42)
     return h - (1 << 64) if h >> 63 else h
@@ -279,14 +330,16 @@ class Network:
 
 def bounded_counts(batches: Iterator[pd.DataFrame], held: int = 200_000) -> Iterator[pd.DataFrame]:
     """Counts of the words of column ``text``, handed on when ``held`` distinct ones have come together."""
-    c: Counter = Counter()
+    c: dict[bytes, int] = defaultdict(int)
 
     def rows() -> pd.DataFrame:
         return pd.DataFrame({"word": [as_text(w) for w in c], "h": pd.Series([word_hash(w) for w in c], dtype="int64"), "c": pd.Series(list(c.values()), dtype="int64")})
 
     for batch in batches:
-        for text in batch["text"]:
-            c.update(words_lower(text))
+        for part in slices(list(batch["text"])):
+            words, code, _ = distinct_words(part)
+            for w, n in zip(words, np.bincount(code, minlength=len(words)).tolist(), strict=True):
+                c[w] += n
             if len(c) >= held:
                 yield rows()
                 c.clear()
@@ -410,11 +463,12 @@ class Coded:
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Coded:
-        index: dict[bytes, int] = defaultdict(count().__next__)
-        index[END]
-        docs = [np.fromiter(map(index.__getitem__, chain(words_lower(t), (END,))), np.int64) for t in texts]
-        length = np.array([len(d) for d in docs])
-        return cls(list(index), np.concatenate(docs), np.cumsum(length) - length, length)
+        words, code, length = distinct_words(texts)
+        end = np.cumsum(length + 1)
+        codes, word = np.zeros(len(code) + len(length), np.int64), np.ones(len(code) + len(length), bool)
+        word[end - 1] = False
+        codes[word] = code + 1
+        return cls([END, *words], codes, end - length - 1, length + 1)
 
     def values(self, of: dict[bytes, float], end: float, default: float) -> np.ndarray:
         """A number for each distinct word."""
@@ -422,9 +476,8 @@ class Coded:
 
     def pieces(self, classes: np.ndarray, tail: np.ndarray, end: int, ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Classes and tails of the subwords of all texts, where each word begins and how many it has."""
-        cut = [ids[w] for w in self.words[1:]]
-        size = np.array([1, *map(len, cut)])
-        flat = np.fromiter(chain.from_iterable(cut), np.int64)
+        flat, size = ids.cut(self.words[1:])
+        size = np.r_[1, size]
         each, tails = np.r_[end, classes[flat]], np.r_[np.float32(0), tail[flat]]
         n = size[self.code]
         first = np.cumsum(n) - n
@@ -482,18 +535,26 @@ def score_coded(coded: Coded, model: Model, ids: WordIds, spelling: np.ndarray |
     return mixed(spelling, shares(coded, model), model.weight, coded)
 
 
-def rare_words(coded: Coded, rare: np.ndarray, spelling: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[list[np.ndarray]]]:
-    """Of each text: hashes of its distinct words at the places ``rare``, how often each is there, its log-probabilities by spelling."""
+def rare_words(coded: Coded, rare: np.ndarray, spelling: np.ndarray) -> tuple[list[np.ndarray], ...]:
+    """Of each text: hashes of its distinct words at the places ``rare``, how often each is there, where its log-probabilities by
+    spelling begin (from 1), and those of all."""
     n = len(coded.begin)
-    key = np.repeat(np.arange(n), coded.length)[rare] * len(coded.words) + coded.code[rare]
+    text = np.repeat(np.arange(n), coded.length)[rare]
+    key = text * len(coded.words) + coded.code[rare]
     order = np.argsort(key, kind="stable")
-    pair, first, k = np.unique(key[order], return_index=True, return_counts=True)
-    text, code = np.divmod(pair, len(coded.words))
-    hashes = {c: word_hash(coded.words[c]) for c in np.unique(code).tolist()}
-    h = np.fromiter(map(hashes.__getitem__, code.tolist()), np.int64, len(code))
-    each = np.split(spelling[rare][order], first[1:]) if len(pair) else []
-    ends = np.searchsorted(text, np.arange(1, n)).tolist()
-    return np.split(h, ends), np.split(k, ends), [each[a:b] for a, b in zip([0, *ends], [*ends, len(pair)], strict=True)]
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    stop, (of, code) = np.cumsum(np.bincount(text, minlength=n)), np.divmod(key[first], len(coded.words))
+    codes, back = np.unique(code, return_inverse=True)
+    h = np.fromiter((word_hash(coded.words[c]) for c in codes.tolist()), np.int64, len(codes))[back]
+    ends = np.searchsorted(of, np.arange(1, n))
+    begin = first - np.r_[0, stop[:-1]][of] + 1
+    return *(np.split(x, ends) for x in (h, np.diff(first, append=len(key)), begin)), np.split(spelling[rare][order], stop[:-1])
+
+
+def each_rare():
+    """Column: a row for each rare word of a text with h, k and its log-probabilities by spelling ``each``."""
+    return F.inline(F.transform(F.arrays_zip("h", "k", "b"), lambda x: F.struct(x["h"].alias("h"), x["k"].alias("k"), F.slice("s", x["b"], x["k"]).alias("each"))))
 
 
 def log_mixed(s, share, mix: float):
@@ -524,19 +585,19 @@ def learn_mix(train: DataFrame, model: Model, counts: DataFrame) -> float:
                 coded, times = Coded.of(part), [copies[t] for t in part]
                 spelling, known = spelled(coded, m, ids), shares(coded, m, left_out=True)
                 total += [mixed(spelling, known, mix, coded) @ times for mix in p.mixes]
-                h, n, each = rare_words(coded, np.isnan(known), spelling)
-                yield pd.DataFrame({"k": -1, "s": 0.0, "times": times, "left": m.n_train - coded.length, "h": h, "n": n, "each": each})
-        yield pd.DataFrame({"k": range(len(total)), "s": total, "times": 0, "left": 0, "h": None, "n": None, "each": None})
+                h, k, b, s = rare_words(coded, np.isnan(known), spelling)
+                yield pd.DataFrame({"mix": -1, "sum": 0.0, "times": times, "left": m.n_train - coded.length, "h": h, "k": k, "b": b, "s": s})
+        yield pd.DataFrame({"mix": range(len(total)), "sum": total, "times": 0, "left": 0, "h": None, "k": None, "b": None, "s": None})
 
-    rows = materialize(train.mapInPandas(sums, "k int, s double, times long, left long, h array<long>, n array<long>, each array<array<double>>"), "mixes")
-    met = rows.where("k < 0").select("times", "left", F.explode(F.arrays_zip("h", "n", "each")).alias("x")).select("times", "left", F.col("x.h").alias("h"), F.col("x.n").alias("n"), F.col("x.each").alias("each")).join(counts, "h", "left")
-    share = F.greatest(F.lit(0), F.coalesce("c", F.lit(0)) - F.col("n")) / F.greatest(F.lit(1), F.col("left"))
+    rows = materialize(train.mapInPandas(sums, "mix int, sum double, times long, left long, h array<long>, k array<int>, b array<int>, s array<double>"), "mixes")
+    met = rows.where("mix < 0").select("times", "left", each_rare()).join(counts, "h", "left")
+    share = F.greatest(F.lit(0), F.coalesce("c", F.lit(0)) - F.col("k")) / F.greatest(F.lit(1), F.col("left"))
     rare = met.select("times", "each", share.alias("share")).agg(*(F.sum(F.col("times") * rare_sum(F.col("each"), F.col("share"), mix)).alias(f"m{k}") for k, mix in enumerate(p.mixes))).first()
-    found = rows.where("k >= 0").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
+    found = rows.where("mix >= 0").groupBy("mix").agg(F.sum("sum").alias("sum")).toPandas()
     if not len(found):
         return model.mix
-    found["s"] += [rare[k] or 0.0 for k in found["k"]]
-    return p.mixes[int(found.sort_values(["s", "k"])["k"].iloc[-1])]
+    found["sum"] += [rare[k] or 0.0 for k in found["mix"]]
+    return p.mixes[int(found.sort_values(["sum", "mix"])["mix"].iloc[-1])]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> tuple[Model, DataFrame]:
@@ -551,17 +612,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Para
     top = words.orderBy(F.desc("c"), "h").limit(p.frequent).toPandas()
     frequent = {w.encode(): int(c) for w, c in zip(top["word"], top["c"], strict=True)}
 
+    size = encoding(p.vocabulary).n_vocab
+
     def id_counts(batches):
-        ids = word_ids(p.vocabulary)
+        ids, total = word_ids(p.vocabulary), np.zeros(size, np.int64)
         for batch in batches:
-            c: Counter = Counter()
-            for w, n in zip(batch["word"], batch["c"].tolist(), strict=True):
-                for i in ids[w.encode()]:
-                    c[i] += n
-            yield pd.DataFrame({"i": pd.Series(list(c), dtype="int64"), "n": pd.Series(list(c.values()), dtype="int64")})
+            flat, n = ids.cut([w.encode() for w in batch["word"]])
+            total += np.bincount(flat, np.repeat(batch["c"], n), size).astype(np.int64)
+        seen = np.flatnonzero(total)
+        yield pd.DataFrame({"i": seen, "n": total[seen]})
 
     seen = words.mapInPandas(id_counts, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
-    size = encoding(p.vocabulary).n_vocab
     n = np.zeros(size)
     n[seen["i"].to_numpy(np.int64)] = seen["n"].to_numpy(float)
     head = np.lexsort((np.arange(size), -n))[: p.head]
@@ -638,21 +699,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Pa
                 found = rare_words(coded, rare, spelling)
                 each = zip(part, coded.length.tolist(), known.tolist(), sums.tolist(), score_coded(coded, m, ids, spelling).tolist(), *found, strict=True)
                 rows |= {t: tuple(values) for t, *values in each}
-            out = pd.DataFrame([rows[t or ""] for t in batch["text"]], columns=["n_tokens", "known", "sum", "score", "h", "k", "each"])
+            out = pd.DataFrame([rows[t or ""] for t in batch["text"]], columns=["n_tokens", "known", "sum", "score", "h", "k", "b", "s"])
             out.insert(0, "id", batch["id"].array)
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    mapped = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")).mapInPandas(scored, f"id {kind}, n_tokens long, known long, sum double, score double, h array<long>, k array<long>, each array<array<double>>")
+    mapped = docs.select(F.col(q(id_col)).alias("id"), F.col(q(text_col)).alias("text")).mapInPandas(scored, f"id {kind}, n_tokens long, known long, sum double, score double, h array<long>, k array<int>, b array<int>, s array<double>")
     rows = materialize(mapped.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("h", "k", "each")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.k").alias("k"), F.col("x.each").alias("each"))
+    rare = rows.select("row", each_rare())
     c = F.coalesce("c", F.lit(0))
     share = c / F.lit(max(1, model.n_train))
     met = rare.join(counts, "h", "left").groupBy("row").agg(
-        F.sum(F.col("k") * F.log10(c + p.alpha)).alias("s"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("kn"), F.sum(rare_sum(F.col("each"), share, model.weight)).alias("rare"),
+        F.sum(F.col("k") * F.log10(c + p.alpha)).alias("rare_base"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("kn"), F.sum(rare_sum(F.col("each"), share, model.weight)).alias("rare"),
     )
-    out = rows.drop("h", "k", "each").join(met, "row", "left")
-    base = F.col("sum") + F.coalesce("s", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.denominator))
+    out = rows.drop("h", "k", "b", "s").join(met, "row", "left")
+    base = F.col("sum") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(model.denominator))
     return out.select(
         F.col("id").alias("doc_id"), held_out(F.col("id"), p.folds).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("kn", F.lit(0))).alias("n_known"),
         F.lit(model.n_train).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
