@@ -6,7 +6,7 @@ import ast
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbena import contracts as C
@@ -24,29 +24,38 @@ def default_judgment_instructions() -> str:
     return INSTRUCTIONS
 
 
-def _listed(rows: DataFrame, shown: list[str], order: list[str], name: str) -> DataFrame:
-    """Each document's rows as one JSON list; a row leaves out what is null."""
+def _gathered(rows: DataFrame, shown: list[str], order: list[str], name: str) -> DataFrame:
+    """Each document's rows as one list, in order."""
     first = [c for c in order if c in shown]
     items = F.array_sort(F.collect_list(F.struct(*first, *(c for c in shown if c not in first))))
-    return rows.groupBy("document_id").agg(F.to_json(F.transform(items, lambda m: F.struct(*(m[c].alias(c) for c in shown)))).alias(name))
+    return rows.groupBy("document_id").agg(items.alias(name))
 
 
-def judgment_prompts(documents: DataFrame, mentions: DataFrame, context: DataFrame | None = None, instructions: str = INSTRUCTIONS) -> DataFrame:
-    """(document_id, prompt) of every document with text, its mentions in text order; context rows are shown whole.
+def _listed(items: str, shown: list[str]) -> Column:
+    """Rows as one JSON list; a row leaves out what is null."""
+    return F.coalesce(F.to_json(F.transform(items, lambda m: F.struct(*(m[c].alias(c) for c in shown)))), F.lit("[]"))
 
-    A document's mentions are gathered into its prompt, which must hold them anyway.  Null or empty texts have none.
-    """
+
+def asked(documents: DataFrame, mentions: DataFrame, context: DataFrame | None = None, instructions: str = INSTRUCTIONS, how: str = "left") -> DataFrame:
+    """``judgment_prompts`` with the mentions and the context that each prompt shows, as lists ``m`` and ``g`` in its order."""
     C.columns(documents, ["document_id", "text"], "documents")
     C.columns(mentions, ["document_id", "mention_id"], "mentions")
     shown = [c for c in SHOWN if c in mentions.columns]
-    x = documents.where(F.length("text") > 0).select("document_id", "text").join(_listed(mentions, shown, ["start_offset", "end_offset", "mention_id"], "m"), "document_id", "left")
-    if context is None:
-        x = x.withColumn("g", F.lit("[]"))
-    else:
+    x = documents.where(F.length("text") > 0).select("document_id", "text").join(_gathered(mentions, shown, ["start_offset", "end_offset", "mention_id"], "m"), "document_id", how)
+    given = F.lit("[]")
+    if context is not None:
         extra = [c for c in context.columns if c != "document_id"]
-        x = x.join(_listed(context, extra, extra, "g"), "document_id", "left")
-    none = F.lit("[]")
-    return x.select("document_id", F.concat_ws("\n", F.lit(instructions), F.lit(""), F.lit("TEXT:"), F.col("text"), F.lit(""), F.lit("CANDIDATES_JSON:"), F.coalesce("m", none), F.lit(""), F.lit("GRAPH_CONTEXT_JSON:"), F.coalesce("g", none)).alias("prompt"))
+        x, given = x.join(_gathered(context, extra, extra, "g"), "document_id", "left"), _listed("g", extra)
+    prompt = F.concat_ws("\n", F.lit(instructions), F.lit(""), F.lit("TEXT:"), F.col("text"), F.lit(""), F.lit("CANDIDATES_JSON:"), _listed("m", shown), F.lit(""), F.lit("GRAPH_CONTEXT_JSON:"), given)
+    return x.select("document_id", prompt.alias("prompt"), "m", *(["g"] if context is not None else []))
+
+
+def judgment_prompts(documents: DataFrame, mentions: DataFrame, context: DataFrame | None = None, instructions: str = INSTRUCTIONS) -> DataFrame:
+    """(document_id, prompt) of every document with text, its mentions in text order; context rows are shown whole.
+
+    A document's mentions are gathered into its prompt, which must hold them anyway.  Null or empty texts have none.
+    """
+    return asked(documents, mentions, context, instructions).select("document_id", "prompt")
 
 
 @dataclass(frozen=True)

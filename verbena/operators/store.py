@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verbena import contracts as C
 from verbena.functions import vectors as V
-from verbena.functions.providers import PromptRunner, run_prompts
+from verbena.functions.providers import PromptRunner, answers
 from verbena.operators import graph, judgments, prompts
 from verbena.shared import materialize
 from verbena.sources.obo import Obo, read_obo
@@ -148,16 +148,19 @@ def judge(documents: DataFrame, mentions: DataFrame, runner: PromptRunner, conte
 
     A response must hold one result per mention, in text order; a document whose response breaks a rule is refused,
     and with it the whole relation.  ``context`` (document_id, node_id and more) names nodes that a replacement may take.
+    Prompts are answered once, and what is read from the answers is written to the shared folder once; the rules are held where a document lies.
     """
-    asked = prompts.judgment_prompts(documents.join(mentions.select("document_id").distinct(), "document_id", "left_semi"), mentions, context, instructions)
-    responses = materialize(run_prompts(asked, runner).select(F.col("document_id").alias("call_id"), "response"), "responses")
-    order = Window.partitionBy("document_id").orderBy(*(c for c in ("start_offset", "end_offset", "mention_id") if c in mentions.columns))
-    candidates = mentions.select(F.col("document_id").alias("call_id"), (F.row_number().over(order) - 1).alias("position"), "mention_id", "node_id")
-    allowed = context.select(F.col("document_id").alias("call_id"), "node_id") if context is not None else None
-    bad = judgments.violations(responses, candidates, allowed).where("reason IS NOT NULL").take(1)
+    x = prompts.asked(documents, mentions, context, instructions, "inner")
+    ids = F.col("m.node_id")
+    nodes = ids if context is None else F.concat(ids, F.coalesce("g.node_id", F.array().cast("array<string>")))
+    repeated = F.count("*").over(Window.partitionBy("document_id")) > 1
+    candidates = F.arrays_zip(F.col("m.mention_id").alias("mention_id"), ids.alias("node_id"))
+    calls = x.select(F.col("document_id").alias("call_id"), "prompt", repeated.alias("repeated"), candidates.alias("asked"), nodes.alias("nodes"))
+    rows = materialize(judgments.judged_calls(calls, lambda given: answers(given, runner)), "judged")
+    bad = rows.where("rule IS NOT NULL").groupBy("call_id").agg(F.min("rule").alias("rule")).take(1)
     if bad:
-        raise C.ContractError(f"response for {bad[0]['call_id']}: {bad[0]['reason']}")
-    found = judgments.judgments(responses, candidates, model, allowed)
+        raise C.ContractError(f"response for {bad[0]['call_id']}: {judgments.RULES[bad[0]['rule']]}")
+    found = judgments.judgment_rows(rows.where("value_json IS NOT NULL"), model)
     if store:
         found = materialize(found, "judgments")
         record(documents.sparkSession, found, "judgments", prefix)
